@@ -43,6 +43,31 @@ _LARGEST = f"""WITH c AS ({_COMPONENTS}), s AS (SELECT component, COUNT(*) AS si
 top AS (SELECT component FROM s ORDER BY size DESC, component LIMIT 1)
 SELECT node, component FROM c WHERE component IN (SELECT component FROM top)"""
 
+
+def _jaccard_topk(line_filter: str, k: int, fill: bool) -> str:
+    where = f"WHERE {line_filter}" if line_filter else ""
+    pair_join = "JOIN" if not fill else "LEFT JOIN"
+    return f"""WITH p AS (SELECT DISTINCT o_custkey AS u, l_partkey AS a FROM {_ORDER_LINES} {where}),
+d AS (SELECT u, COUNT(*) AS n FROM p GROUP BY u),
+o AS (SELECT p1.u AS src, p2.u AS dst, COUNT(*) AS ov FROM p p1 JOIN p p2 ON p1.a = p2.a AND p1.u <> p2.u GROUP BY ALL),
+s AS (SELECT d1.u AS src, d2.u AS dst,
+        CAST(COALESCE(o.ov, 0) AS DOUBLE) / (d1.n + d2.n - COALESCE(o.ov, 0)) AS score
+      FROM d d1 JOIN d d2 ON d1.u <> d2.u {pair_join} o ON o.src = d1.u AND o.dst = d2.u),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM s)
+SELECT src, dst, ROUND(score, 9) AS score, rank FROM r WHERE rank <= {k}"""
+
+
+_COSINE = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.v, b.v) AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM s)
+SELECT src, dst, ROUND(score, 6) AS score, rank FROM r WHERE rank <= 10"""
+
+
+def _sym(topk: str) -> str:
+    return f"WITH t AS ({topk}) SELECT src, dst FROM t UNION SELECT dst, src FROM t"
+
+
 SQL: dict[str, str] = {
     "usage_daily": _USAGE,
     "usage_text_parse": f"""SELECT CAST(o_custkey AS VARCHAR) AS "user", CAST(o_orderdate AS DATE) AS day,
@@ -87,4 +112,12 @@ e AS (SELECT DISTINCT src AS a, dst AS b FROM {_RECORDS} WHERE l_quantity >= 50
 m AS (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e)
 SELECT src, dst FROM m WHERE src IN (SELECT node FROM l) AND dst IN (SELECT node FROM l)""",
     "node_index": f"""SELECT node, ROW_NUMBER() OVER (ORDER BY node) - 1 AS idx FROM ({_LARGEST})""",
+    "direct_knn_topk": _jaccard_topk("", 10, True),
+    "direct_knn_graph": _sym(_jaccard_topk("", 10, True)),
+    "direct_knn_filled": _jaccard_topk("l_quantity >= 48", 5, True),
+    "direct_knn_positive": _jaccard_topk("l_quantity >= 48", 5, False),
+    "cosine_knn_topk": _COSINE,
+    "cosine_knn_graph": _sym(_COSINE),
+    "combined_graph": f"""({_VOICE}) UNION ({_MUTUAL}) UNION
+SELECT 'c' || src, 'c' || dst FROM ({_sym(_jaccard_topk("", 10, True))})""",
 }

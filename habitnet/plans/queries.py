@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from habitnet.operators import components as cc
 from habitnet.operators import contacts as ct
+from habitnet.operators import knn
 from habitnet.operators import usage as us
 from habitnet.operators.joins import mirror
 from habitnet.sources import tables as tb
@@ -27,6 +28,9 @@ TEST_FROM = "1997-08-01"          # P11 test part: day >= this
 POPULAR_MIN_USERS = 30            # P8 bound for the popularity queries
 CONTACT_MIN_SEC = 50              # M1 duration bound (l_quantity seconds)
 COMPONENT_FILTER = "l_quantity >= 50 AND l_returnflag = 'R'"
+KNN_K = 10                        # neighbours per user (the combined graph uses 10)
+SPARSE_FILTER = "l_quantity >= 48"  # sparse usage: users with few positive neighbours
+SPARSE_K = 5
 
 
 def _usage(spark, sf_dir, line_filter=None) -> DataFrame:
@@ -150,6 +154,49 @@ def node_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cc.consecutive_index(largest_component(spark, sf_dir), "node")
 
 
+# ---- kNN graphs ------------------------------------------------------------------------------
+
+def _scored(topk: DataFrame, digits: int = 9) -> DataFrame:
+    return topk.select("src", "dst", F.round("score", digits).alias("score"), "rank")
+
+
+def direct_knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(knn.jaccard_topk(tb.usage_log(spark, sf_dir), KNN_K, fill=True))
+
+
+def direct_knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.direct_graph(tb.usage_log(spark, sf_dir), KNN_K, fill=True)
+
+
+def direct_knn_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(knn.jaccard_topk(tb.usage_log(spark, sf_dir, F.expr(SPARSE_FILTER)), SPARSE_K, fill=True))
+
+
+def direct_knn_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(knn.jaccard_topk(tb.usage_log(spark, sf_dir, F.expr(SPARSE_FILTER)), SPARSE_K, fill=False))
+
+
+def _embeddings(spark, sf_dir) -> DataFrame:
+    return tb.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+def cosine_knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(knn.cosine_topk(_embeddings(spark, sf_dir), KNN_K), 6)
+
+
+def cosine_knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.symmetrize(knn.cosine_topk(_embeddings(spark, sf_dir), KNN_K))
+
+
+def combined_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contact graph united with the user-similarity graph (user ids as 'c' || custkey)."""
+    sim = knn.direct_graph(tb.usage_log(spark, sf_dir), KNN_K, fill=True).select(
+        F.concat(F.lit("c"), F.col("src").cast("string")).alias("src"),
+        F.concat(F.lit("c"), F.col("dst").cast("string")).alias("dst"),
+    )
+    return ct.union_graphs(contact_graph(spark, sf_dir), sim)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "usage_daily": usage_daily,
     "usage_text_parse": usage_text_parse,
@@ -169,4 +216,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "largest_component": largest_component,
     "induced_subgraph": induced_subgraph,
     "node_index": node_index,
+    "direct_knn_topk": direct_knn_topk,
+    "direct_knn_graph": direct_knn_graph,
+    "direct_knn_filled": direct_knn_filled,
+    "direct_knn_positive": direct_knn_positive,
+    "cosine_knn_topk": cosine_knn_topk,
+    "cosine_knn_graph": cosine_knn_graph,
+    "combined_graph": combined_graph,
 }
