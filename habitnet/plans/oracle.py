@@ -68,6 +68,29 @@ def _sym(topk: str) -> str:
     return f"WITH t AS ({topk}) SELECT src, dst FROM t UNION SELECT dst, src FROM t"
 
 
+_EV_STATE = """SELECT DISTINCT user_id AS "user", event_type AS app, CAST(ts AS DATE) AS day FROM events"""
+
+
+def _next_day(days: str, max_gap: int) -> str:
+    return f"""(SELECT d1.day, MIN(d2.day) AS next_day FROM ({days}) d1 JOIN ({days}) d2
+   ON d2.day > d1.day AND d2.day <= d1.day + {max_gap} GROUP BY d1.day)"""
+
+
+_EV_MODEL = f"""s AS ({_EV_STATE}),
+a AS (SELECT app FROM s GROUP BY app HAVING COUNT(DISTINCT "user") >= 10),
+u AS (SELECT * FROM s WHERE app IN (SELECT app FROM a)),
+c AS {_next_day('SELECT DISTINCT day FROM u', 1)},
+r AS (SELECT u."user" AS i, u.app AS j, u.day AS t, 1 AS m0, CASE WHEN x."user" IS NULL THEN 0 ELSE 1 END AS m1
+      FROM u JOIN c ON u.day = c.day
+      LEFT JOIN u x ON x."user" = u."user" AND x.app = u.app AND x.day = c.next_day),
+su AS (SELECT DISTINCT i FROM r),
+eu AS (SELECT DISTINCT user_id AS u FROM events),
+g AS (SELECT a.u AS src, b.u AS dst FROM eu a JOIN eu b ON b.u = a.u + 1 OR b.u = a.u - 1),
+lk AS (SELECT r.i, r.j, r.t, g.dst AS l, CASE WHEN x."user" IS NULL THEN 0 ELSE 1 END AS ml0
+       FROM r JOIN g ON g.src = r.i JOIN su ON su.i = g.dst
+       LEFT JOIN u x ON x."user" = g.dst AND x.app = r.j AND x.day = r.t)"""
+
+
 SQL: dict[str, str] = {
     "usage_daily": _USAGE,
     "usage_text_parse": f"""SELECT CAST(o_custkey AS VARCHAR) AS "user", CAST(o_orderdate AS DATE) AS day,
@@ -120,4 +143,23 @@ SELECT src, dst FROM m WHERE src IN (SELECT node FROM l) AND dst IN (SELECT node
     "cosine_knn_graph": _sym(_COSINE),
     "combined_graph": f"""({_VOICE}) UNION ({_MUTUAL}) UNION
 SELECT 'c' || src, 'c' || dst FROM ({_sym(_jaccard_topk("", 10, True))})""",
+    "calendar_next_day": f"""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders),
+n AS (SELECT day, LEAD(day) OVER (ORDER BY day) AS nx FROM d)
+SELECT day, CASE WHEN datediff('day', day, nx) <= 2 THEN nx END AS next_day FROM n""",
+    "retention_labels": f"""WITH s AS ({_EV_STATE}), c AS {_next_day('SELECT DISTINCT day FROM s', 1)}
+SELECT s."user", s.app, s.day, c.next_day, CASE WHEN x."user" IS NULL THEN 0 ELSE 1 END AS m1
+FROM s JOIN c ON s.day = c.day LEFT JOIN s x ON x."user" = s."user" AND x.app = s.app AND x.day = c.next_day""",
+    "exposure_rows": f"""WITH {_EV_MODEL}
+SELECT r.i, r.j, r.t, r.m0, r.m1, COUNT(lk.l) AS n_nbrs, CAST(COALESCE(SUM(lk.ml0), 0) AS BIGINT) AS sum_ml0
+FROM r LEFT JOIN lk ON lk.i = r.i AND lk.j = r.j AND lk.t = r.t GROUP BY ALL""",
+    "exposure_text": f"""WITH {_EV_MODEL}
+SELECT r.i || ',' || r.j || ',' || strftime(r.t, '%Y%m%d') || ',' || r.m0 || ',' || r.m1 || ','
+  || COALESCE(string_agg(lk.l || '#' || lk.ml0, '|' ORDER BY lk.l, lk.ml0), '') AS value
+FROM r LEFT JOIN lk ON lk.i = r.i AND lk.j = r.j AND lk.t = r.t GROUP BY r.i, r.j, r.t, r.m0, r.m1""",
+    "holdout_days": """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events),
+f AS (SELECT CAST(unnest(range(0, 3)) AS INTEGER) AS fold),
+x AS (SELECT fold, day,
+  ROW_NUMBER() OVER (PARTITION BY fold ORDER BY md5(CAST(day AS VARCHAR) || '#' || fold || '#' || 42), day) AS rk,
+  COUNT(*) OVER (PARTITION BY fold) AS n FROM d CROSS JOIN f)
+SELECT fold, day, rk <= floor(n * 0.8) AS is_train FROM x""",
 }

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from habitnet.operators import components as cc
 from habitnet.operators import contacts as ct
+from habitnet.operators import exposure as ex
 from habitnet.operators import knn
 from habitnet.operators import usage as us
 from habitnet.operators.joins import mirror
 from habitnet.sources import tables as tb
+from habitnet.sources.codecs import exposure_to_text
 from habitnet.sources.logs import parse_web_log
 
 # ---- fixed query parameters --------------------------------------------------------------
@@ -31,6 +33,10 @@ COMPONENT_FILTER = "l_quantity >= 50 AND l_returnflag = 'R'"
 KNN_K = 10                        # neighbours per user (the combined graph uses 10)
 SPARSE_FILTER = "l_quantity >= 48"  # sparse usage: users with few positive neighbours
 SPARSE_K = 5
+CALENDAR_MAX_GAP = 2              # order days: bridge one missing day
+MODEL_MIN_USERS = 10              # P8 bound of the exposure model (inclusive)
+HOLDOUT_FOLDS = 3
+HOLDOUT_SEED = 42
 
 
 def _usage(spark, sf_dir, line_filter=None) -> DataFrame:
@@ -138,7 +144,8 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def component_sizes_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cc.top_components(components(spark, sf_dir), 10)
+    top = cc.top_components(components(spark, sf_dir), 10)
+    return top.select("component", "size", F.col("rank").cast("bigint").alias("rank"))
 
 
 def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +164,7 @@ def node_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- kNN graphs ------------------------------------------------------------------------------
 
 def _scored(topk: DataFrame, digits: int = 9) -> DataFrame:
-    return topk.select("src", "dst", F.round("score", digits).alias("score"), "rank")
+    return topk.select("src", "dst", F.round("score", digits).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def direct_knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,6 +204,44 @@ def combined_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.union_graphs(contact_graph(spark, sf_dir), sim)
 
 
+# ---- calendar, retention, exposure ---------------------------------------------------------
+
+def calendar_next_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = tb.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"))
+    return ex.calendar(days, max_gap=CALENDAR_MAX_GAP)
+
+
+def _events_model(spark, sf_dir):
+    state = ex.model_usage(tb.events_state(spark, sf_dir), None, MODEL_MIN_USERS)
+    cal = ex.calendar(state.select("day"))
+    return state, cal, tb.ring_graph(spark, sf_dir)
+
+
+def retention_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = tb.events_state(spark, sf_dir)
+    return ex.retention_labels(state, ex.calendar(state.select("day")))
+
+
+def exposure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state, cal, graph = _events_model(spark, sf_dir)
+    rows, links = ex.exposure_long(state, state, graph, cal)
+    per_row = links.groupBy("i", "j", "t").agg(F.count(F.lit(1)).alias("n_nbrs"), F.sum("ml0").cast("bigint").alias("sum_ml0"))
+    return rows.join(per_row, ["i", "j", "t"], "left").select(
+        "i", "j", "t", "m0", "m1", F.coalesce("n_nbrs", F.lit(0)).cast("bigint").alias("n_nbrs"),
+        F.coalesce("sum_ml0", F.lit(0)).cast("bigint").alias("sum_ml0"),
+    )
+
+
+def exposure_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state, cal, graph = _events_model(spark, sf_dir)
+    return exposure_to_text(ex.exposure_rows(state, state, graph, cal))
+
+
+def holdout_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = tb.events_state(spark, sf_dir).select("day")
+    return ex.holdout_days(days, HOLDOUT_FOLDS, 0.8, HOLDOUT_SEED)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "usage_daily": usage_daily,
     "usage_text_parse": usage_text_parse,
@@ -223,4 +268,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cosine_knn_topk": cosine_knn_topk,
     "cosine_knn_graph": cosine_knn_graph,
     "combined_graph": combined_graph,
+    "calendar_next_day": calendar_next_day,
+    "retention_labels": retention_labels,
+    "exposure_rows": exposure_rows,
+    "exposure_text": exposure_text,
+    "holdout_days": holdout_days,
 }
