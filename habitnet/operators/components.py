@@ -102,8 +102,9 @@ def induced_subgraph(edges: DataFrame, nodes: DataFrame, node_col: str = "node")
     return both_ends_in(edges.select("src", "dst"), nodes, node_col)
 
 
-def consecutive_index(df: DataFrame, col: str, idx: str = "idx", num_partitions: int | None = None) -> DataFrame:
-    """Distinct values of ``col`` numbered 0..n-1 in ascending order.
+def consecutive_index(df: DataFrame, col: str, idx: str = "idx", order=None, num_partitions: int | None = None) -> DataFrame:
+    """Distinct values of ``col`` numbered 0..n-1 in ascending order of
+    ``order`` (a column expression, unique per value; default ``col`` itself).
 
     No single-task window: the values are range-partitioned and sorted, each
     row takes its position inside its partition from
@@ -112,12 +113,11 @@ def consecutive_index(df: DataFrame, col: str, idx: str = "idx", num_partitions:
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = df.select(F.col(col).alias(col)).where(F.col(col).isNotNull()).distinct()
+    base = base.withColumn("_ord", F.col(col) if order is None else order)
     s = (
-        df.select(F.col(col).alias(col))
-        .where(F.col(col).isNotNull())
-        .distinct()
-        .repartitionByRange(n, col)
-        .sortWithinPartitions(col)
+        base.repartitionByRange(n, "_ord")
+        .sortWithinPartitions("_ord")
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
     )

@@ -91,6 +91,75 @@ lk AS (SELECT r.i, r.j, r.t, g.dst AS l, CASE WHEN x."user" IS NULL THEN 0 ELSE
        LEFT JOIN u x ON x."user" = g.dst AND x.app = r.j AND x.day = r.t)"""
 
 
+def _uniform(role: str, id_expr: str, c: int, seed: int) -> str:
+    return f"(CAST('0x' || substr(md5('{role}#' || {id_expr} || '#{c}#{seed}'), 1, 8) AS BIGINT) / 4294967296.0)"
+
+
+def _init(role: str, ids: str, d: int = 5, seed: int = 42) -> str:
+    raw = ", ".join(f"{_uniform(role, 'id', c, seed)} AS r{c}" for c in range(d))
+    nrm = "sqrt(" + " + ".join(f"r{c} * r{c}" for c in range(d)) + ")"
+    cols = ", ".join(f"abs(r{c}) / {nrm} AS f{c}" for c in range(d))
+    return f"(SELECT id, {cols} FROM (SELECT id, {raw} FROM ({ids})))"
+
+
+_POS = f"""SELECT DISTINCT o_custkey AS "user", l_partkey AS app FROM {_ORDER_LINES}"""
+
+_NEG = f"""WITH pos AS ({_POS}),
+apps AS (SELECT DISTINCT app FROM pos),
+perm AS (SELECT app, ROW_NUMBER() OVER (ORDER BY md5('perm#' || app || '#42'), app) - 1 AS pos FROM apps),
+nn AS (SELECT COUNT(*) AS n FROM apps),
+deg AS (SELECT "user", COUNT(*) AS p FROM pos GROUP BY "user"),
+g AS (SELECT deg."user", deg.p, nn.n, unnest(range(0, least(2 * deg.p, nn.n))) AS g FROM deg CROSS JOIN nn),
+cand AS (SELECT "user", p, g, (CAST('0x' || substr(md5('offset#' || "user" || '#42'), 1, 8) AS BIGINT) + g) % n AS pos FROM g),
+c2 AS (SELECT cand."user", cand.p, cand.g, perm.app FROM cand JOIN perm ON perm.pos = cand.pos
+       WHERE NOT EXISTS (SELECT 1 FROM pos WHERE pos."user" = cand."user" AND pos.app = perm.app)),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY "user" ORDER BY g) AS rk FROM c2)
+SELECT "user", app FROM r WHERE rk <= p"""
+
+_SAMPLES = f"""SELECT "user", app, 1.0::DOUBLE AS r FROM ({_POS}) UNION ALL SELECT "user", app, 0.0::DOUBLE FROM ({_NEG})"""
+
+_D = 5
+_UCOLS = ", ".join(f"U.f{c} AS u{c}" for c in range(_D))
+_VCOLS = ", ".join(f"V.f{c} AS v{c}" for c in range(_D))
+_DOT = " + ".join(f"U.f{c} * V.f{c}" for c in range(_D))
+
+
+def _lmf_ctes(U: str = "U", V: str = "V") -> str:
+    return f"""smp AS ({_SAMPLES}),
+U AS {_init('u', f'SELECT DISTINCT "user" AS id FROM ({_POS})')},
+V AS {_init('v', f'SELECT DISTINCT app AS id FROM ({_POS})')},
+J AS (SELECT s."user", s.app, s.r, {_UCOLS}, {_VCOLS}, {_DOT} AS p
+      FROM smp s JOIN {U} U ON U.id = s."user" JOIN {V} V ON V.id = s.app)"""
+
+
+def _grad(key: str, other: str) -> str:
+    g = ", ".join(f"ROUND(SUM((1.0 / (1.0 + exp(-p)) - r) * {other}{c}), 8) AS g{c}" for c in range(_D))
+    return f'SELECT {key} AS id, {g} FROM J GROUP BY {key}'
+
+
+_LOSS = "ln(1 + exp(-abs(p))) + greatest(p, 0) - r * p"
+
+
+def _one_step() -> str:
+    eta = "0.0001"
+    lu = "(0.0001 * sqrt((SELECT COUNT(*) FROM U)))"
+    lv = "(0.0001 * sqrt((SELECT COUNT(*) FROM V)))"
+    gu = ", ".join(f"SUM((1.0 / (1.0 + exp(-p)) - r) * v{c}) AS g{c}" for c in range(_D))
+    u1 = ", ".join(f"U.f{c} - {eta} * (COALESCE(G.g{c}, 0) + {lu} * U.f{c}) AS f{c}" for c in range(_D))
+    dot1 = " + ".join(f"U1.f{c} * V.f{c}" for c in range(_D))
+    gv = ", ".join(f"SUM((1.0 / (1.0 + exp(-p1)) - r) * u{c}) AS g{c}" for c in range(_D))
+    v1 = ", ".join(f"V.f{c} - {eta} * (COALESCE(G.g{c}, 0) + {lv} * V.f{c}) AS f{c}" for c in range(_D))
+    u1cols = ", ".join(f"U1.f{c} AS u{c}" for c in range(_D))
+    rnd = ", ".join(f"ROUND(f{c}, 8) AS f{c}" for c in range(_D))
+    return f"""WITH {_lmf_ctes()},
+GU AS (SELECT "user" AS id, {gu} FROM J GROUP BY "user"),
+U1 AS (SELECT U.id, {u1} FROM U LEFT JOIN GU G ON G.id = U.id),
+J1 AS (SELECT s.app, s.r, {u1cols}, {dot1} AS p1 FROM smp s JOIN U1 ON U1.id = s."user" JOIN V ON V.id = s.app),
+GV AS (SELECT app AS id, {gv} FROM J1 GROUP BY app),
+V1 AS (SELECT V.id, {v1} FROM V LEFT JOIN GV G ON G.id = V.id)
+SELECT 'u' AS role, id, {rnd} FROM U1 UNION ALL SELECT 'v', id, {rnd} FROM V1"""
+
+
 SQL: dict[str, str] = {
     "usage_daily": _USAGE,
     "usage_text_parse": f"""SELECT CAST(o_custkey AS VARCHAR) AS "user", CAST(o_orderdate AS DATE) AS day,
@@ -162,4 +231,22 @@ x AS (SELECT fold, day,
   ROW_NUMBER() OVER (PARTITION BY fold ORDER BY md5(CAST(day AS VARCHAR) || '#' || fold || '#' || 42), day) AS rk,
   COUNT(*) OVER (PARTITION BY fold) AS n FROM d CROSS JOIN f)
 SELECT fold, day, rk <= floor(n * 0.8) AS is_train FROM x""",
+    "negative_samples": _NEG,
+    "train_samples": _SAMPLES,
+    "factor_init": "SELECT id, " + ", ".join(f"ROUND(f{c}, 9) AS f{c}" for c in range(_D))
+    + " FROM " + _init("u", f'SELECT DISTINCT "user" AS id FROM ({_POS})'),
+    "vector_ops": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm FROM e)
+SELECT vec_id, ROUND(nrm, 6) AS norm,
+  ROUND(list_sum(list_transform(v, lambda x: x * x)), 6) AS self_dot,
+  ROUND(list_sum(list_transform(v, lambda x: abs(x) / nrm)), 6) AS unit_sum,
+  ROUND(v[1], 6) AS first,
+  ROUND(list_sum(list_transform(v, lambda x: 2.0 * x + 3.0 * (abs(x) / nrm))), 6) AS weighted_sum,
+  ROUND(list_sum(list_transform(v, lambda x: x + (x * 3.0 - x))), 6) AS add_sum
+FROM n""",
+    "logloss_at_init": f"""WITH {_lmf_ctes()}
+SELECT ROUND(AVG({_LOSS}), 8) AS train_loss, ROUND(AVG(CASE WHEN r = 1.0 THEN {_LOSS} END), 8) AS observed_loss FROM J""",
+    "lmf_grad_user": f"WITH {_lmf_ctes()} " + _grad('"user"', "v"),
+    "lmf_grad_item": f"WITH {_lmf_ctes()} " + _grad("app", "u"),
+    "lmf_one_step": _one_step(),
 }

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from habitnet.operators import components as cc
 from habitnet.operators import contacts as ct
 from habitnet.operators import exposure as ex
+from habitnet.operators import factors as fa
+from habitnet.functions import vectors as vx
 from habitnet.operators import knn
 from habitnet.operators import usage as us
 from habitnet.operators.joins import mirror
@@ -37,6 +39,11 @@ CALENDAR_MAX_GAP = 2              # order days: bridge one missing day
 MODEL_MIN_USERS = 10              # P8 bound of the exposure model (inclusive)
 HOLDOUT_FOLDS = 3
 HOLDOUT_SEED = 42
+LMF_RANK = 5                      # factor model rank of the similarity job
+LMF_RATE = 1e-4
+LMF_SEED = 42
+LMF_TRAIN_STEPS = 4               # steps/restarts of the registered training run
+LMF_TRAIN_RESTARTS = 2
 
 
 def _usage(spark, sf_dir, line_filter=None) -> DataFrame:
@@ -242,6 +249,88 @@ def holdout_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.holdout_days(days, HOLDOUT_FOLDS, 0.8, HOLDOUT_SEED)
 
 
+# ---- logistic matrix factorisation -------------------------------------------------------------
+
+def _positives(spark, sf_dir) -> DataFrame:
+    return tb.usage_log(spark, sf_dir).select("user", "app").distinct()
+
+
+def _rounded(df: DataFrame, cols: list[str], digits: int) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def negative_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fa.negative_samples(_positives(spark, sf_dir), LMF_SEED)
+
+
+def train_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fa.training_samples(_positives(spark, sf_dir), LMF_SEED)
+
+
+def factor_init(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fa.init_factors(_positives(spark, sf_dir), "user", LMF_RANK, LMF_SEED, "u")
+    return _rounded(f, fa.fnames(LMF_RANK), 9)
+
+
+def vector_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tb.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    total = lambda a: F.aggregate(a, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
+    out = e.select(
+        "vec_id",
+        vx.norm("v").alias("norm"),
+        vx.dot("v", "v").alias("self_dot"),
+        total(vx.unit_vector("v")).alias("unit_sum"),
+        vx.element("v", 0).alias("first"),
+        total(vx.weighted_add("v", vx.unit_vector("v"), 2.0, 3.0)).alias("weighted_sum"),
+        total(vx.add("v", vx.subtract(vx.scale("v", 3.0), "v"))).alias("add_sum"),
+    )
+    return _rounded(out, ["norm", "self_dot", "unit_sum", "first", "weighted_sum", "add_sum"], 6)
+
+
+def _lmf_inputs(spark, sf_dir):
+    pos = _positives(spark, sf_dir)
+    samples = fa.training_samples(pos, LMF_SEED)
+    U = fa.init_factors(pos, "user", LMF_RANK, LMF_SEED, "u")
+    V = fa.init_factors(pos, "app", LMF_RANK, LMF_SEED, "v")
+    return pos, samples, U, V
+
+
+def logloss_at_init(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, samples, U, V = _lmf_inputs(spark, sf_dir)
+    return _rounded(fa.losses(samples, U, V, LMF_RANK), ["train_loss", "observed_loss"], 8)
+
+
+def lmf_grad_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, samples, U, V = _lmf_inputs(spark, sf_dir)
+    return _rounded(fa.user_gradients(samples, U, V, LMF_RANK), fa.fnames(LMF_RANK, "g"), 8)
+
+
+def lmf_grad_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, samples, U, V = _lmf_inputs(spark, sf_dir)
+    return _rounded(fa.item_gradients(samples, U, V, LMF_RANK), fa.fnames(LMF_RANK, "g"), 8)
+
+
+def lmf_one_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import math
+
+    _, samples, U, V = _lmf_inputs(spark, sf_dir)
+    m, n = U.count(), V.count()
+    U1, V1 = fa.lmf_step(samples, U, V, LMF_RANK, LMF_RATE, 1e-4 * math.sqrt(m), 1e-4 * math.sqrt(n))
+    both = U1.withColumn("role", F.lit("u")).unionByName(V1.withColumn("role", F.lit("v")))
+    return _rounded(both.select("role", "id", *fa.fnames(LMF_RANK)), fa.fnames(LMF_RANK), 8)
+
+
+def lmf_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = fa.train_lmf(_positives(spark, sf_dir), LMF_RANK, LMF_RATE, LMF_TRAIN_STEPS, LMF_TRAIN_RESTARTS, seed=LMF_SEED)
+    return res.users
+
+
+def improved_knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10 on trained user factors (cosine kNN, symmetrised)."""
+    res = fa.train_lmf(_positives(spark, sf_dir), LMF_RANK, LMF_RATE, LMF_TRAIN_STEPS, LMF_TRAIN_RESTARTS, seed=LMF_SEED)
+    return knn.improved_graph(fa.factors_as_arrays(res.users, LMF_RANK), KNN_K)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "usage_daily": usage_daily,
     "usage_text_parse": usage_text_parse,
@@ -273,4 +362,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "exposure_rows": exposure_rows,
     "exposure_text": exposure_text,
     "holdout_days": holdout_days,
+    "negative_samples": negative_samples,
+    "train_samples": train_samples,
+    "factor_init": factor_init,
+    "vector_ops": vector_ops,
+    "logloss_at_init": logloss_at_init,
+    "lmf_grad_user": lmf_grad_user,
+    "lmf_grad_item": lmf_grad_item,
+    "lmf_one_step": lmf_one_step,
+    "lmf_train": lmf_train,
+    "improved_knn_graph": improved_knn_graph,
 }
