@@ -160,6 +160,65 @@ V1 AS (SELECT V.id, {v1} FROM V LEFT JOIN GV G ON G.id = V.id)
 SELECT 'u' AS role, id, {rnd} FROM U1 UNION ALL SELECT 'v', id, {rnd} FROM V1"""
 
 
+_MD = 7
+
+
+def _model_ctes() -> str:
+    xs = ", ".join(f"SUM(w * FU.f{c}) AS x{c}" for c in range(_MD))
+    return f"""WITH {_EV_MODEL},
+deg AS (SELECT i, j, t, COUNT(*) AS n FROM lk GROUP BY ALL),
+terms AS (SELECT i, j, t, i AS "user", CAST(m0 AS DOUBLE) AS w FROM r
+  UNION ALL SELECT lk.i, lk.j, lk.t, lk.l, CAST(lk.ml0 AS DOUBLE) / greatest(deg.n, 1)
+  FROM lk JOIN deg ON deg.i = lk.i AND deg.j = lk.j AND deg.t = lk.t WHERE lk.ml0 <> 0),
+FU AS {_init('eu', 'SELECT DISTINCT i AS id FROM r', _MD)},
+FV AS {_init('ev', 'SELECT DISTINCT j AS id FROM r', _MD)},
+X AS (SELECT terms.i, terms.j, terms.t, {xs} FROM terms JOIN FU ON FU.id = terms."user" GROUP BY ALL),
+{_pred('P', 'X')}"""
+
+
+def _pred(name: str, xname: str) -> str:
+    vs = ", ".join(f"FV.f{c} AS v{c}" for c in range(_MD))
+    xs = ", ".join(f"{xname}.x{c}" for c in range(_MD))
+    dot = " + ".join(f"{xname}.x{c} * FV.f{c}" for c in range(_MD))
+    return f"""{name} AS (SELECT r.i, r.j, r.t, r.m1, {xs}, {vs}, ({dot}) AS p, ({dot}) - r.m1 AS e
+  FROM r JOIN {xname} ON {xname}.i = r.i AND {xname}.j = r.j AND {xname}.t = r.t JOIN FV ON FV.id = r.j)"""
+
+
+def _upd(tbl: str, stats: str, c: int, lam: str, rule: str) -> str:
+    cols = ", ".join((f"{rule} AS f{k}" if k == c else f"{tbl}.f{k}") for k in range(_MD))
+    return f"SELECT {tbl}.id, {cols} FROM {tbl} LEFT JOIN {stats} S ON S.id = {tbl}.id"
+
+
+_LU = "(0.0001 * sqrt((SELECT COUNT(*) FROM FU)))"
+_LV = "(0.0001 * sqrt((SELECT COUNT(*) FROM FV)))"
+_NEWTON_U = f"""S_U AS (SELECT terms."user" AS id, SUM((w * P.v0) * (w * P.v0)) AS A, SUM((w * P.v0) * P.e) AS B
+  FROM terms JOIN P ON P.i = terms.i AND P.j = terms.j AND P.t = terms.t GROUP BY terms."user"),
+FU1 AS ({_upd('FU', 'S_U', 0, _LU, f"CASE WHEN S.B IS NOT NULL AND S.B <> 0 AND S.A > 0 THEN FU.f0 - (S.B + {_LU} * sign(FU.f0)) / S.A ELSE FU.f0 END")})"""
+
+
+def _round_cols(tbl: str) -> str:
+    return "SELECT id, " + ", ".join(f"ROUND(f{c}, 8) AS f{c}" for c in range(_MD)) + f" FROM {tbl}"
+
+
+def _newton_item() -> str:
+    xs = ", ".join(f"SUM(w * FU1.f{c}) AS x{c}" for c in range(_MD))
+    return f"""{_model_ctes()},
+{_NEWTON_U},
+X1 AS (SELECT terms.i, terms.j, terms.t, {xs} FROM terms JOIN FU1 ON FU1.id = terms."user" GROUP BY ALL),
+{_pred('P1', 'X1')},
+S_V AS (SELECT j AS id, SUM(x0 * x0) AS A, SUM(x0 * e) AS B FROM P1 GROUP BY j),
+FV1 AS ({_upd('FV', 'S_V', 0, _LV, f"CASE WHEN S.B IS NOT NULL AND S.B <> 0 AND S.A > 0 THEN FV.f0 - (S.B + {_LV} * sign(FV.f0)) / S.A ELSE FV.f0 END")})
+{_round_cols('FV1')}"""
+
+
+def _gd_user() -> str:
+    n = "(SELECT COUNT(*) FROM r)"
+    return f"""{_model_ctes()},
+GRAD AS (SELECT terms."user" AS id, SUM(P.e * w * P.v0) AS g FROM terms JOIN P ON P.i = terms.i AND P.j = terms.j AND P.t = terms.t GROUP BY terms."user"),
+FU1 AS ({_upd('FU', 'GRAD', 0, _LU, f"CASE WHEN S.g IS NOT NULL THEN FU.f0 - 0.5 * (S.g / {n} + {_LU} * sign(FU.f0)) ELSE FU.f0 END")})
+{_round_cols('FU1')}"""
+
+
 SQL: dict[str, str] = {
     "usage_daily": _USAGE,
     "usage_text_parse": f"""SELECT CAST(o_custkey AS VARCHAR) AS "user", CAST(o_orderdate AS DATE) AS day,
@@ -249,4 +308,8 @@ SELECT ROUND(AVG({_LOSS}), 8) AS train_loss, ROUND(AVG(CASE WHEN r = 1.0 THEN {_
     "lmf_grad_user": f"WITH {_lmf_ctes()} " + _grad('"user"', "v"),
     "lmf_grad_item": f"WITH {_lmf_ctes()} " + _grad("app", "u"),
     "lmf_one_step": _one_step(),
+    "exposure_predict_rmse": f"{_model_ctes()} SELECT ROUND(sqrt(AVG(e * e)), 8) AS rmse FROM P",
+    "newton_user_step": f"{_model_ctes()}, {_NEWTON_U} {_round_cols('FU1')}",
+    "newton_item_step": _newton_item(),
+    "gd_user_step": _gd_user(),
 }

@@ -17,6 +17,7 @@ from habitnet.operators import components as cc
 from habitnet.operators import contacts as ct
 from habitnet.operators import exposure as ex
 from habitnet.operators import factors as fa
+from habitnet.operators import model as md
 from habitnet.functions import vectors as vx
 from habitnet.operators import knn
 from habitnet.operators import usage as us
@@ -44,6 +45,13 @@ LMF_RATE = 1e-4
 LMF_SEED = 42
 LMF_TRAIN_STEPS = 4               # steps/restarts of the registered training run
 LMF_TRAIN_RESTARTS = 2
+MODEL_RANK = 7                    # exposure model rank
+MODEL_SEED = 42
+MODEL_GD_RATE = 0.5
+CV_FOLDS = 2                      # registered cross-validation run
+CV_RANK = 3
+CV_EPOCHS = 3
+SWEEP_RANKS = (1, 2)
 
 
 def _usage(spark, sf_dir, line_filter=None) -> DataFrame:
@@ -331,6 +339,59 @@ def improved_knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.improved_graph(fa.factors_as_arrays(res.users, LMF_RANK), KNN_K)
 
 
+# ---- exposure model ----------------------------------------------------------------------------
+
+def _model_inputs(spark, sf_dir, d=MODEL_RANK):
+    import math
+
+    state, cal, graph = _events_model(spark, sf_dir)
+    rows, links = ex.exposure_long(state, state, graph, cal)
+    terms = md.exposure_terms(rows, links)
+    U, V = md.model_factors(rows, d, MODEL_SEED)
+    lu, lv = 1e-4 * math.sqrt(U.count()), 1e-4 * math.sqrt(V.count())
+    return rows, links, terms, U, V, lu, lv
+
+
+def exposure_predict_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, terms, U, V, _, _ = _model_inputs(spark, sf_dir)
+    return md.rmse(rows, terms, U, V, MODEL_RANK).select(F.round("rmse", 8).alias("rmse"))
+
+
+def newton_user_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, terms, U, V, lu, _ = _model_inputs(spark, sf_dir)
+    U1 = md.newton_user_step(rows, terms, U, V, MODEL_RANK, 0, lu)
+    return _rounded(U1, fa.fnames(MODEL_RANK), 8)
+
+
+def newton_item_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, terms, U, V, lu, lv = _model_inputs(spark, sf_dir)
+    U1 = md.newton_user_step(rows, terms, U, V, MODEL_RANK, 0, lu)
+    V1 = md.newton_item_step(rows, terms, U1, V, MODEL_RANK, 0, lv)
+    return _rounded(V1, fa.fnames(MODEL_RANK), 8)
+
+
+def gd_user_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, terms, U, V, lu, _ = _model_inputs(spark, sf_dir)
+    U1 = md.gd_user_step(rows, terms, U, V, MODEL_RANK, 0, MODEL_GD_RATE, lu, rows.count())
+    return _rounded(U1, fa.fnames(MODEL_RANK), 8)
+
+
+def exposure_model_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state, cal, graph = _events_model(spark, sf_dir)
+    rows, links = ex.exposure_long(state, state, graph, cal)
+    folds = ex.holdout_days(rows.select(F.col("t").alias("day")), CV_FOLDS, 0.8, MODEL_SEED)
+    scores, _ = md.cross_validate(rows, links, folds, CV_RANK, CV_EPOCHS, MODEL_SEED)
+    return scores
+
+
+def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's rank sweep on one graph: least and mean fold RMSE per rank."""
+    from habitnet.plans.sweep import rank_sweep
+
+    state, cal, graph = _events_model(spark, sf_dir)
+    return rank_sweep(state, graph, cal, SWEEP_RANKS, folds=1, max_epochs=2, seed=MODEL_SEED)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "usage_daily": usage_daily,
     "usage_text_parse": usage_text_parse,
@@ -372,4 +433,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lmf_one_step": lmf_one_step,
     "lmf_train": lmf_train,
     "improved_knn_graph": improved_knn_graph,
+    "exposure_predict_rmse": exposure_predict_rmse,
+    "newton_user_step": newton_user_step,
+    "newton_item_step": newton_item_step,
+    "gd_user_step": gd_user_step,
+    "exposure_model_cv": exposure_model_cv,
+    "sweep": sweep,
 }
