@@ -52,10 +52,11 @@ def negative_samples(pos: DataFrame, seed: int = 42) -> DataFrame:
     perm = app_permutation(pairs.select("app").distinct(), seed)
     n = perm.count()
     deg = pairs.groupBy("user").agg(F.count(F.lit(1)).alias("_p"))
+    # the offset is hashed once per user, before the window is exploded
+    deg = deg.withColumn("_off", md5_int32(F.lit("offset"), F.col("user"), F.lit(seed)))
     cand = deg.select(
-        "user", "_p",
+        "user", "_p", "_off",
         F.explode(F.sequence(F.lit(0), F.least(F.col("_p") * 2, F.lit(n)) - 1)).alias("_g"),
-        md5_int32(F.lit("offset"), F.col("user"), F.lit(seed)).alias("_off"),
     ).withColumn("pos", F.pmod(F.col("_off") + F.col("_g"), F.lit(n)))
     cand = cand.join(broadcast_if_small(perm), "pos").join(pairs, ["user", "app"], "left_anti")
     rk = F.row_number().over(Window.partitionBy("user").orderBy("_g"))

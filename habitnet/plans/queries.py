@@ -22,6 +22,7 @@ from habitnet.functions import vectors as vx
 from habitnet.operators import knn
 from habitnet.operators import usage as us
 from habitnet.operators.joins import mirror
+from habitnet.session import cut_lineage
 from habitnet.sources import tables as tb
 from habitnet.sources.codecs import exposure_to_text
 from habitnet.sources.logs import parse_web_log
@@ -296,10 +297,10 @@ def vector_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lmf_inputs(spark, sf_dir):
-    pos = _positives(spark, sf_dir)
-    samples = fa.training_samples(pos, LMF_SEED)
-    U = fa.init_factors(pos, "user", LMF_RANK, LMF_SEED, "u")
-    V = fa.init_factors(pos, "app", LMF_RANK, LMF_SEED, "v")
+    pos = cut_lineage(_positives(spark, sf_dir))
+    samples = fa.prepare_samples(fa.training_samples(pos, LMF_SEED))
+    U = cut_lineage(fa.init_factors(pos, "user", LMF_RANK, LMF_SEED, "u"))
+    V = cut_lineage(fa.init_factors(pos, "app", LMF_RANK, LMF_SEED, "v"))
     return pos, samples, U, V
 
 
@@ -346,8 +347,9 @@ def _model_inputs(spark, sf_dir, d=MODEL_RANK):
 
     state, cal, graph = _events_model(spark, sf_dir)
     rows, links = ex.exposure_long(state, state, graph, cal)
-    terms = md.exposure_terms(rows, links)
-    U, V = md.model_factors(rows, d, MODEL_SEED)
+    rows, links = cut_lineage(rows), cut_lineage(links)  # reused by every pass below
+    terms = cut_lineage(md.exposure_terms(rows, links))
+    U, V = (cut_lineage(x) for x in md.model_factors(rows, d, MODEL_SEED))
     lu, lv = 1e-4 * math.sqrt(U.count()), 1e-4 * math.sqrt(V.count())
     return rows, links, terms, U, V, lu, lv
 
