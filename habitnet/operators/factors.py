@@ -15,13 +15,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from habitnet.functions.seeded import md5_int32, md5_key, md5_uniform
 from habitnet.functions.vectors import dot_cols, log_loss, norm_cols, sigmoid
 from habitnet.operators.components import consecutive_index
-from habitnet.operators.joins import broadcast_if_small
+
+from habitnet.operators.joins import broadcast_if_small, hinted, is_small
 from habitnet.session import cut_lineage
 
 
@@ -81,10 +83,10 @@ def init_factors(ids: DataFrame, key: str, d: int, seed: int, role: str) -> Data
     return raw.select("id", *[(F.abs(F.col(c)) / n).alias(c) for c in fnames(d)])
 
 
-def _joined(samples: DataFrame, U: DataFrame, V: DataFrame, d: int) -> DataFrame:
+def _joined(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, small_u: bool | None = False, small_v: bool | None = None) -> DataFrame:
     u = U.select(F.col("id").alias("user"), *[F.col(f"f{c}").alias(f"u{c}") for c in range(d)])
     v = V.select(F.col("id").alias("app"), *[F.col(f"f{c}").alias(f"v{c}") for c in range(d)])
-    j = samples.join(u, "user").join(broadcast_if_small(v), "app")
+    j = samples.join(hinted(u, small_u), "user").join(hinted(v, small_v), "app")
     p = dot_cols([F.col(f"u{c}") for c in range(d)], [F.col(f"v{c}") for c in range(d)])
     return j.withColumn("_p", p).withColumn("_g", sigmoid(F.col("_p")) - F.col("r"))
 
@@ -98,15 +100,15 @@ def losses(samples: DataFrame, U: DataFrame, V: DataFrame, d: int) -> DataFrame:
     )
 
 
-def user_gradients(samples: DataFrame, U: DataFrame, V: DataFrame, d: int) -> DataFrame:
+def user_gradients(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, small_u=False, small_v=None) -> DataFrame:
     """Sum over a user's samples of (s(u.v) - r) v."""
-    j = _joined(samples, U, V, d)
+    j = _joined(samples, U, V, d, small_u, small_v)
     return j.groupBy(F.col("user").alias("id")).agg(*[F.sum(F.col("_g") * F.col(f"v{c}")).alias(f"g{c}") for c in range(d)])
 
 
-def item_gradients(samples: DataFrame, U: DataFrame, V: DataFrame, d: int) -> DataFrame:
+def item_gradients(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, small_u=False, small_v=None) -> DataFrame:
     """Sum over an app's samples of (s(u.v) - r) u."""
-    j = _joined(samples, U, V, d)
+    j = _joined(samples, U, V, d, small_u, small_v)
     return j.groupBy(F.col("app").alias("id")).agg(*[F.sum(F.col("_g") * F.col(f"u{c}")).alias(f"g{c}") for c in range(d)])
 
 
@@ -136,9 +138,19 @@ class LmfResult:
 
 
 def prepare_samples(samples: DataFrame) -> DataFrame:
-    """Hash-partition the samples by user and checkpoint them once."""
+    """Write the samples to the checkpoint folder once, then keep them
+    hash-partitioned by user in the cache.
+
+    The cached partitioning is what lets every step join the factors on
+    ``user`` and sum by ``user`` without moving the samples (a reliable
+    checkpoint alone forgets the partitioning). Lost cache blocks are rebuilt
+    from the checkpoint with one shuffle.
+    """
     n = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(samples.select("user", "app", "r").repartition(n, "user"))
+    base = cut_lineage(samples.select("user", "app", "r"))
+    out = base.repartition(n, "user").persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
 
 
 def train_lmf(pos: DataFrame, d: int = 5, rate: float = 1e-4, max_steps: int = 800, restarts: int = 6,
@@ -156,16 +168,20 @@ def train_lmf(pos: DataFrame, d: int = 5, rate: float = 1e-4, max_steps: int = 8
     V0 = cut_lineage(init_factors(p, "app", d, seed, "v"))
     m, n = U0.count(), V0.count()
     lu, lv = lam * math.sqrt(m), lam * math.sqrt(n)
+    small_u, small_v = is_small(U0), is_small(V0)  # same ids every step: check once
     history: list[dict] = []
     best = (None, None, math.inf, -1)
+    samples = None
     positives = prepare_samples(p.withColumn("r", F.lit(1.0)))
     for rs in range(restarts):
+        if rs:
+            samples.unpersist()
         samples = prepare_samples(training_samples(p, seed + rs))
         U, V, eta = U0, V0, rate
         snap, snap_loss = (U, V), math.inf
         for step in range(max_steps):
             obs = Observation(f"lmf_{rs}_{step}")
-            j = _joined(samples, U, V, d).withColumn("_l", log_loss(F.col("r"), F.col("_p")))
+            j = _joined(samples, U, V, d, small_u, small_v).withColumn("_l", log_loss(F.col("r"), F.col("_p")))
             j = j.observe(obs, F.avg("_l").alias("train"), F.avg(F.when(F.col("r") == 1.0, F.col("_l"))).alias("observed"))
             gu = j.groupBy(F.col("user").alias("id")).agg(*[F.sum(F.col("_g") * F.col(f"v{c}")).alias(f"g{c}") for c in range(d)])
             U1 = cut_lineage(apply_gradient(U, gu, d, eta, lu))
@@ -176,13 +192,16 @@ def train_lmf(pos: DataFrame, d: int = 5, rate: float = 1e-4, max_steps: int = 8
                 snap, snap_loss = (U, V), loss
             elif loss > stop_ratio * snap_loss:
                 break
-            V1 = cut_lineage(apply_gradient(V, item_gradients(samples, U1, V, d), d, eta, lv))
+            V1 = cut_lineage(apply_gradient(V, item_gradients(samples, U1, V, d, small_u, small_v), d, eta, lv))
             U, V = U1, V1
             eta /= 1.0001
         final = losses(positives, snap[0], snap[1], d).first()["observed_loss"]
         history.append({"restart": rs, "step": -1, "train_loss": None, "observed_loss": float(final)})
         if final < best[2]:
             best = (snap[0], snap[1], float(final), rs)
+    for cached in (samples, positives):
+        if cached is not None:
+            cached.unpersist()
     return LmfResult(best[0], best[1], history, best[3], best[2])
 
 

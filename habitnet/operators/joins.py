@@ -21,6 +21,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= max_rows else df
 
 
+def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
+    """The size check behind every broadcast: at most ``max_rows`` rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def hinted(df: DataFrame, small: bool | None) -> DataFrame:
+    """Broadcast hint from a check already made (None: check now)."""
+    if small is None:
+        return broadcast_if_small(df)
+    return F.broadcast(df) if small else df
+
+
 def semi_join(df: DataFrame, keys: DataFrame, left_on: str, right_on: str | None = None, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """``df`` rows whose ``left_on`` appears in ``keys`` (left semi join)."""
     right_on = right_on or left_on

@@ -26,11 +26,14 @@ import hashlib
 import math
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
 from habitnet.functions.vectors import sign
 from habitnet.operators.factors import fnames, init_factors
+from habitnet.operators.joins import hinted, is_small
 from habitnet.session import cut_lineage
 
 ROW = ["i", "j", "t"]
@@ -48,16 +51,30 @@ def exposure_terms(rows: DataFrame, links: DataFrame) -> DataFrame:
     return own.unionByName(nb).where(F.col("w") != 0)
 
 
-def row_vectors(terms: DataFrame, U: DataFrame, d: int) -> DataFrame:
+def prepare(df: DataFrame) -> DataFrame:
+    """Checkpoint once, then cache hash-partitioned by the row key (i, j, t).
+
+    Rows, terms and the per-row aggregates of every pass then meet on the row
+    key without moving; with broadcast factor tables an epoch shuffles only
+    partial per-user / per-app sums.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = cut_lineage(df).repartition(n, *ROW).persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
+
+
+def row_vectors(terms: DataFrame, U: DataFrame, d: int, small_u: bool | None = None) -> DataFrame:
     """x_r per row: sum over terms of w * u_user."""
-    u = U.select(F.col("id").alias("user"), *fnames(d))
+    u = hinted(U.select(F.col("id").alias("user"), *fnames(d)), small_u)
     return terms.join(u, "user").groupBy(*ROW).agg(*[F.sum(F.col("w") * F.col(f"f{c}")).alias(f"x{c}") for c in range(d)])
 
 
-def predictions(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int) -> DataFrame:
+def predictions(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int,
+                small_u: bool | None = None, small_v: bool | None = None) -> DataFrame:
     """(i, j, t, m1, x0.., p, e) for every row (rows without terms predict 0)."""
-    x = row_vectors(terms, U, d)
-    v = V.select(F.col("id").alias("j"), *[F.col(f"f{c}").alias(f"v{c}") for c in range(d)])
+    x = row_vectors(terms, U, d, small_u)
+    v = hinted(V.select(F.col("id").alias("j"), *[F.col(f"f{c}").alias(f"v{c}") for c in range(d)]), small_v)
     out = rows.select(*ROW, "m1").join(x, ROW, "left").join(v, "j", "left")
     xs = [F.coalesce(F.col(f"x{c}"), F.lit(0.0)) for c in range(d)]
     p = xs[0] * F.col("v0")
@@ -68,9 +85,9 @@ def predictions(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d
     )
 
 
-def rmse(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int) -> DataFrame:
+def rmse(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, small_u=None, small_v=None) -> DataFrame:
     """One row with the root mean squared error."""
-    return predictions(rows, terms, U, V, d).agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"))
+    return predictions(rows, terms, U, V, d, small_u, small_v).agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"))
 
 
 def _newton_update(F0: DataFrame, stats: DataFrame, c: int, lam: float) -> DataFrame:
@@ -84,9 +101,10 @@ def _newton_update(F0: DataFrame, stats: DataFrame, c: int, lam: float) -> DataF
     return j.select("id", *cols)
 
 
-def newton_user_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, lam: float) -> DataFrame:
+def newton_user_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, lam: float,
+                     small_u: bool | None = None, small_v: bool | None = None) -> DataFrame:
     """One Newton coordinate step on every user at coordinate ``c``."""
-    pr = predictions(rows, terms, U, V, d).select(*ROW, "e", F.col(f"v{c}").alias("_vc"))
+    pr = predictions(rows, terms, U, V, d, small_u, small_v).select(*ROW, "e", F.col(f"v{c}").alias("_vc"))
     a = F.col("w") * F.col("_vc")
     stats = terms.join(pr, ROW).groupBy(F.col("user").alias("id")).agg(
         F.sum(a * a).alias("_A"), F.sum(a * F.col("e")).alias("_B")
@@ -94,9 +112,10 @@ def newton_user_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFra
     return _newton_update(U, stats, c, lam)
 
 
-def newton_item_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, lam: float) -> DataFrame:
+def newton_item_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, lam: float,
+                     small_u: bool | None = None, small_v: bool | None = None) -> DataFrame:
     """One Newton coordinate step on every app at coordinate ``c``."""
-    pr = predictions(rows, terms, U, V, d)
+    pr = predictions(rows, terms, U, V, d, small_u, small_v)
     a = F.col(f"x{c}")
     stats = pr.groupBy(F.col("j").alias("id")).agg(F.sum(a * a).alias("_A"), F.sum(a * F.col("e")).alias("_B"))
     return _newton_update(V, stats, c, lam)
@@ -110,16 +129,18 @@ def _gd_update(F0: DataFrame, grad: DataFrame, c: int, rate: float, lam: float,
     return j.select("id", *[upd.alias(n) if n == f"f{c}" else F.col(n) for n in fnames(d)])
 
 
-def gd_user_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, rate: float, lam: float, n_rows: int) -> DataFrame:
+def gd_user_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, rate: float, lam: float, n_rows: int,
+                 small_u: bool | None = None, small_v: bool | None = None) -> DataFrame:
     """First-order step on users: g = sum e_r * w * v_j[c] / n_rows."""
-    pr = predictions(rows, terms, U, V, d).select(*ROW, "e", F.col(f"v{c}").alias("_vc"))
+    pr = predictions(rows, terms, U, V, d, small_u, small_v).select(*ROW, "e", F.col(f"v{c}").alias("_vc"))
     g = terms.join(pr, ROW).groupBy(F.col("user").alias("id")).agg(F.sum(F.col("e") * F.col("w") * F.col("_vc")).alias("_g"))
     return _gd_update(U, g, c, rate, lam, n_rows)
 
 
-def gd_item_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, rate: float, lam: float, n_rows: int) -> DataFrame:
+def gd_item_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, rate: float, lam: float, n_rows: int,
+                 small_u: bool | None = None, small_v: bool | None = None) -> DataFrame:
     """First-order step on apps: g = sum e_r * x_r[c] / n_rows."""
-    pr = predictions(rows, terms, U, V, d)
+    pr = predictions(rows, terms, U, V, d, small_u, small_v)
     g = pr.groupBy(F.col("j").alias("id")).agg(F.sum(F.col("e") * F.col(f"x{c}")).alias("_g"))
     return _gd_update(V, g, c, rate, lam, n_rows)
 
@@ -154,10 +175,11 @@ def train_fold(train_rows: DataFrame, train_terms: DataFrame, valid_rows: DataFr
     RMSE and stop once it reaches ``stop_ratio`` times the best."""
     res = FoldResult(fold, math.inf)
     U, V, last = U0, V0, -1
+    small_u, small_v = is_small(U0), is_small(V0)  # same ids every epoch: check once
     n_train = train_rows.count() if solver == "gd" else 0
     for epoch in range(max_epochs):
-        tr = rmse(train_rows, train_terms, U, V, d).withColumn("part", F.lit("train"))
-        va = rmse(valid_rows, valid_terms, U, V, d).withColumn("part", F.lit("valid"))
+        tr = rmse(train_rows, train_terms, U, V, d, small_u, small_v).withColumn("part", F.lit("train"))
+        va = rmse(valid_rows, valid_terms, U, V, d, small_u, small_v).withColumn("part", F.lit("valid"))
         got = {r["part"]: r["rmse"] for r in tr.unionByName(va).collect()}  # two rows
         res.epochs.append({"fold": fold, "epoch": epoch, "train_rmse": got.get("train"), "valid_rmse": got.get("valid")})
         v = got.get("valid")
@@ -169,11 +191,11 @@ def train_fold(train_rows: DataFrame, train_terms: DataFrame, valid_rows: DataFr
         c = next_coordinate(d, last, seed, fold, epoch)
         last = c
         if solver == "gd":
-            U = cut_lineage(gd_user_step(train_rows, train_terms, U, V, d, c, rate, lu, n_train))
-            V = cut_lineage(gd_item_step(train_rows, train_terms, U, V, d, c, rate, lv, n_train))
+            U = cut_lineage(gd_user_step(train_rows, train_terms, U, V, d, c, rate, lu, n_train, small_u, small_v))
+            V = cut_lineage(gd_item_step(train_rows, train_terms, U, V, d, c, rate, lv, n_train, small_u, small_v))
         else:
-            U = cut_lineage(newton_user_step(train_rows, train_terms, U, V, d, c, lu))
-            V = cut_lineage(newton_item_step(train_rows, train_terms, U, V, d, c, lv))
+            U = cut_lineage(newton_user_step(train_rows, train_terms, U, V, d, c, lu, small_u, small_v))
+            V = cut_lineage(newton_item_step(train_rows, train_terms, U, V, d, c, lv, small_u, small_v))
     return res
 
 
@@ -183,8 +205,8 @@ def cross_validate(rows: DataFrame, links: DataFrame, folds_days: DataFrame, d:
     from ``holdout_days``. Returns a frame (fold, best_rmse) and the epoch log;
     the reported score is the least fold RMSE (the mean is given too)."""
     spark = rows.sparkSession
-    rows = cut_lineage(rows.select(*ROW, "m0", "m1"))
-    terms = cut_lineage(exposure_terms(rows, links))
+    rows = prepare(rows.select(*ROW, "m0", "m1"))
+    terms = prepare(exposure_terms(rows, links))
     U0, V0 = model_factors(rows, d, seed)
     U0, V0 = cut_lineage(U0), cut_lineage(V0)
     lu, lv = lam * math.sqrt(U0.count()), lam * math.sqrt(V0.count())
@@ -199,4 +221,6 @@ def cross_validate(rows: DataFrame, links: DataFrame, folds_days: DataFrame, d:
         r = train_fold(tr_rows, tr_terms, va_rows, va_terms, U0, V0, d, lu, lv, max_epochs, solver=solver, rate=rate, seed=seed, fold=fold)
         out.append((fold, r.best_rmse))
         log.extend(r.epochs)
+    rows.unpersist()
+    terms.unpersist()
     return spark.createDataFrame(out, "fold int, best_rmse double"), log
