@@ -128,3 +128,11 @@ def consecutive_index(df: DataFrame, col: str, idx: str = "idx", order=None, num
     return s.join(F.broadcast(offsets), "_pid").select(
         col, (F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)).alias(idx)
     )
+
+
+def recode_edges(edges: DataFrame, index: DataFrame, key: str = "node", idx: str = "idx") -> DataFrame:
+    """Replace both endpoint ids by their integer index; edges with an
+    endpoint missing from the index are dropped (inner joins)."""
+    i = index.select(F.col(key).alias("_k"), F.col(idx).alias("_i"))
+    s = edges.join(i, edges.src == i["_k"]).select(F.col("_i").alias("src"), "dst")
+    return s.join(i, s.dst == i["_k"]).select("src", F.col("_i").alias("dst"))

@@ -263,6 +263,11 @@ e AS (SELECT DISTINCT src AS a, dst AS b FROM {_RECORDS} WHERE l_quantity >= 50
 m AS (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e)
 SELECT src, dst FROM m WHERE src IN (SELECT node FROM l) AND dst IN (SELECT node FROM l)""",
     "node_index": f"""SELECT node, ROW_NUMBER() OVER (ORDER BY node) - 1 AS idx FROM ({_LARGEST})""",
+    "recoded_subgraph": f"""WITH l AS ({_LARGEST}),
+ix AS (SELECT node, ROW_NUMBER() OVER (ORDER BY node) - 1 AS idx FROM l),
+e AS (SELECT DISTINCT src AS a, dst AS b FROM {_RECORDS} WHERE l_quantity >= 50 AND l_returnflag = 'R'),
+m AS (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e)
+SELECT s.idx AS src, d.idx AS dst FROM m JOIN ix s ON s.node = m.src JOIN ix d ON d.node = m.dst""",
     "direct_knn_topk": _jaccard_topk("", 10, True),
     "direct_knn_graph": _sym(_jaccard_topk("", 10, True)),
     "direct_knn_filled": _jaccard_topk("l_quantity >= 48", 5, True),

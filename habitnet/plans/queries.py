@@ -177,6 +177,14 @@ def node_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cc.consecutive_index(largest_component(spark, sf_dir), "node")
 
 
+def recoded_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest component's edges with node ids recoded to the node index."""
+    comps = cut_lineage(components(spark, sf_dir))
+    largest = cc.largest_component(comps)
+    edges = cc.induced_subgraph(mirror(_component_edges(spark, sf_dir)).distinct(), largest)
+    return cc.recode_edges(edges, cc.consecutive_index(largest, "node"))
+
+
 # ---- kNN graphs ------------------------------------------------------------------------------
 
 def _scored(topk: DataFrame, digits: int = 9) -> DataFrame:
@@ -413,6 +421,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "largest_component": largest_component,
     "induced_subgraph": induced_subgraph,
     "node_index": node_index,
+    "recoded_subgraph": recoded_subgraph,
     "direct_knn_topk": direct_knn_topk,
     "direct_knn_graph": direct_knn_graph,
     "direct_knn_filled": direct_knn_filled,
