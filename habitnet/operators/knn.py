@@ -57,7 +57,9 @@ def _replicate(df: DataFrame, key: str, nblocks: int) -> DataFrame:
 def _topk_rows(scores: np.ndarray, valid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row-wise top-k of ``scores`` among ``valid`` entries; ties to the lower column.
 
-    Columns are in ascending id order, so a stable sort on -score breaks ties by id.
+    Columns are in ascending id order, so a stable sort on -score breaks ties
+    by id. (A stable sort beats partition + tie repair here: Jaccard rows are
+    mostly ties, which the sort handles in near-linear time.)
     """
     s = np.where(valid, scores, -np.inf)
     kk = min(k, s.shape[1])
