@@ -63,3 +63,9 @@ def test_induced_subgraph_and_index(spark):
     got = sorted((r.idx, r.node) for r in idx.collect())
     assert [i for i, _ in got] == list(range(200))
     assert [n for _, n in got] == sorted(set(vals))
+
+
+def test_recode_edges_drops_unknown(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "z")], "src string, dst string")
+    idx = spark.createDataFrame([("a", 0), ("b", 1)], "node string, idx bigint")
+    assert [(r.src, r.dst) for r in cc.recode_edges(edges, idx).collect()] == [(0, 1)]

@@ -64,3 +64,12 @@ def test_user_app_sets_sorted(spark):
     u = spark.createDataFrame([("u", "b"), ("u", "a"), ("u", "b")], "user string, app string")
     r = us.user_app_sets(u).first()
     assert r.apps == ["a", "b"] and r.n_apps == 2
+
+
+def test_counted_and_approx_stats(spark):
+    u = spark.createDataFrame([("u", dt.date(2017, 1, 1), "A", 1), ("v", dt.date(2017, 1, 1), "B", 1)], "user string, day date, app string, cnt bigint")
+    df, obs = us.counted(u.where("cnt > 0"), "rows_after_filter")
+    df.write.format("noop").mode("overwrite").save()
+    assert obs.get["rows"] == 2
+    s = us.usage_stats(u, approx=True).first()
+    assert (s.n_users, s.n_apps) == (2, 2)
