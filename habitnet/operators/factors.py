@@ -2,10 +2,11 @@
 
 Factor tables are ``(id, f0..f{d-1})`` frames. One step is two passes over the
 sample table: user gradients at (U, V), then item gradients at (U', V), as
-in the source model. The sample table is hash-partitioned by user and written
-to the checkpoint folder once, so the user join and the user ``groupBy`` of
-every step reuse that partitioning instead of reshuffling the samples; the
-item table is broadcast when its size check passes. Losses are collected with
+in the source model. The sample table is written to the checkpoint folder
+once and cached spread by its unique (user, app) key; factor tables are
+broadcast when their size check passes (checked once per run), so a step
+shuffles only partial per-user / per-app sums. Above the bound the factor
+join shuffles and AQE splits a hot user's partition. Losses are collected with
 ``DataFrame.observe`` on the same pass that builds the user gradients, so a
 step costs two jobs and returns two scalars to the driver.
 """
@@ -100,13 +101,13 @@ def losses(samples: DataFrame, U: DataFrame, V: DataFrame, d: int) -> DataFrame:
     )
 
 
-def user_gradients(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, small_u=False, small_v=None) -> DataFrame:
+def user_gradients(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, small_u=None, small_v=None) -> DataFrame:
     """Sum over a user's samples of (s(u.v) - r) v."""
     j = _joined(samples, U, V, d, small_u, small_v)
     return j.groupBy(F.col("user").alias("id")).agg(*[F.sum(F.col("_g") * F.col(f"v{c}")).alias(f"g{c}") for c in range(d)])
 
 
-def item_gradients(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, small_u=False, small_v=None) -> DataFrame:
+def item_gradients(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, small_u=None, small_v=None) -> DataFrame:
     """Sum over an app's samples of (s(u.v) - r) u."""
     j = _joined(samples, U, V, d, small_u, small_v)
     return j.groupBy(F.col("app").alias("id")).agg(*[F.sum(F.col("_g") * F.col(f"u{c}")).alias(f"g{c}") for c in range(d)])
@@ -138,17 +139,18 @@ class LmfResult:
 
 
 def prepare_samples(samples: DataFrame) -> DataFrame:
-    """Write the samples to the checkpoint folder once, then keep them
-    hash-partitioned by user in the cache.
-
-    The cached partitioning is what lets every step join the factors on
-    ``user`` and sum by ``user`` without moving the samples (a reliable
-    checkpoint alone forgets the partitioning). Lost cache blocks are rebuilt
-    from the checkpoint with one shuffle.
+    """Write the samples to the checkpoint folder once, then cache them spread
+    by their unique (user, app) key.
+
+    Spreading by the pair, not by user, keeps a user who holds a third of all
+    samples from landing in one task: per-user gradient sums are combined
+    map-side in every partition and only partial sums are shuffled. With the
+    (size-checked) factor tables broadcast, a step moves no sample at all.
+    Lost cache blocks are rebuilt from the checkpoint with one shuffle.
     """
     n = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = cut_lineage(samples.select("user", "app", "r"))
-    out = base.repartition(n, "user").persist(StorageLevel.MEMORY_AND_DISK)
+    out = base.repartition(n, "user", "app").persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
     return out
 

@@ -51,15 +51,16 @@ def exposure_terms(rows: DataFrame, links: DataFrame) -> DataFrame:
     return own.unionByName(nb).where(F.col("w") != 0)
 
 
-def prepare(df: DataFrame) -> DataFrame:
-    """Checkpoint once, then cache hash-partitioned by the row key (i, j, t).
+def prepare(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Checkpoint once, then cache hash-partitioned by a unique key.
 
-    Rows, terms and the per-row aggregates of every pass then meet on the row
-    key without moving; with broadcast factor tables an epoch shuffles only
-    partial per-user / per-app sums.
+    Rows are keyed by (i, j, t); terms by (i, j, t, user), so the many terms
+    of a hub's rows spread over all tasks and the per-row sums are combined
+    map-side before their shuffle. Row-level results then meet the cached
+    rows on (i, j, t) without moving them.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = cut_lineage(df).repartition(n, *ROW).persist(StorageLevel.MEMORY_AND_DISK)
+    out = cut_lineage(df).repartition(n, *(keys or ROW)).persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
     return out
 
@@ -206,7 +207,7 @@ def cross_validate(rows: DataFrame, links: DataFrame, folds_days: DataFrame, d:
     the reported score is the least fold RMSE (the mean is given too)."""
     spark = rows.sparkSession
     rows = prepare(rows.select(*ROW, "m0", "m1"))
-    terms = prepare(exposure_terms(rows, links))
+    terms = prepare(exposure_terms(rows, links), ROW + ["user"])
     U0, V0 = model_factors(rows, d, seed)
     U0, V0 = cut_lineage(U0), cut_lineage(V0)
     lu, lv = lam * math.sqrt(U0.count()), lam * math.sqrt(V0.count())

@@ -356,7 +356,7 @@ def _model_inputs(spark, sf_dir, d=MODEL_RANK):
     state, cal, graph = _events_model(spark, sf_dir)
     rows, links = ex.exposure_long(state, state, graph, cal)
     rows, links = md.prepare(rows), cut_lineage(links)  # reused by every pass below
-    terms = md.prepare(md.exposure_terms(rows, links))
+    terms = md.prepare(md.exposure_terms(rows, links), md.ROW + ["user"])
     U, V = (cut_lineage(x) for x in md.model_factors(rows, d, MODEL_SEED))
     lu, lv = 1e-4 * math.sqrt(U.count()), 1e-4 * math.sqrt(V.count())
     return rows, links, terms, U, V, lu, lv
