@@ -114,6 +114,8 @@ def _jaccard_group(k: int, fill: bool):
         gi, gj = int(pdf["_gi"].iat[0]), int(pdf["_gj"].iat[0])
         a = pdf[pdf["_b"] == gi]
         b = a if gi == gj else pdf[pdf["_b"] == gj]
+        if len(a) == 0 or len(b) == 0:  # a hash block may be empty
+            return pd.DataFrame({"src": pdf["user"].iloc[:0], "dst": pdf["user"].iloc[:0], "score": pd.Series([], dtype="float64")})
         ua, ia = np.unique(a["user"].to_numpy(), return_inverse=True)
         ub, ib = np.unique(b["user"].to_numpy(), return_inverse=True)
         apps, codes = np.unique(np.concatenate([a["app"].to_numpy(), b["app"].to_numpy()]), return_inverse=True)
@@ -136,6 +138,8 @@ def _cosine_group(k: int, fill: bool):
         gi, gj = int(pdf["_gi"].iat[0]), int(pdf["_gj"].iat[0])
         a = pdf[pdf["_b"] == gi].sort_values("id", kind="stable")
         b = a if gi == gj else pdf[pdf["_b"] == gj].sort_values("id", kind="stable")
+        if len(a) == 0 or len(b) == 0:  # a hash block may be empty
+            return pd.DataFrame({"src": pdf["id"].iloc[:0], "dst": pdf["id"].iloc[:0], "score": pd.Series([], dtype="float64")})
         xa = np.vstack(a["vec"].to_numpy()).astype("float64")
         xb = np.vstack(b["vec"].to_numpy()).astype("float64")
         na, nb = np.linalg.norm(xa, axis=1), np.linalg.norm(xb, axis=1)

@@ -84,3 +84,11 @@ def test_cosine_matches_numpy(spark):
         order = sorted((-s[i, j], j) for j in range(37) if j != i)[:4]
         want |= {(i, j) for _, j in order}
     assert got == want
+
+
+def test_few_items_many_blocks(spark):
+    # fewer items than blocks: some hash blocks are empty
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "id bigint, vec array<double>")
+    assert knn.cosine_topk(df, 2, block_size=1).count() == 6
+    u = spark.createDataFrame([(i, i % 2) for i in range(3)], "user bigint, app bigint")
+    assert knn.jaccard_topk(u, 2, block_size=1).count() == 6
