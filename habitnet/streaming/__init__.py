@@ -1,0 +1,8 @@
+"""Streaming operators.
+
+Intentionally empty: the source pipeline is a chain of batch jobs with no
+streaming part (no watermarks, windows over event time or state stores), so
+nothing here is needed to run any of its computations. The batch operators
+are plain DataFrame functions, so a caller can apply the per-row ones (log
+parsing, app matching, day derivation) inside ``foreachBatch`` unchanged.
+"""
