@@ -66,6 +66,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Self edges only add their node. One scalar (the convergence test) comes
     back to the driver per round.
     """
+    edges = cut_lineage(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")))  # input plan runs once
+    src, dst = "src", "dst"
     nodes = edges.select(F.col(src).alias("node")).unionByName(edges.select(F.col(dst).alias("node"))).where(F.col("node").isNotNull()).distinct()
     e = cut_lineage(_canonical(edges, src, dst))
     for _ in range(max_rounds):

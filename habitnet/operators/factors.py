@@ -51,7 +51,7 @@ def negative_samples(pos: DataFrame, seed: int = 42) -> DataFrame:
     always holds the answer: the candidate table is at most twice the
     positive table.
     """
-    pairs = pos.select("user", "app").distinct()
+    pairs = cut_lineage(pos.select("user", "app").distinct())  # read three times below
     perm = app_permutation(pairs.select("app").distinct(), seed)
     n = perm.count()
     deg = pairs.groupBy("user").agg(F.count(F.lit(1)).alias("_p"))

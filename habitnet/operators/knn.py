@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from habitnet.session import cut_lineage
+
 DEFAULT_BLOCK_SIZE = 2048
 MIN_BLOCKS = 4
 _PAIR_BUDGET = 1 << 23  # overlap pairs expanded at once inside a group
@@ -162,7 +164,9 @@ def _merge_topk(cands: DataFrame, k: int) -> DataFrame:
 
 def jaccard_topk(usage: DataFrame, k: int, fill: bool = True, user: str = "user", app: str = "app", block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """M9 scores: (src, dst, score, rank) -- each user's ``k`` most Jaccard-similar users."""
-    pairs = usage.select(F.col(user).alias("user"), F.col(app).alias("app")).distinct()
+    # written once: the estimate below and the replication both read it, and
+    # the input plan (often a large join) then runs a single time
+    pairs = cut_lineage(usage.select(F.col(user).alias("user"), F.col(app).alias("app")).distinct())
     utype = pairs.schema["user"].dataType.simpleString()
     # the block count only needs the order of magnitude: one HyperLogLog pass
     n = int(pairs.agg(F.approx_count_distinct("user")).first()[0])

@@ -236,7 +236,8 @@ def calendar_next_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events_model(spark, sf_dir):
-    state = ex.model_usage(tb.events_state(spark, sf_dir), None, MODEL_MIN_USERS)
+    # the state feeds the split, both lookups and the calendar: write it once
+    state = cut_lineage(ex.model_usage(tb.events_state(spark, sf_dir), None, MODEL_MIN_USERS))
     cal = ex.calendar(state.select("day"))
     return state, cal, tb.ring_graph(spark, sf_dir)
 
