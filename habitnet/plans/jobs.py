@@ -93,3 +93,32 @@ def model_job(spark: SparkSession, base: str, usage: DataFrame, graphs: dict[str
                              F.min("best_rmse").alias("min_rmse"), F.avg("best_rmse").alias("mean_rmse"))
             results = row if results is None else results.unionByName(row)
     return results
+
+
+def sweep_job(spark: SparkSession, base: str, usage: DataFrame, voice_paths: Iterable[str], sms_paths: Iterable[str],
+              valid_users_path: str, secs: Iterable[int] = (15, 20, 25, 30), ks: Iterable[int] = range(1, 16),
+              ranks: Iterable[int] = range(1, 16), model_rank: int = 7, combined_k: int = 10, folds: int = 10,
+              max_epochs: int = 21, min_users: int = 10, lmf_steps: int = 800, lmf_restarts: int = 6,
+              seed: int = 42) -> DataFrame:
+    """The whole parameter sweep as one result frame
+    (sec, graph, rank, min_rmse, mean_rmse).
+
+    For every duration bound: the direct and improved k-NN graphs for each k
+    at ``model_rank``, then the combined graph (contacts united with the
+    improved ``combined_k``-NN graph, M26) at every rank in ``ranks``.
+    Built graphs are stored once under ``base`` and reused by later calls.
+    """
+    ks = list(ks)
+    out = None
+    for sec in secs:
+        g = graph_job(spark, base, usage, voice_paths, sms_paths, valid_users_path, sec, sorted(set(ks) | {combined_k}),
+                      min_users, 5, lmf_steps, lmf_restarts, seed)
+        users = g["largest"].select(F.col("node").alias("user"))
+        mbase = _p(base, f"s{sec}")
+        knn_graphs = {f"{kind}_{k}": g[f"{kind}_{k}"] for k in ks for kind in ("direct", "improved")}
+        a = model_job(spark, mbase, usage, knn_graphs, users, [model_rank], folds, max_epochs, min_users, seed=seed)
+        combined = ct.union_graphs(g["subgraph"], g[f"improved_{combined_k}"])
+        b = model_job(spark, mbase, usage, {"combined": combined}, users, ranks, folds, max_epochs, min_users, seed=seed)
+        res = a.unionByName(b).withColumn("sec", F.lit(sec))
+        out = res if out is None else out.unionByName(res)
+    return out.select("sec", "graph", "rank", "min_rmse", "mean_rmse")

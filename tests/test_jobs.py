@@ -47,3 +47,20 @@ def test_three_jobs(spark, tmp_path):
                          g["largest"].select(F.col("node").alias("user")), ranks=[2], folds=2, max_epochs=2, min_users=2)
     out = {r.graph: r.min_rmse for r in res.collect()}
     assert set(out) == {"contacts", "direct_2"} and all(v == v for v in out.values())
+
+
+def test_sweep_job_shape(spark, tmp_path):
+    users = [f"u{i}" for i in range(5)]
+    lines = [_web(u, d, f"h{a}.com") for d in range(6) for i, u in enumerate(users) for a in range(3) if (i + a + d) % 2]
+    (tmp_path / "web.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "dict.csv").write_text("h0.com,A\nh1.com,B\nh2.com,C\n")
+    (tmp_path / "voice.txt").write_text("\n".join(f"1|{users[i]}|-|-|-|{users[i + 1]}|-|-|30000" for i in range(4)) + "\n")
+    (tmp_path / "sms.txt").write_text("1|u0|-|-|-|u4|-|0\n")
+    (tmp_path / "valid.txt").write_text("\n".join(users) + "\n")
+    base = str(tmp_path / "out")
+    usage = jobs.usage_job(spark, base, [str(tmp_path / "web.txt")], str(tmp_path / "dict.csv"))
+    res = jobs.sweep_job(spark, base, usage, [str(tmp_path / "voice.txt")], [str(tmp_path / "sms.txt")], str(tmp_path / "valid.txt"),
+                         secs=[15], ks=[1], ranks=[1, 2], model_rank=2, combined_k=1, folds=1, max_epochs=2, min_users=2,
+                         lmf_steps=1, lmf_restarts=1)
+    got = {(r.sec, r.graph, r.rank) for r in res.collect()}
+    assert got == {(15, "direct_1", 2), (15, "improved_1", 2), (15, "combined", 1), (15, "combined", 2)}
