@@ -5,8 +5,9 @@ an app:
 
 1. users are hashed into ``B`` blocks of about ``block_size`` users
    (``B`` from one approximate distinct count);
-2. each row is sent to the ``B`` block pairs ``(min(b, x), max(b, x))`` its
-   block takes part in -- one ``explode``, linear in rows times ``B``;
+2. each user's row (for Jaccard: its app list, packed once) is sent to the
+   ``B`` block pairs ``(min(b, x), max(b, x))`` its block takes part in --
+   one ``explode``, linear in users times ``B``;
 3. each block pair is one ``applyInPandas`` group: numpy scores the two
    blocks against each other (overlap counts for Jaccard, a matmul for cosine)
    and emits only each user's top ``k`` inside that pair;
@@ -111,6 +112,15 @@ def _emit(src_ids, dst_ids, scores, valid, k) -> pd.DataFrame:
     return pd.DataFrame({"src": src_ids[r], "dst": dst_ids[c], "score": scores[r, c].astype("float64")})
 
 
+def _unpack(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted user ids, row index per app entry, app per app entry) of a packed block."""
+    block = block.sort_values("user", kind="stable")
+    lists = block["apps"].to_list()
+    lengths = np.fromiter((len(x) for x in lists), dtype=np.int64, count=len(lists))
+    apps = np.concatenate([np.asarray(x) for x in lists]) if lists else np.empty(0)
+    return block["user"].to_numpy(), np.repeat(np.arange(len(lists)), lengths), apps
+
+
 def _jaccard_group(k: int, fill: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         gi, gj = int(pdf["_gi"].iat[0]), int(pdf["_gj"].iat[0])
@@ -118,10 +128,10 @@ def _jaccard_group(k: int, fill: bool):
         b = a if gi == gj else pdf[pdf["_b"] == gj]
         if len(a) == 0 or len(b) == 0:  # a hash block may be empty
             return pd.DataFrame({"src": pdf["user"].iloc[:0], "dst": pdf["user"].iloc[:0], "score": pd.Series([], dtype="float64")})
-        ua, ia = np.unique(a["user"].to_numpy(), return_inverse=True)
-        ub, ib = np.unique(b["user"].to_numpy(), return_inverse=True)
-        apps, codes = np.unique(np.concatenate([a["app"].to_numpy(), b["app"].to_numpy()]), return_inverse=True)
-        ca, cb = codes[: len(a)], codes[len(a):]
+        ua, ia, apps_a = _unpack(a)
+        ub, ib, apps_b = (ua, ia, apps_a) if gi == gj else _unpack(b)
+        apps, codes = np.unique(np.concatenate([apps_a, apps_b]), return_inverse=True)
+        ca, cb = codes[: len(apps_a)], codes[len(apps_a):]
         deg_a = np.bincount(ia, minlength=len(ua))
         deg_b = np.bincount(ib, minlength=len(ub))
         ov = _overlap(ia, ca, ib, cb, len(ua), len(ub), len(apps))
@@ -173,7 +183,10 @@ def jaccard_topk(usage: DataFrame, k: int, fill: bool = True, user: str = "user"
     if n < 2:
         return pairs.sparkSession.createDataFrame([], f"src {utype}, dst {utype}, score double, rank int")
     nb = _num_blocks(n, block_size)
-    rep = _replicate(pairs, "user", nb)
+    # one packed row per user (its distinct apps, bounded by the app catalogue)
+    # is what gets replicated to the block pairs: far fewer shuffle rows
+    packed = pairs.groupBy("user").agg(F.collect_list("app").alias("apps"))
+    rep = _replicate(packed, "user", nb)
     cands = rep.groupBy("_gi", "_gj").applyInPandas(_jaccard_group(k, fill), schema=f"src {utype}, dst {utype}, score double")
     return _merge_topk(cands, k)
 
