@@ -24,7 +24,7 @@ from habitnet.functions.seeded import md5_int32, md5_key, md5_uniform
 from habitnet.functions.vectors import dot_cols, log_loss, norm_cols, sigmoid
 from habitnet.operators.components import consecutive_index
 
-from habitnet.operators.joins import broadcast_if_small, hinted, is_small
+from habitnet.operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small, hinted, is_small
 from habitnet.session import cut_lineage
 
 
@@ -84,10 +84,18 @@ def init_factors(ids: DataFrame, key: str, d: int, seed: int, role: str) -> Data
     return raw.select("id", *[(F.abs(F.col(c)) / n).alias(c) for c in fnames(d)])
 
 
-def _joined(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, small_u: bool | None = False, small_v: bool | None = None) -> DataFrame:
+def _joined(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, small_u: bool | None = False, small_v: bool | None = None,
+            salts: DataFrame | None = None) -> DataFrame:
     u = U.select(F.col("id").alias("user"), *[F.col(f"f{c}").alias(f"u{c}") for c in range(d)])
     v = V.select(F.col("id").alias("app"), *[F.col(f"f{c}").alias(f"v{c}") for c in range(d)])
-    j = samples.join(hinted(u, small_u), "user").join(hinted(v, small_v), "app")
+    if salts is not None and small_u is False:
+        # salted join: each user's factor row goes to its sample buckets, the
+        # samples (cached by (user, _salt)) stay where they are
+        us = u.join(salts, "user").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1))).drop("_ns")
+        j = samples.join(us, ["user", "_salt"])
+    else:
+        j = samples.join(hinted(u, small_u), "user")
+    j = j.join(hinted(v, small_v), "app")
     p = dot_cols([F.col(f"u{c}") for c in range(d)], [F.col(f"v{c}") for c in range(d)])
     return j.withColumn("_p", p).withColumn("_g", sigmoid(F.col("_p")) - F.col("r"))
 
@@ -107,9 +115,9 @@ def user_gradients(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, small
     return j.groupBy(F.col("user").alias("id")).agg(*[F.sum(F.col("_g") * F.col(f"v{c}")).alias(f"g{c}") for c in range(d)])
 
 
-def item_gradients(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, small_u=None, small_v=None) -> DataFrame:
+def item_gradients(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, small_u=None, small_v=None, salts=None) -> DataFrame:
     """Sum over an app's samples of (s(u.v) - r) u."""
-    j = _joined(samples, U, V, d, small_u, small_v)
+    j = _joined(samples, U, V, d, small_u, small_v, salts)
     return j.groupBy(F.col("app").alias("id")).agg(*[F.sum(F.col("_g") * F.col(f"u{c}")).alias(f"g{c}") for c in range(d)])
 
 
@@ -155,8 +163,36 @@ def prepare_samples(samples: DataFrame) -> DataFrame:
     return out
 
 
+SALT_BUCKET_ROWS = 200_000  # samples per (user, salt) bucket
+
+
+def salted_samples(samples: DataFrame, bucket_rows: int = SALT_BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Samples split into per-user buckets for the training loop.
+
+    A user with n samples gets ceil(n / bucket_rows) buckets (``_salt`` from a
+    hash of the app). The samples are checkpointed once and cached
+    hash-partitioned by (user, _salt); the returned ``salts`` (user, _ns) table
+    tells the factor join how many copies of each user's factor row to send.
+    A user holding a third of all samples is thus spread over many tasks, and
+    no step moves the samples. Lost cache blocks are rebuilt from the
+    checkpoint with one shuffle.
+    """
+    spark = samples.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = cut_lineage(samples.select("user", "app", "r"))
+    salts = base.groupBy("user").agg(
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(float(bucket_rows)))).cast("int").alias("_ns")
+    )
+    salts = cut_lineage(salts)
+    tagged = base.join(salts, "user").withColumn("_salt", F.pmod(F.xxhash64("app"), F.col("_ns")).cast("int")).drop("_ns")
+    out = tagged.repartition(n, "user", "_salt").persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out, salts
+
+
 def train_lmf(pos: DataFrame, d: int = 5, rate: float = 1e-4, max_steps: int = 800, restarts: int = 6,
-              stop_ratio: float = 1.001, monitor: str = "train", lam: float = 1e-4, seed: int = 42) -> LmfResult:
+              stop_ratio: float = 1.001, monitor: str = "train", lam: float = 1e-4, seed: int = 42,
+              max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, bucket_rows: int = SALT_BUCKET_ROWS) -> LmfResult:
     """M15..M17: full-batch gradient descent on the logistic loss.
 
     Each restart draws new negatives (seed + restart), starts from the same
@@ -170,7 +206,7 @@ def train_lmf(pos: DataFrame, d: int = 5, rate: float = 1e-4, max_steps: int = 8
     V0 = cut_lineage(init_factors(p, "app", d, seed, "v"))
     m, n = U0.count(), V0.count()
     lu, lv = lam * math.sqrt(m), lam * math.sqrt(n)
-    small_u, small_v = is_small(U0), is_small(V0)  # same ids every step: check once
+    small_u, small_v = is_small(U0, max_broadcast_rows), is_small(V0, max_broadcast_rows)  # same ids every step: check once
     history: list[dict] = []
     best = (None, None, math.inf, -1)
     samples = None
@@ -178,12 +214,12 @@ def train_lmf(pos: DataFrame, d: int = 5, rate: float = 1e-4, max_steps: int = 8
     for rs in range(restarts):
         if rs:
             samples.unpersist()
-        samples = prepare_samples(training_samples(p, seed + rs))
+        samples, salts = salted_samples(training_samples(p, seed + rs), bucket_rows)
         U, V, eta = U0, V0, rate
         snap, snap_loss = (U, V), math.inf
         for step in range(max_steps):
             obs = Observation(f"lmf_{rs}_{step}")
-            j = _joined(samples, U, V, d, small_u, small_v).withColumn("_l", log_loss(F.col("r"), F.col("_p")))
+            j = _joined(samples, U, V, d, small_u, small_v, salts).withColumn("_l", log_loss(F.col("r"), F.col("_p")))
             j = j.observe(obs, F.avg("_l").alias("train"), F.avg(F.when(F.col("r") == 1.0, F.col("_l"))).alias("observed"))
             gu = j.groupBy(F.col("user").alias("id")).agg(*[F.sum(F.col("_g") * F.col(f"v{c}")).alias(f"g{c}") for c in range(d)])
             U1 = cut_lineage(apply_gradient(U, gu, d, eta, lu))
@@ -194,7 +230,7 @@ def train_lmf(pos: DataFrame, d: int = 5, rate: float = 1e-4, max_steps: int = 8
                 snap, snap_loss = (U, V), loss
             elif loss > stop_ratio * snap_loss:
                 break
-            V1 = cut_lineage(apply_gradient(V, item_gradients(samples, U1, V, d, small_u, small_v), d, eta, lv))
+            V1 = cut_lineage(apply_gradient(V, item_gradients(samples, U1, V, d, small_u, small_v, salts), d, eta, lv))
             U, V = U1, V1
             eta /= 1.0001
         final = losses(positives, snap[0], snap[1], d).first()["observed_loss"]

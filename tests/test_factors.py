@@ -48,3 +48,20 @@ def test_train_lmf_runs(spark):
     res = fa.train_lmf(_pos(spark, rows), d=2, rate=0.05, max_steps=3, restarts=2, seed=5)
     assert res.users.count() == 8 and res.items.count() == 12 and res.best_restart in (0, 1)
     assert any(h["step"] == -1 for h in res.history)
+
+
+def test_salted_training_matches_broadcast(spark):
+    # one hot user with many samples, split into several salt buckets
+    rows = [(0, a) for a in range(0, 30)] + [(u, a) for u in range(1, 8) for a in range(u % 3, 40, 5)]
+    pos = _pos(spark, rows)
+    a = fa.train_lmf(pos, d=2, rate=0.05, max_steps=3, restarts=1, seed=3)
+    b = fa.train_lmf(pos, d=2, rate=0.05, max_steps=3, restarts=1, seed=3, max_broadcast_rows=0, bucket_rows=4)
+    ua = {r.id: (r.f0, r.f1) for r in a.users.collect()}
+    ub = {r.id: (r.f0, r.f1) for r in b.users.collect()}
+    assert ua.keys() == ub.keys()
+    assert all(abs(x - y) < 1e-12 for k in ua for x, y in zip(ua[k], ub[k]))
+    s, salts = fa.salted_samples(fa.training_samples(pos, 3), 4)
+    n_apps = len({a for _, a in rows})
+    n0 = 30 + min(30, n_apps - 30)  # positives + negatives of the hot user
+    assert {r.user: r._ns for r in salts.collect()}[0] == -(-n0 // 4)
+    assert s.where("user = 0").select("_salt").distinct().count() > 1
