@@ -148,7 +148,9 @@ def mutual_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contact_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ct.contact_graph(voice_contacts(spark, sf_dir), mutual_contacts(spark, sf_dir))
+    # both graphs read the same records and valid set: one plan, reused exchanges
+    records, valid = tb.contact_records(spark, sf_dir), tb.valid_users(spark, sf_dir)
+    return ct.contact_graph(ct.voice_graph(records, valid, CONTACT_MIN_SEC), ct.mutual_sms_graph(records, valid))
 
 
 def _component_edges(spark, sf_dir) -> DataFrame:
