@@ -103,9 +103,12 @@ def _newton_update(F0: DataFrame, stats: DataFrame, c: int, lam: float) -> DataF
 
 
 def newton_user_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, lam: float,
-                     small_u: bool | None = None, small_v: bool | None = None) -> DataFrame:
-    """One Newton coordinate step on every user at coordinate ``c``."""
-    pr = predictions(rows, terms, U, V, d, small_u, small_v).select(*ROW, "e", F.col(f"v{c}").alias("_vc"))
+                     small_u: bool | None = None, small_v: bool | None = None, preds: DataFrame | None = None) -> DataFrame:
+    """One Newton coordinate step on every user at coordinate ``c``.
+
+    ``preds`` may carry the predictions at (U, V) already computed this epoch."""
+    pr = preds if preds is not None else predictions(rows, terms, U, V, d, small_u, small_v)
+    pr = pr.select(*ROW, "e", F.col(f"v{c}").alias("_vc"))
     a = F.col("w") * F.col("_vc")
     stats = terms.join(pr, ROW).groupBy(F.col("user").alias("id")).agg(
         F.sum(a * a).alias("_A"), F.sum(a * F.col("e")).alias("_B")
@@ -131,9 +134,10 @@ def _gd_update(F0: DataFrame, grad: DataFrame, c: int, rate: float, lam: float,
 
 
 def gd_user_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, rate: float, lam: float, n_rows: int,
-                 small_u: bool | None = None, small_v: bool | None = None) -> DataFrame:
+                 small_u: bool | None = None, small_v: bool | None = None, preds: DataFrame | None = None) -> DataFrame:
     """First-order step on users: g = sum e_r * w * v_j[c] / n_rows."""
-    pr = predictions(rows, terms, U, V, d, small_u, small_v).select(*ROW, "e", F.col(f"v{c}").alias("_vc"))
+    pr = preds if preds is not None else predictions(rows, terms, U, V, d, small_u, small_v)
+    pr = pr.select(*ROW, "e", F.col(f"v{c}").alias("_vc"))
     g = terms.join(pr, ROW).groupBy(F.col("user").alias("id")).agg(F.sum(F.col("e") * F.col("w") * F.col("_vc")).alias("_g"))
     return _gd_update(U, g, c, rate, lam, n_rows)
 
@@ -179,7 +183,10 @@ def train_fold(train_rows: DataFrame, train_terms: DataFrame, valid_rows: DataFr
     small_u, small_v = is_small(U0), is_small(V0)  # same ids every epoch: check once
     n_train = train_rows.count() if solver == "gd" else 0
     for epoch in range(max_epochs):
-        tr = rmse(train_rows, train_terms, U, V, d, small_u, small_v).withColumn("part", F.lit("train"))
+        # train predictions at (U, V) serve both the train RMSE and the user
+        # step: written once per epoch (rows-sized), the terms pass runs once
+        preds = cut_lineage(predictions(train_rows, train_terms, U, V, d, small_u, small_v))
+        tr = preds.agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse")).withColumn("part", F.lit("train"))
         va = rmse(valid_rows, valid_terms, U, V, d, small_u, small_v).withColumn("part", F.lit("valid"))
         got = {r["part"]: r["rmse"] for r in tr.unionByName(va).collect()}  # two rows
         res.epochs.append({"fold": fold, "epoch": epoch, "train_rmse": got.get("train"), "valid_rmse": got.get("valid")})
@@ -192,10 +199,10 @@ def train_fold(train_rows: DataFrame, train_terms: DataFrame, valid_rows: DataFr
         c = next_coordinate(d, last, seed, fold, epoch)
         last = c
         if solver == "gd":
-            U = cut_lineage(gd_user_step(train_rows, train_terms, U, V, d, c, rate, lu, n_train, small_u, small_v))
+            U = cut_lineage(gd_user_step(train_rows, train_terms, U, V, d, c, rate, lu, n_train, small_u, small_v, preds))
             V = cut_lineage(gd_item_step(train_rows, train_terms, U, V, d, c, rate, lv, n_train, small_u, small_v))
         else:
-            U = cut_lineage(newton_user_step(train_rows, train_terms, U, V, d, c, lu, small_u, small_v))
+            U = cut_lineage(newton_user_step(train_rows, train_terms, U, V, d, c, lu, small_u, small_v, preds))
             V = cut_lineage(newton_item_step(train_rows, train_terms, U, V, d, c, lv, small_u, small_v))
     return res
 

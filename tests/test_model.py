@@ -55,3 +55,21 @@ def test_cross_validate_runs(spark):
     fd = holdout_days(rows.selectExpr("t AS day"), 2, 0.8, 1)
     scores, log = md.cross_validate(rows, links, fd, d=2, max_epochs=3)
     assert scores.count() == 2 and len(log) >= 2
+
+
+def test_train_fold_epochs_match_manual_steps(spark):
+    days = [D("2017-01-01") + dt.timedelta(days=k) for k in range(4)]
+    rows = spark.createDataFrame([(u, a, d, 1, (u * 3 + k + len(a)) % 2) for u in range(5) for a in ("A", "BB") for k, d in enumerate(days)],
+                                 "i bigint, j string, t date, m0 int, m1 int")
+    links = spark.createDataFrame([(u, a, d, (u + 1) % 5, (u + k) % 2) for u in range(5) for a in ("A", "BB") for k, d in enumerate(days)],
+                                  "i bigint, j string, t date, l bigint, ml0 int")
+    terms = md.exposure_terms(rows, links)
+    U0, V0 = md.model_factors(rows, 3, 11)
+    res = md.train_fold(rows, terms, rows, terms, U0, V0, 3, 0.01, 0.02, max_epochs=2, seed=11, fold=0)
+    e0 = md.rmse(rows, terms, U0, V0, 3).first().rmse
+    c = md.next_coordinate(3, -1, 11, 0, 0)
+    U1 = md.newton_user_step(rows, terms, U0, V0, 3, c, 0.01)
+    V1 = md.newton_item_step(rows, terms, U1, V0, 3, c, 0.02)
+    e1 = md.rmse(rows, terms, U1, V1, 3).first().rmse
+    assert abs(res.epochs[0]["train_rmse"] - e0) < 1e-12
+    assert abs(res.epochs[1]["train_rmse"] - e1) < 1e-12
