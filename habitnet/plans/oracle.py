@@ -252,6 +252,8 @@ a AS (SELECT app FROM u GROUP BY app HAVING COUNT(DISTINCT "user") >= 30)
 SELECT "user", COUNT(DISTINCT app) AS n_apps FROM u WHERE app IN (SELECT app FROM a) GROUP BY "user\"""",
     "user_app_sets": f"""WITH p AS (SELECT DISTINCT "user", app FROM ({_USAGE}))
 SELECT "user", string_agg(CAST(app AS VARCHAR), ',' ORDER BY app) AS apps, COUNT(*) AS n_apps FROM p GROUP BY "user\"""",
+    "app_sets_text": f"""WITH p AS (SELECT DISTINCT "user", app FROM ({_USAGE}))
+SELECT "user" || '|' || string_agg(CAST(app AS VARCHAR), ',' ORDER BY app) AS value FROM p GROUP BY "user\"""",
     "voice_contacts": _VOICE,
     "mutual_contacts": _MUTUAL,
     "contact_graph": f"({_VOICE}) UNION ({_MUTUAL})",
@@ -263,6 +265,7 @@ e AS (SELECT DISTINCT src AS a, dst AS b FROM {_RECORDS} WHERE l_quantity >= 50
 m AS (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e)
 SELECT src, dst FROM m WHERE src IN (SELECT node FROM l) AND dst IN (SELECT node FROM l)""",
     "node_index": f"""SELECT node, ROW_NUMBER() OVER (ORDER BY node) - 1 AS idx FROM ({_LARGEST})""",
+    "node_index_text": f"""SELECT node || ',' || (ROW_NUMBER() OVER (ORDER BY node) - 1) AS value FROM ({_LARGEST})""",
     "recoded_subgraph": f"""WITH l AS ({_LARGEST}),
 ix AS (SELECT node, ROW_NUMBER() OVER (ORDER BY node) - 1 AS idx FROM l),
 e AS (SELECT DISTINCT src AS a, dst AS b FROM {_RECORDS} WHERE l_quantity >= 50 AND l_returnflag = 'R'),

@@ -24,7 +24,7 @@ from habitnet.operators import usage as us
 from habitnet.operators.joins import mirror
 from habitnet.session import cut_lineage
 from habitnet.sources import tables as tb
-from habitnet.sources.codecs import exposure_to_text
+from habitnet.sources.codecs import app_sets_to_text, exposure_to_text, index_to_text
 from habitnet.sources.logs import parse_web_log
 
 # ---- fixed query parameters --------------------------------------------------------------
@@ -137,6 +137,11 @@ def user_app_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("user", F.array_join(F.col("apps").cast("array<string>"), ",").alias("apps"), "n_apps")
 
 
+def app_sets_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's app set in the 'user|a,b,c' line format."""
+    return app_sets_to_text(us.user_app_sets(_usage(spark, sf_dir)))
+
+
 # ---- contacts and components -------------------------------------------------------------
 
 def voice_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,6 +184,11 @@ def node_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cc.consecutive_index(largest_component(spark, sf_dir), "node")
 
 
+def node_index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node index in the 'node,idx' line format."""
+    return index_to_text(node_index(spark, sf_dir), "node", "idx")
+
+
 def recoded_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest component's edges with node ids recoded to the node index."""
     comps = cut_lineage(components(spark, sf_dir))
@@ -416,6 +426,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "popular_apps": popular_apps,
     "involved_users": involved_users,
     "user_app_sets": user_app_sets,
+    "app_sets_text": app_sets_text,
     "voice_contacts": voice_contacts,
     "mutual_contacts": mutual_contacts,
     "contact_graph": contact_graph,
@@ -424,6 +435,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "largest_component": largest_component,
     "induced_subgraph": induced_subgraph,
     "node_index": node_index,
+    "node_index_text": node_index_text,
     "recoded_subgraph": recoded_subgraph,
     "direct_knn_topk": direct_knn_topk,
     "direct_knn_graph": direct_knn_graph,
