@@ -73,3 +73,20 @@ def test_train_fold_epochs_match_manual_steps(spark):
     e1 = md.rmse(rows, terms, U1, V1, 3).first().rmse
     assert abs(res.epochs[0]["train_rmse"] - e0) < 1e-12
     assert abs(res.epochs[1]["train_rmse"] - e1) < 1e-12
+
+
+def test_salted_cross_validation_matches_broadcast(spark):
+    days = [D("2017-01-01") + dt.timedelta(days=k) for k in range(6)]
+    rows = spark.createDataFrame([(u, a, d, 1, (u + k + len(a)) % 2) for u in range(6) for a in ("A", "BB", "C") for k, d in enumerate(days)],
+                                 "i bigint, j string, t date, m0 int, m1 int")
+    links = spark.createDataFrame([(u, a, d, 0, 1) for u in range(1, 6) for a in ("A", "BB", "C") for d in days],  # user 0 is a hub
+                                  "i bigint, j string, t date, l bigint, ml0 int")
+    from habitnet.operators.exposure import holdout_days
+
+    fd = holdout_days(rows.selectExpr("t AS day"), 2, 0.8, 1)
+    a, la = md.cross_validate(rows, links, fd, d=2, max_epochs=3)
+    b, lb = md.cross_validate(rows, links, fd, d=2, max_epochs=3, max_broadcast_rows=0, bucket_rows=5)
+    assert len(la) == len(lb)
+    assert all(abs(x["train_rmse"] - y["train_rmse"]) < 1e-12 for x, y in zip(la, lb))
+    sa, sb = sorted(r.best_rmse for r in a.collect()), sorted(r.best_rmse for r in b.collect())
+    assert all(abs(x - y) < 1e-12 for x, y in zip(sa, sb))
