@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from habitnet.operators.joins import both_ends_in
-from habitnet.session import cut_lineage
+from habitnet.session import cut_lineage, partition_count
 
 
 def _canonical(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -114,8 +114,8 @@ def consecutive_index(df: DataFrame, col: str, idx: str = "idx", order=None, num
     partition, so its size is bounded by the partition count) gives the offsets.
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = df.select(F.col(col).alias(col)).where(F.col(col).isNotNull()).distinct()
+    base = cut_lineage(df.select(F.col(col).alias(col)).where(F.col(col).isNotNull()).distinct())
+    n = num_partitions or partition_count(spark, base.count())
     base = base.withColumn("_ord", F.col(col) if order is None else order)
     s = (
         base.repartitionByRange(n, "_ord")

@@ -25,7 +25,7 @@ from habitnet.functions.vectors import dot_cols, log_loss, norm_cols, sigmoid
 from habitnet.operators.components import consecutive_index
 
 from habitnet.operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small, hinted, is_small
-from habitnet.session import cut_lineage
+from habitnet.session import cut_lineage, partition_count
 
 
 def fnames(d: int, p: str = "f") -> list[str]:
@@ -156,8 +156,8 @@ def prepare_samples(samples: DataFrame) -> DataFrame:
     (size-checked) factor tables broadcast, a step moves no sample at all.
     Lost cache blocks are rebuilt from the checkpoint with one shuffle.
     """
-    n = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = cut_lineage(samples.select("user", "app", "r"))
+    n = partition_count(samples.sparkSession, base.count())
     out = base.repartition(n, "user", "app").persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
     return out
@@ -178,8 +178,8 @@ def salted_samples(samples: DataFrame, bucket_rows: int = SALT_BUCKET_ROWS) -> t
     checkpoint with one shuffle.
     """
     spark = samples.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = cut_lineage(samples.select("user", "app", "r"))
+    n = partition_count(spark, base.count())
     salts = base.groupBy("user").agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(float(bucket_rows)))).cast("int").alias("_ns")
     )

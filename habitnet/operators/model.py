@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from habitnet.functions.vectors import sign
 from habitnet.operators.factors import fnames, init_factors
 from habitnet.operators.joins import DEFAULT_BROADCAST_ROWS, hinted, is_small
-from habitnet.session import cut_lineage
+from habitnet.session import cut_lineage, partition_count
 
 ROW = ["i", "j", "t"]
 
@@ -59,8 +59,9 @@ def prepare(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     map-side before their shuffle. Row-level results then meet the cached
     rows on (i, j, t) without moving them.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = cut_lineage(df).repartition(n, *(keys or ROW)).persist(StorageLevel.MEMORY_AND_DISK)
+    base = cut_lineage(df)
+    n = partition_count(df.sparkSession, base.count())
+    out = base.repartition(n, *(keys or ROW)).persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
     return out
 
@@ -74,8 +75,8 @@ def salt_terms(terms: DataFrame, bucket_rows: int = 200_000) -> tuple[DataFrame,
     user's factor row to send. Used when the factor table is too big to
     broadcast: then a prediction pass moves factor rows, not terms.
     """
-    n = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = cut_lineage(terms.select(*ROW, "user", "w"))
+    n = partition_count(terms.sparkSession, base.count())
     salts = cut_lineage(base.groupBy("user").agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(float(bucket_rows)))).cast("int").alias("_ns")))
     tagged = base.join(salts, "user").withColumn("_salt", F.pmod(F.xxhash64(*ROW), F.col("_ns")).cast("int")).drop("_ns")

@@ -6,6 +6,7 @@ settings except filling in a checkpoint folder when none is configured.
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
@@ -59,3 +60,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+ROWS_PER_PARTITION = 200_000
+
+
+def partition_count(spark: SparkSession, rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> int:
+    """Partitions for an explicit repartition of ``rows`` rows.
+
+    At least the cluster's default parallelism (so every core gets work), at
+    most ``spark.sql.shuffle.partitions`` (the operator's configured
+    ceiling), otherwise about ``rows_per_partition`` rows each. Explicit
+    counts are used where the partitioning is cached and reused across loop
+    steps, which AQE cannot coalesce afterwards.
+    """
+    ceiling = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    floor = max(1, spark.sparkContext.defaultParallelism)
+    want = math.ceil(max(rows, 1) / rows_per_partition)
+    return max(1, min(ceiling, max(floor, want)))
