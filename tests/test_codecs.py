@@ -1,7 +1,5 @@
 import os
-import tempfile
 
-from pyspark.sql import functions as F
 
 from habitnet.sources import codecs, logs
 

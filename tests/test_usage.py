@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from habitnet.operators import usage as us
 from habitnet.sources.logs import parse_web_log
