@@ -28,14 +28,21 @@ this way); ``fill=False`` keeps only positive scores.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from habitnet.session import cut_lineage
 
+# The block-pair functions run in Python workers. Ship this module's code by
+# value with them, so executors need numpy and pandas but not this package
+# installed or on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DEFAULT_BLOCK_SIZE = 2048
 MIN_BLOCKS = 4
 _PAIR_BUDGET = 1 << 23  # overlap pairs expanded at once inside a group
