@@ -36,6 +36,7 @@ def lower_ascii(column: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -56,6 +57,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     """``mapInArrow`` for functions that yield columns as ``{name: values}``."""
     schema = struct_of(ddl)
     arrow = to_arrow_schema(schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in fn(batches):
@@ -70,6 +72,18 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(name).to_pylist()]
 
 
+#: Rows of one Arrow batch: whole texts are long, and a batch is held several times over.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session have at most ``BATCH_ROWS`` rows (fewer if it says so already)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def worker_memo() -> dict:
     """One dictionary per Python worker process, kept between its tasks."""
     return sys.modules.setdefault("_llm_worker_memo", types.ModuleType("_llm_worker_memo")).__dict__

@@ -31,7 +31,7 @@ _CHUNKS = re.compile("[ \\n]*[^ \\n]+|[ \\n]+")
 #: A sentence ends after . ! ? before white space, or before a line end.
 _SENTENCE = re.compile("(?<=[.!?])(?=\\s)|(?<=\\S)(?=\\n)")
 #: Pieces that one worker remembers, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 
 
 def _visible_bytes() -> dict[int, str]:

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from habitnet.llm import packing, quality_rules, simhash, token_files
-from habitnet.llm.common import scratch_path, table
+from habitnet.llm import packing, quality_model, quality_rules, simhash, token_files, toxicity, warc
+from habitnet.llm.common import scratch_path, stored, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,6 +31,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 PACK_LENGTH = 2048
 PACK_END_ID = 1
 
@@ -44,6 +48,17 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    records = stored(warc.read(spark, path, payloads=False), "warc-records")
+    return warc.resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
@@ -53,6 +68,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_quality_rules": op3_quality_rules,
+    "op4_quality_model": op4_quality_model,
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
+    "op8_warc": op8_warc,
     "op10_token_files": op10_token_files,
 }
