@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
 
@@ -31,7 +32,7 @@ _CHUNKS = re.compile("[ \\n]*[^ \\n]+|[ \\n]+")
 #: A sentence ends after . ! ? before white space, or before a line end.
 _SENTENCE = re.compile("(?<=[.!?])(?=\\s)|(?<=\\S)(?=\\n)")
 #: Pieces that one worker remembers, in each of two generations.
-REMEMBERED = 100_000
+REMEMBERED = 120_000
 
 
 def _visible_bytes() -> dict[int, str]:
@@ -94,12 +95,17 @@ class Encoder:
         def merged(piece: str) -> bytes:
             raw = piece.encode("utf-8")
             ids = merger(raw) if merger else [t.id for t in model.tokenize(raw.decode("latin-1").translate(alphabet))]
-            return np.array(ids, "<u4").tobytes()
+            return struct.pack(f"<{len(ids)}I", *ids)
 
         pieces = _Remembered(merged)
         split = self.pattern.findall if self.pattern else None
-        self.chunks = _Remembered(lambda chunk: b"".join(map(pieces.__getitem__, split(chunk))))
-        self.spaced = _Remembered(lambda chunk: b"".join(map(pieces.__getitem__, split(" " + chunk))))
+
+        def chunk_ids(chunk: str) -> bytes:
+            found = split(chunk)
+            return merged(chunk) if len(found) == 1 and found[0] == chunk else b"".join(map(pieces.__getitem__, found))
+
+        self.chunks = _Remembered(chunk_ids)
+        self.spaced = _Remembered(lambda chunk: chunk_ids(" " + chunk))
 
     def _by_pieces(self, text: str) -> bool:
         return self.pattern is not None and _SAFE.fullmatch(text) is not None and not any(s in text for s in self.special)

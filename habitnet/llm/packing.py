@@ -6,7 +6,8 @@ window is its padding, a fixed cost per sequence and the penalty of the cut
 that ends it (none at a document's end). As padding is linear in the window's
 start, the best start among all within reach is the minimum of a sliding
 window, kept in a monotone queue. Windows whose length is a power of two are
-not padded; they are tried beside the queue's candidate. Sentences of more than
+not padded; those of at least ``SHORTEST_UNPADDED`` ids are tried beside the
+queue's candidate. Sentences of more than
 ``LONG_SENTENCE`` ids may also be cut every that many ids, at a higher penalty.
 
 Spark range-partitions the documents; each partition packs its own stretch in
@@ -37,6 +38,8 @@ LONG_SENTENCE = 256
 SEQUENCE_COST = 8
 SENTENCE_PENALTY = 8
 MID_PENALTY = 32
+#: Shorter windows waste a sequence, padded or not.
+SHORTEST_UNPADDED = 128
 #: Sequence numbers of one partition lie within 2^33 of each other.
 SEQUENCE_BITS = 33
 
@@ -52,7 +55,7 @@ def windows(ends: np.ndarray, penalties: np.ndarray, capacity: int) -> list[int]
     place = [0, *ends.tolist()]
     grid = np.array(place)
     exempt: dict[int, list[int]] = {}
-    length = 1
+    length = SHORTEST_UNPADDED
     while length < capacity:
         before = np.searchsorted(grid, grid - length)
         for j in np.flatnonzero((grid >= length) & (grid[before] == grid - length)).tolist():

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from habitnet.llm import packing, quality_model, quality_rules, simhash, token_files, toxicity, warc
+from habitnet.llm import byte_lm, decontaminate, packing, quality_model, quality_rules, simhash, token_files, toxicity, warc
 from habitnet.llm.common import scratch_path, stored, table
 
 
@@ -27,6 +27,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_byte_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
@@ -67,10 +75,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_model": op4_quality_model,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op8_warc": op8_warc,
+    "op9_byte_lm": op9_byte_lm,
     "op10_token_files": op10_token_files,
 }
