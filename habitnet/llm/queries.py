@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from habitnet.llm import byte_lm, decontaminate, packing, quality_model, quality_rules, simhash, token_files, toxicity, warc
+from habitnet.llm import byte_lm, decontaminate, line_dedup, packing, quality_model, quality_rules, simhash, token_files, toxicity, warc
 from habitnet.llm.common import scratch_path, stored, table
 
 
@@ -56,6 +56,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_model": op4_quality_model,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_line_dedup": op7_line_dedup,
     "op8_warc": op8_warc,
     "op9_byte_lm": op9_byte_lm,
     "op10_token_files": op10_token_files,
