@@ -115,12 +115,17 @@ def _values(view: int, kept: Column, masks: Column) -> Column:
     return F.transform(masks, lambda m: F.struct(F.lit(view).cast("byte").alias("view"), kept.bitwiseXOR(m).alias("value")))
 
 
+def _spread(fps: DataFrame) -> DataFrame:
+    """Few bytes that make a hundred times as many rows: as many tasks as a shuffle has, not as the bytes suggest."""
+    return fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
 def with_company(fps: DataFrame) -> DataFrame:
     """The distinct fingerprints that meet another one in some view."""
-    emitted = fps.select("fp", F.explode(_seen(F.col("fp"))).alias("e")).select("fp", "e.view", "e.value")
+    emitted = _spread(fps).select("fp", F.explode(_seen(F.col("fp"))).alias("e")).select("fp", "e.view", "e.value")
     shared = emitted.groupBy("view", "value").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b")
     shared = stored(shared.select("view", "value"), "simhash-views")
-    return emitted.join(shared, ["view", "value"], "left_semi").select("fp").distinct()
+    return emitted.join(shared.hint("merge"), ["view", "value"], "left_semi").select("fp").distinct()
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -128,6 +133,7 @@ def links(fps: DataFrame) -> DataFrame:
     halves = [range(32), range(32, 64)]
     near = F.concat(F.array(F.lit(0).cast("long")), _flips([(b,) for b in range(64)]))
     far = F.when(F.bit_count("fp") % 2 == 1, _flips([(a, b) for h in halves for a in h for b in h if a < b]))
+    fps = _spread(fps)
     emitted = fps.select("fp", F.explode(near).alias("m"), F.lit(True).alias("near")).unionByName(
         fps.select("fp", F.explode(far).alias("m"), F.lit(False).alias("near"))
     )
