@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from habitnet.llm.common import LOWER_ASCII, map_batches, stored, texts_of
+from habitnet.llm.common import LOWER_ASCII, fresh_name, map_batches, stored, texts_of
 from habitnet.operators.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -74,15 +74,15 @@ def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             values = np.array([fingerprint(t, shingle) for t in texts_of(batch)], np.uint64)
-            yield {"doc_id": batch.column("doc_id"), "fp": values.view(np.int64)}
+            yield {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "fp": values.view(np.int64)}
 
     return run
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, fp)``, the 64 bits as a signed long."""
-    own = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return map_batches(own, _fingerprints(shingle), "doc_id long, fp long")
+    """``(doc_id, text_hash, fp)``, the 64 bits as a signed long."""
+    own = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
+    return map_batches(own, _fingerprints(shingle), "doc_id long, text_hash long, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -143,14 +143,34 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= MAX_BITS).distinct()
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row; the id is the least doc_id of the component."""
-    docs = stored(fingerprints(df, doc_id, text, shingle), "simhash-docs")
+def components(docs: DataFrame) -> DataFrame:
+    """``(fp, root, component_id)`` of every fingerprint of ``docs``; equal roots are one component."""
     nodes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     company = stored(with_company(nodes.select("fp")), "simhash-company")
     found = connected_components(links(company)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    rooted = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = stored(rooted, "simhash-roots")
+    rooted = stored(nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     ids = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
-    named = stored(rooted.join(ids, "root").select("fp", "component_id"), "simhash-names")
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id")
+    return stored(rooted.join(ids, "root").select("fp", "root", "component_id"), "simhash-components")
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for every row; the id is the least doc_id of the component."""
+    docs = stored(fingerprints(df, doc_id, text, shingle), "simhash-docs")
+    return docs.join(components(docs), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of each component, that of the least doc_id (nulls last; then the least text hash); same columns."""
+    docs = stored(fingerprints(df, doc_id, text, shingle), "simhash-docs")
+    in_order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    least = docs.join(components(docs), "fp").groupBy("root").agg(F.min(in_order).alias("kept"))
+    key, code = fresh_name(df, "_kept_id"), fresh_name(df, "_kept_hash")
+    kept = stored(least.select(F.col("kept.doc_id").alias(key), F.col("kept.text_hash").alias(code)), "simhash-kept")
+    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(code))
+    copies = docs.groupBy("doc_id", "text_hash").count().where("count > 1")
+    copies = stored(copies.select(F.col("doc_id").alias(key), F.col("text_hash").alias(code)), "simhash-copies")
+    own = df.join(kept, same, "left_semi")
+    if copies.isEmpty():
+        return own
+    repeated = own.join(copies, same, "left_semi").dropDuplicates([doc_id, text])
+    return own.join(copies, same, "left_anti").unionByName(repeated)
