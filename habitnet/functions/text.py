@@ -24,10 +24,6 @@ def to_int(x: Column) -> Column:
     return F.trim(x).try_cast("bigint")
 
 
-def to_double(x: Column) -> Column:
-    return F.trim(x).try_cast("double")
-
-
 def epoch_to_day(sec: Column) -> Column:
     """Epoch seconds -> calendar day in the session time zone."""
     return F.to_date(F.timestamp_seconds(sec))

@@ -32,23 +32,12 @@ def norm(a: ColLike) -> Column:
     return F.sqrt(F.aggregate(F.transform(_c(a), lambda x: x * x), F.lit(0.0).cast("double"), lambda acc, x: acc + x))
 
 
-def cosine(a: ColLike, b: ColLike) -> Column:
-    """a.b / (|a| |b|)."""
-    return dot(a, b) / (norm(a) * norm(b))
-
-
 def unit_vector(a: ColLike) -> Column:
     """|x_i| / |a| for every coordinate (absolute values, as in the source model)."""
     n = norm(a)
     return F.transform(_c(a), lambda x: F.abs(x) / n)
 
 
-def l2_normalize(a: ColLike) -> Column:
-    """x_i / |a| (signed); used for cosine kNN."""
-    n = norm(a)
-    return F.transform(_c(a), lambda x: x / n)
-
-
 def add(a: ColLike, b: ColLike) -> Column:
     """element-wise a + b."""
     return F.zip_with(_c(a), _c(b), lambda x, y: x + y)
@@ -77,9 +66,6 @@ def element(a: ColLike, idx: int) -> Column:
 
 # ---- scalar-column form (f0..f{d-1}) ---------------------------------------------------
 
-def factor_names(d: int, prefix: str = "f") -> list[str]:
-    return [f"{prefix}{c}" for c in range(d)]
-
 
 def dot_cols(a: Sequence[ColLike], b: Sequence[ColLike]) -> Column:
     """Sum of products over two equally long lists of scalar columns."""
@@ -94,21 +80,8 @@ def norm_cols(a: Sequence[ColLike]) -> Column:
     return F.sqrt(dot_cols(a, a))
 
 
-def to_array(cols: Sequence[ColLike]) -> Column:
-    return F.array(*[_c(c).cast("double") for c in cols])
-
-
-def from_array(arr: ColLike, d: int, prefix: str = "f") -> list[Column]:
-    return [F.element_at(_c(arr), c + 1).cast("double").alias(f"{prefix}{c}") for c in range(d)]
-
-
 # ---- scores and losses -----------------------------------------------------------------
 
-def jaccard(overlap: ColLike, size_a: ColLike, size_b: ColLike) -> Column:
-    """|a & b| / |a | b| from the overlap and both set sizes (one division)."""
-    o = _c(overlap).cast("double")
-    return o / (_c(size_a).cast("double") + _c(size_b).cast("double") - o)
-
 
 def sigmoid(x: ColLike) -> Column:
     """1 / (1 + e^-x)."""

@@ -3,11 +3,12 @@
 Components use the alternating large-star / small-star rounds of Kiveris et
 al. (SoCC 2014) on an edge frame ``(hi, lo)`` with ``hi > lo``. It needs
 O(log n) rounds instead of the O(diameter) rounds of min-label propagation,
-and every round is two ``groupBy(min)`` + join pairs: a hub node (one node
-holding a third of all edges) only feeds a partial aggregate and one side of
-a join that AQE splits as skewed. Each round's edges are written to the
-reliable checkpoint folder, so lineage stays one round deep and a lost
-executor costs at most one round.
+and every round is two ``groupBy(min)`` + join pairs. A hub node (one node
+holding a third of all edges) only feeds a partial aggregate; the minima are
+checkpointed before they are joined back, as AQE splits a hub's partition only
+where both sides of a join come straight from an exchange. Each half round's
+edges go to the reliable checkpoint folder too, so lineage stays short and a
+lost executor costs at most half a round.
 
 The component id is the least node id of the component (ties between equal
 sizes then go to the least id, deterministically).
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from habitnet.operators.joins import both_ends_in
+from habitnet.operators.joins import both_ends_in, mirror
 from habitnet.session import cut_lineage, partition_count
 
 
@@ -31,16 +32,14 @@ def _canonical(edges: DataFrame, src: str, dst: str) -> DataFrame:
 
 def _large_star(e: DataFrame) -> DataFrame:
     # m(u) = min of u and all its neighbours; every larger neighbour v of u gets edge (v, m(u)).
-    both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
-        e.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    )
-    mins = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    both = mirror(e, "hi", "lo").select(F.col("hi").alias("u"), F.col("lo").alias("v"))
+    mins = cut_lineage(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
     return both.where(F.col("v") > F.col("u")).join(mins, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     # For node u (as hi) with smaller neighbours L: m = min(L); connect u and L \ {m} to m.
-    mins = e.groupBy("hi").agg(F.min("lo").alias("m"))
+    mins = cut_lineage(e.groupBy("hi").agg(F.min("lo").alias("m")))
     return (
         e.join(mins, "hi")
         .select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
@@ -71,7 +70,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     nodes = edges.select(F.col(src).alias("node")).unionByName(edges.select(F.col(dst).alias("node"))).where(F.col("node").isNotNull()).distinct()
     e = cut_lineage(_canonical(edges, src, dst))
     for _ in range(max_rounds):
-        e = cut_lineage(_small_star(_large_star(e)))
+        e = cut_lineage(_small_star(cut_lineage(_large_star(e))))
         if _is_star_forest(e):
             break
     else:

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from habitnet.functions.seeded import md5_key
-from habitnet.operators.joins import broadcast_if_small
 from habitnet.operators.usage import popular_apps
 
 
@@ -102,10 +101,10 @@ def model_usage(usage: DataFrame, users: DataFrame | None = None, min_users: int
     with at least ``min_users`` distinct users among them (P8, inclusive)."""
     u = usage.select("user", "app", "day")
     if users is not None:
-        k = broadcast_if_small(users.select(F.col("user").alias("_u")).distinct())
+        k = users.select(F.col("user").alias("_u")).distinct()
         u = u.join(k, u.user == k["_u"], "left_semi")
     apps = popular_apps(u, min_users).select("app")
-    return u.join(broadcast_if_small(apps), "app", "left_semi")
+    return u.join(apps, "app", "left_semi")
 
 
 def holdout_days(days: DataFrame, folds: int, train_share: float = 0.8, seed: int = 42, day: str = "day") -> DataFrame:

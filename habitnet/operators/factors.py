@@ -3,10 +3,9 @@
 Factor tables are ``(id, f0..f{d-1})`` frames. One step is two passes over the
 sample table: user gradients at (U, V), then item gradients at (U', V), as
 in the source model. The sample table is written to the checkpoint folder
-once and cached spread by its unique (user, app) key; factor tables are
-broadcast when their size check passes (checked once per run), so a step
-shuffles only partial per-user / per-app sums. Above the bound the factor
-join shuffles and AQE splits a hot user's partition. Losses are collected with
+once and cached in buckets of (user, salt), a hot user having many; each step
+sends copies of factor rows to the buckets and leaves the samples in place. The
+same layout serves every size; AQE broadcasts factor tables that are small. Losses are collected with
 ``DataFrame.observe`` on the same pass that builds the user gradients, so a
 step costs two jobs and returns two scalars to the driver.
 """
@@ -24,7 +23,6 @@ from habitnet.functions.seeded import md5_int32, md5_key, md5_uniform
 from habitnet.functions.vectors import dot_cols, log_loss, norm_cols, sigmoid
 from habitnet.operators.components import consecutive_index
 
-from habitnet.operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small, hinted, is_small
 from habitnet.session import cut_lineage, partition_count
 
 
@@ -61,7 +59,7 @@ def negative_samples(pos: DataFrame, seed: int = 42) -> DataFrame:
         "user", "_p", "_off",
         F.explode(F.sequence(F.lit(0), F.least(F.col("_p") * 2, F.lit(n)) - 1)).alias("_g"),
     ).withColumn("pos", F.pmod(F.col("_off") + F.col("_g"), F.lit(n)))
-    cand = cand.join(broadcast_if_small(perm), "pos").join(pairs, ["user", "app"], "left_anti")
+    cand = cand.join(perm, "pos").join(pairs, ["user", "app"], "left_anti")
     rk = F.row_number().over(Window.partitionBy("user").orderBy("_g"))
     return cand.withColumn("_rk", rk).where(F.col("_rk") <= F.col("_p")).select("user", "app")
 
@@ -84,18 +82,17 @@ def init_factors(ids: DataFrame, key: str, d: int, seed: int, role: str) -> Data
     return raw.select("id", *[(F.abs(F.col(c)) / n).alias(c) for c in fnames(d)])
 
 
-def _joined(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, small_u: bool | None = False, small_v: bool | None = None,
-            salts: DataFrame | None = None) -> DataFrame:
+def _joined(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, salts: DataFrame | None = None) -> DataFrame:
     u = U.select(F.col("id").alias("user"), *[F.col(f"f{c}").alias(f"u{c}") for c in range(d)])
     v = V.select(F.col("id").alias("app"), *[F.col(f"f{c}").alias(f"v{c}") for c in range(d)])
-    if salts is not None and small_u is False:
+    if salts is not None:
         # salted join: each user's factor row goes to its sample buckets, the
         # samples (cached by (user, _salt)) stay where they are
         us = u.join(salts, "user").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1))).drop("_ns")
         j = samples.join(us, ["user", "_salt"])
     else:
-        j = samples.join(hinted(u, small_u), "user")
-    j = j.join(hinted(v, small_v), "app")
+        j = samples.join(u, "user")
+    j = j.join(v, "app")
     p = dot_cols([F.col(f"u{c}") for c in range(d)], [F.col(f"v{c}") for c in range(d)])
     return j.withColumn("_p", p).withColumn("_g", sigmoid(F.col("_p")) - F.col("r"))
 
@@ -109,15 +106,15 @@ def losses(samples: DataFrame, U: DataFrame, V: DataFrame, d: int) -> DataFrame:
     )
 
 
-def user_gradients(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, small_u=None, small_v=None) -> DataFrame:
+def user_gradients(samples: DataFrame, U: DataFrame, V: DataFrame, d: int) -> DataFrame:
     """Sum over a user's samples of (s(u.v) - r) v."""
-    j = _joined(samples, U, V, d, small_u, small_v)
+    j = _joined(samples, U, V, d)
     return j.groupBy(F.col("user").alias("id")).agg(*[F.sum(F.col("_g") * F.col(f"v{c}")).alias(f"g{c}") for c in range(d)])
 
 
-def item_gradients(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, small_u=None, small_v=None, salts=None) -> DataFrame:
+def item_gradients(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, salts: DataFrame | None = None) -> DataFrame:
     """Sum over an app's samples of (s(u.v) - r) u."""
-    j = _joined(samples, U, V, d, small_u, small_v, salts)
+    j = _joined(samples, U, V, d, salts)
     return j.groupBy(F.col("app").alias("id")).agg(*[F.sum(F.col("_g") * F.col(f"u{c}")).alias(f"g{c}") for c in range(d)])
 
 
@@ -132,7 +129,7 @@ def apply_gradient(F0: DataFrame, G: DataFrame, d: int, eta: float, lam: float)
 
 def lmf_step(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, eta: float, lu: float, lv: float) -> tuple[DataFrame, DataFrame]:
     """One full-batch step: users first, then items against the new users."""
-    U1 = apply_gradient(U, user_gradients(samples, U, V, d), d, eta, lu)
+    U1 = cut_lineage(apply_gradient(U, user_gradients(samples, U, V, d), d, eta, lu))  # read twice: returned and below
     V1 = apply_gradient(V, item_gradients(samples, U1, V, d), d, eta, lv)
     return U1, V1
 
@@ -152,8 +149,7 @@ def prepare_samples(samples: DataFrame) -> DataFrame:
 
     Spreading by the pair, not by user, keeps a user who holds a third of all
     samples from landing in one task: per-user gradient sums are combined
-    map-side in every partition and only partial sums are shuffled. With the
-    (size-checked) factor tables broadcast, a step moves no sample at all.
+    map-side in every partition and only partial sums are shuffled.
     Lost cache blocks are rebuilt from the checkpoint with one shuffle.
     """
     base = cut_lineage(samples.select("user", "app", "r"))
@@ -192,7 +188,7 @@ def salted_samples(samples: DataFrame, bucket_rows: int = SALT_BUCKET_ROWS) -> t
 
 def train_lmf(pos: DataFrame, d: int = 5, rate: float = 1e-4, max_steps: int = 800, restarts: int = 6,
               stop_ratio: float = 1.001, monitor: str = "train", lam: float = 1e-4, seed: int = 42,
-              max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, bucket_rows: int = SALT_BUCKET_ROWS) -> LmfResult:
+              bucket_rows: int = SALT_BUCKET_ROWS) -> LmfResult:
     """M15..M17: full-batch gradient descent on the logistic loss.
 
     Each restart draws new negatives (seed + restart), starts from the same
@@ -201,12 +197,13 @@ def train_lmf(pos: DataFrame, d: int = 5, rate: float = 1e-4, max_steps: int = 8
     exceeds ``stop_ratio`` times the best. The restart with the least
     observed loss at its best snapshot wins.
     """
+    if monitor not in ("train", "observed"):
+        raise ValueError(f"monitor must be 'train' or 'observed', not {monitor!r}")
     p = pos.select("user", "app").distinct()
     U0 = cut_lineage(init_factors(p, "user", d, seed, "u"))
     V0 = cut_lineage(init_factors(p, "app", d, seed, "v"))
     m, n = U0.count(), V0.count()
     lu, lv = lam * math.sqrt(m), lam * math.sqrt(n)
-    small_u, small_v = is_small(U0, max_broadcast_rows), is_small(V0, max_broadcast_rows)  # same ids every step: check once
     history: list[dict] = []
     best = (None, None, math.inf, -1)
     samples = None
@@ -219,18 +216,18 @@ def train_lmf(pos: DataFrame, d: int = 5, rate: float = 1e-4, max_steps: int = 8
         snap, snap_loss = (U, V), math.inf
         for step in range(max_steps):
             obs = Observation(f"lmf_{rs}_{step}")
-            j = _joined(samples, U, V, d, small_u, small_v, salts).withColumn("_l", log_loss(F.col("r"), F.col("_p")))
+            j = _joined(samples, U, V, d, salts).withColumn("_l", log_loss(F.col("r"), F.col("_p")))
             j = j.observe(obs, F.avg("_l").alias("train"), F.avg(F.when(F.col("r") == 1.0, F.col("_l"))).alias("observed"))
             gu = j.groupBy(F.col("user").alias("id")).agg(*[F.sum(F.col("_g") * F.col(f"v{c}")).alias(f"g{c}") for c in range(d)])
             U1 = cut_lineage(apply_gradient(U, gu, d, eta, lu))
             met = obs.get
-            loss = float(met[monitor if monitor in met else "train"])
+            loss = float(met[monitor])
             history.append({"restart": rs, "step": step, "train_loss": float(met["train"]), "observed_loss": float(met["observed"])})
             if loss < snap_loss:
                 snap, snap_loss = (U, V), loss
             elif loss > stop_ratio * snap_loss:
                 break
-            V1 = cut_lineage(apply_gradient(V, item_gradients(samples, U1, V, d, small_u, small_v, salts), d, eta, lv))
+            V1 = cut_lineage(apply_gradient(V, item_gradients(samples, U1, V, d, salts), d, eta, lv))
             U, V = U1, V1
             eta /= 1.0001
         final = losses(positives, snap[0], snap[1], d).first()["observed_loss"]

@@ -1,50 +1,24 @@
-"""Join helpers shared by the operators."""
+"""Join helpers shared by the operators.
+
+No join here carries a broadcast hint: adaptive execution broadcasts a side once
+its measured bytes are below the session's threshold, at any input size.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows under which a dimension side (dictionary, id set) is broadcast.
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it holds at most ``max_rows`` rows.
-
-    The check is ``limit(max_rows + 1).count()``: it stops reading once the
-    bound is crossed, so it is cheap even on a big table. Above the bound the
-    frame is returned as is and the join shuffles (AQE may still convert it
-    at run time from measured sizes).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    """The size check behind every broadcast: at most ``max_rows`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def hinted(df: DataFrame, small: bool | None) -> DataFrame:
-    """Broadcast hint from a check already made (None: check now)."""
-    if small is None:
-        return broadcast_if_small(df)
-    return F.broadcast(df) if small else df
-
-
-def semi_join(df: DataFrame, keys: DataFrame, left_on: str, right_on: str | None = None, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def semi_join(df: DataFrame, keys: DataFrame, left_on: str, right_on: str | None = None) -> DataFrame:
     """``df`` rows whose ``left_on`` appears in ``keys`` (left semi join)."""
     right_on = right_on or left_on
     k = keys.select(F.col(right_on).alias("_k")).distinct()
-    k = broadcast_if_small(k, max_rows)
     return df.join(k, df[left_on] == k["_k"], "left_semi")
 
 
-def both_ends_in(edges: DataFrame, nodes: DataFrame, node_col: str = "node", src: str = "src", dst: str = "dst", max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def both_ends_in(edges: DataFrame, nodes: DataFrame, node_col: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:
     """Edges whose two endpoints both belong to ``nodes``."""
     k = nodes.select(F.col(node_col).alias("_k")).distinct()
-    k = broadcast_if_small(k, max_rows)
     out = edges.join(k, edges[src] == k["_k"], "left_semi")
     return out.join(k, out[dst] == k["_k"], "left_semi")
 
@@ -52,5 +26,5 @@ def both_ends_in(edges: DataFrame, nodes: DataFrame, node_col: str = "node", src
 def mirror(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Every edge in both directions (duplicates kept; callers dedupe)."""
     others = [c for c in edges.columns if c not in (src, dst)]
-    back = edges.select(F.col(dst).alias(src), F.col(src).alias(dst), *others)
-    return edges.select(src, dst, *others).unionByName(back)
+    ends = F.array(F.struct(F.col(src).alias(src), F.col(dst).alias(dst)), F.struct(F.col(dst).alias(src), F.col(src).alias(dst)))
+    return edges.select(*others, F.inline(ends)).select(src, dst, *others)

@@ -152,6 +152,23 @@ def _jaccard_group(k: int, fill: bool):
     return run
 
 
+def _cosines(xa: np.ndarray, xb: np.ndarray) -> np.ndarray:
+    """Cosines of all rows of ``xa`` with all rows of ``xb``; 0 where either is a zero vector.
+
+    Products are added up coordinate by coordinate. A blocked matmul adds them
+    in an order that follows the block's shape, and its last bits would then
+    decide between equal vectors before their ids do.
+    """
+    dot, na, nb = np.zeros((len(xa), len(xb))), np.zeros(len(xa)), np.zeros(len(xb))
+    for c in range(xa.shape[1]):
+        a, b = xa[:, c], xb[:, c]
+        dot += a[:, None] * b[None, :]
+        na += a * a
+        nb += b * b
+    scale = np.sqrt(na)[:, None] * np.sqrt(nb)[None, :]
+    return np.divide(dot, scale, out=np.zeros_like(dot), where=scale > 0)
+
+
 def _cosine_group(k: int, fill: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         gi, gj = int(pdf["_gi"].iat[0]), int(pdf["_gj"].iat[0])
@@ -161,10 +178,8 @@ def _cosine_group(k: int, fill: bool):
             return pd.DataFrame({"src": pdf["id"].iloc[:0], "dst": pdf["id"].iloc[:0], "score": pd.Series([], dtype="float64")})
         xa = np.vstack(a["vec"].to_numpy()).astype("float64")
         xb = np.vstack(b["vec"].to_numpy()).astype("float64")
-        na, nb = np.linalg.norm(xa, axis=1), np.linalg.norm(xb, axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            scores = (xa @ xb.T) / (na[:, None] * nb[None, :])
-        valid = np.isfinite(scores) if fill else np.isfinite(scores) & (scores > 0)
+        scores = _cosines(xa, xb)
+        valid = np.ones_like(scores, dtype=bool) if fill else scores > 0
         ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
         if gi == gj:
             np.fill_diagonal(valid, False)

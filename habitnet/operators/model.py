@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 
 from habitnet.functions.vectors import sign
 from habitnet.operators.factors import fnames, init_factors
-from habitnet.operators.joins import DEFAULT_BROADCAST_ROWS, hinted, is_small
 from habitnet.session import cut_lineage, partition_count
 
 ROW = ["i", "j", "t"]
@@ -41,7 +40,8 @@ ROW = ["i", "j", "t"]
 
 def exposure_terms(rows: DataFrame, links: DataFrame) -> DataFrame:
     """(i, j, t, user, w) with zero-weight terms dropped."""
-    deg = links.groupBy(*ROW).agg(F.count(F.lit(1)).alias("_n"))
+    # checkpointed: an aggregate right below the join would keep AQE from splitting a hub's row
+    deg = cut_lineage(links.groupBy(*ROW).agg(F.count(F.lit(1)).alias("_n")))
     own = rows.select(*ROW, F.col("i").alias("user"), F.col("m0").cast("double").alias("w"))
     nb = (
         links.where(F.col("ml0") != 0)
@@ -72,8 +72,7 @@ def salt_terms(terms: DataFrame, bucket_rows: int = 200_000) -> tuple[DataFrame,
     A user with n terms gets ceil(n / bucket_rows) buckets (``_salt`` from a
     hash of the row key); terms are checkpointed and cached by (user, _salt),
     and ``salts`` (user, _ns) tells the factor join how many copies of each
-    user's factor row to send. Used when the factor table is too big to
-    broadcast: then a prediction pass moves factor rows, not terms.
+    user's factor row to send: a prediction pass moves factor rows, not terms.
     """
     base = cut_lineage(terms.select(*ROW, "user", "w"))
     n = partition_count(terms.sparkSession, base.count())
@@ -85,22 +84,22 @@ def salt_terms(terms: DataFrame, bucket_rows: int = 200_000) -> tuple[DataFrame,
     return out, salts
 
 
-def row_vectors(terms: DataFrame, U: DataFrame, d: int, small_u: bool | None = None, salts: DataFrame | None = None) -> DataFrame:
+def row_vectors(terms: DataFrame, U: DataFrame, d: int, salts: DataFrame | None = None) -> DataFrame:
     """x_r per row: sum over terms of w * u_user."""
     u = U.select(F.col("id").alias("user"), *fnames(d))
-    if salts is not None and small_u is False:
+    if salts is not None:
         us = u.join(salts, "user").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1))).drop("_ns")
         j = terms.join(us, ["user", "_salt"])
     else:
-        j = terms.join(hinted(u, small_u), "user")
+        j = terms.join(u, "user")
     return j.groupBy(*ROW).agg(*[F.sum(F.col("w") * F.col(f"f{c}")).alias(f"x{c}") for c in range(d)])
 
 
 def predictions(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int,
-                small_u: bool | None = None, small_v: bool | None = None, salts: DataFrame | None = None) -> DataFrame:
+                salts: DataFrame | None = None) -> DataFrame:
     """(i, j, t, m1, x0.., p, e) for every row (rows without terms predict 0)."""
-    x = row_vectors(terms, U, d, small_u, salts)
-    v = hinted(V.select(F.col("id").alias("j"), *[F.col(f"f{c}").alias(f"v{c}") for c in range(d)]), small_v)
+    x = row_vectors(terms, U, d, salts)
+    v = V.select(F.col("id").alias("j"), *[F.col(f"f{c}").alias(f"v{c}") for c in range(d)])
     out = rows.select(*ROW, "m1").join(x, ROW, "left").join(v, "j", "left")
     xs = [F.coalesce(F.col(f"x{c}"), F.lit(0.0)) for c in range(d)]
     p = xs[0] * F.col("v0")
@@ -111,9 +110,9 @@ def predictions(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d
     )
 
 
-def rmse(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, small_u=None, small_v=None, salts=None) -> DataFrame:
+def rmse(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, salts: DataFrame | None = None) -> DataFrame:
     """One row with the root mean squared error."""
-    return predictions(rows, terms, U, V, d, small_u, small_v, salts).agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"))
+    return predictions(rows, terms, U, V, d, salts).agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"))
 
 
 def _newton_update(F0: DataFrame, stats: DataFrame, c: int, lam: float) -> DataFrame:
@@ -128,11 +127,11 @@ def _newton_update(F0: DataFrame, stats: DataFrame, c: int, lam: float) -> DataF
 
 
 def newton_user_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, lam: float,
-                     small_u: bool | None = None, small_v: bool | None = None, preds: DataFrame | None = None) -> DataFrame:
+                     preds: DataFrame | None = None) -> DataFrame:
     """One Newton coordinate step on every user at coordinate ``c``.
 
     ``preds`` may carry the predictions at (U, V) already computed this epoch."""
-    pr = preds if preds is not None else predictions(rows, terms, U, V, d, small_u, small_v)
+    pr = preds if preds is not None else predictions(rows, terms, U, V, d)
     pr = pr.select(*ROW, "e", F.col(f"v{c}").alias("_vc"))
     a = F.col("w") * F.col("_vc")
     stats = terms.join(pr, ROW).groupBy(F.col("user").alias("id")).agg(
@@ -142,9 +141,9 @@ def newton_user_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFra
 
 
 def newton_item_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, lam: float,
-                     small_u: bool | None = None, small_v: bool | None = None, salts: DataFrame | None = None) -> DataFrame:
+                     salts: DataFrame | None = None) -> DataFrame:
     """One Newton coordinate step on every app at coordinate ``c``."""
-    pr = predictions(rows, terms, U, V, d, small_u, small_v, salts)
+    pr = predictions(rows, terms, U, V, d, salts)
     a = F.col(f"x{c}")
     stats = pr.groupBy(F.col("j").alias("id")).agg(F.sum(a * a).alias("_A"), F.sum(a * F.col("e")).alias("_B"))
     return _newton_update(V, stats, c, lam)
@@ -159,18 +158,18 @@ def _gd_update(F0: DataFrame, grad: DataFrame, c: int, rate: float, lam: float,
 
 
 def gd_user_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, rate: float, lam: float, n_rows: int,
-                 small_u: bool | None = None, small_v: bool | None = None, preds: DataFrame | None = None) -> DataFrame:
+                     preds: DataFrame | None = None) -> DataFrame:
     """First-order step on users: g = sum e_r * w * v_j[c] / n_rows."""
-    pr = preds if preds is not None else predictions(rows, terms, U, V, d, small_u, small_v)
+    pr = preds if preds is not None else predictions(rows, terms, U, V, d)
     pr = pr.select(*ROW, "e", F.col(f"v{c}").alias("_vc"))
     g = terms.join(pr, ROW).groupBy(F.col("user").alias("id")).agg(F.sum(F.col("e") * F.col("w") * F.col("_vc")).alias("_g"))
     return _gd_update(U, g, c, rate, lam, n_rows)
 
 
 def gd_item_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, rate: float, lam: float, n_rows: int,
-                 small_u: bool | None = None, small_v: bool | None = None, salts: DataFrame | None = None) -> DataFrame:
+                     salts: DataFrame | None = None) -> DataFrame:
     """First-order step on apps: g = sum e_r * x_r[c] / n_rows."""
-    pr = predictions(rows, terms, U, V, d, small_u, small_v, salts)
+    pr = predictions(rows, terms, U, V, d, salts)
     g = pr.groupBy(F.col("j").alias("id")).agg(F.sum(F.col("e") * F.col(f"x{c}")).alias("_g"))
     return _gd_update(V, g, c, rate, lam, n_rows)
 
@@ -201,19 +200,18 @@ def model_factors(rows: DataFrame, d: int, seed: int) -> tuple[DataFrame, DataFr
 def train_fold(train_rows: DataFrame, train_terms: DataFrame, valid_rows: DataFrame, valid_terms: DataFrame,
                U0: DataFrame, V0: DataFrame, d: int, lu: float, lv: float, max_epochs: int = 21,
                stop_ratio: float = 1.01, solver: str = "newton", rate: float = 0.5, seed: int = 42, fold: int = 0,
-               salts: DataFrame | None = None, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> FoldResult:
+               salts: DataFrame | None = None) -> FoldResult:
     """M25 for one fold: epochs of one coordinate each; keep the best validation
     RMSE and stop once it reaches ``stop_ratio`` times the best."""
     res = FoldResult(fold, math.inf)
     U, V, last = U0, V0, -1
-    small_u, small_v = is_small(U0, max_broadcast_rows), is_small(V0, max_broadcast_rows)  # same ids every epoch: check once
     n_train = train_rows.count() if solver == "gd" else 0
     for epoch in range(max_epochs):
         # train predictions at (U, V) serve both the train RMSE and the user
         # step: written once per epoch (rows-sized), the terms pass runs once
-        preds = cut_lineage(predictions(train_rows, train_terms, U, V, d, small_u, small_v, salts))
+        preds = cut_lineage(predictions(train_rows, train_terms, U, V, d, salts))
         tr = preds.agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse")).withColumn("part", F.lit("train"))
-        va = rmse(valid_rows, valid_terms, U, V, d, small_u, small_v, salts).withColumn("part", F.lit("valid"))
+        va = rmse(valid_rows, valid_terms, U, V, d, salts).withColumn("part", F.lit("valid"))
         got = {r["part"]: r["rmse"] for r in tr.unionByName(va).collect()}  # two rows
         res.epochs.append({"fold": fold, "epoch": epoch, "train_rmse": got.get("train"), "valid_rmse": got.get("valid")})
         v = got.get("valid")
@@ -225,23 +223,23 @@ def train_fold(train_rows: DataFrame, train_terms: DataFrame, valid_rows: DataFr
         c = next_coordinate(d, last, seed, fold, epoch)
         last = c
         if solver == "gd":
-            U = cut_lineage(gd_user_step(train_rows, train_terms, U, V, d, c, rate, lu, n_train, small_u, small_v, preds))
-            V = cut_lineage(gd_item_step(train_rows, train_terms, U, V, d, c, rate, lv, n_train, small_u, small_v, salts))
+            U = cut_lineage(gd_user_step(train_rows, train_terms, U, V, d, c, rate, lu, n_train, preds))
+            V = cut_lineage(gd_item_step(train_rows, train_terms, U, V, d, c, rate, lv, n_train, salts))
         else:
-            U = cut_lineage(newton_user_step(train_rows, train_terms, U, V, d, c, lu, small_u, small_v, preds))
-            V = cut_lineage(newton_item_step(train_rows, train_terms, U, V, d, c, lv, small_u, small_v, salts))
+            U = cut_lineage(newton_user_step(train_rows, train_terms, U, V, d, c, lu, preds))
+            V = cut_lineage(newton_item_step(train_rows, train_terms, U, V, d, c, lv, salts))
     return res
 
 
 def cross_validate(rows: DataFrame, links: DataFrame, folds_days: DataFrame, d: int = 7, max_epochs: int = 21,
                    seed: int = 42, lam: float = 1e-4, solver: str = "newton", rate: float = 0.5,
-                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, bucket_rows: int = 200_000) -> tuple[DataFrame, list[dict]]:
+                   bucket_rows: int = 200_000) -> tuple[DataFrame, list[dict]]:
     """Repeated day hold-out. ``folds_days`` is (fold, day, is_train)
     from ``holdout_days``. Returns a frame (fold, best_rmse) and the epoch log;
     the reported score is the least fold RMSE (the mean is given too)."""
     spark = rows.sparkSession
     rows = prepare(rows.select(*ROW, "m0", "m1"))
-    terms, salts = salt_terms(exposure_terms(rows, links), bucket_rows)
+    terms, salts = salt_terms(exposure_terms(rows, cut_lineage(links)), bucket_rows)  # the links are read twice
     U0, V0 = model_factors(rows, d, seed)
     U0, V0 = cut_lineage(U0), cut_lineage(V0)
     lu, lv = lam * math.sqrt(U0.count()), lam * math.sqrt(V0.count())
@@ -254,7 +252,7 @@ def cross_validate(rows: DataFrame, links: DataFrame, folds_days: DataFrame, d:
         tr_rows, va_rows = rows.join(tr_days, "t", "left_semi"), rows.join(va_days, "t", "left_semi")
         tr_terms, va_terms = terms.join(tr_days, "t", "left_semi"), terms.join(va_days, "t", "left_semi")
         r = train_fold(tr_rows, tr_terms, va_rows, va_terms, U0, V0, d, lu, lv, max_epochs, solver=solver, rate=rate,
-                       seed=seed, fold=fold, salts=salts, max_broadcast_rows=max_broadcast_rows)
+                       seed=seed, fold=fold, salts=salts)
         out.append((fold, r.best_rmse))
         log.extend(r.epochs)
     rows.unpersist()

@@ -13,26 +13,23 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from habitnet.functions.text import epoch_to_day
-from habitnet.operators.joins import broadcast_if_small, semi_join
+from habitnet.operators.joins import semi_join
+from habitnet.session import cut_lineage
 
 
-def match_apps(log: DataFrame, host_app: DataFrame, host: str = "host", url: str = "url", max_rows: int = 2_000_000) -> DataFrame:
+def match_apps(log: DataFrame, host_app: DataFrame, host: str = "host", url: str = "url") -> DataFrame:
     """App by host, else by url; rows matching neither are dropped.
 
-    ``host_app`` has one row per key (see ``read_host_app``). It is broadcast
-    only after a size check; otherwise two shuffled left joins run and AQE
-    splits a hot host's partition.
+    ``host_app`` has one row per key (see ``read_host_app``). It is checkpointed
+    first, so that both sides of each join come from an exchange and AQE can
+    split a hot host's partition; only lines that no host matched meet the urls.
     """
-    d = broadcast_if_small(host_app.select(F.col("host").alias("_key"), F.col("app").alias("_app")), max_rows)
-    by_host = d.select(F.col("_key").alias("_hk"), F.col("_app").alias("_app_h"))
-    by_url = d.select(F.col("_key").alias("_uk"), F.col("_app").alias("_app_u"))
-    out = (
-        log.join(by_host, log[host] == by_host["_hk"], "left")
-        .join(by_url, F.col(url) == by_url["_uk"], "left")
-        .withColumn("app", F.coalesce("_app_h", "_app_u"))
-        .drop("_hk", "_uk", "_app_h", "_app_u")
-    )
-    return out.where(F.col("app").isNotNull())
+    d = cut_lineage(host_app.select(F.col("host").alias("_key"), F.col("app").alias("_app")))
+    seen = cut_lineage(log.join(d, log[host] == d["_key"], "left").drop("_key"))
+    by_host = seen.where(F.col("_app").isNotNull()).withColumnRenamed("_app", "app")
+    rest = seen.where(F.col("_app").isNull()).drop("_app")
+    by_url = rest.join(d, F.col(url) == d["_key"]).drop("_key").withColumnRenamed("_app", "app")
+    return by_host.unionByName(by_url)
 
 
 def count_usage(rows: DataFrame, user: str = "user", day: str = "day", app: str = "app") -> DataFrame:
@@ -108,7 +105,7 @@ def popular_apps(usage: DataFrame, min_users: int = 10) -> DataFrame:
 def involved_usage(usage: DataFrame, users: DataFrame | None = None, min_users: int = 10, user_col: str = "user") -> DataFrame:
     """M8: usage of the given users (P10), restricted to apps popular among
     them (P8); users left with no app disappear with their rows (P9)."""
-    u = usage if users is None else semi_join(usage, users, "user", user_col)
+    u = cut_lineage(usage if users is None else semi_join(usage, users, "user", user_col))  # read twice below
     apps = popular_apps(u, min_users).select("app")
     return semi_join(u, apps, "app")
 
@@ -128,7 +125,7 @@ def split_by_day(usage: DataFrame, train_until: str, test_from: str, day: str =
     """Label rows 'train' (day <= train_until) or 'test' (day >= test_from);
     the gap between the two is dropped."""
     d = F.col(day)
-    part = F.when(d <= F.lit(train_until).cast("date"), F.lit("train")).when(
-        d >= F.lit(test_from).cast("date"), F.lit("test")
-    )
-    return usage.withColumn("part", part).where(F.col("part").isNotNull())
+    until, since = F.lit(train_until).cast("date"), F.lit(test_from).cast("date")
+    # the bounds first, as plain comparisons: they reach the scan
+    kept = usage.where((d <= until) | (d >= since))
+    return kept.withColumn("part", F.when(d <= until, F.lit("train")).otherwise(F.lit("test")))

@@ -14,6 +14,8 @@ starts from a lineage-free scan.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +32,12 @@ from habitnet.sources import logs
 from habitnet.sources.codecs import materialize
 
 
-def _p(base: str, *parts: str) -> str:
+def _p(base: str, *parts: str, **parameters) -> str:
+    """A folder below ``base``, its last part followed by a hash of ``parameters`` (if any),
+    so that a call with other parameters never reads what these built."""
+    if parameters:
+        code = hashlib.md5(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:12]
+        parts = (*parts[:-1], f"{parts[-1]}-{code}")
     return "/".join([base.rstrip("/"), *parts])
 
 
@@ -40,7 +47,7 @@ def usage_job(spark: SparkSession, base: str, log_paths: Iterable[str], host_app
         log = logs.read_web_log(spark, list(log_paths))
         return us.format_usage(log, logs.read_host_app(spark, host_app_path), before)
 
-    return materialize(spark, _p(base, "usage"), build)
+    return materialize(spark, _p(base, "usage", before=before), build)
 
 
 def graph_job(spark: SparkSession, base: str, usage: DataFrame, voice_paths: Iterable[str], sms_paths: Iterable[str],
@@ -59,14 +66,15 @@ def graph_job(spark: SparkSession, base: str, usage: DataFrame, voice_paths: Ite
     comps = materialize(spark, _p(base, tag, "components"), lambda: cc.connected_components(contacts))
     largest = materialize(spark, _p(base, tag, "largest"), lambda: cc.largest_component(comps))
     subgraph = materialize(spark, _p(base, tag, "subgraph"), lambda: cc.induced_subgraph(contacts, largest))
-    involved = materialize(spark, _p(base, tag, "involved"), lambda: us.involved_usage(
+    involved = materialize(spark, _p(base, tag, "involved", min_users=min_users), lambda: us.involved_usage(
         usage, largest.select(F.col("node").alias("user")), min_users))
-    factors = materialize(spark, _p(base, tag, f"lmf_{rank}"), lambda: fa.factors_as_arrays(
+    lmf = {"min_users": min_users, "rank": rank, "steps": lmf_steps, "restarts": lmf_restarts, "seed": seed}
+    factors = materialize(spark, _p(base, tag, f"lmf_{rank}", **lmf), lambda: fa.factors_as_arrays(
         fa.train_lmf(involved, rank, 1e-4, lmf_steps, lmf_restarts, seed=seed).users, rank))
     out = {"contacts": contacts, "components": comps, "largest": largest, "subgraph": subgraph, "involved": involved, "factors": factors}
     for k in ks:
-        out[f"direct_{k}"] = materialize(spark, _p(base, tag, f"direct_{k}"), lambda k=k: knn.direct_graph(involved, k))
-        out[f"improved_{k}"] = materialize(spark, _p(base, tag, f"improved_{k}"), lambda k=k: knn.improved_graph(factors, k))
+        out[f"direct_{k}"] = materialize(spark, _p(base, tag, f"direct_{k}", min_users=min_users), lambda k=k: knn.direct_graph(involved, k))
+        out[f"improved_{k}"] = materialize(spark, _p(base, tag, f"improved_{k}", **lmf), lambda k=k: knn.improved_graph(factors, k))
     return out
 
 
@@ -80,7 +88,8 @@ def model_job(spark: SparkSession, base: str, usage: DataFrame, graphs: dict[str
     ``train_until`` only days up to it are scored (the later part is the
     held-out test period).
     """
-    state = materialize(spark, _p(base, "model", "state"), lambda: ex.model_usage(usage, users, min_users))
+    who = users.agg(F.bit_xor(F.xxhash64("user")), F.count("user")).first()
+    state = materialize(spark, _p(base, "model", "state", min_users=min_users, users=list(who)), lambda: ex.model_usage(usage, users, min_users))
     split = state if train_until is None else state.where(F.col("day") <= F.lit(train_until).cast("date"))
     cal = ex.calendar(state.select("day"), max_gap=max_gap)
     results = None

@@ -14,7 +14,7 @@ _VALID = """(SELECT 'c' || c_custkey AS u FROM customer WHERE c_acctbal >= 0
  UNION SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal >= 0)"""
 
 _RECORDS = f"""(SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst,
- CAST(l_quantity * 1000 AS BIGINT) AS dur, l_linestatus AS flag, l_quantity, l_returnflag FROM {_ORDER_LINES})"""
+ CAST(l_quantity * 1000 AS BIGINT) AS dur, l_linestatus AS flag FROM {_ORDER_LINES})"""
 
 _VOICE = f"""WITH r AS (SELECT src, dst FROM {_RECORDS} WHERE dur >= 50000
   AND src IN (SELECT u FROM {_VALID}) AND dst IN (SELECT u FROM {_VALID}))
@@ -25,8 +25,9 @@ _MUTUAL = f"""WITH r AS (SELECT src, dst, flag FROM {_RECORDS}
 b AS (SELECT src, dst, flag FROM r UNION ALL SELECT dst, src, flag FROM r)
 SELECT src, dst FROM b GROUP BY src, dst HAVING COUNT(DISTINCT flag) = 2"""
 
-_COMPONENTS = f"""WITH RECURSIVE e AS (
-  SELECT DISTINCT src AS a, dst AS b FROM {_RECORDS} WHERE l_quantity >= 50 AND l_returnflag = 'R'),
+_CONTACTS = f"(({_VOICE}) UNION ({_MUTUAL}))"
+
+_COMPONENTS = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src AS a, dst AS b FROM {_CONTACTS}),
 und AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 nodes AS (SELECT a AS node FROM e UNION SELECT b FROM e),
 reach(node, r) AS (
@@ -44,10 +45,13 @@ top AS (SELECT component FROM s ORDER BY size DESC, component LIMIT 1)
 SELECT node, component FROM c WHERE component IN (SELECT component FROM top)"""
 
 
-def _jaccard_topk(line_filter: str, k: int, fill: bool) -> str:
-    where = f"WHERE {line_filter}" if line_filter else ""
+_BOUGHT = f"SELECT DISTINCT o_custkey AS u, l_partkey AS a FROM {_ORDER_LINES}"
+_ORDER_DAYS = "SELECT DISTINCT o_custkey AS u, CAST(o_orderdate AS DATE) AS a FROM orders"
+
+
+def _jaccard_topk(pairs: str, k: int, fill: bool) -> str:
     pair_join = "JOIN" if not fill else "LEFT JOIN"
-    return f"""WITH p AS (SELECT DISTINCT o_custkey AS u, l_partkey AS a FROM {_ORDER_LINES} {where}),
+    return f"""WITH p AS ({pairs}),
 d AS (SELECT u, COUNT(*) AS n FROM p GROUP BY u),
 o AS (SELECT p1.u AS src, p2.u AS dst, COUNT(*) AS ov FROM p p1 JOIN p p2 ON p1.a = p2.a AND p1.u <> p2.u GROUP BY ALL),
 s AS (SELECT d1.u AS src, d2.u AS dst,
@@ -219,6 +223,14 @@ FU1 AS ({_upd('FU', 'GRAD', 0, _LU, f"CASE WHEN S.g IS NOT NULL THEN FU.f0 - 0.5
 {_round_cols('FU1')}"""
 
 
+def _gd_item() -> str:
+    n = "(SELECT COUNT(*) FROM r)"
+    return f"""{_model_ctes()},
+GRAD AS (SELECT j AS id, SUM(e * x0) AS g FROM P GROUP BY j),
+FV1 AS ({_upd('FV', 'GRAD', 0, _LV, f"CASE WHEN S.g IS NOT NULL THEN FV.f0 - 0.5 * (S.g / {n} + {_LV} * sign(FV.f0)) ELSE FV.f0 END")})
+{_round_cols('FV1')}"""
+
+
 SQL: dict[str, str] = {
     "usage_daily": _USAGE,
     "usage_text_parse": f"""SELECT CAST(o_custkey AS VARCHAR) AS "user", CAST(o_orderdate AS DATE) AS day,
@@ -254,6 +266,11 @@ SELECT "user", COUNT(DISTINCT app) AS n_apps FROM u WHERE app IN (SELECT app FRO
 SELECT "user", string_agg(CAST(app AS VARCHAR), ',' ORDER BY app) AS apps, COUNT(*) AS n_apps FROM p GROUP BY "user\"""",
     "app_sets_text": f"""WITH p AS (SELECT DISTINCT "user", app FROM ({_USAGE}))
 SELECT "user" || '|' || string_agg(CAST(app AS VARCHAR), ',' ORDER BY app) AS value FROM p GROUP BY "user\"""",
+    "app_sets_decoded": f"""SELECT DISTINCT "user", app FROM ({_USAGE})""",
+    "voice_text_parse": f"""SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst, CAST(o_orderdate AS DATE) AS day,
+  COUNT(*) AS calls, CAST(SUM(CAST(l_quantity * 1000 AS BIGINT)) AS BIGINT) AS dur FROM {_ORDER_LINES} GROUP BY ALL""",
+    "sms_text_parse": f"""SELECT src, dst, CAST(CASE WHEN flag = 'O' THEN 1 ELSE 0 END AS BIGINT) AS flag, COUNT(*) AS messages
+FROM {_RECORDS} GROUP BY ALL""",
     "voice_contacts": _VOICE,
     "mutual_contacts": _MUTUAL,
     "contact_graph": f"({_VOICE}) UNION ({_MUTUAL})",
@@ -261,24 +278,23 @@ SELECT "user" || '|' || string_agg(CAST(app AS VARCHAR), ',' ORDER BY app) AS va
     "component_sizes_top10": _TOP10,
     "largest_component": _LARGEST,
     "induced_subgraph": f"""WITH l AS ({_LARGEST}),
-e AS (SELECT DISTINCT src AS a, dst AS b FROM {_RECORDS} WHERE l_quantity >= 50 AND l_returnflag = 'R'),
-m AS (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e)
+m AS {_CONTACTS}
 SELECT src, dst FROM m WHERE src IN (SELECT node FROM l) AND dst IN (SELECT node FROM l)""",
     "node_index": f"""SELECT node, ROW_NUMBER() OVER (ORDER BY node) - 1 AS idx FROM ({_LARGEST})""",
     "node_index_text": f"""SELECT node || ',' || (ROW_NUMBER() OVER (ORDER BY node) - 1) AS value FROM ({_LARGEST})""",
+    "node_index_decoded": f"""SELECT node, ROW_NUMBER() OVER (ORDER BY node) - 1 AS idx FROM ({_LARGEST})""",
     "recoded_subgraph": f"""WITH l AS ({_LARGEST}),
 ix AS (SELECT node, ROW_NUMBER() OVER (ORDER BY node) - 1 AS idx FROM l),
-e AS (SELECT DISTINCT src AS a, dst AS b FROM {_RECORDS} WHERE l_quantity >= 50 AND l_returnflag = 'R'),
-m AS (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e)
+m AS {_CONTACTS}
 SELECT s.idx AS src, d.idx AS dst FROM m JOIN ix s ON s.node = m.src JOIN ix d ON d.node = m.dst""",
-    "direct_knn_topk": _jaccard_topk("", 10, True),
-    "direct_knn_graph": _sym(_jaccard_topk("", 10, True)),
-    "direct_knn_filled": _jaccard_topk("l_quantity >= 48", 5, True),
-    "direct_knn_positive": _jaccard_topk("l_quantity >= 48", 5, False),
+    "direct_knn_topk": _jaccard_topk(_BOUGHT, 10, True),
+    "direct_knn_graph": _sym(_jaccard_topk(_BOUGHT, 10, True)),
+    "direct_knn_filled": _jaccard_topk(_ORDER_DAYS, 10, True),
+    "direct_knn_positive": _jaccard_topk(_ORDER_DAYS, 10, False),
     "cosine_knn_topk": _COSINE,
     "cosine_knn_graph": _sym(_COSINE),
     "combined_graph": f"""({_VOICE}) UNION ({_MUTUAL}) UNION
-SELECT 'c' || src, 'c' || dst FROM ({_sym(_jaccard_topk("", 10, True))})""",
+SELECT 'c' || src, 'c' || dst FROM ({_sym(_jaccard_topk(_BOUGHT, 10, True))})""",
     "calendar_next_day": f"""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders),
 n AS (SELECT day, LEAD(day) OVER (ORDER BY day) AS nx FROM d)
 SELECT day, CASE WHEN datediff('day', day, nx) <= 2 THEN nx END AS next_day FROM n""",
@@ -320,4 +336,7 @@ SELECT ROUND(AVG({_LOSS}), 8) AS train_loss, ROUND(AVG(CASE WHEN r = 1.0 THEN {_
     "newton_user_step": f"{_model_ctes()}, {_NEWTON_U} {_round_cols('FU1')}",
     "newton_item_step": _newton_item(),
     "gd_user_step": _gd_user(),
+    "gd_item_step": _gd_item(),
 }
+SQL["exposure_decoded"] = SQL["exposure_rows"]
+SQL["factors_decoded"] = SQL["factor_init"]

@@ -21,11 +21,20 @@ from habitnet.operators import model as md
 from habitnet.functions import vectors as vx
 from habitnet.operators import knn
 from habitnet.operators import usage as us
-from habitnet.operators.joins import mirror
 from habitnet.session import cut_lineage
 from habitnet.sources import tables as tb
-from habitnet.sources.codecs import app_sets_to_text, exposure_to_text, index_to_text
-from habitnet.sources.logs import parse_web_log
+from habitnet.functions.text import day_text_to_date, epoch_to_day_text
+from habitnet.sources.codecs import (
+    app_sets_from_text,
+    app_sets_to_text,
+    exposure_from_text,
+    exposure_to_text,
+    factors_from_text,
+    factors_to_text,
+    index_from_text,
+    index_to_text,
+)
+from habitnet.sources.logs import parse_sms_log, parse_voice_log, parse_web_log
 
 # ---- fixed query parameters --------------------------------------------------------------
 DAY_BOUND = "1998-01-01"          # P5 upper bound (exclusive)
@@ -33,10 +42,8 @@ TRAIN_UNTIL = "1997-06-30"        # P11 train part: day <= this
 TEST_FROM = "1997-08-01"          # P11 test part: day >= this
 POPULAR_MIN_USERS = 30            # P8 bound for the popularity queries
 CONTACT_MIN_SEC = 50              # M1 duration bound (l_quantity seconds)
-COMPONENT_FILTER = "l_quantity >= 50 AND l_returnflag = 'R'"
 KNN_K = 10                        # neighbours per user (the combined graph uses 10)
-SPARSE_FILTER = "l_quantity >= 48"  # sparse usage: users with few positive neighbours
-SPARSE_K = 5
+SPARSE_K = 10                     # order-day usage: users with few positive neighbours
 CALENDAR_MAX_GAP = 2              # order days: bridge one missing day
 MODEL_MIN_USERS = 10              # P8 bound of the exposure model (inclusive)
 HOLDOUT_FOLDS = 3
@@ -142,6 +149,13 @@ def app_sets_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return app_sets_to_text(us.user_app_sets(_usage(spark, sf_dir)))
 
 
+def app_sets_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S10 read half: the lines of ``app_sets_text`` parsed, one row per user and app."""
+    sets = app_sets_from_text(app_sets_text(spark, sf_dir))
+    each = sets.select("user", F.explode("apps").alias("app"))
+    return each.select(F.col("user").cast("bigint").alias("user"), F.col("app").cast("bigint").alias("app"))
+
+
 # ---- contacts and components -------------------------------------------------------------
 
 def voice_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +173,8 @@ def contact_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _component_edges(spark, sf_dir) -> DataFrame:
-    return tb.contact_records(spark, sf_dir, F.expr(COMPONENT_FILTER)).select("src", "dst").distinct()
+    """The contact graph (M3), as in the job chain; written once, as it is read several times."""
+    return cut_lineage(contact_graph(spark, sf_dir))
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,8 +191,8 @@ def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = mirror(_component_edges(spark, sf_dir)).distinct()
-    return cc.induced_subgraph(edges, largest_component(spark, sf_dir))
+    edges = _component_edges(spark, sf_dir)
+    return cc.induced_subgraph(edges, cc.largest_component(cc.connected_components(edges)))
 
 
 def node_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,12 +204,39 @@ def node_index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_to_text(node_index(spark, sf_dir), "node", "idx")
 
 
+def node_index_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S12 read half: the lines of ``node_index_text`` parsed."""
+    return index_from_text(node_index_text(spark, sf_dir), "node", "idx")
+
+
 def recoded_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest component's edges with node ids recoded to the node index."""
-    comps = cut_lineage(components(spark, sf_dir))
-    largest = cc.largest_component(comps)
-    edges = cc.induced_subgraph(mirror(_component_edges(spark, sf_dir)).distinct(), largest)
-    return cc.recode_edges(edges, cc.consecutive_index(largest, "node"))
+    edges = _component_edges(spark, sf_dir)
+    largest = cut_lineage(cc.largest_component(cc.connected_components(edges)))
+    return cc.recode_edges(cc.induced_subgraph(edges, largest), cc.consecutive_index(largest, "node"))
+
+
+def _record_lines(spark, sf_dir, *fields) -> DataFrame:
+    """Contact records as '|' lines; ``fields`` are the columns or fillers after the second."""
+    filler = F.lit("-")
+    parts = [F.col(c).cast("string") if c else filler for c in ("sec", "src", *fields)]
+    return tb.contact_records(spark, sf_dir).select(F.concat_ws("|", *parts).alias("value"))
+
+
+def voice_text_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call lines parsed and counted by pair and day text."""
+    log = parse_voice_log(_record_lines(spark, sf_dir, None, None, None, "dst", None, None, "dur"))
+    per_day = log.groupBy("src", "dst", epoch_to_day_text(F.col("sec")).alias("day"))
+    return per_day.agg(F.count(F.lit(1)).alias("calls"), F.sum("dur").alias("dur")).withColumn("day", day_text_to_date(F.col("day")))
+
+
+def sms_text_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Message lines (flag O as 1, F as 0) parsed and counted by pair and flag."""
+    records = tb.contact_records(spark, sf_dir).withColumn("flag", F.when(F.col("flag") == "O", 1).otherwise(0))
+    filler = F.lit("-")
+    line = F.concat_ws("|", F.col("sec").cast("string"), "src", filler, filler, filler, "dst", filler, F.col("flag").cast("string"))
+    log = parse_sms_log(records.select(line.alias("value")))
+    return log.groupBy("src", "dst", "flag").agg(F.count(F.lit(1)).alias("messages"))
 
 
 # ---- kNN graphs ------------------------------------------------------------------------------
@@ -211,12 +253,17 @@ def direct_knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.direct_graph(tb.usage_log(spark, sf_dir), KNN_K, fill=True)
 
 
+def _order_days(spark, sf_dir) -> DataFrame:
+    """A sparse usage table of all orders: the order's day stands for the app."""
+    return tb.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user"), F.to_date("o_orderdate").alias("app"))
+
+
 def direct_knn_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(knn.jaccard_topk(tb.usage_log(spark, sf_dir, F.expr(SPARSE_FILTER)), SPARSE_K, fill=True))
+    return _scored(knn.jaccard_topk(_order_days(spark, sf_dir), SPARSE_K, fill=True))
 
 
 def direct_knn_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(knn.jaccard_topk(tb.usage_log(spark, sf_dir, F.expr(SPARSE_FILTER)), SPARSE_K, fill=False))
+    return _scored(knn.jaccard_topk(_order_days(spark, sf_dir), SPARSE_K, fill=False))
 
 
 def _embeddings(spark, sf_dir) -> DataFrame:
@@ -274,6 +321,13 @@ def exposure_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exposure_to_text(ex.exposure_rows(state, state, graph, cal))
 
 
+def exposure_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S13 read half: the lines of ``exposure_text`` parsed, neighbours counted."""
+    rows = exposure_from_text(exposure_text(spark, sf_dir), "bigint", "string")
+    total = F.aggregate("ni", F.lit(0).cast("bigint"), lambda s, x: s + x["ml0"])
+    return rows.select("i", "j", "t", "m0", "m1", F.size("ni").cast("bigint").alias("n_nbrs"), total.alias("sum_ml0"))
+
+
 def holdout_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = tb.events_state(spark, sf_dir).select("day")
     return ex.holdout_days(days, HOLDOUT_FOLDS, 0.8, HOLDOUT_SEED)
@@ -302,6 +356,14 @@ def factor_init(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(f, fa.fnames(LMF_RANK), 9)
 
 
+def factors_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Initial user factors written as text lines and parsed again."""
+    f = fa.factors_as_arrays(fa.init_factors(_positives(spark, sf_dir), "user", LMF_RANK, LMF_SEED, "u"), LMF_RANK)
+    back = factors_from_text(factors_to_text(f))
+    cols = [F.round(F.col("factor")[c], 9).alias(f"f{c}") for c in range(LMF_RANK)]
+    return back.select(F.col("id").cast("bigint").alias("id"), *cols)
+
+
 def vector_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tb.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     total = lambda a: F.aggregate(a, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
@@ -399,6 +461,12 @@ def gd_user_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(U1, fa.fnames(MODEL_RANK), 8)
 
 
+def gd_item_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, terms, U, V, _, lv = _model_inputs(spark, sf_dir)
+    V1 = md.gd_item_step(rows, terms, U, V, MODEL_RANK, 0, MODEL_GD_RATE, lv, rows.count())
+    return _rounded(V1, fa.fnames(MODEL_RANK), 8)
+
+
 def exposure_model_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     state, cal, graph = _events_model(spark, sf_dir)
     rows, links = ex.exposure_long(state, state, graph, cal)
@@ -427,6 +495,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "involved_users": involved_users,
     "user_app_sets": user_app_sets,
     "app_sets_text": app_sets_text,
+    "app_sets_decoded": app_sets_decoded,
+    "voice_text_parse": voice_text_parse,
+    "sms_text_parse": sms_text_parse,
     "voice_contacts": voice_contacts,
     "mutual_contacts": mutual_contacts,
     "contact_graph": contact_graph,
@@ -436,6 +507,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "induced_subgraph": induced_subgraph,
     "node_index": node_index,
     "node_index_text": node_index_text,
+    "node_index_decoded": node_index_decoded,
     "recoded_subgraph": recoded_subgraph,
     "direct_knn_topk": direct_knn_topk,
     "direct_knn_graph": direct_knn_graph,
@@ -448,10 +520,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "retention_labels": retention_labels,
     "exposure_rows": exposure_rows,
     "exposure_text": exposure_text,
+    "exposure_decoded": exposure_decoded,
     "holdout_days": holdout_days,
     "negative_samples": negative_samples,
     "train_samples": train_samples,
     "factor_init": factor_init,
+    "factors_decoded": factors_decoded,
     "vector_ops": vector_ops,
     "logloss_at_init": logloss_at_init,
     "lmf_grad_user": lmf_grad_user,
@@ -463,6 +537,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "newton_user_step": newton_user_step,
     "newton_item_step": newton_item_step,
     "gd_user_step": gd_user_step,
+    "gd_item_step": gd_item_step,
     "exposure_model_cv": exposure_model_cv,
     "sweep": sweep,
 }

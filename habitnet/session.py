@@ -24,7 +24,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.ansi.enabled", "true")
         # loop rounds write checkpoints; drop each one once nothing refers to it
@@ -38,8 +38,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session.
 
-    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only when
-    neither is set -- local runs and tests -- a private folder is created.
+    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir). Where
+    neither is set, a local master, whose driver and executors are one process,
+    gets a private temporary folder; any other master raises, as no local
+    folder is shared by its executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="habitnet-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -68,13 +72,10 @@ ROWS_PER_PARTITION = 200_000
 def partition_count(spark: SparkSession, rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> int:
     """Partitions for an explicit repartition of ``rows`` rows.
 
-    At least the cluster's default parallelism (so every core gets work), at
-    most ``spark.sql.shuffle.partitions`` (the operator's configured
-    ceiling), otherwise about ``rows_per_partition`` rows each. Explicit
-    counts are used where the partitioning is cached and reused across loop
-    steps, which AQE cannot coalesce afterwards.
+    At least the cluster's default parallelism (so every core gets work) and
+    otherwise about ``rows_per_partition`` rows each, however many that makes.
+    Explicit counts are used where the partitioning is cached and reused across
+    loop steps, which AQE cannot coalesce afterwards.
     """
-    ceiling = int(spark.conf.get("spark.sql.shuffle.partitions"))
     floor = max(1, spark.sparkContext.defaultParallelism)
-    want = math.ceil(max(rows, 1) / rows_per_partition)
-    return max(1, min(ceiling, max(floor, want)))
+    return max(floor, math.ceil(max(rows, 1) / rows_per_partition))

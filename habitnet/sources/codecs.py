@@ -30,8 +30,8 @@ def app_sets_to_text(df: DataFrame, user: str = "user", apps: str = "apps") -> D
 def app_sets_from_text(lines: DataFrame) -> DataFrame:
     parts = split_fields("value", "|")
     return lines.select(
-        F.element_at(parts, 1).alias("user"),
-        F.array_sort(F.array_distinct(F.split(F.element_at(parts, 2), ","))).alias("apps"),
+        F.try_element_at(parts, F.lit(1)).alias("user"),
+        F.array_sort(F.array_distinct(F.split(F.try_element_at(parts, F.lit(2)), ","))).alias("apps"),
     )
 
 
@@ -46,8 +46,8 @@ def factors_to_text(df: DataFrame, key: str = "id", factor: str = "factor") -> D
 def factors_from_text(lines: DataFrame, key: str = "id") -> DataFrame:
     parts = F.split(F.col("value"), ",")
     return lines.select(
-        F.element_at(parts, 1).alias(key),
-        F.transform(F.slice(parts, 2, F.size(parts) - 1), lambda x: x.try_cast("double")).alias("factor"),
+        F.try_element_at(parts, F.lit(1)).alias(key),
+        F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.try_cast("double")).alias("factor"),
     )
 
 
@@ -59,7 +59,7 @@ def index_to_text(df: DataFrame, key: str = "user", idx: str = "idx") -> DataFra
 
 def index_from_text(lines: DataFrame, key: str = "user", idx: str = "idx") -> DataFrame:
     parts = F.split(F.col("value"), ",")
-    return lines.select(F.element_at(parts, 1).alias(key), F.element_at(parts, 2).try_cast("bigint").alias(idx))
+    return lines.select(F.try_element_at(parts, F.lit(1)).alias(key), F.try_element_at(parts, F.lit(2)).try_cast("bigint").alias(idx))
 
 
 # ---- S13 exposure rows -----------------------------------------------------------------
@@ -88,7 +88,7 @@ def exposure_from_text(lines: DataFrame, id_type: str = "bigint", app_type: str
     """Inverse of :func:`exposure_to_text`. An empty tail gives an empty ``ni``
     (Spark's ``split`` keeps the trailing empty string, so it is filtered)."""
     parts = F.split(F.col("value"), ",", 6)
-    tail = F.element_at(parts, 6)
+    tail = F.try_element_at(parts, F.lit(6))
     pairs = F.filter(F.split(F.coalesce(tail, F.lit("")), r"\|"), lambda x: x != "")
     ni = F.transform(
         pairs,
@@ -98,11 +98,11 @@ def exposure_from_text(lines: DataFrame, id_type: str = "bigint", app_type: str
         ),
     )
     return lines.select(
-        F.element_at(parts, 1).try_cast(id_type).alias("i"),
-        F.element_at(parts, 2).try_cast(app_type).alias("j"),
-        F.try_to_timestamp(F.element_at(parts, 3), F.lit("yyyyMMdd")).cast("date").alias("t"),
-        F.element_at(parts, 4).try_cast("int").alias("m0"),
-        F.element_at(parts, 5).try_cast("int").alias("m1"),
+        F.try_element_at(parts, F.lit(1)).try_cast(id_type).alias("i"),
+        F.try_element_at(parts, F.lit(2)).try_cast(app_type).alias("j"),
+        F.try_to_timestamp(F.try_element_at(parts, F.lit(3)), F.lit("yyyyMMdd")).cast("date").alias("t"),
+        F.try_element_at(parts, F.lit(4)).try_cast("int").alias("m0"),
+        F.try_element_at(parts, F.lit(5)).try_cast("int").alias("m1"),
         ni.alias("ni"),
     )
 
@@ -125,10 +125,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame], fmt: str = "parquet") -> DataFrame:
     """Build once, reuse afterwards.
 
-    If ``path`` exists it is read; otherwise ``build()`` is written there
+    A folder is finished once it holds the ``_SUCCESS`` file that the job commit
+    writes last; then it is read. A folder without it is what a job left that
+    died, and is built again. Otherwise ``build()`` is written there
     (``errorifexists``: two racing writers fail loudly instead of mixing files)
     and read back, so the caller always gets a lineage-free scan.
     """
-    if not path_exists(spark, path):
-        build().write.format(fmt).mode("errorifexists").save(path)
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        build().write.format(fmt).mode("overwrite" if path_exists(spark, path) else "errorifexists").save(path)
     return spark.read.format(fmt).load(path)

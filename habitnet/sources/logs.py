@@ -26,11 +26,6 @@ def _paths(paths: str | Iterable[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
-def read_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
-    """One read over a list of files, folders or globs; keeps the file name."""
-    return spark.read.text(_paths(paths)).withColumn("source", F.input_file_name())
-
-
 def parse_web_log(lines: DataFrame, sep: str = "|") -> DataFrame:
     """``value`` lines -> (user, sec, host, url). Empty host/url become null."""
     parts = F.col("_parts")
@@ -107,13 +102,11 @@ def read_edge_list(spark: SparkSession, paths: str | Iterable[str], sep: str = "
 def read_host_app(spark: SparkSession, path: str | Iterable[str]) -> DataFrame:
     """CSV ``host,app`` dictionary; on a repeated key the later line wins.
 
-    "Later" is the order Spark reads the lines in (file splits in order, lines in
-    order within a split), captured by ``monotonically_increasing_id``. The
-    result has one row per key and is small enough to be broadcast when checked.
+    Lines are ordered by file path, then by the block's place in the file, then
+    by their place in the block (Spark itself deals out files by size). The
+    result has one row per key.
     """
-    raw = spark.read.csv(_paths(path), schema="host string, app string").dropna()
-    return (
-        raw.withColumn("_pos", F.monotonically_increasing_id())
-        .groupBy("host")
-        .agg(F.max_by("app", "_pos").alias("app"))
-    )
+    raw = spark.read.csv(_paths(path), schema="host string, app string").select(
+        "host", "app", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("_pos")
+    ).dropna(subset=["host", "app"])
+    return raw.groupBy("host").agg(F.max_by("app", "_pos").alias("app"))

@@ -58,16 +58,6 @@ def events_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
-def events_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user, day, app, cnt) from ``events``."""
-    ev = table(spark, sf_dir, "events")
-    return (
-        ev.select(F.col("user_id").alias("user"), F.to_date("ts").alias("day"), F.col("event_type").alias("app"))
-        .groupBy("user", "day", "app")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-
-
 def ring_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbour graph on ``events`` users: u -- u+1 when both exist, both directions.
 

@@ -54,7 +54,7 @@ def test_salted_training_matches_broadcast(spark):
     rows = [(0, a) for a in range(0, 30)] + [(u, a) for u in range(1, 8) for a in range(u % 3, 40, 5)]
     pos = _pos(spark, rows)
     a = fa.train_lmf(pos, d=2, rate=0.05, max_steps=3, restarts=1, seed=3)
-    b = fa.train_lmf(pos, d=2, rate=0.05, max_steps=3, restarts=1, seed=3, max_broadcast_rows=0, bucket_rows=4)
+    b = fa.train_lmf(pos, d=2, rate=0.05, max_steps=3, restarts=1, seed=3, bucket_rows=4)
     ua = {r.id: (r.f0, r.f1) for r in a.users.collect()}
     ub = {r.id: (r.f0, r.f1) for r in b.users.collect()}
     assert ua.keys() == ub.keys()

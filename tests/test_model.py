@@ -85,7 +85,7 @@ def test_salted_cross_validation_matches_broadcast(spark):
 
     fd = holdout_days(rows.selectExpr("t AS day"), 2, 0.8, 1)
     a, la = md.cross_validate(rows, links, fd, d=2, max_epochs=3)
-    b, lb = md.cross_validate(rows, links, fd, d=2, max_epochs=3, max_broadcast_rows=0, bucket_rows=5)
+    b, lb = md.cross_validate(rows, links, fd, d=2, max_epochs=3, bucket_rows=5)
     assert len(la) == len(lb)
     assert all(abs(x["train_rmse"] - y["train_rmse"]) < 1e-12 for x, y in zip(la, lb))
     sa, sb = sorted(r.best_rmse for r in a.collect()), sorted(r.best_rmse for r in b.collect())

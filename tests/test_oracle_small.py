@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as se
+from habitnet.plans.oracle import SQL
+from habitnet.plans.queries import QUERIES
 from tools.oracle_check import TABLES, digest
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -22,11 +23,11 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(se.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    df = se.queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     rows = [tuple(r) for r in df.collect()]
-    sql = se.oracle_sql().get(name)
+    sql = SQL.get(name)
     if sql is None:  # iterative queries: rows only
         assert rows
         return
