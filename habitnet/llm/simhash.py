@@ -122,7 +122,7 @@ def _spread(fps: DataFrame) -> DataFrame:
 
 def with_company(fps: DataFrame) -> DataFrame:
     """The distinct fingerprints that meet another one in some view."""
-    emitted = _spread(fps).select("fp", F.explode(_seen(F.col("fp"))).alias("e")).select("fp", "e.view", "e.value")
+    emitted = _spread(fps).select("fp", F.explode_outer(_seen(F.col("fp"))).alias("e")).select("fp", "e.view", "e.value")
     shared = emitted.groupBy("view", "value").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b")
     shared = stored(shared.select("view", "value"), "simhash-views")
     return emitted.join(shared.hint("merge"), ["view", "value"], "left_semi").select("fp").distinct()
@@ -134,7 +134,7 @@ def links(fps: DataFrame) -> DataFrame:
     near = F.concat(F.array(F.lit(0).cast("long")), _flips([(b,) for b in range(64)]))
     far = F.when(F.bit_count("fp") % 2 == 1, _flips([(a, b) for h in halves for a in h for b in h if a < b]))
     fps = _spread(fps)
-    emitted = fps.select("fp", F.explode(near).alias("m"), F.lit(True).alias("near")).unionByName(
+    emitted = fps.select("fp", F.explode_outer(near).alias("m"), F.lit(True).alias("near")).unionByName(
         fps.select("fp", F.explode(far).alias("m"), F.lit(False).alias("near"))
     )
     met = emitted.select("fp", "near", F.col("fp").bitwiseXOR(F.col("m")).alias("value"))
