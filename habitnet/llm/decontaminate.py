@@ -2,7 +2,7 @@
 
 Texts are normalised (A-Z in lower case; runs of other ASCII characters than
 letters and digits become one blank) and read as bytes. Benchmark items are cut
-into segments of ``SEGMENT`` bytes; a document is contaminated by an item if a
+into overlapping segments of ``SEGMENT`` bytes; a document is contaminated by an item if a
 stretch of it is within ``EDIT_PERCENT`` edits of one of the item's segments.
 
 A stretch within k edits of a segment of w bytes shares at least
@@ -36,6 +36,8 @@ from habitnet.llm.common import fresh_name, map_batches, stored, texts_of
 
 Q = 8
 SEGMENT = 64
+#: Segments begin this far apart, so a copied passage of SEGMENT + STRIDE bytes holds a whole one.
+STRIDE = 32
 SHORTEST = 32
 EDIT_PERCENT = 8
 #: Diagonals of a band, beside those that it shares with the next.
@@ -60,11 +62,11 @@ def edit_budget(length: int) -> int:
 
 
 def segments(item: bytes) -> list[tuple[int, bytes]]:
-    """``(begin, segment)``: side by side, the last one moved back to end where the item does."""
+    """``(begin, segment)``: every ``STRIDE`` bytes, the last one moved back to end where the item does."""
     if len(item) < SHORTEST:
         return []
     size = min(SEGMENT, len(item))
-    begins = sorted({*range(0, len(item) - size + 1, size), len(item) - size})
+    begins = sorted({*range(0, len(item) - size + 1, STRIDE), len(item) - size})
     return [(b, item[b : b + size]) for b in begins]
 
 
@@ -125,31 +127,43 @@ def candidates(raw: bytes, block: dict) -> Iterator[tuple[int, int]]:
         yield o, b * BAND - SEGMENT
 
 
+def region(raw: bytes, begin: int, end: int, diagonal: int, length: int) -> bytes:
+    """What of ``raw[begin:end]`` a segment of ``length`` can meet in the band from ``diagonal`` on.
+
+    Zeros stand for what lies before ``begin``, so that it always begins where the band does.
+    """
+    budget = edit_budget(length)
+    start, stop = diagonal - budget, diagonal + length + BAND + 2 * budget
+    own = raw[max(begin, start) : max(min(end, stop), 0)]
+    return b"\0" * (max(begin, start) - start) + own if own else b""
+
+
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         block = shared.value
         names = ("doc_id", "item_id", "segment", "n_segments", "pattern", "region")
-        reach = SEGMENT + BAND + edit_budget(SEGMENT)
+        reach = SEGMENT + BAND + 2 * edit_budget(SEGMENT)
         for batch in batches:
             rows: list[tuple] = []
             pieces, ids, size = [], [], 0
 
             def search() -> None:
-                begins = np.cumsum([0] + [len(p) + Q for p in pieces])
+                ends = np.cumsum([len(p) + Q for p in pieces]) - Q
                 raw = (b"\0" * Q).join(pieces)  # no shared q-gram reaches over the gap
                 for o, diagonal in candidates(raw, block):
                     item, n, segment, total = block["rows"][o]
-                    middle = min(max(diagonal + BAND // 2 + len(segment) // 2, 0), len(raw) - 1)
-                    doc = int(np.searchsorted(begins, middle, "right")) - 1
-                    region = raw[max(diagonal - edit_budget(len(segment)), 0) : diagonal + len(segment) + BAND + 2 * edit_budget(len(segment))]
-                    for d in range(max(doc - 1, 0), min(doc + 2, len(pieces))):
-                        if begins[d] < diagonal + reach and begins[d] + len(pieces[d]) > diagonal:
-                            rows.append((ids[d], item, n, total, segment, region))
+                    for d in range(int(np.searchsorted(ends, diagonal)), len(pieces)):  # every document that the band touches
+                        begin = int(ends[d]) - len(pieces[d])
+                        if begin > diagonal + reach:
+                            break
+                        own = region(raw, begin, int(ends[d]), diagonal, len(segment))
+                        if own:
+                            rows.append((ids[d], item, n, total, segment, own))
 
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
                 whole = normalised(text)
-                for begin in range(0, max(len(whole), 1), BYTES_AT_ONCE):
-                    piece = whole[begin : begin + BYTES_AT_ONCE + reach]
+                for at in range(0, max(len(whole), 1), BYTES_AT_ONCE):
+                    piece = whole[at : at + BYTES_AT_ONCE + reach]
                     pieces.append(piece)
                     ids.append(doc_id)
                     size += len(piece)
