@@ -13,9 +13,9 @@ the tree, what weight is left goes to the deepest node reached.
 The tree depends on the counts of byte grams only (``DEPTH`` + 1 bytes), and a
 gram's code length is the same wherever it stands. So Spark counts grams over
 all documents, builds the tree level by level with grouped sums, and joins code
-lengths back to grams. Neither tree nor vocabulary is ever in one place:
-documents are cut into chunks of ``CHUNK_BYTES``, and each chunk gets a
-dictionary of the words and grams that occur in it.
+lengths back to grams. Documents are cut into chunks of ``CHUNK_BYTES``, and
+each chunk gets a dictionary of the words that occur in it; of grams too, if
+there are too many of them (``SENT_GRAMS``) to send all to every worker.
 
 Defined cases: a null text is the empty text (its end only); repeated rows are
 scored one by one; null doc_ids count as training documents if their remainder
@@ -44,6 +44,8 @@ HELD_OUT_FOLD = 1
 CHUNK_BYTES = 16 << 20
 #: Bytes whose grams are looked up at a time.
 BYTES_AT_ONCE = 1 << 20
+#: As many grams (16 bytes each) are sent to every worker; of more, each chunk gets those that occur in it.
+SENT_GRAMS = 4_000_000
 #: Chunks of one partition are numbered below 2^20.
 CHUNK_BITS = 20
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -225,34 +227,49 @@ def code_lengths(grams: DataFrame) -> DataFrame:
     return bits.join(nodes, ["context", "known"]).groupBy("gram").agg(F.sum(F.log10(p)).alias("value"))
 
 
-def _score_chunk(docs: pa.Table, entries: pa.Table) -> pa.Table:
-    own = entries.column("token").is_valid()
-    tokens, grams = entries.filter(own), entries.filter(pa.compute.invert(own))
-    known = dict(zip(tokens.column("token").to_pylist(), tokens.column("value").to_pylist()))
-    keys, where = np.unique(grams.column("gram").to_numpy(), return_index=True)  # a chunk read in two parts counts twice
-    values = grams.column("value").to_numpy()[where]
-    texts = docs.column("stream").to_pylist()
-    scores: list[np.ndarray] = []
-    for block in _blocks(texts):
-        gram, begins = byte_grams(block)
-        scores.append(np.add.reduceat(values[np.searchsorted(keys, gram)], begins))
-    n_tokens, n_known, base = [], [], []
-    for s in texts:
-        found = [*s.split(), b""]
-        logs = np.fromiter(map(known.__getitem__, found), float, len(found))
-        n_tokens.append(len(found))
-        n_known.append(int(np.count_nonzero(logs > 0)))
-        base.append(float(logs.sum()))
-    return pa.table(
-        {
-            "doc_id": docs.column("doc_id"),
-            "held_out": docs.column("held_out"),
-            "n_tokens": pa.array(n_tokens, pa.int64()),
-            "n_known": pa.array(n_known, pa.int64()),
-            "base_sum": pa.array(base, pa.float64()),
-            "score": pa.array(np.concatenate(scores) if scores else [], pa.float64()),
-        }
-    )
+def _score_chunk(shared):
+    """Scores of a chunk's documents from its dictionary; grams come from ``shared`` if it isn't None."""
+
+    def run(docs: pa.Table, entries: pa.Table) -> pa.Table:
+        own = entries.column("token").is_valid()
+        tokens = entries.filter(own)
+        known = dict(zip(tokens.column("token").to_pylist(), tokens.column("value").to_pylist()))
+        if shared is None:
+            grams = entries.filter(pa.compute.invert(own))
+            keys, where = np.unique(grams.column("gram").to_numpy(), return_index=True)  # a chunk read in two parts counts twice
+            values = grams.column("value").to_numpy()[where]
+        else:
+            keys, values = shared.value
+        texts = docs.column("stream").to_pylist()
+        scores: list[np.ndarray] = []
+        for block in _blocks(texts):
+            gram, begins = byte_grams(block)
+            scores.append(np.add.reduceat(values[np.searchsorted(keys, gram)], begins))
+        n_tokens, n_known, base = [], [], []
+        for s in texts:
+            found = [*s.split(), b""]
+            logs = np.fromiter(map(known.__getitem__, found), float, len(found))
+            n_tokens.append(len(found))
+            n_known.append(int(np.count_nonzero(logs > 0)))
+            base.append(float(logs.sum()))
+        return pa.table(
+            {
+                "doc_id": docs.column("doc_id"),
+                "held_out": docs.column("held_out"),
+                "n_tokens": pa.array(n_tokens, pa.int64()),
+                "n_known": pa.array(n_known, pa.int64()),
+                "base_sum": pa.array(base, pa.float64()),
+                "score": pa.array(np.concatenate(scores) if scores else [], pa.float64()),
+            }
+        )
+
+    return run
+
+
+def _sent(lengths: DataFrame):
+    """All grams, sorted, with their code lengths, for every worker."""
+    rows = lengths.toPandas().sort_values("gram")
+    return lengths.sparkSession.sparkContext.broadcast((rows["gram"].to_numpy(np.int64), rows["value"].to_numpy(float)))
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -267,14 +284,15 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     )
     total = tokens.where("first").agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
     train_tokens, vocabulary = total[0] or 0, total[1]
-    in_chunks = stored(map_batches(slim, _count_grams, "chunk long, gram long, n long"), "lm-grams")
+    in_chunks = map_batches(slim, _count_grams, "chunk long, gram long, n long")
     grams = stored(in_chunks.groupBy("gram").agg(F.sum("n").alias("n")), "lm-gram-counts")
     lengths = stored(code_lengths(grams), "lm-code-lengths")
     entries = tokens.select("chunk", "token", F.lit(None).cast("long").alias("gram"), F.log10(F.col("c") + 0.5).alias("value"))
-    entries = entries.unionByName(
-        in_chunks.select("chunk", "gram").join(lengths, "gram").select("chunk", F.lit(None).cast("binary").alias("token"), "gram", "value")
-    )
-    scored = cut.groupBy("chunk").cogroup(entries.groupBy("chunk")).applyInArrow(_score_chunk, struct_of(SCORES_SCHEMA))
+    shared = _sent(lengths) if lengths.count() <= SENT_GRAMS else None
+    if shared is None:
+        there = in_chunks.select("chunk", "gram").join(lengths, "gram")
+        entries = entries.unionByName(there.select("chunk", F.lit(None).cast("binary").alias("token"), "gram", "value"))
+    scored = cut.groupBy("chunk").cogroup(entries.groupBy("chunk")).applyInArrow(_score_chunk(shared), struct_of(SCORES_SCHEMA))
     norm = math.log10(train_tokens + 0.5 * (vocabulary + 1))
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"),

@@ -101,5 +101,5 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     is read from the files outlives any executor.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
