@@ -12,8 +12,9 @@ the tree, what weight is left goes to the deepest node reached.
 
 The tree depends on the counts of byte grams only (``DEPTH`` + 1 bytes), and a
 gram's code length is the same wherever it stands. So Spark counts grams over
-all documents, builds the tree level by level with grouped sums, and joins code
-lengths back to grams. Documents are cut into chunks of ``CHUNK_BYTES``, and
+all documents and groups them by their last ``SPLIT`` bytes of context; tasks
+build the subtrees below, grouped sums the levels above, and grams get their
+code lengths on the way down. Documents are cut into chunks of ``CHUNK_BYTES``, and
 each chunk gets a dictionary of the words that occur in it; of grams too, if
 there are too many of them (``SENT_GRAMS``) to send all to every worker.
 
@@ -41,7 +42,11 @@ from habitnet.llm.labelled import fold
 DEPTH = 5
 FOLDS = 5
 HELD_OUT_FOLD = 1
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 24 << 20
+#: Contexts of this many bytes are where the tree is split: whole subtrees below in tasks, grouped sums above.
+SPLIT = 2
+#: Grams whose subtrees are built at a time (more if they share a context of SPLIT bytes).
+GRAMS_AT_ONCE = 1 << 18
 #: Bytes whose grams are looked up at a time.
 BYTES_AT_ONCE = 1 << 20
 #: As many grams (16 bytes each) are sent to every worker; of more, each chunk gets those that occur in it.
@@ -153,78 +158,127 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield {"chunk": np.full(len(keys), chunk), "gram": keys, "n": n}
 
 
-def _log_gamma(x: Column) -> Column:
-    """Stirling's series at x + 8, brought back to x."""
+def _log_gamma(x):
+    """Stirling's series at x + 8, brought back to x (of columns or arrays)."""
+    log = F.log if isinstance(x, Column) else np.log
     y = x + 8.0
-    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y)
+    series = (y - 0.5) * log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y)
     product = x
     for k in range(1, 8):
         product = product * (x + float(k))
-    return series - F.log(product)
+    return series - log(product)
 
 
-def log_kt(zeros: Column, ones: Column) -> Column:
+def log_kt(zeros, ones):
     """Log of the Krichevsky-Trofimov estimate of a sequence with these counts."""
-    a, b = zeros.cast("double"), ones.cast("double")
-    return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - math.log(math.pi)
-
-
-def _bits() -> Column:
-    """A gram's eight nodes: the bits known before each bit (with a leading 1), and the bit."""
-    byte = F.col("gram").bitwiseAND(255)
-    nodes = [
-        F.struct(F.shiftright(byte, 8 - k).bitwiseOR(F.lit(1 << k)).alias("known"), F.shiftright(byte, 7 - k).bitwiseAND(1).alias("bit"))
-        for k in range(8)
-    ]
-    return F.explode(F.array(*nodes))
-
-
-def _parent(depth: int) -> Column:
-    """The context of ``depth`` bytes that a longer one ends in."""
-    return F.col("context").bitwiseAND((1 << 8 * depth) - 1)
+    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+
+
+def _nodes(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eight rows: each gram's deepest nodes (context, then the bits known after a leading 1), and the next bit."""
+    byte = gram & 255
+    keys = [((gram >> 8) << 8) | (1 << k) | (byte >> (8 - k)) for k in range(8)]
+    return np.array(keys).reshape(8, -1), np.array([(byte >> (7 - k)) & 1 for k in range(8)]).reshape(8, -1)
+
+
+def _subtree(gram: np.ndarray, n: np.ndarray) -> list[dict]:
+    """Levels ``DEPTH`` to ``SPLIT`` over whole contexts of ``SPLIT`` bytes; ``of``: each lower node's (or gram bit's) node."""
+    keys, bits = _nodes(gram)
+    counts = np.broadcast_to(n, keys.shape).ravel().astype(float)
+    levels: list[dict] = []
+    below, zeros, ones, inside = keys.ravel(), counts * (1 - bits.ravel()), counts * bits.ravel(), None
+    for depth in range(DEPTH, SPLIT - 1, -1):
+        if depth < DEPTH:
+            below = ((below >> 8 & ((1 << 8 * depth) - 1)) << 8) | (below & 255)
+        key, of = np.unique(below, return_inverse=True)
+        of = of.ravel()
+        zeros, ones = np.bincount(of, zeros, len(key)), np.bincount(of, ones, len(key))
+        kt = log_kt(zeros, ones)
+        weighted = kt if inside is None else np.logaddexp(kt, np.bincount(of, inside, len(key))) - math.log(2)
+        levels.append({"key": key, "of": of, "zeros": zeros, "ones": ones, "kt": kt, "weighted": weighted})
+        below, inside = key, weighted
+    return levels
+
+
+def _whole_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams and counts of sorted rows in blocks that end where a context of ``SPLIT`` bytes does."""
+    gram, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        gram = np.concatenate([gram, batch.column("gram").to_numpy()])
+        n = np.concatenate([n, batch.column("n").to_numpy()])
+        if len(gram) >= GRAMS_AT_ONCE:
+            context = gram >> 8 & ((1 << 8 * SPLIT) - 1)
+            cut = int(np.flatnonzero(context != context[-1])[-1]) + 1 if context[0] != context[-1] else 0
+            if cut:
+                yield gram[:cut], n[:cut]
+                gram, n = gram[cut:], n[cut:]
+    if len(gram):
+        yield gram, n
+
+
+def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for gram, n in _whole_contexts(batches):
+        top = _subtree(gram, n)[-1]
+        yield {"context": top["key"] >> 8, "known": (top["key"] & 255).astype(np.int32)} | {c: top[c] for c in ("zeros", "ones", "kt", "weighted")}
+
+
+def _step(seen, estimate, share, mixed, left, own, where):
+    """One node further down a path: what the nodes so far add, the weight left, the deepest seen node's estimate."""
+    return where(seen, mixed + left * share * estimate, mixed), where(seen, left * (1 - share), left), where(seen, estimate, own)
+
+
+def _lengths(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        keys, *state = shared.value
+        for gram, n in _whole_contexts(batches):
+            levels = _subtree(gram, n)[::-1]
+            at = np.searchsorted(keys, levels[0]["key"])
+            mixed, left, own = (x[at] for x in state)
+            for above, level in zip(levels, levels[1:]):
+                total = level["zeros"] + level["ones"]
+                share = np.exp(level["kt"] - level["weighted"] - math.log(2)) if level is not levels[-1] else 1.0
+                to = above["of"]
+                mixed, left, own = _step(total > 0, (level["ones"] + 0.5) / (total + 1), share, mixed[to], left[to], own[to], np.where)
+            one = (mixed + left * own)[levels[-1]["of"]].reshape(8, -1)
+            yield {"gram": gram, "value": np.log10(np.where(_nodes(gram)[1] == 1, one, 1 - one)).sum(axis=0)}
 
+    return run
 
-def tree(grams: DataFrame) -> DataFrame:
-    """``(context, known, one)`` of the deepest level: the probability that the next bit is 1.
 
-    ``grams`` has a row ``(gram, n)`` for every gram to be coded, n zero for
-    those that training hasn't seen. One grouped sum per level upwards, one join
-    per level downwards.
-    """
-    bits = grams.select(F.shiftright("gram", 8).alias("context"), "n", _bits().alias("b")).select("context", "b.known", "b.bit", "n")
-    sums = [F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones")]
-    kt = log_kt(F.col("zeros"), F.col("ones"))
-    levels = {DEPTH: stored(bits.groupBy("context", "known").agg(*sums).withColumn("kt", kt).withColumn("weighted", F.col("kt")), "ctw-level")}
-    for depth in range(DEPTH - 1, -1, -1):
-        below = levels[depth + 1].groupBy(_parent(depth).alias("context"), "known")
+def _paths(tops: DataFrame) -> DataFrame:
+    """``(context, known, mixed, left, own)`` of the nodes of depth ``SPLIT``: up from them to the root, and down again."""
+    levels, kt = {SPLIT: tops}, log_kt(F.col("zeros"), F.col("ones"))
+    for depth in range(SPLIT - 1, -1, -1):
+        below = levels[depth + 1].groupBy(F.col("context").bitwiseAND((1 << 8 * depth) - 1).alias("context"), "known")
         own = below.agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("children")).withColumn("kt", kt)
         larger, smaller = F.greatest("kt", "children"), F.least("kt", "children")
-        levels[depth] = stored(own.withColumn("weighted", larger + F.log1p(F.exp(smaller - larger)) - math.log(2)).drop("children"), "ctw-level")
-    seen = (F.col("zeros") + F.col("ones")) > 0
-    estimate = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
-    share = {d: F.exp(F.col("kt") - F.col("weighted") - math.log(2)) for d in range(DEPTH)} | {DEPTH: F.lit(1.0)}
-    # mixed: what the nodes so far add; left: the weight not yet given; own: the deepest seen node's estimate
-    path = levels[0].select("context", "known", F.when(seen, share[0] * estimate).otherwise(0.0).alias("mixed"), F.when(seen, 1 - share[0]).otherwise(1.0).alias("left"), F.when(seen, estimate).otherwise(0.5).alias("own"))
-    for depth in range(1, DEPTH + 1):
-        above = path.select(F.col("context").alias("parent"), F.col("known").alias("parent_known"), "mixed", "left", F.col("own").alias("above"))
-        below = levels[depth].withColumn("parent", _parent(depth - 1))
-        joined = below.join(above, (below["parent"] == above["parent"]) & (below["known"] == above["parent_known"]))
-        path = joined.select(
-            below["context"],
-            below["known"],
-            F.when(seen, F.col("mixed") + F.col("left") * share[depth] * estimate).otherwise(F.col("mixed")).alias("mixed"),
-            F.when(seen, F.col("left") * (1 - share[depth])).otherwise(F.col("left")).alias("left"),
-            F.when(seen, estimate).otherwise(F.col("above")).alias("own"),
-        )
-    return path.select("context", "known", (F.col("mixed") + F.col("left") * F.col("own")).alias("one"))
+        levels[depth] = stored(own.withColumn("weighted", larger + F.log1p(F.exp(smaller - larger)) - math.log(2)).drop("children"), "lm-level")
+    total = F.col("zeros") + F.col("ones")
+    share, estimate = F.exp(F.col("kt") - F.col("weighted") - math.log(2)), (F.col("ones") + 0.5) / (total + 1.0)
+    where = lambda test, yes, no: F.when(test, yes).otherwise(no)
+    path = levels[0].select(F.lit(0).cast("long").alias("parent"), "known", F.lit(0.0).alias("mixed"), F.lit(1.0).alias("left"), F.lit(0.5).alias("own"))
+    for depth in range(SPLIT + 1):
+        level = levels[depth].withColumn("parent", F.col("context").bitwiseAND((1 << 8 * max(depth - 1, 0)) - 1))
+        mixed, left, own = _step(total > 0, estimate, share, F.col("mixed"), F.col("left"), F.col("own"), where)
+        found = level.join(path, ["parent", "known"]).select("context", "known", mixed.alias("mixed"), left.alias("left"), own.alias("own"))
+        path = found.withColumnRenamed("context", "parent")
+    return path.withColumnRenamed("parent", "context")
 
 
 def code_lengths(grams: DataFrame) -> DataFrame:
-    """``(gram, value)``: the log10 probability of a gram's last byte after the others."""
-    nodes = tree(grams)
-    bits = grams.select("gram", F.shiftright("gram", 8).alias("context"), _bits().alias("b")).select("gram", "context", "b.known", "b.bit")
-    p = F.when(F.col("bit") == 1, F.col("one")).otherwise(1 - F.col("one"))
-    return bits.join(nodes, ["context", "known"]).groupBy("gram").agg(F.sum(F.log10(p)).alias("value"))
+    """``(gram, value)``: the log10 probability of a gram's last byte after the others.
+
+    ``grams`` has a row ``(gram, n)`` for every gram to be coded, n zero for
+    those that training hasn't seen.
+    """
+    near = F.shiftright("gram", 8).bitwiseAND((1 << 8 * SPLIT) - 1).alias("near")
+    grouped = grams.select("gram", "n", near).repartition("near").sortWithinPartitions("near", "gram").select("gram", "n")
+    tops = stored(map_batches(grouped, _tops, "context long, known int, zeros double, ones double, kt double, weighted double"), "lm-tops")
+    rows = _paths(tops).toPandas()  # 2^(8 SPLIT) x 255 rows at most, one for each context of SPLIT bytes and known bits that occur
+    key = rows["context"].to_numpy(np.int64) << 8 | rows["known"].to_numpy(np.int64)
+    order = np.argsort(key)
+    state = (key[order], *[rows[c].to_numpy(float)[order] for c in ("mixed", "left", "own")])
+    return map_batches(grouped, _lengths(grams.sparkSession.sparkContext.broadcast(state)), "gram long, value double")
 
 
 def _score_chunk(shared):

@@ -70,6 +70,7 @@ def test_chunks_do_not_matter(docs, monkeypatch):
     one = {r["doc_id"]: r["score"] for r in byte_lm.score(frame).collect()}
     monkeypatch.setattr(byte_lm, "CHUNK_BYTES", 50)
     monkeypatch.setattr(byte_lm, "BYTES_AT_ONCE", 40)
+    monkeypatch.setattr(byte_lm, "GRAMS_AT_ONCE", 10)
     for sent in (byte_lm.SENT_GRAMS, 0):
         monkeypatch.setattr(byte_lm, "SENT_GRAMS", sent)
         many = {r["doc_id"]: r["score"] for r in byte_lm.score(frame.repartition(2)).collect()}
