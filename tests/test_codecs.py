@@ -49,3 +49,22 @@ def test_log_readers(spark, tmp_path):
     assert d == {"h1": "C", "h2": "B"}  # later line wins
     (tmp_path / "e.csv").write_text("a,b\nb,c\n")
     assert logs.read_edge_list(spark, str(tmp_path / "e.csv")).count() == 2
+
+
+def test_materialize_builds_a_half_written_folder_again(spark, tmp_path):
+    from habitnet.sources.codecs import materialize
+
+    path = tmp_path / "stage"
+    path.mkdir()
+    (path / "part-00000.parquet").write_bytes(b"left by a job that died")
+    assert materialize(spark, str(path), lambda: spark.range(3)).count() == 3
+    assert materialize(spark, str(path), lambda: spark.range(9)).count() == 3  # finished: read, not built
+
+
+def test_short_lines_decode_to_nulls(spark):
+    from habitnet.sources import codecs
+
+    lines = spark.createDataFrame([("only",), ("",)], "value string")
+    assert [r["apps"] for r in codecs.app_sets_from_text(lines).collect()] == [None, None]
+    assert [r["idx"] for r in codecs.index_from_text(lines).collect()] == [None, None]
+    assert codecs.exposure_from_text(lines).count() == codecs.factors_from_text(lines).count() == 2

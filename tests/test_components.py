@@ -69,3 +69,9 @@ def test_recode_edges_drops_unknown(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "z")], "src string, dst string")
     idx = spark.createDataFrame([("a", 0), ("b", 1)], "node string, idx bigint")
     assert [(r.src, r.dst) for r in cc.recode_edges(edges, idx).collect()] == [(0, 1)]
+
+
+def test_a_hub_with_a_third_of_all_edges(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(0, 800, 2)] + [(399, 5000), (5000, 5001)]
+    got = {r["node"]: r["component"] for r in cc.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert all(got[i] == 0 for i in [*range(400), 5000, 5001]) and all(got[1001 + i] == 1000 + i for i in range(0, 800, 2))

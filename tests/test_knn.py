@@ -91,3 +91,14 @@ def test_few_items_many_blocks(spark):
     assert knn.cosine_topk(df, 2, block_size=1).count() == 6
     u = spark.createDataFrame([(i, i % 2) for i in range(3)], "user bigint, app bigint")
     assert knn.jaccard_topk(u, 2, block_size=1).count() == 6
+
+
+def test_cosine_ties_do_not_follow_the_block_size(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(60, 16)).tolist() + [[0.0] * 16]
+    rows = [(3 * i + c, v) for i, v in enumerate(base) for c in range(3)]  # every vector three times, a zero vector too
+    vectors = spark.createDataFrame(rows, "id long, vec array<double>")
+    results = [{tuple(r) for r in knn.cosine_topk(vectors, 7, block_size=b).select("src", "rank", "dst").collect()} for b in (7, 20, 64, 4096)]
+    assert len(results[0]) == 7 * len(rows) and all(r == results[0] for r in results)

@@ -72,3 +72,12 @@ def test_counted_and_approx_stats(spark):
     assert obs.get["rows"] == 2
     s = us.usage_stats(u, approx=True).first()
     assert (s.n_users, s.n_apps) == (2, 2)
+
+
+def test_day_split_bounds_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "usage")
+    spark.sql("SELECT 1 AS user, DATE'2020-01-05' AS day, 2 AS app, 3L AS cnt").write.parquet(path)
+    split = us.split_by_day(spark.read.parquet(path), "2020-01-10", "2020-02-01")
+    assert [r["part"] for r in split.collect()] == ["train"]
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "Or(LessThanOrEqual(day" in plan
