@@ -320,10 +320,21 @@ def _score_chunk(shared):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    grams, values = [], []
+    for batch in batches:
+        grams.append(batch.column("gram").to_numpy().tobytes())
+        values.append(batch.column("value").to_numpy().tobytes())
+    yield {"grams": [b"".join(grams)], "lengths": [b"".join(values)]}
+
+
 def _sent(lengths: DataFrame):
-    """All grams, sorted, with their code lengths, for every worker."""
-    rows = lengths.toPandas().sort_values("gram")
-    return lengths.sparkSession.sparkContext.broadcast((rows["gram"].to_numpy(np.int64), rows["value"].to_numpy(float)))
+    """All grams, sorted, with their code lengths, for every worker; they come as one row of bytes from each task."""
+    rows = map_batches(lengths, _packed, "grams binary, lengths binary").collect()
+    grams = np.concatenate([np.frombuffer(r["grams"], np.int64) for r in rows] or [np.zeros(0, np.int64)])
+    values = np.concatenate([np.frombuffer(r["lengths"], float) for r in rows] or [np.zeros(0)])
+    order = np.argsort(grams)
+    return lengths.sparkSession.sparkContext.broadcast((grams[order], values[order]))
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
