@@ -23,7 +23,7 @@ from habitnet.functions.seeded import md5_int32, md5_key, md5_uniform
 from habitnet.functions.vectors import dot_cols, log_loss, norm_cols, sigmoid
 from habitnet.operators.components import consecutive_index
 
-from habitnet.session import cut_lineage, partition_count
+from habitnet.session import cut_lineage, cut_round, partition_count
 
 
 def fnames(d: int, p: str = "f") -> list[str]:
@@ -219,7 +219,7 @@ def train_lmf(pos: DataFrame, d: int = 5, rate: float = 1e-4, max_steps: int = 8
             j = _joined(samples, U, V, d, salts).withColumn("_l", log_loss(F.col("r"), F.col("_p")))
             j = j.observe(obs, F.avg("_l").alias("train"), F.avg(F.when(F.col("r") == 1.0, F.col("_l"))).alias("observed"))
             gu = j.groupBy(F.col("user").alias("id")).agg(*[F.sum(F.col("_g") * F.col(f"v{c}")).alias(f"g{c}") for c in range(d)])
-            U1 = cut_lineage(apply_gradient(U, gu, d, eta, lu))
+            U1 = cut_round(apply_gradient(U, gu, d, eta, lu))
             met = obs.get
             loss = float(met[monitor])
             history.append({"restart": rs, "step": step, "train_loss": float(met["train"]), "observed_loss": float(met["observed"])})
@@ -227,7 +227,7 @@ def train_lmf(pos: DataFrame, d: int = 5, rate: float = 1e-4, max_steps: int = 8
                 snap, snap_loss = (U, V), loss
             elif loss > stop_ratio * snap_loss:
                 break
-            V1 = cut_lineage(apply_gradient(V, item_gradients(samples, U1, V, d, salts), d, eta, lv))
+            V1 = cut_round(apply_gradient(V, item_gradients(samples, U1, V, d, salts), d, eta, lv))
             U, V = U1, V1
             eta /= 1.0001
         final = losses(positives, snap[0], snap[1], d).first()["observed_loss"]

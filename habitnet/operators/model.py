@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from habitnet.functions.vectors import sign
 from habitnet.operators.factors import fnames, init_factors
-from habitnet.session import cut_lineage, partition_count
+from habitnet.session import cut_lineage, cut_round, partition_count
 
 ROW = ["i", "j", "t"]
 
@@ -223,11 +223,11 @@ def train_fold(train_rows: DataFrame, train_terms: DataFrame, valid_rows: DataFr
         c = next_coordinate(d, last, seed, fold, epoch)
         last = c
         if solver == "gd":
-            U = cut_lineage(gd_user_step(train_rows, train_terms, U, V, d, c, rate, lu, n_train, preds))
-            V = cut_lineage(gd_item_step(train_rows, train_terms, U, V, d, c, rate, lv, n_train, salts))
+            U = cut_round(gd_user_step(train_rows, train_terms, U, V, d, c, rate, lu, n_train, preds))
+            V = cut_round(gd_item_step(train_rows, train_terms, U, V, d, c, rate, lv, n_train, salts))
         else:
-            U = cut_lineage(newton_user_step(train_rows, train_terms, U, V, d, c, lu, preds))
-            V = cut_lineage(newton_item_step(train_rows, train_terms, U, V, d, c, lv, salts))
+            U = cut_round(newton_user_step(train_rows, train_terms, U, V, d, c, lu, preds))
+            V = cut_round(newton_item_step(train_rows, train_terms, U, V, d, c, lv, salts))
     return res
 
 

@@ -58,11 +58,18 @@ def graph_job(spark: SparkSession, base: str, usage: DataFrame, voice_paths: Ite
     Returns the contact graph, the largest component's nodes and subgraph,
     the involved usage, and ``direct_k`` / ``improved_k`` graphs for each k.
     """
-    tag = f"s{min_sec}"
+    voice, sms = logs.read_voice_log(spark, list(voice_paths)), logs.read_sms_log(spark, list(sms_paths))
     valid = logs.read_id_list(spark, valid_users_path, "user")
+    return graphs_of(spark, base, usage, voice, sms, valid, min_sec, ks, min_users, rank, lmf_steps, lmf_restarts, seed)
+
+
+def graphs_of(spark: SparkSession, base: str, usage: DataFrame, voice: DataFrame, sms: DataFrame, valid: DataFrame,
+              min_sec: int, ks: Iterable[int], min_users: int = 10, rank: int = 5, lmf_steps: int = 800,
+              lmf_restarts: int = 6, seed: int = 42) -> dict[str, DataFrame]:
+    """``graph_job`` on parsed call and message records and the valid users."""
+    tag = f"s{min_sec}"
     contacts = materialize(spark, _p(base, tag, "contacts"), lambda: ct.contact_graph(
-        ct.voice_graph(logs.read_voice_log(spark, list(voice_paths)), valid, min_sec),
-        ct.mutual_sms_graph(logs.read_sms_log(spark, list(sms_paths)), valid)))
+        ct.voice_graph(voice, valid, min_sec), ct.mutual_sms_graph(sms, valid)))
     comps = materialize(spark, _p(base, tag, "components"), lambda: cc.connected_components(contacts))
     largest = materialize(spark, _p(base, tag, "largest"), lambda: cc.largest_component(comps))
     subgraph = materialize(spark, _p(base, tag, "subgraph"), lambda: cc.induced_subgraph(contacts, largest))
@@ -117,10 +124,21 @@ def sweep_job(spark: SparkSession, base: str, usage: DataFrame, voice_paths: Ite
     improved ``combined_k``-NN graph, M26) at every rank in ``ranks``.
     Built graphs are stored once under ``base`` and reused by later calls.
     """
-    ks = list(ks)
+    voice, sms = logs.read_voice_log(spark, list(voice_paths)), logs.read_sms_log(spark, list(sms_paths))
+    valid = logs.read_id_list(spark, valid_users_path, "user")
+    return sweep_of(spark, base, usage, voice, sms, valid, secs, ks, ranks, model_rank, combined_k, folds, max_epochs,
+                    min_users, lmf_steps, lmf_restarts, seed)
+
+
+def sweep_of(spark: SparkSession, base: str, usage: DataFrame, voice: DataFrame, sms: DataFrame, valid: DataFrame,
+             secs: Iterable[int] = (15, 20, 25, 30), ks: Iterable[int] = range(1, 16), ranks: Iterable[int] = range(1, 16),
+             model_rank: int = 7, combined_k: int = 10, folds: int = 10, max_epochs: int = 21, min_users: int = 10,
+             lmf_steps: int = 800, lmf_restarts: int = 6, seed: int = 42) -> DataFrame:
+    """``sweep_job`` on parsed call and message records and the valid users."""
+    ks, ranks = list(ks), list(ranks)
     out = None
     for sec in secs:
-        g = graph_job(spark, base, usage, voice_paths, sms_paths, valid_users_path, sec, sorted(set(ks) | {combined_k}),
+        g = graphs_of(spark, base, usage, voice, sms, valid, sec, sorted(set(ks) | {combined_k}),
                       min_users, 5, lmf_steps, lmf_restarts, seed)
         users = g["largest"].select(F.col("node").alias("user"))
         mbase = _p(base, f"s{sec}")

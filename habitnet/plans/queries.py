@@ -329,6 +329,7 @@ def exposure_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def holdout_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M19 with 3 of the source's 10 folds; all of them: ``holdout_days_full``."""
     days = tb.events_state(spark, sf_dir).select("day")
     return ex.holdout_days(days, HOLDOUT_FOLDS, 0.8, HOLDOUT_SEED)
 
@@ -413,12 +414,13 @@ def lmf_one_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lmf_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M15..M17 cut to 4 steps and 2 restarts (source: 800 and 6, ``lmf_train_full``): factors stay near their start."""
     res = fa.train_lmf(_positives(spark, sf_dir), LMF_RANK, LMF_RATE, LMF_TRAIN_STEPS, LMF_TRAIN_RESTARTS, seed=LMF_SEED)
     return res.users
 
 
 def improved_knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M10 on trained user factors (cosine kNN, symmetrised)."""
+    """M10 (cosine kNN, symmetrised) on the factors of ``lmf_train``'s cut run; on trained ones: ``improved_knn_graph_full``."""
     res = fa.train_lmf(_positives(spark, sf_dir), LMF_RANK, LMF_RATE, LMF_TRAIN_STEPS, LMF_TRAIN_RESTARTS, seed=LMF_SEED)
     return knn.improved_graph(fa.factors_as_arrays(res.users, LMF_RANK), KNN_K)
 
@@ -468,6 +470,7 @@ def gd_item_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exposure_model_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M25 cut to 2 folds, rank 3, 3 epochs (source: 10, 7, 21, ``exposure_model_cv_full``)."""
     state, cal, graph = _events_model(spark, sf_dir)
     rows, links = ex.exposure_long(state, state, graph, cal)
     folds = ex.holdout_days(rows.select(F.col("t").alias("day")), CV_FOLDS, 0.8, MODEL_SEED)
@@ -476,7 +479,8 @@ def exposure_model_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The model's rank sweep on one graph: least and mean fold RMSE per rank."""
+    """M27's rank sweep on one graph, cut to ranks 1 and 2, 1 fold, 2 epochs: least and mean fold
+    RMSE per rank. All of M27 (S x k x graph type, S x 15 ranks): ``sweep_full``."""
     from habitnet.plans.sweep import rank_sweep
 
     state, cal, graph = _events_model(spark, sf_dir)
