@@ -279,7 +279,8 @@ def cosine_knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def combined_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contact graph united with the user-similarity graph (user ids as 'c' || custkey)."""
+    """Contact graph united with the direct Jaccard graph (user ids as 'c' || custkey);
+    M26, which takes the improved graph: ``combined_graph_improved``."""
     sim = knn.direct_graph(tb.usage_log(spark, sf_dir), KNN_K, fill=True).select(
         F.concat(F.lit("c"), F.col("src").cast("string")).alias("src"),
         F.concat(F.lit("c"), F.col("dst").cast("string")).alias("dst"),
@@ -294,11 +295,11 @@ def calendar_next_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.calendar(days, max_gap=CALENDAR_MAX_GAP)
 
 
-def _events_model(spark, sf_dir):
+def _events_model(spark, sf_dir, graph=tb.ring_graph):
     # the state feeds the split, both lookups and the calendar: write it once
     state = cut_lineage(ex.model_usage(tb.events_state(spark, sf_dir), None, MODEL_MIN_USERS))
     cal = ex.calendar(state.select("day"))
-    return state, cal, tb.ring_graph(spark, sf_dir)
+    return state, cal, graph(spark, sf_dir)
 
 
 def retention_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,8 +307,8 @@ def retention_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.retention_labels(state, ex.calendar(state.select("day")))
 
 
-def exposure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state, cal, graph = _events_model(spark, sf_dir)
+def exposure_rows(spark: SparkSession, sf_dir: str, graph=tb.ring_graph) -> DataFrame:
+    state, cal, graph = _events_model(spark, sf_dir, graph=graph)
     rows, links = ex.exposure_long(state, state, graph, cal)
     per_row = links.groupBy("i", "j", "t").agg(F.count(F.lit(1)).alias("n_nbrs"), F.sum("ml0").cast("bigint").alias("sum_ml0"))
     return rows.join(per_row, ["i", "j", "t"], "left").select(
@@ -316,14 +317,14 @@ def exposure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def exposure_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state, cal, graph = _events_model(spark, sf_dir)
+def exposure_text(spark: SparkSession, sf_dir: str, graph=tb.ring_graph) -> DataFrame:
+    state, cal, graph = _events_model(spark, sf_dir, graph=graph)
     return exposure_to_text(ex.exposure_rows(state, state, graph, cal))
 
 
-def exposure_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def exposure_decoded(spark: SparkSession, sf_dir: str, graph=tb.ring_graph) -> DataFrame:
     """S13 read half: the lines of ``exposure_text`` parsed, neighbours counted."""
-    rows = exposure_from_text(exposure_text(spark, sf_dir), "bigint", "string")
+    rows = exposure_from_text(exposure_text(spark, sf_dir, graph=graph), "bigint", "string")
     total = F.aggregate("ni", F.lit(0).cast("bigint"), lambda s, x: s + x["ml0"])
     return rows.select("i", "j", "t", "m0", "m1", F.size("ni").cast("bigint").alias("n_nbrs"), total.alias("sum_ml0"))
 
@@ -427,10 +428,10 @@ def improved_knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- exposure model ----------------------------------------------------------------------------
 
-def _model_inputs(spark, sf_dir, d=MODEL_RANK):
+def _model_inputs(spark, sf_dir, d=MODEL_RANK, graph=tb.ring_graph):
     import math
 
-    state, cal, graph = _events_model(spark, sf_dir)
+    state, cal, graph = _events_model(spark, sf_dir, graph)
     rows, links = ex.exposure_long(state, state, graph, cal)
     rows, links = md.prepare(rows), cut_lineage(links)  # reused by every pass below
     terms = md.prepare(md.exposure_terms(rows, links), md.ROW + ["user"])
@@ -439,32 +440,32 @@ def _model_inputs(spark, sf_dir, d=MODEL_RANK):
     return rows, links, terms, U, V, lu, lv
 
 
-def exposure_predict_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _, terms, U, V, _, _ = _model_inputs(spark, sf_dir)
+def exposure_predict_rmse(spark: SparkSession, sf_dir: str, graph=tb.ring_graph) -> DataFrame:
+    rows, _, terms, U, V, _, _ = _model_inputs(spark, sf_dir, graph=graph)
     return md.rmse(rows, terms, U, V, MODEL_RANK).select(F.round("rmse", 8).alias("rmse"))
 
 
-def newton_user_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _, terms, U, V, lu, _ = _model_inputs(spark, sf_dir)
+def newton_user_step(spark: SparkSession, sf_dir: str, graph=tb.ring_graph) -> DataFrame:
+    rows, _, terms, U, V, lu, _ = _model_inputs(spark, sf_dir, graph=graph)
     U1 = md.newton_user_step(rows, terms, U, V, MODEL_RANK, 0, lu)
     return _rounded(U1, fa.fnames(MODEL_RANK), 8)
 
 
-def newton_item_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _, terms, U, V, lu, lv = _model_inputs(spark, sf_dir)
+def newton_item_step(spark: SparkSession, sf_dir: str, graph=tb.ring_graph) -> DataFrame:
+    rows, _, terms, U, V, lu, lv = _model_inputs(spark, sf_dir, graph=graph)
     U1 = md.newton_user_step(rows, terms, U, V, MODEL_RANK, 0, lu)
     V1 = md.newton_item_step(rows, terms, U1, V, MODEL_RANK, 0, lv)
     return _rounded(V1, fa.fnames(MODEL_RANK), 8)
 
 
-def gd_user_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _, terms, U, V, lu, _ = _model_inputs(spark, sf_dir)
+def gd_user_step(spark: SparkSession, sf_dir: str, graph=tb.ring_graph) -> DataFrame:
+    rows, _, terms, U, V, lu, _ = _model_inputs(spark, sf_dir, graph=graph)
     U1 = md.gd_user_step(rows, terms, U, V, MODEL_RANK, 0, MODEL_GD_RATE, lu, rows.count())
     return _rounded(U1, fa.fnames(MODEL_RANK), 8)
 
 
-def gd_item_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _, terms, U, V, _, lv = _model_inputs(spark, sf_dir)
+def gd_item_step(spark: SparkSession, sf_dir: str, graph=tb.ring_graph) -> DataFrame:
+    rows, _, terms, U, V, _, lv = _model_inputs(spark, sf_dir, graph=graph)
     V1 = md.gd_item_step(rows, terms, U, V, MODEL_RANK, 0, MODEL_GD_RATE, lv, rows.count())
     return _rounded(V1, fa.fnames(MODEL_RANK), 8)
 

@@ -8,8 +8,9 @@ import pytest
 import __spark_entry__ as se
 from habitnet.operators import factors as fa
 from habitnet.operators import model as md
-from habitnet.plans import jobs
-from habitnet.plans.oracle import SQL
+from habitnet.plans import full, jobs
+from habitnet.plans import queries as qs
+from habitnet.plans.oracle import SQL, _jaccard_topk, _sym
 from tools.oracle_check import TABLES, digest
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -95,3 +96,26 @@ def test_holdout_has_all_folds(spark):
     sql = SQL["holdout_days"].replace("range(0, 3)", "range(0, 10)")
     assert sql != SQL["holdout_days"]
     same(se.queries()["holdout_days_full"](spark, SF_DIR), sql)
+
+
+def test_combined_graph_holds_the_improved_one(spark, monkeypatch):
+    trained = fa.train_lmf
+    monkeypatch.setattr(fa, "train_lmf", lambda pos: trained(pos, max_steps=2, restarts=1))
+    improved = {(f"c{r.src}", f"c{r.dst}") for r in full.improved_knn_graph_full(spark, SF_DIR).collect()}
+    contacts = {(r.src, r.dst) for r in qs.contact_graph(spark, SF_DIR).collect()}
+    rows = [(r.src, r.dst) for r in se.queries()["combined_graph_improved"](spark, SF_DIR).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == improved | contacts
+
+
+@pytest.mark.parametrize("name", ["exposure_rows", "exposure_text", "newton_item_step"])
+def test_exposure_on_a_knn_graph(spark, name):
+    ring = """eu AS (SELECT DISTINCT user_id AS u FROM events),
+g AS (SELECT a.u AS src, b.u AS dst FROM eu a JOIN eu b ON b.u = a.u + 1 OR b.u = a.u - 1)"""
+    used = "SELECT DISTINCT user_id AS u, event_type AS a FROM events"
+    assert ring in SQL[name]
+    same(se.queries()[f"{name}_knn"](spark, SF_DIR), SQL[name].replace(ring, f"g AS ({_sym(_jaccard_topk(used, 10, True))})"))
+
+
+def test_knn_graph_has_hubs(spark):
+    most = full.events_knn_graph(spark, SF_DIR).groupBy("src").count().agg({"count": "max"}).first()[0]
+    assert most > 10
