@@ -17,7 +17,7 @@ each of which is sent to the workers and run against all documents, however
 large the benchmark is.
 
 Defined cases: null and empty texts and items match nothing; items shorter than
-``SHORTEST`` normalised bytes have no segments; a null doc_id or item_id is an
+``SHORTEST`` normalised bytes have no segments and are found as whole words, without edits; a null doc_id or item_id is an
 id like any other; rows that share a doc_id (or an item_id) are judged
 together; empty tables give no rows.
 """
@@ -36,8 +36,9 @@ from habitnet.llm.common import fresh_name, map_batches, stored, texts_of
 
 Q = 8
 SEGMENT = 64
-#: Segments begin this far apart, so a copied passage of SEGMENT + STRIDE bytes holds a whole one.
-STRIDE = 32
+#: Segments begin this far apart. A verbatim excerpt of SEGMENT bytes lacks at most half of it at one
+#: end of some segment, which is within the edits allowed, so it is found wherever it begins.
+STRIDE = 8
 SHORTEST = 32
 EDIT_PERCENT = 8
 #: Diagonals of a band, beside those that it shares with the next.
@@ -105,6 +106,30 @@ def index(items: pd.DataFrame) -> dict:
     }
 
 
+def short_index(items: pd.DataFrame) -> dict[int, tuple[np.ndarray, dict]]:
+    """The items without segments, each between blanks, by how many of its first bytes are looked up (8 at most)."""
+    found: dict[int, dict] = {}
+    for i, t in zip(items["item_id"], items["text"]):
+        item = normalised(t or "")
+        if 0 < len(item) < SHORTEST:
+            whole = b" " + item + b" "
+            size = min(len(whole), Q)
+            found.setdefault(size, {}).setdefault(int.from_bytes(whole[:size], "little"), []).append((None if pd.isna(i) else int(i), whole))
+    return {size: (np.array(sorted(own), np.uint64), own) for size, own in found.items()}
+
+
+def short_items(raw: bytes, short: dict) -> set[tuple]:
+    """``(item_id, item)`` of every item of ``short`` that stands in ``raw`` between blanks."""
+    out = set()
+    grams = _grams(raw + b"\0" * Q)
+    for size, (keys, own) in short.items():
+        first = grams & np.uint64((1 << 8 * size) - 1)
+        key = np.minimum(np.searchsorted(keys, first), len(keys) - 1)
+        for at in np.flatnonzero(keys[key] == first).tolist():
+            out.update((i, whole[1:-1]) for i, whole in own[int(first[at])] if raw.startswith(whole, at))
+    return out
+
+
 def candidates(raw: bytes, block: dict) -> Iterator[tuple[int, int]]:
     """``(segment row, first diagonal of a band)`` of every band of ``raw`` with enough shared q-grams."""
     grams = _grams(raw)
@@ -140,7 +165,7 @@ def region(raw: bytes, begin: int, end: int, diagonal: int, length: int) -> byte
 
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        block = shared.value
+        block, short = shared.value
         names = ("doc_id", "item_id", "segment", "n_segments", "pattern", "region")
         reach = SEGMENT + BAND + 2 * edit_budget(SEGMENT)
         for batch in batches:
@@ -162,6 +187,10 @@ def _search(shared):
 
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
                 whole = normalised(text)
+                if short:
+                    padded = b" " + whole + b" "
+                    here = set().union(*(short_items(padded[at : at + BYTES_AT_ONCE + SHORTEST + 2], short) for at in range(0, len(padded), BYTES_AT_ONCE)))
+                    rows.extend((doc_id, item, 0, 1, own, own) for item, own in here)
                 for at in range(0, max(len(whole), 1), BYTES_AT_ONCE):
                     piece = whole[at : at + BYTES_AT_ONCE + reach]
                     pieces.append(piece)
@@ -222,7 +251,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     found = []
     for number in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).toPandas()  # about BLOCK_BYTES
-        shared = spark.sparkContext.broadcast(index(block))
+        shared = spark.sparkContext.broadcast((index(block), short_index(block)))
         seen = map_batches(own, _search(shared), CANDIDATE_SCHEMA)
         checked = seen.withColumn("edits", edits("pattern", "region")).where(F.col("edits") * 100 <= F.octet_length("pattern") * EDIT_PERCENT)
         found.append(stored(checked.select("doc_id", "item_id", "segment", "n_segments", "edits"), "decontaminate-matches"))

@@ -82,3 +82,21 @@ def test_odd_rows(spark, odd, none):
     assert {r["doc_id"] for r in d.contaminated(odd, bench).collect()} == {None, 4}
     assert {r["doc_id"] for r in d.clean(odd, bench).collect()} == {1, 2, 3, 5, 6} and d.clean(odd, bench).columns == odd.columns
     assert d.clean(odd, bench.limit(0)).count() == odd.count() and d.contaminated(none, bench).count() == 0
+
+
+def test_an_excerpt_is_found_wherever_it_begins(spark, docs):
+    item = "".join(RNG.choice("abcdefgh") for _ in range(400))
+    rows = [(at, noise(100) + item[at : at + 64] + noise(100), *[None] * 5) for at in range(400 - 64 + 1)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r["doc_id"] for r in d.contaminated(docs(rows), bench).collect()} == set(range(400 - 64 + 1))
+
+
+def test_short_items_are_found_as_whole_words(spark, docs, monkeypatch):
+    rows = [(1, "So: Two  RIVERS meet, here", *[None] * 5), (2, "two riversides meet", *[None] * 5), (3, "no", *[None] * 5), (4, "ono nos", *[None] * 5), (5, "", *[None] * 5)]
+    bench = spark.createDataFrame([(7, "Two rivers meet"), (8, "no"), (9, ""), (None, "so")], "item_id long, text string")
+    want = {(1, 7), (3, 8), (1, None)}
+    found = lambda: {(r["doc_id"], r["item_id"]) for r in d.contaminated(docs(rows), bench).collect()}
+    assert found() == want
+    monkeypatch.setattr(d, "BYTES_AT_ONCE", 5)
+    assert found() == want
+    assert {r["doc_id"] for r in d.clean(docs(rows), bench).collect()} == {2, 4, 5}
