@@ -11,7 +11,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from habitnet.llm import byte_lm, decontaminate, line_dedup, packing, quality_model, quality_rules, simhash, token_files, toxicity, warc
+from habitnet.llm import (
+    alignment,
+    byte_lm,
+    decontaminate,
+    inner_products,
+    line_dedup,
+    packing,
+    quality_model,
+    quality_rules,
+    resampling,
+    simhash,
+    token_files,
+    toxicity,
+    warc,
+)
 from habitnet.llm.common import scratch_path, stored, table
 
 
@@ -77,6 +91,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(spark, path)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return alignment.link_counts(alignment.align(table(spark, sf_dir, "documents"), *files), *files)
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return inner_products.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
@@ -88,4 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_byte_lm": op9_byte_lm,
     "op10_token_files": op10_token_files,
+    "op11_alignment": op11_alignment,
+    "op12_top_k": op12_top_k,
+    "op13_resample": op13_resample,
 }
