@@ -8,7 +8,7 @@ stretches of doubling length are compared until one differs, and halves of it
 tell where; all tokens before that place pair off one to one. The group there
 is resolved token by token up to the next common end, which sets the new shift.
 
-``align`` gives ids and groups of every document. ``link_counts`` adds, for
+``align`` gives ids and groups of every document. ``link_counts`` aligns and gives, for
 each document, its links (pairs of tokens that share bytes) and how many
 documents of the whole corpus hold the same two ids linked. Documents are
 reduced in the task that aligned them to chunks: a dictionary of the chunk's id
@@ -31,23 +31,33 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from habitnet.llm.common import map_batches, stored, struct_of, texts_of, worker_memo
-from habitnet.llm.encode import Encoder, _visible_bytes
+from habitnet.llm.encode import _SAFE, _visible_bytes
 
 #: Characters of text aligned at a time, unless one text has more.
-CHARS_AT_ONCE = 2 << 20
+CHARS_AT_ONCE = 1 << 19
 #: (document, id pair) entries of one chunk, unless one document has more.
 CHUNK_ENTRIES = 1 << 20
 #: Chunks of one partition are numbered within this many bits.
 CHUNK_BITS = 33
+#: Words that a worker remembers B's ids of, in each of two generations.
+REMEMBERED = 150_000
+NEAR = 8
+BLANK = "\u2581"
+#: How a byte-level file states its split, and the pattern which that stands for.
+BYTE_LEVEL_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+BYTE_LEVEL_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 ALIGNED = "doc_id long, ids_a binary, ids_b binary, group_ends_a binary, group_ends_b binary"
 CHUNKS = (
@@ -74,28 +84,47 @@ class Vocabulary:
 
 
 class ByteLevel:
-    """A: a byte-level BPE file of the tokenizers library; special tokens' names are plain text."""
+    """A: a byte-level BPE file of the tokenizers library; special tokens' names are plain text.
+
+    Where the file's ids are in merge order, which is looked at on loading,
+    tiktoken encodes whole texts to the same ids.
+    """
 
     def __init__(self, path: str):
-        self.encoder = Encoder(path)
-        self.encoder.whole.encode_special_tokens = True
-        self.encoder.special = []
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        model, added = spec["model"], spec.get("added_tokens", [])
         byte_of = {c: b for b, c in _visible_bytes().items()}
-        tokens = [b""] * self.encoder.whole.get_vocab_size(with_added_tokens=True)
-        for token in spec.get("added_tokens", []):
+        tokens = [b""] * (1 + max([*model["vocab"].values(), *(t["id"] for t in added)]))
+        special = {t["content"] for t in added}
+        for token, i in model["vocab"].items():
+            tokens[i] = token.encode("utf-8") if token in special else bytes(byte_of[c] for c in token)
+        for token in added:
             tokens[token["id"]] = token["content"].encode("utf-8")
-        for token, i in spec["model"]["vocab"].items():
-            tokens[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode("utf-8")
         self.vocabulary = Vocabulary(tokens)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        plain = spec.get("normalizer") is None and spec["pre_tokenizer"] == BYTE_LEVEL_SPLIT | {"trim_offsets": spec["pre_tokenizer"].get("trim_offsets")}
+        self.fast = self.whole = None
+        if plain and all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(pairs)):
+            ranks = {tokens[i]: i for t, i in model["vocab"].items() if t not in special}
+            self.fast = tiktoken.Encoding("a", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        else:
+            self.whole = Tokenizer.from_file(path)
+            self.whole.encode_special_tokens = True
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(self.encoder.encode(" " + t), "<u4") for t in texts]
+        if self.fast:
+            return [self.fast.encode_to_numpy(" " + t, disallowed_special=()) for t in texts]
+        return [np.array(x.ids, "<u4") for x in self.whole.encode_batch([" " + t for t in texts], add_special_tokens=False)]
 
 
 class Pieces:
-    """B: a sentence-piece model, which sets a blank before the text itself."""
+    """B: a sentence-piece model, which sets a blank before the text itself.
+
+    Where no piece holds a blank behind other characters, nothing is merged
+    across a blank, so the words of texts that single blanks separate get the
+    ids that they have alone; a worker remembers those of frequent words.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
@@ -103,11 +132,28 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         named = [(i, self.model.id_to_piece(i)) for i in range(self.model.get_piece_size())]
         self.vocabulary = Vocabulary(
-            [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode("utf-8") for i, p in named]
+            [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(BLANK, " ").encode("utf-8") for i, p in named]
         )
+        self.by_word = not any(BLANK in p.lstrip(BLANK) for _, p in named) and self.model.encode("a b") == self.model.encode("a") + self.model.encode("b")
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _words(self, text: str) -> list[str] | None:
+        plain = self.by_word and text[:1] != " " and text[-1:] != " " and "  " not in text and _SAFE.fullmatch(text)
+        return text.split(" ") if plain else None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, "<u4") for ids in self.model.encode(texts, num_threads=1)]
+        words = [self._words(t) for t in texts]
+        if len(self.recent) > REMEMBERED:
+            self.recent, self.older = {}, self.recent
+        recent, older = self.recent, self.older
+        new = {w for own in words if own for w in own if w not in recent}
+        recent.update((w, older[w]) for w in new if w in older)
+        missing = [w for w in new if w not in older]
+        recent.update(zip(missing, (array("I", ids).tobytes() for ids in self.model.encode(missing, num_threads=1))))
+        whole = iter(self.model.encode([t for t, own in zip(texts, words) if own is None], num_threads=1))
+        get = recent.__getitem__
+        return [np.array(next(whole), "<u4") if own is None else np.frombuffer(b"".join(map(get, own)), "<u4") for own in words]
 
 
 def _tokenizers(path_a: str, path_b: str) -> tuple[ByteLevel, Pieces]:
@@ -118,18 +164,24 @@ def _tokenizers(path_a: str, path_b: str) -> tuple[ByteLevel, Pieces]:
 
 
 def diagonal_runs(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where groups end, as token counts of A and of B. Both arrays ascend to the same last end."""
+    """Where groups end, as token counts of A and of B. Both arrays ascend to the same last end.
+
+    The first ``NEAR`` ends of a stretch are compared one by one, as most stretches are short.
+    """
     a, b = ends_a.tolist(), ends_b.tolist()
     wide = ends_a.dtype.itemsize
     raw_a, raw_b = ends_a.tobytes(), ends_b.tobytes()
     n = len(a)
-    from_a, from_b, run, group_a, group_b = [], [], [], [], []
+    run, group_a, group_b = [], [], []
     i = j = 0
     while i < n:
-        from_a.append(i)
-        from_b.append(j)
-        if a[i] == b[j]:
-            k = step = 1
+        k = 0
+        near = min(NEAR, n - i)
+        while k < near and a[i + k] == b[j + k]:
+            k += 1
+        if k == NEAR:
+            step = NEAR
+            growing = True
             while step:  # stretches at this shift: doubling while they agree, then halving
                 p, q = (i + k) * wide, (j + k) * wide
                 if raw_a[p : p + step * wide] == raw_b[q : q + step * wide]:
@@ -137,21 +189,15 @@ def diagonal_runs(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, n
                     if i + k >= n:
                         k = n - i
                         break
-                    step *= 2
+                    step = step * 2 if growing else step // 2
                 else:
+                    growing = False
                     step //= 2
-                    while step:
-                        p, q = (i + k) * wide, (j + k) * wide
-                        if raw_a[p : p + step * wide] == raw_b[q : q + step * wide]:
-                            k += step
-                        step //= 2
-            i += k
-            j += k
-            run.append(k)
-            if i >= n:
-                break
-        else:
-            run.append(0)
+        run.append(k)
+        i += k
+        if i == n:
+            break
+        j += k
         x, y = a[i], b[j]
         while x != y:
             if x < y:
@@ -171,8 +217,9 @@ def diagonal_runs(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, n
     last = np.cumsum(many) - 1
     inside = np.arange(int(many.sum())) - np.repeat(last - many + 1, many)
     out = []
-    for begin, group in ((from_a, group_a), (from_b, group_b)):
-        cuts = np.repeat(np.array(begin, np.int64), many) + inside + 1
+    for group in (group_a, group_b):
+        begin = np.array([0, *group], np.int64)[: len(runs)]
+        cuts = np.repeat(begin, many) + inside + 1
         cuts[last[:whole]] = group
         out.append(cuts)
     return out[0], out[1]
@@ -241,13 +288,16 @@ def _align(path_a: str, path_b: str):
     return run
 
 
+def _texts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+
+
 def align(df: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Ids of A and B of every document and, per group, the tokens up to its end on either side.
 
     All four are little-endian unsigned 32-bit integers; a document without tokens has empty ones.
     """
-    own = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return map_batches(own, _align(path_a, path_b), ALIGNED)
+    return map_batches(_texts(df, doc_id, text), _align(path_a, path_b), ALIGNED)
 
 
 def _texts_of_groups(path_a: str, path_b: str, size_a: int, size_b: int) -> list[bytes]:
@@ -262,18 +312,18 @@ def _texts_of_groups(path_a: str, path_b: str, size_a: int, size_b: int) -> list
 class _Flat:
     """The aligned documents of one batch, end to end."""
 
-    def __init__(self, batch: pa.RecordBatch):
-        self.doc_id = batch.column("doc_id").to_pylist()
-        self.a, self.n_a = self._joined(batch, "ids_a")
-        self.b, self.n_b = self._joined(batch, "ids_b")
-        ends_a, self.n_groups = self._joined(batch, "group_ends_a")
-        ends_b, _ = self._joined(batch, "group_ends_b")
+    def __init__(self, aligned: dict[str, pa.Array]):
+        self.doc_id = aligned["doc_id"].to_pylist()
+        self.a, self.n_a = self._joined(aligned["ids_a"])
+        self.b, self.n_b = self._joined(aligned["ids_b"])
+        ends_a, self.n_groups = self._joined(aligned["group_ends_a"])
+        ends_b, _ = self._joined(aligned["group_ends_b"])
         self.group_a = ends_a + np.repeat(_spans(self.n_a)[0], self.n_groups)
         self.group_b = ends_b + np.repeat(_spans(self.n_b)[0], self.n_groups)
 
     @staticmethod
-    def _joined(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-        raw = batch.column(name).to_pylist()
+    def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw = column.to_pylist()
         return np.frombuffer(b"".join(raw), "<u4").astype(np.int64), np.array([len(x) // 4 for x in raw], np.int64)
 
     def digests(self, written: list[bytes], size_a: int) -> list[str]:
@@ -347,10 +397,8 @@ def _chunks(path_a: str, path_b: str):
         written = _texts_of_groups(path_a, path_b, len(a.length), len(b.length))
         number = TaskContext.get().partitionId() << CHUNK_BITS
         chunk = _Chunk()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = _Flat(batch)
+        for aligned in _align(path_a, path_b)(batches):
+            flat = _Flat(aligned)
             chunk.add(flat, flat.digests(written, len(a.length)), *flat.links(a, b))
             if chunk.size >= CHUNK_ENTRIES:
                 yield chunk.row(number)
@@ -387,9 +435,9 @@ def _counted(chunks: pa.Table, counts: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(v, kinds[n]) for n, v in out.items()})
 
 
-def link_counts(aligned: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Per document of ``align``: tokens, groups, links, those whose count is their A id's highest, the counts' sum."""
-    chunks = stored(map_batches(aligned, _chunks(path_a, path_b), CHUNKS), "aligned-chunks")
+def link_counts(df: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document, aligned as by ``align``: tokens, groups, links, those whose count is their A id's highest, the counts' sum."""
+    chunks = stored(map_batches(_texts(df, doc_id, text), _chunks(path_a, path_b), CHUNKS), "aligned-chunks")
     rows = map_batches(chunks.select("chunk", "keys", "holders"), _key_rows, "chunk long, key long, holders long")
     pairs = stored(rows.groupBy("key").agg(F.sum("holders").alias("count")), "aligned-pairs")
     by_a = pairs.withColumn("a", F.shiftright("key", 32))

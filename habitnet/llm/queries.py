@@ -93,7 +93,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
-    return alignment.link_counts(alignment.align(table(spark, sf_dir, "documents"), *files), *files)
+    return alignment.link_counts(table(spark, sf_dir, "documents"), *files)
 
 
 def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
