@@ -16,6 +16,8 @@ sizes then go to the least id, deterministically).
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +80,35 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     return nodes.join(e, nodes.node == e.hi, "left").select("node", F.coalesce("lo", "node").alias("component"))
 
 
+def nested_components(edges: DataFrame, weight: str, bounds: Iterable[int], src: str = "src", dst: str = "dst") -> DataFrame:
+    """M4 for several bounds on the edges' weight at once: (bound, node, component) of the edges of at least ``bound``.
+
+    The graphs are nested, so the strictest comes first and every next one only
+    joins its components: of the edges that the lower bound adds, both ends
+    become components, and rounds run on what is left of these. Each edge is
+    worked on once, not once per bound. Component ids are least node ids, as
+    those of ``connected_components``.
+    """
+    e = cut_lineage(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(weight).alias("_w")).dropna(subset=["src", "dst", "_w"]))
+    out, held, above = None, None, None
+    for bound in sorted(set(bounds), reverse=True):
+        own = e.where(F.col("_w") >= bound) if above is None else e.where((F.col("_w") >= bound) & (F.col("_w") < above))
+        own, above = own.select("src", "dst"), bound
+        if held is None:
+            held = cut_lineage(connected_components(own))
+        else:
+            ends = own.select(F.col("src").alias("node")).unionByName(own.select(F.col("dst").alias("node"))).distinct()
+            known = cut_lineage(held.unionByName(ends.join(held, "node", "left_anti").withColumn("component", F.col("node"))))
+            a = known.select(F.col("node").alias("src"), F.col("component").alias("_a"))
+            b = known.select(F.col("node").alias("dst"), F.col("component").alias("_b"))
+            between = own.join(a, "src").join(b, "dst").select(F.col("_a").alias("src"), F.col("_b").alias("dst")).where("src <> dst").distinct()
+            joined = cut_lineage(connected_components(between)).select(F.col("node").alias("component"), F.col("component").alias("_least"))
+            held = cut_lineage(known.join(joined, "component", "left").select("node", F.coalesce("_least", "component").alias("component")))
+        found = held.select(F.lit(bound).alias("bound"), "node", "component")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def component_sizes(components: DataFrame) -> DataFrame:
     """(component, size)."""
     return components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))

@@ -12,11 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from habitnet.functions.seeded import md5_key
+from habitnet.operators.joins import semi_join
 from habitnet.operators.usage import popular_apps
+from habitnet.session import cut_lineage
 
 
 def calendar(days: DataFrame, day: str = "day", max_gap: int = 1, bridges: DataFrame | None = None,
@@ -55,6 +57,41 @@ def retention_labels(state: DataFrame, cal: DataFrame) -> DataFrame:
     )
 
 
+DAY_BITS = 62  # days of one word of a bitmap
+
+
+def _numbered_days(cal: DataFrame) -> DataFrame:
+    """(day, d, next_d): the calendar's days and their next days numbered in order. One row per day, as the calendar."""
+    days = cal.select("day").unionByName(cal.select(F.col("next_day").alias("day"))).where(F.col("day").isNotNull()).distinct()
+    numbered = days.withColumn("d", F.row_number().over(Window.orderBy("day")) - 1)
+    nxt = numbered.select(F.col("day").alias("next_day"), F.col("d").alias("next_d"))
+    return cut_lineage(numbered.join(cal, "day", "left").join(nxt, "next_day", "left").select("day", "d", "next_d"))
+
+
+def day_bitmaps(state: DataFrame, days: DataFrame, where: Column | None = None) -> DataFrame:
+    """(user, app, bits map<word, bits>): one row per pair for all its days; ``bit_or`` combines map-side."""
+    on = state.select("user", "app", "day").join(F.broadcast(days if where is None else days.where(where)), "day")  # one row per day
+    words = on.groupBy("user", "app", F.floor(F.col("d") / DAY_BITS).cast("int").alias("w")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("d") % DAY_BITS)).alias("b")
+    )
+    return words.groupBy("user", "app").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("bits"))
+
+
+def _has_day(bits: Column, d: Column) -> Column:
+    """1 if the day numbered ``d`` is set, else 0 (also for a null map or day)."""
+    word = F.try_element_at(bits, F.floor(d / DAY_BITS).cast("int"))
+    return F.coalesce(F.call_function("shiftright", word, (d % DAY_BITS).cast("int")).bitwiseAND(1).cast("int"), F.lit(0))
+
+
+def _set_days(bits: Column) -> Column:
+    """The numbers of the days set."""
+    of_word = lambda e: F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit(DAY_BITS - 1)), lambda i: F.call_function("shiftright", e["value"], i).bitwiseAND(1) == 1),
+        lambda i: i + e["key"] * DAY_BITS,
+    )
+    return F.flatten(F.transform(F.map_entries(bits), of_word))
+
+
 def exposure_long(split: DataFrame, state: DataFrame, graph: DataFrame, cal: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M18 in long form.
 
@@ -63,23 +100,29 @@ def exposure_long(split: DataFrame, state: DataFrame, graph: DataFrame, cal: Dat
     ``state`` every (user, app, day) used (lookups for m1 and ml0), ``graph``
     directed (src, dst) neighbour edges and ``cal`` the calendar.
     Neighbours are limited to users of the split with a non-terminal day.
+
+    Days are bits of a map per (user, app), so the joins carry one row per pair
+    and neighbour, whatever the number of days: m1 is the bit of the next day,
+    ml0 that of the day itself, and days become rows after the last join only.
+    Maps, users and neighbour pairs are checkpointed, so that AQE can split a
+    hub's or a hot user's partition in each join.
     """
-    st = state.select("user", "app", "day").distinct()
-    sp = split.select("user", "app", "day").distinct().join(F.broadcast(cal.where(F.col("next_day").isNotNull())), "day")
-    nxt = st.select("user", "app", F.col("day").alias("next_day"), F.lit(1).alias("_m1"))
-    rows = sp.join(nxt, ["user", "app", "next_day"], "left").select(
-        F.col("user").alias("i"), F.col("app").alias("j"), F.col("day").alias("t"),
-        F.lit(1).alias("m0"), F.coalesce("_m1", F.lit(0)).alias("m1"),
-    )
-    split_users = rows.select(F.col("i").alias("_u")).distinct()
+    days = _numbered_days(cal)
+    used = cut_lineage(day_bitmaps(state, days))
+    own = cut_lineage(day_bitmaps(split, days, F.col("next_d").isNotNull()))
+    by_day = F.broadcast(days.select(F.col("day").alias("t"), "d", "next_d"))  # one row per day
+    pairs = own.join(used.withColumnRenamed("bits", "_used"), ["user", "app"], "left")
+    rows = pairs.select(F.col("user").alias("i"), F.col("app").alias("j"), "_used", F.explode(_set_days(F.col("bits"))).alias("d")).join(by_day, "d")
+    rows = rows.select("i", "j", "t", F.lit(1).alias("m0"), _has_day(F.col("_used"), F.col("next_d")).alias("m1"))
     nb = graph.select(F.col("src").alias("i"), F.col("dst").alias("l")).distinct()
-    nb = nb.join(split_users, nb.l == split_users["_u"], "left_semi")
-    used = st.select(F.col("user").alias("l"), F.col("app").alias("j"), F.col("day").alias("t"), F.lit(1).alias("_ml0"))
+    nb = cut_lineage(semi_join(nb, own, "l", "user"))
     links = (
-        rows.select("i", "j", "t")
+        own.select(F.col("user").alias("i"), F.col("app").alias("j"), "bits")
         .join(nb, "i")
-        .join(used, ["l", "j", "t"], "left")
-        .select("i", "j", "t", "l", F.coalesce("_ml0", F.lit(0)).alias("ml0"))
+        .join(used.select(F.col("user").alias("l"), F.col("app").alias("j"), F.col("bits").alias("_used")), ["l", "j"], "left")
+        .select("i", "j", "l", "_used", F.explode(_set_days(F.col("bits"))).alias("d"))
+        .join(by_day, "d")
+        .select("i", "j", "t", "l", _has_day(F.col("_used"), F.col("d")).alias("ml0"))
     )
     return rows, links
 
@@ -101,10 +144,8 @@ def model_usage(usage: DataFrame, users: DataFrame | None = None, min_users: int
     with at least ``min_users`` distinct users among them (P8, inclusive)."""
     u = usage.select("user", "app", "day")
     if users is not None:
-        k = users.select(F.col("user").alias("_u")).distinct()
-        u = u.join(k, u.user == k["_u"], "left_semi")
-    apps = popular_apps(u, min_users).select("app")
-    return u.join(apps, "app", "left_semi")
+        u = semi_join(u, users, "user")
+    return semi_join(u, popular_apps(u, min_users), "app")
 
 
 def holdout_days(days: DataFrame, folds: int, train_share: float = 0.8, seed: int = 42, day: str = "day") -> DataFrame:

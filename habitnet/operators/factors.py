@@ -1,13 +1,10 @@
 """Logistic matrix factorisation with sampled negatives (M11..M17; F10, F11, A10, A12, A13, X3).
 
 Factor tables are ``(id, f0..f{d-1})`` frames. One step is two passes over the
-sample table: user gradients at (U, V), then item gradients at (U', V), as
-in the source model. The sample table is written to the checkpoint folder
-once and cached in buckets of (user, salt), a hot user having many; each step
-sends copies of factor rows to the buckets and leaves the samples in place. The
-same layout serves every size; AQE broadcasts factor tables that are small. Losses are collected with
-``DataFrame.observe`` on the same pass that builds the user gradients, so a
-step costs two jobs and returns two scalars to the driver.
+samples: user gradients at (U, V), then item gradients at (U', V), as
+in the source model. ``lmf_step`` and its parts state one step as joins and
+sums. ``train_lmf`` takes hundreds for several restarts, on the packed tiles of
+``factor_blocks``: samples stay where they are, blocks of factor rows travel.
 """
 
 from __future__ import annotations
@@ -15,15 +12,18 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from habitnet.functions.seeded import md5_int32, md5_key, md5_uniform
 from habitnet.functions.vectors import dot_cols, log_loss, norm_cols, sigmoid
+from habitnet.operators import blocks as bl
+from habitnet.operators import factor_blocks as fb
 from habitnet.operators.components import consecutive_index
-
-from habitnet.session import cut_lineage, cut_round, partition_count
+from habitnet.session import cut_lineage, partition_count
 
 
 def fnames(d: int, p: str = "f") -> list[str]:
@@ -32,15 +32,27 @@ def fnames(d: int, p: str = "f") -> list[str]:
 
 # ---- samples -------------------------------------------------------------------------------
 
-def app_permutation(apps: DataFrame, seed: int) -> DataFrame:
-    """(app, pos): all apps (A13) in a seeded random order, pos = 0..N-1."""
-    order = F.concat(md5_key(F.lit("perm"), F.col("app"), F.lit(seed)), F.lit("#"), F.col("app").cast("string"))
-    return consecutive_index(apps.select("app"), "app", "pos", order=order)
+def app_permutation(apps: DataFrame, seed: int, restarts: int = 1) -> DataFrame:
+    """(restart, app, pos): for each restart all apps (A13) in an order seeded by seed + restart, pos = 0..N-1."""
+    own = apps.select("app").distinct().withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
+    key = F.struct("restart", "app")
+    order = F.concat_ws(
+        "#",
+        F.lpad(F.col("_key.restart").cast("string"), 6, "0"),
+        md5_key(F.lit("perm"), F.col("_key.app"), F.lit(seed) + F.col("_key.restart")),
+        F.col("_key.app").cast("string"),
+    )
+    placed = cut_lineage(consecutive_index(own.select(key.alias("_key")), "_key", "_nth", order=order))
+    n = F.lit(placed.count() // restarts)
+    return placed.select("_key.restart", "_key.app", (F.col("_nth") - F.col("_key.restart") * n).alias("pos"))
 
 
-def negative_samples(pos: DataFrame, seed: int = 42) -> DataFrame:
-    """For each user as many unused apps as used ones (all unused apps
-    when there are fewer).
+CYCLE_CHUNK = 65_536  # steps of a user's walk that one window ranks
+
+
+def restart_negatives(pos: DataFrame, seed: int, restarts: int, cycle_chunk: int = CYCLE_CHUNK) -> DataFrame:
+    """M11/X3 for every restart (seed + restart): (restart, user, app), for each user as many unused
+    apps as used ones (all unused apps when there are fewer).
 
     Exact without a users x apps product: apps get one seeded random order
     (positions 0..N-1) and each user a seeded offset into it. A user with p
@@ -48,20 +60,36 @@ def negative_samples(pos: DataFrame, seed: int = 42) -> DataFrame:
     Among the next min(2p, N) positions at most p are used, so that window
     always holds the answer: the candidate table is at most twice the
     positive table.
+
+    Unused apps are ranked in two levels: in chunks of the walk, which a window
+    sorts, after the counts of the user's chunks before. A user with a third of
+    all pairs is as many chunks, not one window.
     """
     pairs = cut_lineage(pos.select("user", "app").distinct())  # read three times below
-    perm = app_permutation(pairs.select("app").distinct(), seed)
-    n = perm.count()
+    perm = app_permutation(pairs.select("app"), seed, restarts)
+    n = pairs.select("app").distinct().count()
     deg = pairs.groupBy("user").agg(F.count(F.lit(1)).alias("_p"))
-    # the offset is hashed once per user, before the window is exploded
-    deg = deg.withColumn("_off", md5_int32(F.lit("offset"), F.col("user"), F.lit(seed)))
+    deg = deg.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
+    # the offset is hashed once per user and restart, before the window is exploded
+    deg = deg.withColumn("_off", md5_int32(F.lit("offset"), F.col("user"), F.lit(seed) + F.col("restart")))
     cand = deg.select(
-        "user", "_p", "_off",
+        "restart", "user", "_p", "_off",
         F.explode(F.sequence(F.lit(0), F.least(F.col("_p") * 2, F.lit(n)) - 1)).alias("_g"),
     ).withColumn("pos", F.pmod(F.col("_off") + F.col("_g"), F.lit(n)))
-    cand = cand.join(perm, "pos").join(pairs, ["user", "app"], "left_anti")
-    rk = F.row_number().over(Window.partitionBy("user").orderBy("_g"))
-    return cand.withColumn("_rk", rk).where(F.col("_rk") <= F.col("_p")).select("user", "app")
+    free = cand.join(perm, ["restart", "pos"]).join(pairs, ["user", "app"], "left_anti")
+    free = cut_lineage(free.select("restart", "user", "app", "_p", "_g", F.floor(F.col("_g") / cycle_chunk).alias("_c")))
+    walk = ["restart", "user"]
+    before = Window.partitionBy(*walk).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
+    chunks = free.groupBy(*walk, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    chunks = cut_lineage(chunks.select(*walk, "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    rank = F.row_number().over(Window.partitionBy(*walk, "_c").orderBy("_g")) + F.col("_before")
+    ranked = free.join(chunks, [*walk, "_c"]).withColumn("_rank", rank)
+    return ranked.where(F.col("_rank") <= F.col("_p")).select(*walk, "app")
+
+
+def negative_samples(pos: DataFrame, seed: int = 42) -> DataFrame:
+    """M11/X3 for one seed: (user, app); see :func:`restart_negatives`."""
+    return restart_negatives(pos, seed, 1).select("user", "app")
 
 
 def training_samples(pos: DataFrame, seed: int = 42) -> DataFrame:
@@ -82,16 +110,10 @@ def init_factors(ids: DataFrame, key: str, d: int, seed: int, role: str) -> Data
     return raw.select("id", *[(F.abs(F.col(c)) / n).alias(c) for c in fnames(d)])
 
 
-def _joined(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, salts: DataFrame | None = None) -> DataFrame:
+def _joined(samples: DataFrame, U: DataFrame, V: DataFrame, d: int) -> DataFrame:
     u = U.select(F.col("id").alias("user"), *[F.col(f"f{c}").alias(f"u{c}") for c in range(d)])
     v = V.select(F.col("id").alias("app"), *[F.col(f"f{c}").alias(f"v{c}") for c in range(d)])
-    if salts is not None:
-        # salted join: each user's factor row goes to its sample buckets, the
-        # samples (cached by (user, _salt)) stay where they are
-        us = u.join(salts, "user").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1))).drop("_ns")
-        j = samples.join(us, ["user", "_salt"])
-    else:
-        j = samples.join(u, "user")
+    j = samples.join(u, "user")
     j = j.join(v, "app")
     p = dot_cols([F.col(f"u{c}") for c in range(d)], [F.col(f"v{c}") for c in range(d)])
     return j.withColumn("_p", p).withColumn("_g", sigmoid(F.col("_p")) - F.col("r"))
@@ -112,9 +134,9 @@ def user_gradients(samples: DataFrame, U: DataFrame, V: DataFrame, d: int) -> Da
     return j.groupBy(F.col("user").alias("id")).agg(*[F.sum(F.col("_g") * F.col(f"v{c}")).alias(f"g{c}") for c in range(d)])
 
 
-def item_gradients(samples: DataFrame, U: DataFrame, V: DataFrame, d: int, salts: DataFrame | None = None) -> DataFrame:
+def item_gradients(samples: DataFrame, U: DataFrame, V: DataFrame, d: int) -> DataFrame:
     """Sum over an app's samples of (s(u.v) - r) u."""
-    j = _joined(samples, U, V, d, salts)
+    j = _joined(samples, U, V, d)
     return j.groupBy(F.col("app").alias("id")).agg(*[F.sum(F.col("_g") * F.col(f"u{c}")).alias(f"g{c}") for c in range(d)])
 
 
@@ -159,85 +181,118 @@ def prepare_samples(samples: DataFrame) -> DataFrame:
     return out
 
 
-SALT_BUCKET_ROWS = 200_000  # samples per (user, salt) bucket
+WINDOW_STEPS = 12  # steps of one Spark job; lineage is cut after each
 
 
-def salted_samples(samples: DataFrame, bucket_rows: int = SALT_BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Samples split into per-user buckets for the training loop.
-
-    A user with n samples gets ceil(n / bucket_rows) buckets (``_salt`` from a
-    hash of the app). The samples are checkpointed once and cached
-    hash-partitioned by (user, _salt); the returned ``salts`` (user, _ns) table
-    tells the factor join how many copies of each user's factor row to send.
-    A user holding a third of all samples is thus spread over many tasks, and
-    no step moves the samples. Lost cache blocks are rebuilt from the
-    checkpoint with one shuffle.
-    """
-    spark = samples.sparkSession
-    base = cut_lineage(samples.select("user", "app", "r"))
-    n = partition_count(spark, base.count())
-    salts = base.groupBy("user").agg(
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(float(bucket_rows)))).cast("int").alias("_ns")
-    )
-    salts = cut_lineage(salts)
-    tagged = base.join(salts, "user").withColumn("_salt", F.pmod(F.xxhash64("app"), F.col("_ns")).cast("int")).drop("_ns")
-    out = tagged.repartition(n, "user", "_salt").persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out, salts
+def _followed(losses: list[float], stop_ratio: float) -> tuple[int, int]:
+    """The step of the least loss until the stop, and the step that stopped (or the number of steps)."""
+    best = 0
+    for step, loss in enumerate(losses):
+        if loss < losses[best] or not step:
+            best = step
+        elif loss > stop_ratio * losses[best]:
+            return best, step
+    return best, len(losses)
 
 
 def train_lmf(pos: DataFrame, d: int = 5, rate: float = 1e-4, max_steps: int = 800, restarts: int = 6,
               stop_ratio: float = 1.001, monitor: str = "train", lam: float = 1e-4, seed: int = 42,
-              bucket_rows: int = SALT_BUCKET_ROWS) -> LmfResult:
-    """M15..M17: full-batch gradient descent on the logistic loss.
+              tile_rows: int = bl.TILE_ROWS, window: int = WINDOW_STEPS) -> LmfResult:
+    """M15..M17: full-batch gradient descent on the logistic loss, all restarts in the same passes.
 
     Each restart draws new negatives (seed + restart), starts from the same
     initial factors and a fresh rate, decays the rate by 1/1.0001 per step,
-    keeps the snapshot with the least monitored loss and stops once the loss
+    keeps the factors of the step with the least monitored loss and stops once the loss
     exceeds ``stop_ratio`` times the best. The restart with the least
-    observed loss at its best snapshot wins.
+    observed loss at its best step wins.
+
+    Samples and factors are blocks (``factor_blocks``); ``window`` steps are one
+    job, after which only losses come back to the driver: whether a restart has
+    stopped, and its best step, follow from these. Each restart remembers the
+    checkpoint before its best step, and the winner's steps from there are
+    taken again, so no snapshots are carried along.
     """
     if monitor not in ("train", "observed"):
         raise ValueError(f"monitor must be 'train' or 'observed', not {monitor!r}")
-    p = pos.select("user", "app").distinct()
-    U0 = cut_lineage(init_factors(p, "user", d, seed, "u"))
-    V0 = cut_lineage(init_factors(p, "app", d, seed, "v"))
-    m, n = U0.count(), V0.count()
+    p = cut_lineage(pos.select("user", "app").where(F.col("user").isNotNull() & F.col("app").isNotNull()).distinct())
+    n_pos, m, n = p.agg(F.count(F.lit(1)), F.count_distinct("user"), F.count_distinct("app")).first()
     lu, lv = lam * math.sqrt(m), lam * math.sqrt(n)
-    history: list[dict] = []
-    best = (None, None, math.inf, -1)
-    samples = None
-    positives = prepare_samples(p.withColumn("r", F.lit(1.0)))
-    for rs in range(restarts):
-        if rs:
-            samples.unpersist()
-        samples, salts = salted_samples(training_samples(p, seed + rs), bucket_rows)
-        U, V, eta = U0, V0, rate
-        snap, snap_loss = (U, V), math.inf
-        for step in range(max_steps):
-            obs = Observation(f"lmf_{rs}_{step}")
-            j = _joined(samples, U, V, d, salts).withColumn("_l", log_loss(F.col("r"), F.col("_p")))
-            j = j.observe(obs, F.avg("_l").alias("train"), F.avg(F.when(F.col("r") == 1.0, F.col("_l"))).alias("observed"))
-            gu = j.groupBy(F.col("user").alias("id")).agg(*[F.sum(F.col("_g") * F.col(f"v{c}")).alias(f"g{c}") for c in range(d)])
-            U1 = cut_round(apply_gradient(U, gu, d, eta, lu))
-            met = obs.get
-            loss = float(met[monitor])
-            history.append({"restart": rs, "step": step, "train_loss": float(met["train"]), "observed_loss": float(met["observed"])})
-            if loss < snap_loss:
-                snap, snap_loss = (U, V), loss
-            elif loss > stop_ratio * snap_loss:
-                break
-            V1 = cut_round(apply_gradient(V, item_gradients(samples, U1, V, d, salts), d, eta, lv))
-            U, V = U1, V1
+    left, right = bl.grid(2 * n_pos * restarts, m, n, tile_rows)
+    users, apps = bl.indexed(p, "user", left), bl.indexed(p, "app", right)
+    drawn = p.withColumns({"r": F.lit(1.0), "restart": F.explode(F.sequence(F.lit(0), F.lit(restarts - 1)))})
+    samples = drawn.unionByName(restart_negatives(p, seed, restarts).withColumn("r", F.lit(0.0)))
+    tiles = cut_lineage(fb.sample_tiles(samples, users, apps, right, restarts, tile_rows))
+    parts = max(1, tiles.count())
+    counts = {x["restart"]: x["n"] for x in samples_per_restart(tiles, restarts).collect()}  # one number per restart
+    near = bl.dealt(cut_lineage(bl.tiles_of_blocks(tiles, {0: "u", 1: "v"})), parts)
+    tiles = bl.dealt(tiles, parts)
+    sides = ((users, "user", bl.left_place(F.col("block")), "u"), (apps, "app", bl.right_place(F.col("block")), "v"))
+    first = None
+    for index, key, place, role in sides:
+        own = bl.initial_state(init_factors(p, key, d, seed, role), index, key, place, fnames(d) * restarts)
+        first = own if first is None else first.unionByName(own)
+
+    def advanced(state: DataFrame, at: int, steps: int, measure: bool = False) -> DataFrame:
+        """``state`` (of step ``at``) after ``steps`` steps; ``measure``: with the last factors' losses too."""
+        eta = rate
+        for _ in range(at):
             eta /= 1.0001
-        final = losses(positives, snap[0], snap[1], d).first()["observed_loss"]
-        history.append({"restart": rs, "step": -1, "train_loss": None, "observed_loss": float(final)})
-        if final < best[2]:
-            best = (snap[0], snap[1], float(final), rs)
-    for cached in (samples, positives):
-        if cached is not None:
-            cached.unpersist()
-    return LmfResult(best[0], best[1], history, best[3], best[2])
+        plan = [(near, fb.moved(None, eta, 0.0, d, fresh=True))]
+        for _ in range(steps):
+            plan += [
+                (tiles, fb.gradients(0, d, restarts)), (near, fb.moved("u", eta, lu, d)),
+                (tiles, fb.gradients(1, d, restarts)), (near, fb.moved("v", eta, lv, d)),
+            ]
+            eta /= 1.0001
+        if measure:
+            plan += [(tiles, fb.gradients(0, d, restarts)), (near, fb.moved(None, eta, 0.0, d))]
+        return bl.advanced(state, plan, parts, roles=("S",))
+
+    state, at = cut_lineage(first), 0
+    train, observed = [[] for _ in range(restarts)], [[] for _ in range(restarts)]
+    kept: dict[int, tuple[int, DataFrame]] = {}  # restart -> (step, state) at or before its best step
+    while at < max_steps:
+        last = at + window >= max_steps
+        steps = max_steps - 1 - at if last else window
+        after = advanced(state, at, steps, measure=last)
+        log = bl.summed_logs(after).reshape(-1, 2, restarts)
+        for rs in range(restarts):
+            train[rs] += (log[:, 0, rs] / counts[rs]).tolist()
+            observed[rs] += (log[:, 1, rs] / n_pos).tolist()
+            best, _ = _followed((train if monitor == "train" else observed)[rs], stop_ratio)
+            if best >= at:
+                kept[rs] = (at, state)
+        state, at = after, at + len(log)
+        if all(_followed(x, stop_ratio)[1] < len(x) for x in (train if monitor == "train" else observed)):
+            break
+    history, finals = [], []
+    for rs in range(restarts):
+        best, stop = _followed((train if monitor == "train" else observed)[rs], stop_ratio)
+        for step in range(min(stop + 1, len(train[rs]))):
+            history.append({"restart": rs, "step": step, "train_loss": train[rs][step], "observed_loss": observed[rs][step]})
+        history.append({"restart": rs, "step": -1, "train_loss": None, "observed_loss": observed[rs][best]})
+        finals.append((observed[rs][best], rs, best))
+    loss, winner, best = min(finals)
+    begin, state = kept[winner]
+    if best > begin:
+        state = advanced(state, begin, best - begin)
+    out = [cut_lineage(bl.unpacked(state, index, key, place, fnames(d), restarts, winner)) for index, key, place, _ in sides]
+    for cached in (tiles, near):
+        cached.unpersist()
+    return LmfResult(out[0], out[1], history, winner, loss)
+
+
+def samples_per_restart(tiles: DataFrame, restarts: int) -> DataFrame:
+    """(restart, n): how many samples of each restart the tiles hold."""
+
+    def count(batches):
+        total = np.zeros(restarts, np.int64)
+        for batch in batches:
+            for users in batch.column("a").to_pylist():
+                total += np.bincount(bl.integers(users) % restarts, minlength=restarts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(restarts, dtype=np.int32)), pa.array(total)], ["restart", "n"])
+
+    return tiles.select("a").mapInArrow(count, "restart int, n long").groupBy("restart").agg(F.sum("n").alias("n"))
 
 
 def factors_as_arrays(F_: DataFrame, d: int) -> DataFrame:

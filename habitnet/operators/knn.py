@@ -1,28 +1,31 @@
 """k-nearest-neighbour user graphs (M9, M10, T1, Q10; J5, F1, F2, P13).
 
-Exact top-k without a cross join and without emitting every pair that shares
-an app:
-
-1. users are hashed into ``B`` blocks of about ``block_size`` users
-   (``B`` from one approximate distinct count);
-2. each user's row (for Jaccard: its app list, packed once) is sent to the
-   ``B`` block pairs ``(min(b, x), max(b, x))`` its block takes part in --
-   one ``explode``, linear in users times ``B``;
-3. each block pair is one ``applyInPandas`` group: numpy scores the two
-   blocks against each other (overlap counts for Jaccard, a matmul for cosine)
-   and emits only each user's top ``k`` inside that pair;
-4. a ``row_number() <= k`` window per user merges the ``B * k`` candidates
-   (Spark plans it with a group limit).
-
-A group holds two blocks, so its size is set by ``block_size``, not by the
-data: an app used by a third of all users only makes a block pair's score
-matrix denser, never larger. Ties break on score descending, then neighbour id
-ascending -- the same total order in every group and in the merge, so the
-result is exact and deterministic.
-
-With ``fill=True`` users with fewer than ``k`` positive-score neighbours are
-completed with zero-score users in id order (the source jobs fill every slot
-this way); ``fill=False`` keeps only positive scores.
+Exact top-k without a cross join and without shuffling every pair that shares
+an app. Ties break on score descending, then neighbour id ascending, a total
+order, so results are exact and deterministic.
+
+**Jaccard on app sets** follows the overlaps, through an inverted index:
+
+1. users are hashed into blocks, as many as the expected overlaps need; a block
+   gets its users' app lists and, once for each app that it uses, the list of
+   all users of that app, and counts overlaps (``cogroup`` in numpy);
+2. apps of more than ``hot_users`` users are *hot* and have no such lists. A
+   pair's overlap lies between that in other apps and that plus the lesser
+   number of hot apps, so candidates whose upper bound is below the k-th lower
+   bound go, and the hot apps of the others are counted by joining their lists;
+3. a pair that shares hot apps only scores at most (hot apps of the user) / (apps
+   of the user). Users whose k-th score is above that are done. The others meet
+   all users of hot apps in cells of two blocks, whose size is fixed.
+
+**Cosine** scores all pairs of blocks: rows are hashed into ``B`` blocks and
+sent to the block pairs that they take part in.
+
+Both emit each user's top ``k`` of a group, and a ``row_number() <= k`` window
+(a group limit) merges them. With ``fill=True`` users with fewer than ``k``
+positive-score neighbours are completed with zero-score users in id order (the
+source jobs fill every slot this way): among the ``k + 1`` least ids there are
+always enough. ``fill=False`` keeps only positive scores. Rows without a user
+or an app take no part.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,7 +50,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DEFAULT_BLOCK_SIZE = 2048
 MIN_BLOCKS = 4
-_PAIR_BUDGET = 1 << 23  # overlap pairs expanded at once inside a group
+_PAIR_BUDGET = 1 << 22  # overlap pairs expanded at once inside a group
+HOT_USERS = 4096  # an app of more users is hot
+GROUP_OVERLAPS = 1 << 22  # overlaps that a block counts, on average
 
 
 def _num_blocks(n_items: int, block_size: int) -> int:
@@ -128,26 +135,76 @@ def _unpack(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return block["user"].to_numpy(), np.repeat(np.arange(len(lists)), lengths), apps
 
 
-def _jaccard_group(k: int, fill: bool):
+def _jaccard_cell(k: int):
+    """Top-k of the row users (``_side`` 0) among the column users (1) of one cell, positive scores only."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gi, gj = int(pdf["_gi"].iat[0]), int(pdf["_gj"].iat[0])
-        a = pdf[pdf["_b"] == gi]
-        b = a if gi == gj else pdf[pdf["_b"] == gj]
-        if len(a) == 0 or len(b) == 0:  # a hash block may be empty
+        rows, columns = (pdf[pdf["_side"] == side] for side in (0, 1))
+        if len(rows) == 0 or len(columns) == 0:  # a hash block may be empty
             return pd.DataFrame({"src": pdf["user"].iloc[:0], "dst": pdf["user"].iloc[:0], "score": pd.Series([], dtype="float64")})
-        ua, ia, apps_a = _unpack(a)
-        ub, ib, apps_b = (ua, ia, apps_a) if gi == gj else _unpack(b)
+        ua, ia, apps_a = _unpack(rows)
+        ub, ib, apps_b = _unpack(columns)
         apps, codes = np.unique(np.concatenate([apps_a, apps_b]), return_inverse=True)
         ca, cb = codes[: len(apps_a)], codes[len(apps_a):]
-        deg_a = np.bincount(ia, minlength=len(ua))
-        deg_b = np.bincount(ib, minlength=len(ub))
         ov = _overlap(ia, ca, ib, cb, len(ua), len(ub), len(apps))
-        scores = ov / (deg_a[:, None] + deg_b[None, :] - ov).astype("float64")
-        valid = np.ones_like(ov, dtype=bool) if fill else ov > 0
-        if gi == gj:
-            np.fill_diagonal(valid, False)
-            return _emit(ua, ua, scores, valid, k)
-        return pd.concat([_emit(ua, ub, scores, valid, k), _emit(ub, ua, scores.T, valid.T, k)], ignore_index=True)
+        size_a, size_b = np.bincount(ia, minlength=len(ua)), np.bincount(ib, minlength=len(ub))
+        scores = ov / (size_a[:, None] + size_b[None, :] - ov).astype("float64")
+        return _emit(ua, ub, scores, (ov > 0) & (ua[:, None] != ub[None, :]), k)
+
+    return run
+
+
+def _listed_overlaps(k: int):
+    """Of the users of a block, with the user lists of the apps that they use: candidates (src, dst, shared, total).
+
+    ``shared`` counts the listed apps, ``total`` is the sum of both users' apps. Candidates whose best possible
+    score, with all hot apps of either shared, is below the k-th certain one are left out.
+    """
+
+    def run(rows: pa.Table, lists: pa.Table) -> pa.Table:
+        kind = rows.schema.field("user").type
+        out = [[], [], [], []]
+        if rows.num_rows and lists.num_rows:
+            entries = lists.column("users").combine_chunks()
+            many, flat = entries.value_lengths().to_numpy(), entries.flatten()
+            begin = np.cumsum(many) - many
+            users, code = np.unique(flat.field("user").to_numpy(zero_copy_only=False), return_inverse=True)
+            n, h = np.zeros(len(users), np.int64), np.zeros(len(users), np.int64)
+            n[code], h[code] = flat.field("n").to_numpy(), flat.field("h").to_numpy()
+            own = rows.column("user").combine_chunks()
+            ids, own_n, own_h = own.to_numpy(zero_copy_only=False), *(rows.column(c).to_numpy() for c in "nh")
+            cold = rows.column("cold").combine_chunks()
+            at = pc.index_in(cold.flatten(), value_set=lists.column("app").combine_chunks()).to_numpy()
+            row = np.repeat(np.arange(len(ids)), cold.value_lengths().to_numpy())
+            upto = np.cumsum(many[at])  # overlaps to count
+            cut = 0
+            while cut < len(row):
+                end = max(int(np.searchsorted(upto, (upto[cut - 1] if cut else 0) + _PAIR_BUDGET, "right")), cut + 1)
+                end = int(np.searchsorted(row, row[end - 1], "right"))  # whole rows
+                times = many[at[cut:end]]
+                inside = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                other = code[np.repeat(begin[at[cut:end]], times) + inside]
+                key, shared = np.unique(np.repeat(row[cut:end], times) * len(users) + other, return_counts=True)
+                r, v = key // len(users), key % len(users)
+                there = users[v] != ids[r]
+                r, v, shared = r[there], v[there], shared[there]
+                total = own_n[r] + n[v]
+                low = shared / (total - shared)
+                best = shared + np.minimum(own_h[r], h[v])
+                order = np.lexsort((v, -low, r))
+                r, v, shared, total, low, best = (x[order] for x in (r, v, shared, total, low, best))
+                first = np.searchsorted(r, r, "left")
+                place = np.arange(len(r)) - first
+                sure = np.minimum(first + k - 1, len(r) - 1)
+                bar = np.where(r[sure] == r, low[sure], -1.0) if len(r) else low
+                bar = np.where(first + k <= len(r), bar, -1.0)
+                keep = (place < k) | ((best > shared) & (best / (total - best) >= bar))
+                for held, x in zip(out, (ids[r[keep]], users[v[keep]], shared[keep], total[keep])):
+                    held.append(x)
+                cut = end
+        columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
+        kinds = (kind, kind, pa.int64(), pa.int64())
+        return pa.table([pa.array(c.tolist() if t == kind else c, t) for c, t in zip(columns, kinds)], ["src", "dst", "shared", "total"])
 
     return run
 
@@ -194,23 +251,75 @@ def _merge_topk(cands: DataFrame, k: int) -> DataFrame:
     return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def jaccard_topk(usage: DataFrame, k: int, fill: bool = True, user: str = "user", app: str = "app", block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
+def _blocks_and_lists(packed: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Users with their block, and for each block the user lists (``hot_users`` entries at most) of the apps used there."""
+    blocked = packed.select(F.pmod(F.xxhash64("user"), F.lit(blocks)).cast("int").alias("_b"), "user", "n", "h", "cold")
+    by_app = packed.select(F.explode("cold").alias("app"), F.struct("user", "n", "h").alias("x")).groupBy("app").agg(F.collect_list("x").alias("users"))
+    wanted = blocked.select(F.col("_b").alias("_block"), F.explode("cold").alias("app")).distinct()
+    return blocked, wanted.join(by_app, "app")
+
+
+def _jaccard_cells(rows: DataFrame, columns: DataFrame, k: int, block_size: int, utype: str) -> DataFrame:
+    """Positive top-k of the users of ``rows`` among those of ``columns``, (user, apps) frames, cell by cell."""
+    sides = []
+    counts = [_num_blocks(x.count(), block_size) for x in (rows, columns)]
+    for side, frame in enumerate((rows, columns)):
+        own = F.pmod(F.xxhash64("user"), F.lit(counts[side])).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.lit(counts[1 - side] - 1)))
+        placed = frame.select("user", "apps", F.lit(side).alias("_side"), own.alias("_own"), other.alias("_other"))
+        names = ("_gi", "_gj") if side == 0 else ("_gj", "_gi")
+        sides.append(placed.select("user", "apps", "_side", F.col("_own").alias(names[0]), F.col("_other").alias(names[1])))
+    cells = sides[0].unionByName(sides[1]).groupBy("_gi", "_gj")
+    return cells.applyInPandas(_jaccard_cell(k), schema=f"src {utype}, dst {utype}, score double")
+
+
+def jaccard_topk(usage: DataFrame, k: int, fill: bool = True, user: str = "user", app: str = "app", block_size: int = DEFAULT_BLOCK_SIZE,
+                 hot_users: int = HOT_USERS, group_overlaps: int = GROUP_OVERLAPS) -> DataFrame:
     """M9 scores: (src, dst, score, rank) -- each user's ``k`` most Jaccard-similar users."""
-    # written once: the estimate below and the replication both read it, and
-    # the input plan (often a large join) then runs a single time
-    pairs = cut_lineage(usage.select(F.col(user).alias("user"), F.col(app).alias("app")).distinct())
+    spark = usage.sparkSession
+    own = usage.select(F.col(user).alias("user"), F.col(app).alias("app"))
+    # written once: the input plan (often a large join) then runs a single time
+    pairs = cut_lineage(own.where(F.col("user").isNotNull() & F.col("app").isNotNull()).distinct())
     utype = pairs.schema["user"].dataType.simpleString()
-    # the block count only needs the order of magnitude: one HyperLogLog pass
-    n = int(pairs.agg(F.approx_count_distinct("user")).first()[0])
-    if n < 2:
-        return pairs.sparkSession.createDataFrame([], f"src {utype}, dst {utype}, score double, rank int")
-    nb = _num_blocks(n, block_size)
-    # one packed row per user (its distinct apps, bounded by the app catalogue)
-    # is what gets replicated to the block pairs: far fewer shuffle rows
-    packed = pairs.groupBy("user").agg(F.collect_list("app").alias("apps"))
-    rep = _replicate(packed, "user", nb)
-    cands = rep.groupBy("_gi", "_gj").applyInPandas(_jaccard_group(k, fill), schema=f"src {utype}, dst {utype}, score double")
-    return _merge_topk(cands, k)
+    counts = cut_lineage(pairs.groupBy("app").agg(F.count(F.lit(1)).alias("f")))
+    is_hot = F.col("f") > hot_users
+    work = counts.agg(F.count_if(is_hot).alias("hot"), F.sum(F.when(~is_hot, F.col("f") * F.col("f"))).alias("overlaps")).first()
+    # one row per user; the hot apps are few, at most the pairs / hot_users
+    hot = counts.where(is_hot).select("app", F.lit(1).alias("hot"))
+    tagged = pairs.join(hot, "app", "left") if work["hot"] else pairs.withColumn("hot", F.lit(None).cast("int"))
+    listed = F.when(F.col("hot").isNull(), F.col("app"))
+    packed = cut_lineage(tagged.groupBy("user").agg(
+        F.count(F.lit(1)).alias("n"), F.count("hot").alias("h"), F.collect_list(listed).alias("cold"),
+        F.collect_list(F.when(F.col("hot").isNotNull(), F.col("app"))).alias("hot"),
+    ))
+    least = [r["user"] for r in packed.select("user").orderBy("user").limit(k + 1).collect()]  # k + 1 ids
+    if len(least) < 2:
+        return spark.createDataFrame([], f"src {utype}, dst {utype}, score double, rank int")
+    blocks = max(spark.sparkContext.defaultParallelism, math.ceil((work["overlaps"] or 0) / group_overlaps))
+    blocked, lists = _blocks_and_lists(packed, blocks)
+    found = blocked.groupBy("_b").cogroup(lists.groupBy("_block")).applyInArrow(
+        _listed_overlaps(k), f"src {utype}, dst {utype}, shared long, total long")
+    scored = found.withColumn("score", F.col("shared") / (F.col("total") - F.col("shared"))).select("src", "dst", "score")
+    if work["hot"]:
+        apps = packed.select(F.col("user").alias("_u"), "hot")
+        both = found.join(apps.toDF("src", "_a"), "src").join(apps.toDF("dst", "_c"), "dst")
+        shared = F.col("shared") + F.size(F.array_intersect("_a", "_c"))
+        scored = both.withColumn("shared", shared).withColumn("score", F.col("shared") / (F.col("total") - F.col("shared"))).select("src", "dst", "score")
+        scored = cut_lineage(_merge_topk(scored, k).drop("rank"))
+        least_score = scored.groupBy(F.col("src").alias("user")).agg(F.count(F.lit(1)).alias("_m"), F.min("score").alias("_kth"))
+        users = packed.where("h > 0").join(least_score, "user", "left").select("user", "n", "h", F.concat("cold", "hot").alias("apps"), "_m", "_kth")
+        # sharing hot apps only gives h / n at most; an equal score may still win by its id
+        rest = users.where(F.col("_m").isNull() | (F.col("_m") < k) | (F.col("_kth") <= F.col("h") / F.col("n")))
+        columns = packed.where("h > 0").select("user", F.concat("cold", "hot").alias("apps"))
+        scored = scored.unionByName(_jaccard_cells(rest.select("user", "apps"), columns, k, block_size, utype)).distinct()
+    if fill:
+        scored = cut_lineage(_merge_topk(scored, k).drop("rank"))
+        done = scored.groupBy(F.col("src").alias("user")).agg(F.count(F.lit(1)).alias("_m"))
+        short = packed.select("user").join(done, "user", "left").where(F.col("_m").isNull() | (F.col("_m") < k))
+        ids = F.array(*map(F.lit, least)).cast(f"array<{utype}>")
+        zero = short.select(F.col("user").alias("src"), F.explode(ids).alias("dst"), F.lit(0.0).alias("score")).where(F.col("src") != F.col("dst"))
+        scored = scored.unionByName(zero.join(scored.select("src", "dst"), ["src", "dst"], "left_anti"))
+    return _merge_topk(scored, k)
 
 
 def cosine_topk(vectors: DataFrame, k: int, fill: bool = True, key: str = "id", vec: str = "vec", block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:

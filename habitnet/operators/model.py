@@ -15,25 +15,28 @@ and with the coordinate c of the epoch
 
 All users move at once, then the items against the new users. Terms with
 weight 0 add nothing to p, A or B and are dropped up front, so the term table
-is rows + positive neighbour links. Factor tables are (id, f0..f{d-1}); each
-epoch is a handful of joins and ``groupBy`` sums, its factors are written to
-the checkpoint folder, and two RMSE scalars come back to the driver.
+is rows + positive neighbour links. Factor tables are (id, f0..f{d-1}); the
+steps below state one pass each as joins and ``groupBy`` sums. Cross-validation
+takes them for all folds and ranks together, on the blocks of
+``exposure_blocks``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from dataclasses import dataclass, field
+from collections.abc import Iterable
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 from habitnet.functions.vectors import sign
+from habitnet.operators import blocks as bl
+from habitnet.operators import exposure_blocks as eb
 from habitnet.operators.factors import fnames, init_factors
-from habitnet.session import cut_lineage, cut_round, partition_count
+from habitnet.session import cut_lineage, partition_count
 
 ROW = ["i", "j", "t"]
 
@@ -66,39 +69,16 @@ def prepare(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return out
 
 
-def salt_terms(terms: DataFrame, bucket_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """Terms split into per-user buckets for the epoch loop.
-
-    A user with n terms gets ceil(n / bucket_rows) buckets (``_salt`` from a
-    hash of the row key); terms are checkpointed and cached by (user, _salt),
-    and ``salts`` (user, _ns) tells the factor join how many copies of each
-    user's factor row to send: a prediction pass moves factor rows, not terms.
-    """
-    base = cut_lineage(terms.select(*ROW, "user", "w"))
-    n = partition_count(terms.sparkSession, base.count())
-    salts = cut_lineage(base.groupBy("user").agg(
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(float(bucket_rows)))).cast("int").alias("_ns")))
-    tagged = base.join(salts, "user").withColumn("_salt", F.pmod(F.xxhash64(*ROW), F.col("_ns")).cast("int")).drop("_ns")
-    out = tagged.repartition(n, "user", "_salt").persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out, salts
-
-
-def row_vectors(terms: DataFrame, U: DataFrame, d: int, salts: DataFrame | None = None) -> DataFrame:
+def row_vectors(terms: DataFrame, U: DataFrame, d: int) -> DataFrame:
     """x_r per row: sum over terms of w * u_user."""
     u = U.select(F.col("id").alias("user"), *fnames(d))
-    if salts is not None:
-        us = u.join(salts, "user").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1))).drop("_ns")
-        j = terms.join(us, ["user", "_salt"])
-    else:
-        j = terms.join(u, "user")
+    j = terms.join(u, "user")
     return j.groupBy(*ROW).agg(*[F.sum(F.col("w") * F.col(f"f{c}")).alias(f"x{c}") for c in range(d)])
 
 
-def predictions(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int,
-                salts: DataFrame | None = None) -> DataFrame:
+def predictions(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int) -> DataFrame:
     """(i, j, t, m1, x0.., p, e) for every row (rows without terms predict 0)."""
-    x = row_vectors(terms, U, d, salts)
+    x = row_vectors(terms, U, d)
     v = V.select(F.col("id").alias("j"), *[F.col(f"f{c}").alias(f"v{c}") for c in range(d)])
     out = rows.select(*ROW, "m1").join(x, ROW, "left").join(v, "j", "left")
     xs = [F.coalesce(F.col(f"x{c}"), F.lit(0.0)) for c in range(d)]
@@ -110,9 +90,9 @@ def predictions(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d
     )
 
 
-def rmse(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, salts: DataFrame | None = None) -> DataFrame:
+def rmse(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int) -> DataFrame:
     """One row with the root mean squared error."""
-    return predictions(rows, terms, U, V, d, salts).agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"))
+    return predictions(rows, terms, U, V, d).agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"))
 
 
 def _newton_update(F0: DataFrame, stats: DataFrame, c: int, lam: float) -> DataFrame:
@@ -126,13 +106,9 @@ def _newton_update(F0: DataFrame, stats: DataFrame, c: int, lam: float) -> DataF
     return j.select("id", *cols)
 
 
-def newton_user_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, lam: float,
-                     preds: DataFrame | None = None) -> DataFrame:
-    """One Newton coordinate step on every user at coordinate ``c``.
-
-    ``preds`` may carry the predictions at (U, V) already computed this epoch."""
-    pr = preds if preds is not None else predictions(rows, terms, U, V, d)
-    pr = pr.select(*ROW, "e", F.col(f"v{c}").alias("_vc"))
+def newton_user_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, lam: float) -> DataFrame:
+    """One Newton coordinate step on every user at coordinate ``c``."""
+    pr = predictions(rows, terms, U, V, d).select(*ROW, "e", F.col(f"v{c}").alias("_vc"))
     a = F.col("w") * F.col("_vc")
     stats = terms.join(pr, ROW).groupBy(F.col("user").alias("id")).agg(
         F.sum(a * a).alias("_A"), F.sum(a * F.col("e")).alias("_B")
@@ -140,10 +116,9 @@ def newton_user_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFra
     return _newton_update(U, stats, c, lam)
 
 
-def newton_item_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, lam: float,
-                     salts: DataFrame | None = None) -> DataFrame:
+def newton_item_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, lam: float) -> DataFrame:
     """One Newton coordinate step on every app at coordinate ``c``."""
-    pr = predictions(rows, terms, U, V, d, salts)
+    pr = predictions(rows, terms, U, V, d)
     a = F.col(f"x{c}")
     stats = pr.groupBy(F.col("j").alias("id")).agg(F.sum(a * a).alias("_A"), F.sum(a * F.col("e")).alias("_B"))
     return _newton_update(V, stats, c, lam)
@@ -160,8 +135,7 @@ def _gd_update(F0: DataFrame, grad: DataFrame, c: int, rate: float, lam: float,
 def gd_user_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, rate: float, lam: float, n_rows: int,
                      preds: DataFrame | None = None) -> DataFrame:
     """First-order step on users: g = sum e_r * w * v_j[c] / n_rows."""
-    pr = preds if preds is not None else predictions(rows, terms, U, V, d)
-    pr = pr.select(*ROW, "e", F.col(f"v{c}").alias("_vc"))
+    pr = predictions(rows, terms, U, V, d).select(*ROW, "e", F.col(f"v{c}").alias("_vc"))
     g = terms.join(pr, ROW).groupBy(F.col("user").alias("id")).agg(F.sum(F.col("e") * F.col("w") * F.col("_vc")).alias("_g"))
     return _gd_update(U, g, c, rate, lam, n_rows)
 
@@ -169,7 +143,7 @@ def gd_user_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame,
 def gd_item_step(rows: DataFrame, terms: DataFrame, U: DataFrame, V: DataFrame, d: int, c: int, rate: float, lam: float, n_rows: int,
                      salts: DataFrame | None = None) -> DataFrame:
     """First-order step on apps: g = sum e_r * x_r[c] / n_rows."""
-    pr = predictions(rows, terms, U, V, d, salts)
+    pr = predictions(rows, terms, U, V, d)
     g = pr.groupBy(F.col("j").alias("id")).agg(F.sum(F.col("e") * F.col(f"x{c}")).alias("_g"))
     return _gd_update(V, g, c, rate, lam, n_rows)
 
@@ -183,13 +157,6 @@ def next_coordinate(d: int, last: int, seed: int, fold: int, epoch: int) -> int:
     return c + 1 if 0 <= last <= c else c
 
 
-@dataclass
-class FoldResult:
-    fold: int
-    best_rmse: float
-    epochs: list[dict] = field(default_factory=list)
-
-
 def model_factors(rows: DataFrame, d: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """M13 for the model: unit vectors for the row owners and the apps."""
     U = init_factors(rows, "i", d, seed, "eu")
@@ -197,64 +164,127 @@ def model_factors(rows: DataFrame, d: int, seed: int) -> tuple[DataFrame, DataFr
     return U, V
 
 
-def train_fold(train_rows: DataFrame, train_terms: DataFrame, valid_rows: DataFrame, valid_terms: DataFrame,
-               U0: DataFrame, V0: DataFrame, d: int, lu: float, lv: float, max_epochs: int = 21,
-               stop_ratio: float = 1.01, solver: str = "newton", rate: float = 0.5, seed: int = 42, fold: int = 0,
-               salts: DataFrame | None = None) -> FoldResult:
-    """M25 for one fold: epochs of one coordinate each; keep the best validation
-    RMSE and stop once it reaches ``stop_ratio`` times the best."""
-    res = FoldResult(fold, math.inf)
-    U, V, last = U0, V0, -1
-    n_train = train_rows.count() if solver == "gd" else 0
-    for epoch in range(max_epochs):
-        # train predictions at (U, V) serve both the train RMSE and the user
-        # step: written once per epoch (rows-sized), the terms pass runs once
-        preds = cut_lineage(predictions(train_rows, train_terms, U, V, d, salts))
-        tr = preds.agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse")).withColumn("part", F.lit("train"))
-        va = rmse(valid_rows, valid_terms, U, V, d, salts).withColumn("part", F.lit("valid"))
-        got = {r["part"]: r["rmse"] for r in tr.unionByName(va).collect()}  # two rows
-        res.epochs.append({"fold": fold, "epoch": epoch, "train_rmse": got.get("train"), "valid_rmse": got.get("valid")})
-        v = got.get("valid")
-        v = math.inf if v is None else float(v)
-        if v < res.best_rmse:
-            res.best_rmse = v
-        elif v >= stop_ratio * res.best_rmse:
+def _factors_of_ranks(rows: DataFrame, key: str, ranks: list[int], seed: int, role: str) -> DataFrame:
+    """``init_factors`` of every rank d as columns ``r{d}_{c}``."""
+    out = None
+    for d in ranks:
+        own = init_factors(rows, key, d, seed, role).withColumnsRenamed({f"f{c}": f"r{d}_{c}" for c in range(d)})
+        out = own if out is None else out.join(own, "id")
+    return out
+
+
+MAX_COLUMNS = 512  # factor columns of the models that train together
+MAX_FOLDS = 62  # bits of a day's fold mask
+WINDOW_EPOCHS = 7  # epochs of one Spark job; lineage is cut after each
+
+
+def _until_stop(losses: list[float], stop_ratio: float) -> int:
+    """How many epochs count: up to the first that reaches ``stop_ratio`` times the best without bettering it."""
+    best = math.inf
+    for n, v in enumerate(losses, 1):
+        if v < best:
+            best = v
+        elif v >= stop_ratio * best:
+            return n
+    return len(losses)
+
+
+def _train_models(found: eb.Problem, layout: eb.Layout, first: DataFrame, max_epochs: int, stop_ratio: float, seed: int,
+                  lu: float, lv: float, rate: float | None, train_rows: np.ndarray | None, window: int) -> np.ndarray:
+    """Errors by epoch: (epochs, 4, models) of sum and count of train squares, then of valid ones."""
+    last = [-1] * len(layout.models)
+    state, log = first, []
+    opening = [(found.blocks, eb.moved(None, layout.begins, 0.0, layout.width, "uv")), (found.tiles, eb.sums_for_rows(layout.width))]
+    for begin in range(0, max_epochs, window):
+        plan, opening = opening, []
+        for epoch in range(begin, min(begin + window, max_epochs)):
+            if epoch == max_epochs - 1:  # its step is not looked at
+                plan.append((found.rows, eb.errors(layout, None, fresh=epoch == begin)))
+                break
+            last = [next_coordinate(d, c, seed, layout.base + fold, epoch) for (d, fold), c in zip(layout.models, last)]
+            columns = layout.begins + np.array(last)
+            plan += [
+                (found.rows, eb.errors(layout, columns, fresh=epoch == begin)),
+                (found.tiles, eb.user_sums(len(layout.models))),
+                (found.blocks, eb.moved("u", columns, lu, layout.width, "u", rate, train_rows)),
+                (found.tiles, eb.sums_for_rows(layout.width)),
+                (found.rows, eb.app_sums(layout, columns)),
+                (found.blocks, eb.moved("v", columns, lv, layout.width, "v", rate, train_rows)),
+            ]
+        state = bl.advanced(state, plan, found.parts)
+        log.append(bl.summed_logs(state).reshape(-1, 4, len(layout.models)))
+        so_far = np.concatenate(log)
+        if all(_until_stop(v, stop_ratio) < len(v) for v in np.transpose(_rmse_of(so_far[:, 2:])).tolist()):
             break
-        c = next_coordinate(d, last, seed, fold, epoch)
-        last = c
-        if solver == "gd":
-            U = cut_round(gd_user_step(train_rows, train_terms, U, V, d, c, rate, lu, n_train, preds))
-            V = cut_round(gd_item_step(train_rows, train_terms, U, V, d, c, rate, lv, n_train, salts))
-        else:
-            U = cut_round(newton_user_step(train_rows, train_terms, U, V, d, c, lu, preds))
-            V = cut_round(newton_item_step(train_rows, train_terms, U, V, d, c, lv, salts))
-    return res
+    return np.concatenate(log)
+
+
+def _rmse_of(parts: np.ndarray) -> np.ndarray:
+    """sqrt(sum / count), infinite where nothing is counted."""
+    total, n = parts[:, 0], parts[:, 1]
+    return np.where(n > 0, np.sqrt(total / np.maximum(n, 1)), np.inf)
+
+
+def cross_validate_ranks(rows: DataFrame, links: DataFrame, folds_days: DataFrame, ranks: Iterable[int] = (7,), max_epochs: int = 21,
+                         seed: int = 42, lam: float = 1e-4, solver: str = "newton", rate: float = 0.5, stop_ratio: float = 1.01,
+                         tile_rows: int = bl.TILE_ROWS, place_rows: int | None = None,
+                         window: int = WINDOW_EPOCHS) -> tuple[DataFrame, list[dict]]:
+    """Repeated day hold-out of a model per (rank, fold), all in the same passes.
+
+    ``folds_days`` is (fold, day, is_train) from ``holdout_days``. Returns a
+    frame (rank, fold, best_rmse) and the epoch log. An epoch moves one
+    coordinate per model; the best validation RMSE counts, up to the epoch that
+    reaches ``stop_ratio`` times it. Terms are laid out once, whatever the
+    number of models (``exposure_blocks``); jobs grow with epochs only, as long
+    as the models' factors have ``MAX_COLUMNS`` columns together.
+    """
+    if solver not in ("newton", "gd"):
+        raise ValueError(f"solver must be 'newton' or 'gd', not {solver!r}")
+    spark, ranks = rows.sparkSession, sorted(set(ranks))
+    rows = cut_lineage(rows.select(*ROW, "m0", "m1"))
+    terms = cut_lineage(exposure_terms(rows, cut_lineage(links)))  # the links are read twice
+    lu, lv = (lam * math.sqrt(rows.select(c).distinct().count()) for c in ("i", "j"))
+    n_folds = 1 + (folds_days.agg(F.max("fold")).first()[0] if not rows.isEmpty() else -1)
+    per_fold = {}
+    if solver == "gd":
+        of_days = rows.join(F.broadcast(folds_days.where("is_train").select("fold", F.col("day").alias("t"))), "t")  # one row per day and fold
+        per_fold = {r["fold"]: r["count"] for r in of_days.groupBy("fold").count().collect()}
+    scores, log = [], []
+    for base in range(0, n_folds, MAX_FOLDS):
+        folds = range(base, min(base + MAX_FOLDS, n_folds))
+        bits = eb.fold_bits(folds_days.where(F.col("fold").between(folds[0], folds[-1])).withColumn("fold", F.col("fold") - base))
+        groups: list[list[int]] = []
+        for d in ranks:
+            if groups and (sum(groups[-1]) + d) * len(folds) <= MAX_COLUMNS:
+                groups[-1].append(d)
+            else:
+                groups.append([d])
+        found = eb.problem(rows, terms, bits, max(map(sum, groups)) * len(folds), tile_rows, place_rows)
+        for group in groups:
+            layout = eb.Layout([(d, f) for d in group for f in range(len(folds))], base)
+            names = [f"r{d}_{c}" for d, _ in layout.models for c in range(d)]
+            first = None
+            for index, key, place, role in ((found.users, "i", bl.left_place, "eu"), (found.apps, "j", bl.right_place, "ev")):
+                own = bl.initial_state(_factors_of_ranks(rows, key, group, seed, role), index, key, place(F.col("block")), names)
+                first = own if first is None else first.unionByName(own)
+            trained = np.array([per_fold.get(base + f, 0) for _, f in layout.models]) if solver == "gd" else None
+            errors = _train_models(found, layout, cut_lineage(first), max_epochs, stop_ratio, seed, lu, lv,
+                                   rate if solver == "gd" else None, trained, window)
+            train, valid = _rmse_of(errors[:, :2]), _rmse_of(errors[:, 2:])
+            for k, (d, f) in enumerate(layout.models):
+                n = _until_stop(valid[:, k].tolist(), stop_ratio)
+                seen = lambda x: float(x) if math.isfinite(x) else None
+                log += [
+                    {"rank": d, "fold": base + f, "epoch": e, "train_rmse": seen(train[e, k]), "valid_rmse": seen(valid[e, k])}
+                    for e in range(n)
+                ]
+                scores.append((d, base + f, float(valid[:n, k].min())))
+        found.free()
+    return spark.createDataFrame(scores, "rank int, fold int, best_rmse double"), log
 
 
 def cross_validate(rows: DataFrame, links: DataFrame, folds_days: DataFrame, d: int = 7, max_epochs: int = 21,
-                   seed: int = 42, lam: float = 1e-4, solver: str = "newton", rate: float = 0.5,
-                   bucket_rows: int = 200_000) -> tuple[DataFrame, list[dict]]:
-    """Repeated day hold-out. ``folds_days`` is (fold, day, is_train)
-    from ``holdout_days``. Returns a frame (fold, best_rmse) and the epoch log;
-    the reported score is the least fold RMSE (the mean is given too)."""
-    spark = rows.sparkSession
-    rows = prepare(rows.select(*ROW, "m0", "m1"))
-    terms, salts = salt_terms(exposure_terms(rows, cut_lineage(links)), bucket_rows)  # the links are read twice
-    U0, V0 = model_factors(rows, d, seed)
-    U0, V0 = cut_lineage(U0), cut_lineage(V0)
-    lu, lv = lam * math.sqrt(U0.count()), lam * math.sqrt(V0.count())
-    fd = folds_days.select("fold", F.col("day").alias("t"), "is_train")
-    n_folds = fd.agg(F.max("fold")).first()[0]
-    out, log = [], []
-    for fold in range(0, (n_folds or 0) + 1):
-        days = F.broadcast(fd.where(F.col("fold") == fold).drop("fold"))  # one row per calendar day
-        tr_days, va_days = days.where("is_train").select("t"), days.where(~F.col("is_train")).select("t")
-        tr_rows, va_rows = rows.join(tr_days, "t", "left_semi"), rows.join(va_days, "t", "left_semi")
-        tr_terms, va_terms = terms.join(tr_days, "t", "left_semi"), terms.join(va_days, "t", "left_semi")
-        r = train_fold(tr_rows, tr_terms, va_rows, va_terms, U0, V0, d, lu, lv, max_epochs, solver=solver, rate=rate,
-                       seed=seed, fold=fold, salts=salts)
-        out.append((fold, r.best_rmse))
-        log.extend(r.epochs)
-    rows.unpersist()
-    terms.unpersist()
-    return spark.createDataFrame(out, "fold int, best_rmse double"), log
+                   seed: int = 42, lam: float = 1e-4, solver: str = "newton", rate: float = 0.5, **sizes) -> tuple[DataFrame, list[dict]]:
+    """M25/A15 at one rank: (fold, best_rmse) and the epoch log; see :func:`cross_validate_ranks`."""
+    scores, log = cross_validate_ranks(rows, links, folds_days, [d], max_epochs, seed, lam, solver, rate, **sizes)
+    return scores.select("fold", "best_rmse"), log

@@ -22,14 +22,19 @@ def match_apps(log: DataFrame, host_app: DataFrame, host: str = "host", url: str
 
     ``host_app`` has one row per key (see ``read_host_app``). It is checkpointed
     first, so that both sides of each join come from an exchange and AQE can
-    split a hot host's partition; only lines that no host matched meet the urls.
+    split a hot host's partition. The log itself is read once and never stored:
+    it passes both joins in turn. For the second one a line that its host matched
+    has a key of its own that no url can equal, so these lines spread evenly
+    instead of meeting under one null.
     """
     d = cut_lineage(host_app.select(F.col("host").alias("_key"), F.col("app").alias("_app")))
-    seen = cut_lineage(log.join(d, log[host] == d["_key"], "left").drop("_key"))
-    by_host = seen.where(F.col("_app").isNotNull()).withColumnRenamed("_app", "app")
-    rest = seen.where(F.col("_app").isNull()).drop("_app")
-    by_url = rest.join(d, F.col(url) == d["_key"]).drop("_key").withColumnRenamed("_app", "app")
-    return by_host.unionByName(by_url)
+    seen = log.join(d, log[host] == d["_key"], "left").drop("_key").withColumnRenamed("_app", "_by_host")
+    matched = F.col("_by_host").isNotNull()
+    spread = F.xxhash64(*[c for c in log.columns if c != url]).cast("string")
+    seen = seen.withColumns({"_key": F.when(matched | F.col(url).isNull(), spread).otherwise(F.col(url)), "_open": ~matched & F.col(url).isNotNull()})
+    urls = d.select("_key", "_app", F.lit(True).alias("_open"))
+    both = seen.join(urls, ["_key", "_open"], "left").withColumn("app", F.coalesce("_by_host", "_app"))
+    return both.where(F.col("app").isNotNull()).select(*log.columns, "app")
 
 
 def count_usage(rows: DataFrame, user: str = "user", day: str = "day", app: str = "app") -> DataFrame:
@@ -105,9 +110,8 @@ def popular_apps(usage: DataFrame, min_users: int = 10) -> DataFrame:
 def involved_usage(usage: DataFrame, users: DataFrame | None = None, min_users: int = 10, user_col: str = "user") -> DataFrame:
     """M8: usage of the given users (P10), restricted to apps popular among
     them (P8); users left with no app disappear with their rows (P9)."""
-    u = cut_lineage(usage if users is None else semi_join(usage, users, "user", user_col))  # read twice below
-    apps = popular_apps(u, min_users).select("app")
-    return semi_join(u, apps, "app")
+    u = usage if users is None else semi_join(usage, users, "user", user_col)
+    return semi_join(u, popular_apps(u, min_users), "app")  # the popular apps are stored, not the usage
 
 
 def user_app_sets(usage: DataFrame) -> DataFrame:

@@ -66,9 +66,11 @@ def combined_graph_improved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The direct 10-NN graph of the ``events`` users. With few event types most app sets are
-    equal, ties go to the least ids, and these become hubs."""
-    return cut_lineage(knn.direct_graph(tb.events_state(spark, sf_dir), qs.KNN_K))
+    """The direct 10-NN graph of the ``events`` users on what they did on which day: with the event types alone
+    nearly all app sets, and so all scores, are equal. Users with few overlaps fill up with the least ids, which become hubs."""
+    state = tb.events_state(spark, sf_dir)
+    done = state.select("user", F.concat_ws("@", "app", F.col("day").cast("string")).alias("app"))
+    return cut_lineage(knn.direct_graph(done, qs.KNN_K))
 
 
 #: Exposure and model queries on the kNN graph instead of the ring.

@@ -103,11 +103,9 @@ def model_job(spark: SparkSession, base: str, usage: DataFrame, graphs: dict[str
     for name, g in graphs.items():
         rows, links = ex.exposure_long(split, state, g, cal)
         fd = ex.holdout_days(rows.select(F.col("t").alias("day")), folds, 0.8, seed)
-        for d in ranks:
-            scores, _ = md.cross_validate(rows, links, fd, d, max_epochs, seed)
-            row = scores.agg(F.lit(name).alias("graph"), F.lit(d).alias("rank"),
-                             F.min("best_rmse").alias("min_rmse"), F.avg("best_rmse").alias("mean_rmse"))
-            results = row if results is None else results.unionByName(row)
+        scores, _ = md.cross_validate_ranks(rows, links, fd, ranks, max_epochs, seed)
+        row = scores.groupBy(F.lit(name).alias("graph"), "rank").agg(F.min("best_rmse").alias("min_rmse"), F.avg("best_rmse").alias("mean_rmse"))
+        results = row if results is None else results.unionByName(row)
     return results
 
 

@@ -6,6 +6,8 @@ Column names and rounding match ``queries.py`` exactly.
 
 from __future__ import annotations
 
+import hashlib
+
 _ORDER_LINES = "lineitem JOIN orders ON l_orderkey = o_orderkey"
 _USAGE = f"""SELECT o_custkey AS "user", CAST(o_orderdate AS DATE) AS day, l_partkey AS app, COUNT(*) AS cnt
 FROM {_ORDER_LINES} GROUP BY ALL"""
@@ -72,6 +74,7 @@ def _sym(topk: str) -> str:
     return f"WITH t AS ({topk}) SELECT src, dst FROM t UNION SELECT dst, src FROM t"
 
 
+_EV_USED = "SELECT DISTINCT user_id AS u, event_type || '@' || CAST(CAST(ts AS DATE) AS VARCHAR) AS a FROM events"
 _EV_STATE = """SELECT DISTINCT user_id AS "user", event_type AS app, CAST(ts AS DATE) AS day FROM events"""
 
 
@@ -80,6 +83,10 @@ def _next_day(days: str, max_gap: int) -> str:
    ON d2.day > d1.day AND d2.day <= d1.day + {max_gap} GROUP BY d1.day)"""
 
 
+_RING = """eu AS (SELECT DISTINCT user_id AS u FROM events),
+g AS (SELECT a.u AS src, b.u AS dst FROM eu a JOIN eu b ON b.u = a.u + 1 OR b.u = a.u - 1)"""
+_EV_KNN = f"g AS ({_sym(_jaccard_topk(_EV_USED, 10, True))})"
+
 _EV_MODEL = f"""s AS ({_EV_STATE}),
 a AS (SELECT app FROM s GROUP BY app HAVING COUNT(DISTINCT "user") >= 10),
 u AS (SELECT * FROM s WHERE app IN (SELECT app FROM a)),
@@ -88,8 +95,7 @@ r AS (SELECT u."user" AS i, u.app AS j, u.day AS t, 1 AS m0, CASE WHEN x."user"
       FROM u JOIN c ON u.day = c.day
       LEFT JOIN u x ON x."user" = u."user" AND x.app = u.app AND x.day = c.next_day),
 su AS (SELECT DISTINCT i FROM r),
-eu AS (SELECT DISTINCT user_id AS u FROM events),
-g AS (SELECT a.u AS src, b.u AS dst FROM eu a JOIN eu b ON b.u = a.u + 1 OR b.u = a.u - 1),
+{_RING},
 lk AS (SELECT r.i, r.j, r.t, g.dst AS l, CASE WHEN x."user" IS NULL THEN 0 ELSE 1 END AS ml0
        FROM r JOIN g ON g.src = r.i JOIN su ON su.i = g.dst
        LEFT JOIN u x ON x."user" = g.dst AND x.app = r.j AND x.day = r.t)"""
@@ -108,18 +114,24 @@ def _init(role: str, ids: str, d: int = 5, seed: int = 42) -> str:
 
 _POS = f"""SELECT DISTINCT o_custkey AS "user", l_partkey AS app FROM {_ORDER_LINES}"""
 
-_NEG = f"""WITH pos AS ({_POS}),
+
+
+def _neg(seed: int) -> str:
+    return f"""WITH pos AS ({_POS}),
 apps AS (SELECT DISTINCT app FROM pos),
-perm AS (SELECT app, ROW_NUMBER() OVER (ORDER BY md5('perm#' || app || '#42'), app) - 1 AS pos FROM apps),
+perm AS (SELECT app, ROW_NUMBER() OVER (ORDER BY md5('perm#' || app || '#{seed}'), app) - 1 AS pos FROM apps),
 nn AS (SELECT COUNT(*) AS n FROM apps),
 deg AS (SELECT "user", COUNT(*) AS p FROM pos GROUP BY "user"),
 g AS (SELECT deg."user", deg.p, nn.n, unnest(range(0, least(2 * deg.p, nn.n))) AS g FROM deg CROSS JOIN nn),
-cand AS (SELECT "user", p, g, (CAST('0x' || substr(md5('offset#' || "user" || '#42'), 1, 8) AS BIGINT) + g) % n AS pos FROM g),
+cand AS (SELECT "user", p, g, (CAST('0x' || substr(md5('offset#' || "user" || '#{seed}'), 1, 8) AS BIGINT) + g) % n AS pos FROM g),
 c2 AS (SELECT cand."user", cand.p, cand.g, perm.app FROM cand JOIN perm ON perm.pos = cand.pos
        WHERE NOT EXISTS (SELECT 1 FROM pos WHERE pos."user" = cand."user" AND pos.app = perm.app)),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY "user" ORDER BY g) AS rk FROM c2)
 SELECT "user", app FROM r WHERE rk <= p"""
 
+
+_NEG = _neg(42)
+
 _SAMPLES = f"""SELECT "user", app, 1.0::DOUBLE AS r FROM ({_POS}) UNION ALL SELECT "user", app, 0.0::DOUBLE FROM ({_NEG})"""
 
 _D = 5
@@ -164,6 +176,124 @@ V1 AS (SELECT V.id, {v1} FROM V LEFT JOIN GV G ON G.id = V.id)
 SELECT 'u' AS role, id, {rnd} FROM U1 UNION ALL SELECT 'v', id, {rnd} FROM V1"""
 
 
+
+def _lmf_run(steps: int, restarts: int, seed: int = 42) -> str:
+    """CTEs of a whole training run: ``trained`` has the winning restart's user factors at its best step.
+
+    The runs stated here are too short for the early stop, which needs a loss above 1.001 times the best.
+    """
+    lu, lv = (f"(0.0001 * sqrt((SELECT COUNT(*) FROM {t}0 WHERE rs = 0)))" for t in "UV")
+    own = [f'SELECT {k} AS rs, "user", app, 1.0::DOUBLE AS r FROM ({_POS}) UNION ALL SELECT {k}, "user", app, 0.0 FROM ({_neg(seed + k)})' for k in range(restarts)]
+    ctes = [f"smp AS MATERIALIZED ({' UNION ALL '.join(own)})"]
+    for table, role, key in (("U", "u", '"user"'), ("V", "v", "app")):
+        ids = f"SELECT DISTINCT {key} AS id FROM ({_POS})"
+        ctes.append(f"{table}0 AS MATERIALIZED (SELECT CAST(rs AS INTEGER) AS rs, i.* FROM range({restarts}) x(rs), {_init(role, ids)} i)")
+
+    def joined(name: str, u: str, v: str) -> str:
+        return f"""{name} AS MATERIALIZED (SELECT s.rs, s."user", s.app, s.r, {_UCOLS}, {_VCOLS}, {_DOT} AS p
+  FROM smp s JOIN {u} U ON U.rs = s.rs AND U.id = s."user" JOIN {v} V ON V.rs = s.rs AND V.id = s.app)"""
+
+    def stepped(name: str, old: str, joins: str, key: str, other: str, reg: str, eta: float) -> str:
+        g = ", ".join(f"SUM((1.0 / (1.0 + exp(-p)) - r) * {other}{c}) AS g{c}" for c in range(_D))
+        f = ", ".join(f"O.f{c} - {eta!r}::DOUBLE * (COALESCE(G.g{c}, 0) + {reg} * O.f{c}) AS f{c}" for c in range(_D))
+        return f"""{name} AS MATERIALIZED (SELECT O.rs, O.id, {f} FROM {old} O
+  LEFT JOIN (SELECT rs, {key} AS id, {g} FROM {joins} GROUP BY ALL) G ON G.rs = O.rs AND G.id = O.id)"""
+
+    eta, losses = 1e-4, []
+    for t in range(steps):
+        ctes.append(joined(f"J{t}", f"U{t}", f"V{t}"))
+        losses.append(f"SELECT rs, {t} AS step, AVG({_LOSS}) AS train, AVG(CASE WHEN r = 1.0 THEN {_LOSS} END) AS observed FROM J{t} GROUP BY rs")
+        if t + 1 < steps:
+            ctes.append(stepped(f"U{t + 1}", f"U{t}", f"J{t}", '"user"', "v", lu, eta))
+            ctes.append(joined(f"K{t}", f"U{t + 1}", f"V{t}"))
+            ctes.append(stepped(f"V{t + 1}", f"V{t}", f"K{t}", "app", "u", lv, eta))
+        eta /= 1.0001
+    every = " UNION ALL ".join(f"SELECT *, {t} AS step FROM U{t}" for t in range(steps))
+    ctes += [
+        f"losses AS ({' UNION ALL '.join(losses)})",
+        "best AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY rs ORDER BY train, step) AS nth FROM losses) WHERE nth = 1)",
+        "winner AS (SELECT rs, step FROM best ORDER BY observed, rs LIMIT 1)",
+        f"trained AS MATERIALIZED (SELECT a.* FROM ({every}) a JOIN winner w ON w.rs = a.rs AND w.step = a.step)",
+    ]
+    return "WITH " + ",\n".join(ctes)
+
+
+def _trained_users(steps: int, restarts: int) -> str:
+    return f"{_lmf_run(steps, restarts)}\nSELECT id, {', '.join(f'ROUND(f{c}, 8) AS f{c}' for c in range(_D))} FROM trained"
+
+
+def _trained_graph(steps: int, restarts: int, k: int = 10) -> str:
+    """The symmetrised k-NN graph of the trained users by cosine."""
+    dot = " + ".join(f"a.f{c} * b.f{c}" for c in range(_D))
+    size = lambda t: "sqrt(" + " + ".join(f"{t}.f{c} * {t}.f{c}" for c in range(_D)) + ")"
+    return f"""{_lmf_run(steps, restarts)},
+scored AS (SELECT a.id AS src, b.id AS dst, ({dot}) / ({size('a')} * {size('b')}) AS score FROM trained a JOIN trained b ON a.id <> b.id),
+near AS (SELECT src, dst FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY src ORDER BY score DESC, dst) AS nth FROM scored) WHERE nth <= {k})
+SELECT src, dst FROM near UNION SELECT dst, src FROM near"""
+
+
+def _coordinates(d: int, seed: int, fold: int, epochs: int) -> list[int]:
+    """The epochs' coordinates: an md5 of seed, fold and epoch picks among those that the epoch before did not."""
+    out: list[int] = []
+    for epoch in range(epochs):
+        left = [c for c in range(d) if d == 1 or c not in out[-1:]]
+        out.append(left[int(hashlib.md5(f"{seed}#{fold}#{epoch}".encode()).hexdigest()[:8], 16) % len(left)])
+    return out
+
+
+def _cross_validation(ranks: tuple[int, ...], folds: int, epochs: int, seed: int = 42) -> str:
+    """CTEs of repeated day hold-out on the ring graph: ``scores`` has (rank, fold, epoch, v), v the validation RMSE."""
+    ctes = [
+        _EV_MODEL,
+        """deg AS (SELECT i, j, t, COUNT(*) AS n FROM lk GROUP BY ALL)""",
+        """terms AS MATERIALIZED (SELECT i, j, t, i AS "user", CAST(m0 AS DOUBLE) AS w FROM r
+  UNION ALL SELECT lk.i, lk.j, lk.t, lk.l, CAST(lk.ml0 AS DOUBLE) / greatest(deg.n, 1)
+  FROM lk JOIN deg ON deg.i = lk.i AND deg.j = lk.j AND deg.t = lk.t WHERE lk.ml0 <> 0)""",
+        f"""days AS (SELECT fold, t, ROW_NUMBER() OVER (PARTITION BY fold ORDER BY md5(CAST(t AS VARCHAR) || '#' || fold || '#{seed}'), t)
+    <= floor(COUNT(*) OVER (PARTITION BY fold) * 0.8) AS is_train
+  FROM (SELECT DISTINCT t FROM r), (SELECT CAST(unnest(range(0, {folds})) AS INTEGER) AS fold))""",
+    ]
+    scores = []
+    for d in ranks:
+        lu = "(0.0001 * sqrt((SELECT COUNT(DISTINCT i) FROM r)))"
+        lv = "(0.0001 * sqrt((SELECT COUNT(DISTINCT j) FROM r)))"
+        sums = ", ".join(f"SUM(w * F.f{c}) AS x{c}" for c in range(d))
+        kept = ", ".join([f"x{c}" for c in range(d)] + [f"F.f{c} AS v{c}" for c in range(d)])
+        dot = " + ".join(f"x{c} * F.f{c}" for c in range(d))
+        for fold, coordinates in ((f, _coordinates(d, seed, f, epochs)) for f in range(folds)):
+            m = f"{d}_{fold}_"
+
+            def predicted(name: str, u: str, v: str) -> str:
+                return f"""{name} AS MATERIALIZED (SELECT X.i, X.j, X.t, D.is_train, {kept}, ({dot}) - r.m1 AS e
+  FROM (SELECT terms.i, terms.j, terms.t, {sums} FROM terms JOIN {u} F ON F.id = terms."user" GROUP BY ALL) X
+  JOIN r ON r.i = X.i AND r.j = X.j AND r.t = X.t JOIN {v} F ON F.id = X.j JOIN days D ON D.t = X.t AND D.fold = {fold})"""
+
+            def newton(name: str, old: str, stats: str, c: int, lam: str) -> str:
+                rule = f"CASE WHEN S.B IS NOT NULL AND S.B <> 0 AND S.A > 0 THEN O.f{c} - (S.B + {lam} * sign(O.f{c})) / S.A ELSE O.f{c} END AS f{c}"
+                columns = ", ".join(rule if k == c else f"O.f{k}" for k in range(d))
+                return f"{name} AS MATERIALIZED (SELECT O.id, {columns} FROM {old} O LEFT JOIN ({stats}) S ON S.id = O.id)"
+
+            ctes.append(f"U{m}0 AS MATERIALIZED {_init('eu', 'SELECT DISTINCT i AS id FROM r', d, seed)}")
+            ctes.append(f"V{m}0 AS MATERIALIZED {_init('ev', 'SELECT DISTINCT j AS id FROM r', d, seed)}")
+            for e, c in enumerate(coordinates):
+                ctes.append(predicted(f"P{m}{e}", f"U{m}{e}", f"V{m}{e}"))
+                scores.append(f"SELECT {d} AS rank, {fold} AS fold, {e} AS epoch, sqrt(AVG(e * e)) AS v FROM P{m}{e} WHERE NOT is_train")
+                if e + 1 < epochs:
+                    of_users = f"""SELECT terms."user" AS id, SUM(w * v{c} * w * v{c}) AS A, SUM(w * v{c} * e) AS B FROM terms
+      JOIN P{m}{e} P ON P.i = terms.i AND P.j = terms.j AND P.t = terms.t WHERE is_train GROUP BY terms."user\""""
+                    ctes.append(newton(f"U{m}{e + 1}", f"U{m}{e}", of_users, c, lu))
+                    ctes.append(predicted(f"Q{m}{e}", f"U{m}{e + 1}", f"V{m}{e}"))
+                    of_apps = f"SELECT j AS id, SUM(x{c} * x{c}) AS A, SUM(x{c} * e) AS B FROM Q{m}{e} WHERE is_train GROUP BY j"
+                    ctes.append(newton(f"V{m}{e + 1}", f"V{m}{e}", of_apps, c, lv))
+    ctes.append(f"scores AS ({' UNION ALL '.join(scores)})")
+    # an epoch counts unless one before it reached 1.01 times the best so far without bettering it
+    ctes.append("""upto AS (SELECT *, MIN(v) OVER (PARTITION BY rank, fold ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM scores),
+stops AS (SELECT rank, fold, MIN(epoch) AS stop FROM upto WHERE v >= best AND v >= 1.01 * best GROUP BY ALL),
+counted AS (SELECT u.rank, u.fold, u.epoch, u.v FROM upto u LEFT JOIN stops s ON s.rank = u.rank AND s.fold = u.fold
+  WHERE s.stop IS NULL OR u.epoch <= s.stop)""")
+    return "WITH " + ",\n".join(ctes)
+
+
 _MD = 7
 
 
@@ -231,6 +361,15 @@ FV1 AS ({_upd('FV', 'GRAD', 0, _LV, f"CASE WHEN S.g IS NOT NULL THEN FV.f0 - 0.5
 {_round_cols('FV1')}"""
 
 
+def _holdout(folds: int) -> str:
+    return f"""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events),
+f AS (SELECT CAST(unnest(range(0, {folds})) AS INTEGER) AS fold),
+x AS (SELECT fold, day,
+  ROW_NUMBER() OVER (PARTITION BY fold ORDER BY md5(CAST(day AS VARCHAR) || '#' || fold || '#' || 42), day) AS rk,
+  COUNT(*) OVER (PARTITION BY fold) AS n FROM d CROSS JOIN f)
+SELECT fold, day, rk <= floor(n * 0.8) AS is_train FROM x"""
+
+
 SQL: dict[str, str] = {
     "usage_daily": _USAGE,
     "usage_text_parse": f"""SELECT CAST(o_custkey AS VARCHAR) AS "user", CAST(o_orderdate AS DATE) AS day,
@@ -308,12 +447,8 @@ FROM r LEFT JOIN lk ON lk.i = r.i AND lk.j = r.j AND lk.t = r.t GROUP BY ALL""",
 SELECT r.i || ',' || r.j || ',' || strftime(r.t, '%Y%m%d') || ',' || r.m0 || ',' || r.m1 || ','
   || COALESCE(string_agg(lk.l || '#' || lk.ml0, '|' ORDER BY lk.l, lk.ml0), '') AS value
 FROM r LEFT JOIN lk ON lk.i = r.i AND lk.j = r.j AND lk.t = r.t GROUP BY r.i, r.j, r.t, r.m0, r.m1""",
-    "holdout_days": """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events),
-f AS (SELECT CAST(unnest(range(0, 3)) AS INTEGER) AS fold),
-x AS (SELECT fold, day,
-  ROW_NUMBER() OVER (PARTITION BY fold ORDER BY md5(CAST(day AS VARCHAR) || '#' || fold || '#' || 42), day) AS rk,
-  COUNT(*) OVER (PARTITION BY fold) AS n FROM d CROSS JOIN f)
-SELECT fold, day, rk <= floor(n * 0.8) AS is_train FROM x""",
+    "holdout_days": _holdout(3),
+    "holdout_days_full": _holdout(10),
     "negative_samples": _NEG,
     "train_samples": _SAMPLES,
     "factor_init": "SELECT id, " + ", ".join(f"ROUND(f{c}, 9) AS f{c}" for c in range(_D))
@@ -340,3 +475,38 @@ SELECT ROUND(AVG({_LOSS}), 8) AS train_loss, ROUND(AVG(CASE WHEN r = 1.0 THEN {_
 }
 SQL["exposure_decoded"] = SQL["exposure_rows"]
 SQL["factors_decoded"] = SQL["factor_init"]
+SQL["lmf_train"] = _trained_users(4, 2)
+SQL["improved_knn_graph"] = _trained_graph(4, 2)
+SQL["exposure_model_cv"] = f"{_cross_validation((3,), 2, 3)} SELECT CAST(fold AS INTEGER) AS fold, ROUND(MIN(v), 8) AS best_rmse FROM counted GROUP BY fold"
+SQL["sweep"] = f"""{_cross_validation((1, 2), 1, 2)}, b AS (SELECT rank, fold, MIN(v) AS v FROM counted GROUP BY ALL)
+SELECT CAST(rank AS INTEGER) AS rank, ROUND(MIN(v), 8) AS min_rmse, ROUND(AVG(v), 8) AS mean_rmse FROM b GROUP BY rank"""
+SQL |= {
+    f"{name}_knn": SQL[name].replace(_RING, _EV_KNN)
+    for name in SQL
+    if name.startswith("exposure_") and name != "exposure_model_cv" or name.endswith(("_user_step", "_item_step"))
+}
+SQL |= {
+    "usage_files": SQL["usage_text_parse"],
+    "log_files": f"""SELECT CASE l_linestatus WHEN 'O' THEN 'other' ELSE 'web' END AS log,
+  CAST(CASE l_linestatus WHEN 'O' THEN 64 ELSE 4 END AS BIGINT) AS n_files, COUNT(*) AS n_lines
+FROM {_ORDER_LINES} WHERE l_linestatus IN ('O', 'F') GROUP BY l_linestatus""",
+    "built_once": f"""SELECT "user", COUNT(*) AS n_rows, CAST(SUM(cnt) AS BIGINT) AS n_lines FROM ({_USAGE}) GROUP BY "user\"""",
+    "contact_files": SQL["contact_graph"],
+    "edge_files": SQL["induced_subgraph"],
+}
+
+
+def _spread_labels(sec: int) -> str:
+    """Components by 30 rounds of least labels, more than the graphs' diameters."""
+    voice = _VOICE.replace("dur >= 50000", f"dur >= {sec * 1000}")
+    return f"""SELECT CAST({sec} AS BIGINT) AS min_sec, node, component FROM (
+WITH RECURSIVE e AS MATERIALIZED (({voice}) UNION ({_MUTUAL})),
+und AS MATERIALIZED (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e UNION SELECT src, src FROM e UNION SELECT dst, dst FROM e),
+labels(round, node, label) AS (
+  SELECT 0, a, a FROM (SELECT DISTINCT a FROM und)
+  UNION ALL
+  SELECT round + 1, b, MIN(label) FROM labels JOIN und ON a = node WHERE round < 30 GROUP BY round, b)
+SELECT node, label AS component FROM labels WHERE round = 30)"""
+
+
+SQL["components_by_duration"] = " UNION ALL ".join(f"({_spread_labels(sec)})" for sec in (15, 20, 25, 30))

@@ -17,6 +17,7 @@ from habitnet.operators import components as cc
 from habitnet.operators import contacts as ct
 from habitnet.operators import exposure as ex
 from habitnet.operators import factors as fa
+from habitnet.operators import joins
 from habitnet.operators import model as md
 from habitnet.functions import vectors as vx
 from habitnet.operators import knn
@@ -42,6 +43,7 @@ TRAIN_UNTIL = "1997-06-30"        # P11 train part: day <= this
 TEST_FROM = "1997-08-01"          # P11 test part: day >= this
 POPULAR_MIN_USERS = 30            # P8 bound for the popularity queries
 CONTACT_MIN_SEC = 50              # M1 duration bound (l_quantity seconds)
+CONTACT_SECS = (15, 20, 25, 30)    # the source's duration bounds
 KNN_K = 10                        # neighbours per user (the combined graph uses 10)
 SPARSE_K = 10                     # order-day usage: users with few positive neighbours
 CALENDAR_MAX_GAP = 2              # order days: bridge one missing day
@@ -72,18 +74,18 @@ def usage_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _usage(spark, sf_dir)
 
 
-def usage_text_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole M7 text path: order lines rendered as 11-field '|' log lines, parsed
-    back (S1/P1/F14/F15), matched to apps through a host/url dictionary built
-    from ``part`` (host entries for small parts, url entries for mid-size
-    ones, larger parts unmatched), day (P4), bound (P5), counted (A1)."""
-    ol = tb.order_lines(spark, sf_dir)
+def web_log_lines(ol: DataFrame) -> DataFrame:
+    """Order lines as 11-field '|' web-log lines."""
     host = F.concat(F.lit("h"), F.col("l_partkey").cast("string"), F.lit(".example.com"))
     url = F.concat(F.lit("http://u"), F.col("l_partkey").cast("string"), F.lit(".example.org/"))
     sec = F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + F.col("l_linenumber") * 3600
     filler = F.lit("-")
     line = F.concat_ws("|", sec.cast("string"), F.col("o_custkey").cast("string"), filler, filler, host, filler, filler, filler, filler, filler, url)
-    log = parse_web_log(ol.select(line.alias("value")))
+    return ol.select(line.alias("value"))
+
+
+def host_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host, app) from ``part``: host entries for small parts, url entries for these and mid-size ones."""
     part = tb.table(spark, sf_dir, "part").select("p_partkey", "p_size")
     by_host = part.where(F.col("p_size") <= 25).select(
         F.concat(F.lit("h"), F.col("p_partkey").cast("string"), F.lit(".example.com")).alias("host"),
@@ -93,7 +95,15 @@ def usage_text_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("http://u"), F.col("p_partkey").cast("string"), F.lit(".example.org/")).alias("host"),
         F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("app"),
     )
-    return us.format_usage(log, by_host.unionByName(by_url), before=DAY_BOUND)
+    return by_host.unionByName(by_url)
+
+
+def usage_text_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole M7 text path: order lines rendered as web-log lines, parsed
+    back (S1/P1/F14/F15), matched to apps through a host/url dictionary built
+    from ``part`` (larger parts unmatched), day (P4), bound (P5), counted (A1)."""
+    log = parse_web_log(web_log_lines(tb.order_lines(spark, sf_dir)))
+    return us.format_usage(log, host_dictionary(spark, sf_dir), before=DAY_BOUND)
 
 
 def usage_union_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,20 +235,40 @@ def _record_lines(spark, sf_dir, *fields) -> DataFrame:
 
 def voice_text_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call lines parsed and counted by pair and day text."""
-    log = parse_voice_log(_record_lines(spark, sf_dir, None, None, None, "dst", None, None, "dur"))
+    log = parse_voice_log(voice_log_lines(spark, sf_dir))
     per_day = log.groupBy("src", "dst", epoch_to_day_text(F.col("sec")).alias("day"))
     return per_day.agg(F.count(F.lit(1)).alias("calls"), F.sum("dur").alias("dur")).withColumn("day", day_text_to_date(F.col("day")))
 
 
-def sms_text_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Message lines (flag O as 1, F as 0) parsed and counted by pair and flag."""
+def voice_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _record_lines(spark, sf_dir, None, None, None, "dst", None, None, "dur")
+
+
+def sms_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Message lines; flag O as 1, F as 0."""
     records = tb.contact_records(spark, sf_dir).withColumn("flag", F.when(F.col("flag") == "O", 1).otherwise(0))
     filler = F.lit("-")
     line = F.concat_ws("|", F.col("sec").cast("string"), "src", filler, filler, filler, "dst", filler, F.col("flag").cast("string"))
-    log = parse_sms_log(records.select(line.alias("value")))
+    return records.select(line.alias("value"))
+
+
+def sms_text_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Message lines parsed and counted by pair and flag."""
+    log = parse_sms_log(sms_log_lines(spark, sf_dir))
     return log.groupBy("src", "dst", "flag").agg(F.count(F.lit(1)).alias("messages"))
 
 
+def components_by_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 for each of the source's call-duration bounds: components of the contact graphs, which are nested."""
+    records, valid = tb.contact_records(spark, sf_dir), tb.valid_users(spark, sf_dir)
+    calls = joins.mirror(joins.both_ends_in(records.select("src", "dst", "dur"), valid, "user"))
+    calls = calls.groupBy("src", "dst").agg(F.max("dur").alias("dur"))
+    # a mutual contact is one at every bound
+    mutual = ct.mutual_sms_graph(records, valid).withColumn("dur", F.lit(max(CONTACT_SECS) * 1000).cast("bigint"))
+    found = cc.nested_components(calls.unionByName(mutual), "dur", [sec * 1000 for sec in CONTACT_SECS])
+    return found.select((F.col("bound") / 1000).cast("bigint").alias("min_sec"), "node", "component")
+
+
 # ---- kNN graphs ------------------------------------------------------------------------------
 
 def _scored(topk: DataFrame, digits: int = 9) -> DataFrame:
@@ -417,7 +447,7 @@ def lmf_one_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lmf_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M15..M17 cut to 4 steps and 2 restarts (source: 800 and 6, ``lmf_train_full``): factors stay near their start."""
     res = fa.train_lmf(_positives(spark, sf_dir), LMF_RANK, LMF_RATE, LMF_TRAIN_STEPS, LMF_TRAIN_RESTARTS, seed=LMF_SEED)
-    return res.users
+    return _rounded(res.users, fa.fnames(LMF_RANK), 8)
 
 
 def improved_knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -476,7 +506,7 @@ def exposure_model_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, links = ex.exposure_long(state, state, graph, cal)
     folds = ex.holdout_days(rows.select(F.col("t").alias("day")), CV_FOLDS, 0.8, MODEL_SEED)
     scores, _ = md.cross_validate(rows, links, folds, CV_RANK, CV_EPOCHS, MODEL_SEED)
-    return scores
+    return _rounded(scores, ["best_rmse"], 8)
 
 
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -485,7 +515,8 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     from habitnet.plans.sweep import rank_sweep
 
     state, cal, graph = _events_model(spark, sf_dir)
-    return rank_sweep(state, graph, cal, SWEEP_RANKS, folds=1, max_epochs=2, seed=MODEL_SEED)
+    found = rank_sweep(state, graph, cal, SWEEP_RANKS, folds=1, max_epochs=2, seed=MODEL_SEED)
+    return _rounded(found, ["min_rmse", "mean_rmse"], 8)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -507,6 +538,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mutual_contacts": mutual_contacts,
     "contact_graph": contact_graph,
     "components": components,
+    "components_by_duration": components_by_duration,
     "component_sizes_top10": component_sizes_top10,
     "largest_component": largest_component,
     "induced_subgraph": induced_subgraph,

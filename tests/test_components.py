@@ -75,3 +75,17 @@ def test_a_hub_with_a_third_of_all_edges(spark):
     edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(0, 800, 2)] + [(399, 5000), (5000, 5001)]
     got = {r["node"]: r["component"] for r in cc.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert all(got[i] == 0 for i in [*range(400), 5000, 5001]) and all(got[1001 + i] == 1000 + i for i in range(0, 800, 2))
+
+
+def test_nested_components_equal_those_of_each_bound(spark):
+    rng = random.Random(9)
+    rows = [(f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}", rng.choice([5, 10, 15, 20, 25, 30, 40])) for _ in range(70)]
+    rows += [("lone", "lone", 20), ("x1", "x2", 30), ("x2", "x3", 15), (None, "n01", 30), ("n01", "n02", None)]
+    edges = spark.createDataFrame(rows, "src string, dst string, w int")
+    got = {}
+    for r in cc.nested_components(edges, "w", [15, 30, 20, 25, 99]).collect():
+        got.setdefault(r.bound, {})[r.node] = r.component
+    for bound in (15, 20, 25, 30):
+        own = edges.where(f"w >= {bound}").dropna()
+        assert got[bound] == {r.node: r.component for r in cc.connected_components(own).collect()}
+    assert 99 not in got

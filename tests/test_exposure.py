@@ -55,3 +55,30 @@ def test_holdout_days_partition(spark):
     for f in range(3):
         part = [r for r in h if r.fold == f]
         assert len(part) == 20 and sum(r.is_train for r in part) == 16
+
+
+def test_day_bitmaps_over_many_days(spark):
+    """150 days (three words), gaps, a bridge and a terminal day, a hub, users off the graph: against plain loops."""
+    import random
+
+    rng = random.Random(6)
+    first = D("2016-11-20")
+    days = [first + dt.timedelta(days=n) for n in range(150) if n % 11]
+    used = sorted({(rng.randrange(12), rng.choice("AB"), rng.choice(days)) for _ in range(900)})
+    split = [x for x in used if x[0] != 3 and x[2] < D("2017-03-01")]
+    graph = sorted({(0, v) for v in range(1, 12)} | {(v, 0) for v in range(1, 12)} | {(2, 3), (3, 2), (4, 5), (5, 4), (4, 99)})
+    make = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    bridges = make([(days[9], days[80])], "day date, next_day date")
+    state = make(used, "user int, app string, day date")
+    cal = ex.calendar(state.select("day"), max_gap=2, bridges=bridges, terminals=[days[20].isoformat()])
+    after = {r.day: r.next_day for r in cal.collect()}
+    rows, links = ex.exposure_long(make(split + split[:50], "user int, app string, day date"), state, make(graph, "src int, dst int"), cal)
+    on = {x for x in used}
+    want = {(u, a, t, 1, int((u, a, after[t]) in on)) for u, a, t in split if after.get(t)}
+    assert len({w[2] for w in want}) > 62 and {w[4] for w in want} == {0, 1}
+    got = [tuple(r) for r in rows.collect()]
+    assert len(got) == len(want) and set(got) == want
+    there = {w[0] for w in want}
+    want_links = {(u, a, t, l, int((l, a, t) in on)) for u, a, t, _, _ in want for s, l in graph if s == u and l in there}
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(want_links) and set(got) == want_links

@@ -1,6 +1,10 @@
 import math
 
+import numpy as np
+import pytest
 
+from habitnet.operators import blocks as bl
+from habitnet.operators import factor_blocks as fb
 from habitnet.operators import factors as fa
 
 
@@ -49,18 +53,89 @@ def test_train_lmf_runs(spark):
     assert any(h["step"] == -1 for h in res.history)
 
 
-def test_salted_training_matches_broadcast(spark):
-    # one hot user with many samples, split into several salt buckets
-    rows = [(0, a) for a in range(0, 30)] + [(u, a) for u in range(1, 8) for a in range(u % 3, 40, 5)]
+HOT = [(0, a) for a in range(30)] + [(u, 3) for u in range(1, 30)] + [(u, a) for u in range(1, 8) for a in range(u % 3, 40, 5)]
+
+
+def _plain_training(spark, rows, d, rate, steps, restarts, seed, stop_ratio=1.001, monitor="train", lam=1e-4):
+    """The same training with numpy, one restart after the other, keeping snapshots."""
     pos = _pos(spark, rows)
-    a = fa.train_lmf(pos, d=2, rate=0.05, max_steps=3, restarts=1, seed=3)
-    b = fa.train_lmf(pos, d=2, rate=0.05, max_steps=3, restarts=1, seed=3, bucket_rows=4)
-    ua = {r.id: (r.f0, r.f1) for r in a.users.collect()}
-    ub = {r.id: (r.f0, r.f1) for r in b.users.collect()}
-    assert ua.keys() == ub.keys()
-    assert all(abs(x - y) < 1e-12 for k in ua for x, y in zip(ua[k], ub[k]))
-    s, salts = fa.salted_samples(fa.training_samples(pos, 3), 4)
-    n_apps = len({a for _, a in rows})
-    n0 = 30 + min(30, n_apps - 30)  # positives + negatives of the hot user
-    assert {r.user: r._ns for r in salts.collect()}[0] == -(-n0 // 4)
-    assert s.where("user = 0").select("_salt").distinct().count() > 1
+    frames = [fa.init_factors(pos, key, d, seed, role).toPandas().sort_values("id") for key, role in (("user", "u"), ("app", "v"))]
+    ids = [{k: n for n, k in enumerate(f["id"])} for f in frames]
+    first = [f[fa.fnames(d)].to_numpy() for f in frames]
+    reg = [lam * math.sqrt(len(x)) for x in first]
+    results, history = [], []
+    for rs in range(restarts):
+        neg = [(r.user, r.app) for r in fa.negative_samples(pos, seed + rs).collect()]
+        pairs = [*sorted(set(rows)), *neg]
+        u, v = (np.array([i[p[n]] for p in pairs]) for n, i in enumerate(ids))
+        r = np.array([1.0] * len(set(rows)) + [0.0] * len(neg))
+        U, V, eta, best = *(x.copy() for x in first), rate, (math.inf,)
+        for step in range(steps):
+            p = (U[u] * V[v]).sum(1)
+            loss = np.log1p(np.exp(-abs(p))) + np.maximum(p, 0) - r * p
+            both = {"train": loss.mean(), "observed": loss[r == 1].mean()}
+            history.append((rs, step, both["train"], both["observed"]))
+            if both[monitor] < best[0]:
+                best = (both[monitor], both["observed"], U.copy(), V.copy())
+            elif both[monitor] > stop_ratio * best[0]:
+                break
+            g = np.zeros_like(U)
+            np.add.at(g, u, (1 / (1 + np.exp(-p)) - r)[:, None] * V[v])
+            U = U - eta * (g + reg[0] * U)
+            p, g = (U[u] * V[v]).sum(1), np.zeros_like(V)
+            np.add.at(g, v, (1 / (1 + np.exp(-p)) - r)[:, None] * U[u])
+            V = V - eta * (g + reg[1] * V)
+            eta /= 1.0001
+        results.append(best)
+    winner = min(range(restarts), key=lambda k: results[k][1])
+    return winner, [dict(zip(i, x)) for i, x in zip(ids, results[winner][2:])], history
+
+
+@pytest.mark.parametrize("options", [
+    {"tile_rows": 60, "window": 2, "max_steps": 3, "rate": 0.05, "monitor": "observed"},
+    {"window": 5, "max_steps": 12, "rate": 1.6},  # losses rise again: stop inside a window, earlier best step
+])
+def test_training_equals_plain_training(spark, options):
+    rest = {k: v for k, v in options.items() if k not in ("tile_rows", "window")}
+    res = fa.train_lmf(_pos(spark, HOT), d=2, restarts=3, seed=3, **options)
+    winner, factors, history = _plain_training(spark, HOT, 2, rest["rate"], rest["max_steps"], 3, 3, monitor=rest.get("monitor", "train"))
+    assert res.best_restart == winner
+    got = [(h["restart"], h["step"], h["train_loss"], h["observed_loss"]) for h in res.history if h["step"] >= 0]
+    assert [g[:2] for g in got] == [h[:2] for h in history]
+    assert all(abs(x - y) < 1e-9 for g, h in zip(got, history) for x, y in zip(g[2:], h[2:]))
+    for frame, want in zip((res.users, res.items), factors):
+        found = {r.id: (r.f0, r.f1) for r in frame.collect()}
+        assert found.keys() == want.keys()
+        assert all(abs(x - y) < 1e-9 for k in want for x, y in zip(found[k], want[k]))
+
+
+def test_rising_losses_stop_before_the_end(spark):
+    _, _, history = _plain_training(spark, HOT, 2, 1.6, 12, 3, 3)
+    assert max(step for _, step, _, _ in history) < 11
+
+
+def test_hot_user_and_hot_app_are_many_tiles(spark):
+    """A third of the samples have one app, another third one user: no tile holds more than a small part."""
+    rows = [(0, a) for a in range(2_000)] + [(u, 0) for u in range(1, 2_000)] + [(u, u) for u in range(1, 2_000)]
+    pos = _pos(spark, rows)
+    users, apps = bl.indexed(pos, "user", 4), bl.indexed(pos, "app", 4)
+    samples = pos.selectExpr("user", "app", "0 AS restart", "1.0D AS r")
+    sizes = [len(x.a) // 4 for x in fb.sample_tiles(samples, users, apps, 4, 1, 200).select("a").collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 400  # one tile of a pair of blocks would have about 700
+
+
+def test_two_level_rank_of_negatives(spark):
+    pos = _pos(spark, HOT)
+    whole = {tuple(r) for r in fa.restart_negatives(pos, 5, 3).collect()}
+    assert {tuple(r) for r in fa.restart_negatives(pos, 5, 3, cycle_chunk=3).collect()} == whole
+    for rs in range(3):
+        assert {(u, a) for r, u, a in whole if r == rs} == {tuple(r) for r in fa.negative_samples(pos, 5 + rs).collect()}
+
+
+def test_jobs_do_not_grow_with_restarts(spark, monkeypatch):
+    seen = []
+    rounds = bl.rounds
+    monkeypatch.setattr(bl, "rounds", lambda m, steps, parts: rounds(m, seen.append(len(steps)) or steps, parts))
+    for restarts in (1, 4):
+        fa.train_lmf(_pos(spark, HOT), d=2, rate=0.05, max_steps=4, restarts=restarts, window=2)
+    assert seen[: len(seen) // 2] == seen[len(seen) // 2 :]

@@ -40,11 +40,11 @@ def _brute_jaccard(pairs, k, fill):
     return out
 
 
-@settings(max_examples=6, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 12)), min_size=2, max_size=120), st.integers(1, 6), st.booleans())
-def test_jaccard_matches_brute_force(spark, pairs, k, fill):
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 12)), min_size=2, max_size=120), st.integers(1, 6), st.booleans(), st.sampled_from([1, 4, 8, 99]))
+def test_jaccard_matches_brute_force(spark, pairs, k, fill, hot):
     df = spark.createDataFrame([(f"u{u:02d}", f"a{a}") for u, a in pairs], "user string, app string")
-    got = {(r.src, r.dst, r.rank) for r in knn.jaccard_topk(df, k, fill, block_size=4).collect()}
+    got = {(r.src, r.dst, r.rank) for r in knn.jaccard_topk(df, k, fill, block_size=4, hot_users=hot, group_overlaps=50).collect()}
     assert got == _brute_jaccard([(f"u{u:02d}", f"a{a}") for u, a in pairs], k, fill)
 
 
@@ -63,6 +63,52 @@ def test_jaccard_hot_app_and_zero_fill(spark):
     assert none.where("src = 99").count() == 0
 
 
+def _hot_and_rare(n=120):
+    """App 0 of all users, apps 1 and 2 of a third each; rare apps by which some users are close."""
+    rng = random.Random(5)
+    rows = [(u, 0) for u in range(n)] + [(u, 1 + u % 3) for u in range(n) if u % 3 < 2]
+    rows += [(u, 100 + rng.randrange(30)) for u in range(0, n, 2) for _ in range(6)]
+    return rows + [(u, 500 + u // 8) for u in range(n)] + [(u, 600 + u // 8) for u in range(0, n, 3)]
+
+
+def test_jaccard_with_hot_apps(spark):
+    rows = _hot_and_rare()
+    df = spark.createDataFrame(rows, "user bigint, app bigint")
+    for hot in (10, 50, 200):
+        for k in (1, 5):
+            got = {(r.src, r.dst, r.rank) for r in knn.jaccard_topk(df, k, block_size=16, hot_users=hot).collect()}
+            assert got == _brute_jaccard(rows, k, True)
+
+
+def test_hot_apps_are_not_listed(spark, monkeypatch):
+    """Only users whose k-th score hot apps could reach meet all others; what is counted follows the rare overlaps."""
+    rows = [(u, 0) for u in range(300)] + [(u, 1000 + u // 3 * 5 + a) for u in range(300) for a in range(5)]
+    df = spark.createDataFrame(rows, "user bigint, app bigint")
+    met = []
+    cells = knn._jaccard_cells
+    monkeypatch.setattr(knn, "_jaccard_cells", lambda rest, *a: met.append(rest.count()) or cells(rest, *a))
+    got = {(r.src, r.dst, r.rank) for r in knn.jaccard_topk(df, 2, hot_users=100).collect()}
+    assert got == _brute_jaccard(rows, 2, True)
+    assert met == [0]  # each has two near users by five rare apps: 1 of 6 apps is below that
+    knn.jaccard_topk(df, 3, hot_users=100).collect()
+    assert met[-1] == 300  # the third one shares the hot app only
+
+
+def test_lists_follow_overlaps(spark):
+    """What blocks are sent is bounded by the overlaps, not by users x blocks."""
+    packed = spark.range(4000).selectExpr("id AS user", "1L AS n", "0L AS h", "array(id DIV 2) AS cold")
+    blocked, lists = knn._blocks_and_lists(packed, 160)
+    assert blocked.select("_b").distinct().count() == 160
+    assert lists.selectExpr("sum(size(users))").first()[0] <= 2000 * 2 * 2  # 2,000 apps of two users: at most 4 entries for each
+
+
+def test_rows_without_user_or_app(spark):
+    rows = [(1, 1), (2, 1), (None, 1), (3, None), (4, 2)]
+    df = spark.createDataFrame(rows, "user bigint, app bigint")
+    assert {(r.src, r.dst) for r in knn.jaccard_topk(df, 1).collect()} == {(1, 2), (2, 1), (4, 1)}
+    assert knn.jaccard_topk(df.where("user IS NULL"), 3).collect() == []
+
+
 def test_graph_symmetric_no_self(spark):
     rng = random.Random(3)
     rows = [(u, rng.randint(0, 15)) for u in range(30) for _ in range(4)]

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 
 from habitnet.operators import usage as us
 from habitnet.sources.logs import parse_web_log
@@ -81,3 +83,52 @@ def test_day_split_bounds_reach_the_scan(spark, tmp_path):
     assert [r["part"] for r in split.collect()] == ["train"]
     plan = split._jdf.queryExecution().executedPlan().toString()
     assert "Or(LessThanOrEqual(day" in plan
+
+
+@pytest.fixture
+def skewed(spark):
+    """Sizes at which a few thousand rows count as skewed and nothing is broadcast; gives the plan that ran."""
+    wanted = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    yield lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for key, old in before.items():
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
+def test_a_hot_host_is_split_and_the_log_is_not_stored(spark, skewed, monkeypatch):
+    """A third of the lines have one host, a third no host and one url; the only checkpoint is the dictionary."""
+    stored = []
+    monkeypatch.setattr(us, "cut_lineage", lambda df, own=us.cut_lineage: stored.append(df.count()) or own(df))
+    case = "CASE id % 3 WHEN 0 THEN 'hot' WHEN 1 THEN concat('h', id % 500) END"
+    log = spark.range(0, 90_000, 1, 8).selectExpr("concat('u', id) AS user", "id AS sec", f"{case} AS host", "CASE id % 3 WHEN 2 THEN 'http://hot/' ELSE concat('http://', id) END AS url")
+    hosts = [("hot", "A"), ("http://hot/", "B"), ("http://never/", "C")] + [(f"h{i}", "H") for i in range(0, 500, 2)]
+    out = us.match_apps(log, spark.createDataFrame(hosts, "host string, app string"))
+    got = {}
+    for r in out.collect():
+        got[r.app] = got.get(r.app, 0) + 1
+    assert got == {"A": 30_000, "B": 30_000, "H": 15_000} and out.columns == [*log.columns, "app"]
+    assert stored == [len(hosts)]
+    assert skewed(out).count("skew=true") >= 2
+
+
+def test_hot_keys_of_semi_joins_are_split(spark, skewed):
+    from habitnet.operators import joins
+
+    rows = spark.range(0, 90_000, 1, 8).selectExpr("IF(id % 3 = 0, -1, id % 700) AS user", "concat('padding', id) AS x")
+    keys = spark.range(-1, 400).selectExpr("id AS user")
+    out = joins.semi_join(rows, keys.unionByName(keys), "user")
+    assert out.collect().__len__() == 30_000 + sum(1 for i in range(90_000) if i % 3 and i % 700 < 400)
+    assert "skew=true" in skewed(out)
+    edges = spark.range(0, 90_000, 1, 8).selectExpr("IF(id % 3 = 0, -1, id % 700) AS src", "IF(id % 3 = 1, -1, id % 600) AS dst", "id AS x")
+    out = joins.both_ends_in(edges, keys, "user")
+    out.collect()
+    assert skewed(out).count("skew=true") >= 2
