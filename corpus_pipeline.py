@@ -4,6 +4,13 @@
 works on all documents that the one before it kept. All but the last return the
 columns of ``documents``. ``run`` writes each stage's result as Parquet to the
 shared checkpoint folder and reads it again for the next.
+
+Defined cases: a null text is an empty one, which the quality rules reject; an
+empty table goes through all stages and gives no rows; null doc_ids are kept as
+documents of their own; repeated rows are copies, of which one stays; ties among
+copies go to the least doc_id; texts are read whole at every stage; columns
+beyond those of ``documents`` keep their values whatever their names, ``n_chars``
+follows the text.
 """
 
 from __future__ import annotations

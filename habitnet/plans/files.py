@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from habitnet.operators import components as cc
 from habitnet.operators import contacts as ct
 from habitnet.operators import usage as us
+from habitnet.plans import jobs
 from habitnet.plans import queries as qs
 from habitnet.session import checkpoint_dir
 from habitnet.sources import codecs, logs
@@ -84,10 +85,18 @@ def edge_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cc.induced_subgraph(edges, logs.read_id_list(spark, f"{base}/nodes", "node"))
 
 
+def exposure_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exposure rows of the train and of the test days, stored by part and read back."""
+    state, cal, graph = qs._events_model(spark, sf_dir)
+    stored = jobs.exposure_job(spark, _folder(spark, "exposure"), state, graph, cal, qs.EVENTS_TRAIN_UNTIL, qs.EVENTS_TEST_FROM)
+    return qs.rows_with_neighbours(stored["rows"], stored["links"], ["part"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "usage_files": usage_files,
     "log_files": log_files,
     "built_once": built_once,
     "contact_files": contact_files,
     "edge_files": edge_files,
+    "exposure_parts": exposure_parts,
 }

@@ -85,9 +85,33 @@ def graphs_of(spark: SparkSession, base: str, usage: DataFrame, voice: DataFrame
     return out
 
 
+def exposure_job(spark: SparkSession, base: str, state: DataFrame, graph: DataFrame, cal: DataFrame, train_until: str,
+                 test_from: str) -> dict[str, DataFrame]:
+    """M18 for both parts of the days (P11): ``rows`` and ``links`` with their ``part``, stored once in folders by part.
+
+    Each part's rows and neighbours are those of its own days and users; m1 and ml0 look up the whole ``state``.
+    """
+    split = us.split_by_day(state, train_until, test_from)
+    built: list = []
+
+    def both() -> list[tuple[DataFrame, ...]]:
+        if not built:
+            for part in ("train", "test"):
+                own = ex.exposure_long(split.where(F.col("part") == part).drop("part"), state, graph, cal)
+                built.append(tuple(x.withColumn("part", F.lit(part)) for x in own))
+        return built
+
+    where = {"train_until": train_until, "test_from": test_from}
+    return {
+        name: materialize(spark, _p(base, "exposure", name, **where), lambda n=n: both()[0][n].unionByName(both()[1][n]), parts="part")
+        for n, name in enumerate(("rows", "links"))
+    }
+
+
 def model_job(spark: SparkSession, base: str, usage: DataFrame, graphs: dict[str, DataFrame], users: DataFrame,
               ranks: Iterable[int] = (7,), folds: int = 10, max_epochs: int = 21, min_users: int = 10,
-              max_gap: int = 1, train_until: str | None = None, seed: int = 42) -> DataFrame:
+              max_gap: int = 1, train_until: str | None = None, seed: int = 42, bridges: DataFrame | None = None,
+              terminals: Iterable[str] | None = None) -> DataFrame:
     """Job 3: (graph, rank, min_rmse, mean_rmse) for every graph and rank.
 
     ``users`` are the model's users (the largest component); the usage is
@@ -98,7 +122,7 @@ def model_job(spark: SparkSession, base: str, usage: DataFrame, graphs: dict[str
     who = users.agg(F.bit_xor(F.xxhash64("user")), F.count("user")).first()
     state = materialize(spark, _p(base, "model", "state", min_users=min_users, users=list(who)), lambda: ex.model_usage(usage, users, min_users))
     split = state if train_until is None else state.where(F.col("day") <= F.lit(train_until).cast("date"))
-    cal = ex.calendar(state.select("day"), max_gap=max_gap)
+    cal = ex.calendar(state.select("day"), max_gap=max_gap, bridges=bridges, terminals=terminals)
     results = None
     for name, g in graphs.items():
         rows, links = ex.exposure_long(split, state, g, cal)
@@ -113,7 +137,7 @@ def sweep_job(spark: SparkSession, base: str, usage: DataFrame, voice_paths: Ite
               valid_users_path: str, secs: Iterable[int] = (15, 20, 25, 30), ks: Iterable[int] = range(1, 16),
               ranks: Iterable[int] = range(1, 16), model_rank: int = 7, combined_k: int = 10, folds: int = 10,
               max_epochs: int = 21, min_users: int = 10, lmf_steps: int = 800, lmf_restarts: int = 6,
-              seed: int = 42) -> DataFrame:
+              seed: int = 42, **model) -> DataFrame:
     """The whole parameter sweep as one result frame
     (sec, graph, rank, min_rmse, mean_rmse).
 
@@ -121,18 +145,21 @@ def sweep_job(spark: SparkSession, base: str, usage: DataFrame, voice_paths: Ite
     at ``model_rank``, then the combined graph (contacts united with the
     improved ``combined_k``-NN graph, M26) at every rank in ``ranks``.
     Built graphs are stored once under ``base`` and reused by later calls.
+    ``min_users`` bounds the graphs' apps; ``model`` may state the model's own
+    ``model_min_users``, and ``max_gap``, ``train_until``, ``bridges`` and ``terminals``.
     """
     voice, sms = logs.read_voice_log(spark, list(voice_paths)), logs.read_sms_log(spark, list(sms_paths))
     valid = logs.read_id_list(spark, valid_users_path, "user")
     return sweep_of(spark, base, usage, voice, sms, valid, secs, ks, ranks, model_rank, combined_k, folds, max_epochs,
-                    min_users, lmf_steps, lmf_restarts, seed)
+                    min_users, lmf_steps, lmf_restarts, seed, **model)
 
 
 def sweep_of(spark: SparkSession, base: str, usage: DataFrame, voice: DataFrame, sms: DataFrame, valid: DataFrame,
              secs: Iterable[int] = (15, 20, 25, 30), ks: Iterable[int] = range(1, 16), ranks: Iterable[int] = range(1, 16),
              model_rank: int = 7, combined_k: int = 10, folds: int = 10, max_epochs: int = 21, min_users: int = 10,
-             lmf_steps: int = 800, lmf_restarts: int = 6, seed: int = 42) -> DataFrame:
+             lmf_steps: int = 800, lmf_restarts: int = 6, seed: int = 42, model_min_users: int | None = None, **model) -> DataFrame:
     """``sweep_job`` on parsed call and message records and the valid users."""
+    own = min_users if model_min_users is None else model_min_users
     ks, ranks = list(ks), list(ranks)
     out = None
     for sec in secs:
@@ -141,9 +168,9 @@ def sweep_of(spark: SparkSession, base: str, usage: DataFrame, voice: DataFrame,
         users = g["largest"].select(F.col("node").alias("user"))
         mbase = _p(base, f"s{sec}")
         knn_graphs = {f"{kind}_{k}": g[f"{kind}_{k}"] for k in ks for kind in ("direct", "improved")}
-        a = model_job(spark, mbase, usage, knn_graphs, users, [model_rank], folds, max_epochs, min_users, seed=seed)
+        a = model_job(spark, mbase, usage, knn_graphs, users, [model_rank], folds, max_epochs, own, seed=seed, **model)
         combined = ct.union_graphs(g["subgraph"], g[f"improved_{combined_k}"])
-        b = model_job(spark, mbase, usage, {"combined": combined}, users, ranks, folds, max_epochs, min_users, seed=seed)
+        b = model_job(spark, mbase, usage, {"combined": combined}, users, ranks, folds, max_epochs, own, seed=seed, **model)
         res = a.unionByName(b).withColumn("sec", F.lit(sec))
         out = res if out is None else out.unionByName(res)
     return out.select("sec", "graph", "rank", "min_rmse", "mean_rmse")

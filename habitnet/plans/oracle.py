@@ -510,3 +510,11 @@ SELECT node, label AS component FROM labels WHERE round = 30)"""
 
 
 SQL["components_by_duration"] = " UNION ALL ".join(f"({_spread_labels(sec)})" for sec in (15, 20, 25, 30))
+
+
+def _part(name: str, days: str) -> str:
+    model = _EV_MODEL.replace("FROM u JOIN c ON u.day = c.day", f"FROM u JOIN c ON u.day = c.day AND {days}")
+    return SQL["exposure_rows"].replace(_EV_MODEL, model).replace("SELECT r.i, r.j", f"SELECT '{name}' AS part, r.i, r.j")
+
+
+SQL["exposure_parts"] = f"({_part('train', 'u.day <= DATE \'2024-01-20\'')}) UNION ALL ({_part('test', 'u.day >= DATE \'2024-01-24\'')})"

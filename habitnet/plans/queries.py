@@ -48,6 +48,8 @@ KNN_K = 10                        # neighbours per user (the combined graph uses
 SPARSE_K = 10                     # order-day usage: users with few positive neighbours
 CALENDAR_MAX_GAP = 2              # order days: bridge one missing day
 MODEL_MIN_USERS = 10              # P8 bound of the exposure model (inclusive)
+EVENTS_TRAIN_UNTIL = "2024-01-20"  # P11 on the events: train days up to this,
+EVENTS_TEST_FROM = "2024-01-24"    # test days from this
 HOLDOUT_FOLDS = 3
 HOLDOUT_SEED = 42
 LMF_RANK = 5                      # factor model rank of the similarity job
@@ -337,14 +339,19 @@ def retention_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.retention_labels(state, ex.calendar(state.select("day")))
 
 
+def rows_with_neighbours(rows: DataFrame, links: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Exposure rows with the number of their neighbours and of those that used the app that day."""
+    key = [*(by or []), "i", "j", "t"]
+    per_row = links.groupBy(*key).agg(F.count(F.lit(1)).alias("n_nbrs"), F.sum("ml0").cast("bigint").alias("sum_ml0"))
+    zero = F.lit(0)
+    return rows.join(per_row, key, "left").select(
+        *key, "m0", "m1", F.coalesce("n_nbrs", zero).cast("bigint").alias("n_nbrs"), F.coalesce("sum_ml0", zero).cast("bigint").alias("sum_ml0")
+    )
+
+
 def exposure_rows(spark: SparkSession, sf_dir: str, graph=tb.ring_graph) -> DataFrame:
     state, cal, graph = _events_model(spark, sf_dir, graph=graph)
-    rows, links = ex.exposure_long(state, state, graph, cal)
-    per_row = links.groupBy("i", "j", "t").agg(F.count(F.lit(1)).alias("n_nbrs"), F.sum("ml0").cast("bigint").alias("sum_ml0"))
-    return rows.join(per_row, ["i", "j", "t"], "left").select(
-        "i", "j", "t", "m0", "m1", F.coalesce("n_nbrs", F.lit(0)).cast("bigint").alias("n_nbrs"),
-        F.coalesce("sum_ml0", F.lit(0)).cast("bigint").alias("sum_ml0"),
-    )
+    return rows_with_neighbours(*ex.exposure_long(state, state, graph, cal))
 
 
 def exposure_text(spark: SparkSession, sf_dir: str, graph=tb.ring_graph) -> DataFrame:

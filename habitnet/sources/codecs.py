@@ -122,8 +122,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(hconf).exists(p))
 
 
-def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame], fmt: str = "parquet") -> DataFrame:
-    """Build once, reuse afterwards.
+def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame], fmt: str = "parquet", parts: str | None = None) -> DataFrame:
+    """Build once, reuse afterwards; in folders by the column ``parts``, if given.
 
     A folder is finished once it holds the ``_SUCCESS`` file that the job commit
     writes last; then it is read. A folder without it is what a job left that
@@ -132,5 +132,6 @@ def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame],
     and read back, so the caller always gets a lineage-free scan.
     """
     if not path_exists(spark, f"{path}/_SUCCESS"):
-        build().write.format(fmt).mode("overwrite" if path_exists(spark, path) else "errorifexists").save(path)
+        writer = build().write.format(fmt).mode("overwrite" if path_exists(spark, path) else "errorifexists")
+        (writer.partitionBy(parts) if parts else writer).save(path)
     return spark.read.format(fmt).load(path)
