@@ -36,14 +36,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from habitnet.llm.common import map_batches, stored, struct_of, texts_of, worker_memo
-from habitnet.llm.encode import _SAFE, _visible_bytes
+from habitnet.llm.encode import _SAFE, byte_level
 
 #: Characters of text aligned at a time, unless one text has more.
 CHARS_AT_ONCE = 1 << 19
@@ -55,9 +54,6 @@ CHUNK_BITS = 33
 REMEMBERED = 150_000
 NEAR = 8
 BLANK = "\u2581"
-#: How a byte-level file states its split, and the pattern which that stands for.
-BYTE_LEVEL_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-BYTE_LEVEL_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 ALIGNED = "doc_id long, ids_a binary, ids_b binary, group_ends_a binary, group_ends_b binary"
 CHUNKS = (
@@ -92,23 +88,9 @@ class ByteLevel:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model, added = spec["model"], spec.get("added_tokens", [])
-        byte_of = {c: b for b, c in _visible_bytes().items()}
-        tokens = [b""] * (1 + max([*model["vocab"].values(), *(t["id"] for t in added)]))
-        special = {t["content"] for t in added}
-        for token, i in model["vocab"].items():
-            tokens[i] = token.encode("utf-8") if token in special else bytes(byte_of[c] for c in token)
-        for token in added:
-            tokens[token["id"]] = token["content"].encode("utf-8")
-        self.vocabulary = Vocabulary(tokens)
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        plain = spec.get("normalizer") is None and spec["pre_tokenizer"] == BYTE_LEVEL_SPLIT | {"trim_offsets": spec["pre_tokenizer"].get("trim_offsets")}
-        self.fast = self.whole = None
-        if plain and all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(pairs)):
-            ranks = {tokens[i]: i for t, i in model["vocab"].items() if t not in special}
-            self.fast = tiktoken.Encoding("a", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        else:
+            tokens, self.fast = byte_level(json.load(f))
+        self.vocabulary, self.whole = Vocabulary(tokens), None
+        if self.fast is None:
             self.whole = Tokenizer.from_file(path)
             self.whole.encode_special_tokens = True
 

@@ -21,7 +21,9 @@ there are too many of them (``SENT_GRAMS``) to send all to every worker.
 Defined cases: a null text is the empty text (its end only); repeated rows are
 scored one by one; null doc_ids count as training documents if their remainder
 (that of 0) says so; without training documents every count is zero and each
-bit has probability one half. A NUL byte in a text counts like an end.
+bit has probability one half. A NUL byte in a text counts like an end. An
+empty table gives no rows; texts are scored whole; scores need no order, so ties mean nothing.
+Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

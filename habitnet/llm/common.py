@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from habitnet.session import checkpoint_dir
 
-#: The white space that separates words: blank and U+0009 to U+000D.
-SPACE_CLASS = "[\\x20\\x09-\\x0D]"
-WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
-
 LOWER_ASCII = {c: c + 32 for c in range(65, 91)}
 
 
@@ -30,11 +26,6 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def lower_ascii(column: Column) -> Column:
-    """``column`` with A-Z in lower case and every other character as it was."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -103,3 +94,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let executors delete the shuffle files of jobs that are over.
+
+    Spark deletes a shuffle's files once the driver has collected the objects
+    that stand for it, and an idle driver may not collect for half an hour. A
+    job of several stored steps would keep the files of all of them until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

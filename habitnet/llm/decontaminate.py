@@ -19,7 +19,9 @@ large the benchmark is.
 Defined cases: null and empty texts and items match nothing; items shorter than
 ``SHORTEST`` normalised bytes have no segments and are found as whole words, without edits; a null doc_id or item_id is an
 id like any other; rows that share a doc_id (or an item_id) are judged
-together; empty tables give no rows.
+together; empty tables give no rows. Texts are read whole, in
+pieces that overlap; equal hits need no order, as any one flags the document. Other columns keep their
+values whatever their names.
 """
 
 from __future__ import annotations

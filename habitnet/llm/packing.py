@@ -16,7 +16,9 @@ block, so memory depends on the block and the longest document only.
 
 Defined cases: a null text is the empty text (its end id only); null doc_ids
 come first; rows of one doc_id are packed one by one, ordered by a hash of
-their texts; an empty table gives no rows.
+their texts; an empty table gives no rows. Texts are packed
+whole, cut into as many pieces as needed; of equally cheap cuts the first one is taken. Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

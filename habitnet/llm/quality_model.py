@@ -14,6 +14,9 @@ sample that the network hasn't seen calibrates the probabilities.
 Defined cases: null and empty texts have zero features and get the network's
 score for those; without labelled rows of both classes every score is the share
 of label 1 among them (0.5 if there are none); repeated rows score alike.
+Texts are read whole; an empty table gives no rows; a score equal to the threshold
+counts as label 1, and labelled rows that tie for the sample are taken by id. Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

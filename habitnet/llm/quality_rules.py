@@ -7,7 +7,9 @@ the whole text fails the base rules (too few words, too much repetition).
 
 Defined cases: a null text counts as the empty text (no words, rejected); lines
 without words are neither judged nor counted; repeated rows are judged alike,
-one result for each.
+one result for each. An empty table gives no rows; texts are read whole,
+however long, one at a time; percentages that a limit equals pass, so there
+are no ties. Other columns keep their values whatever their names.
 """
 
 from __future__ import annotations

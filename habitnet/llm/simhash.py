@@ -27,7 +27,9 @@ else emits have no neighbour and drop out.
 Defined cases: a null or empty text has fingerprint zero and is linked like any
 other; equal fingerprints are one node, so copies add no links; rows of one
 doc_id are all returned; null doc_ids get a component but are never its id
-(null if the component has no other); an empty table gives no rows.
+(null if the component has no other); an empty table gives no rows. Texts are read
+whole, however long; of ties the least doc_id names the component. Only the two named
+columns are read, and ``one_of_each`` keeps the others, whatever their names.
 """
 
 from __future__ import annotations

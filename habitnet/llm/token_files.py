@@ -11,6 +11,7 @@ stream is its place in its file plus the lengths of the files before.
 Defined cases: a null text is the empty text (its end id only); null doc_ids
 come first; rows of one doc_id are ordered by a hash of their texts and each
 gets its own place; an empty table gives an empty folder that reads as no rows.
+Texts are encoded whole, one at a time. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -19,7 +19,9 @@ rows makes them and are broadcast.
 
 Defined cases: null and empty texts have no evidence; without labelled rows of
 both classes every score is the share of label 1 among them (0.5 if there are
-none); repeated rows score alike.
+none); repeated rows score alike. An empty table gives no rows; texts
+are read whole, a sentence at a time; a score equal to the threshold counts as toxic. Other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

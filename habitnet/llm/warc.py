@@ -16,7 +16,8 @@ Defined cases: a null html is the empty payload, and equal empty payloads
 revisit each other like any others (``min_bytes`` 0); rows that repeat both the
 page id and the payload of a response are responses too; null page ids are
 never referred to (a payload that only such rows hold is a response each time);
-line breaks in urls are percent-encoded; no rows give an empty archive.
+line breaks in urls are percent-encoded; no rows give an empty archive. Payloads are
+written whole; of equal payloads the smallest page id is the response. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -25,6 +26,16 @@ def test_ids_are_the_library_s(path):
         assert np.frombuffer(b"".join(enc.encode_sentences(text)), "<u4").tolist() == want
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_sentences_end_where_the_library_s_offsets_say(path):
+    enc = Encoder(path)
+    for text in TEXTS:
+        got = enc.whole.encode(text, add_special_tokens=False)
+        at = [m.start() for m in re.finditer("(?<=[.!?])(?=\\s)|(?<=\\S)(?=\\n)", text)]
+        ends = {sum(a < e for a, _ in got.offsets) for e in at} | {len(got.ids)}
+        assert enc.encode_with_ends(text)[1].tolist() == sorted(ends - {0})
+
+
 def cost(ends, penalties, cuts, capacity):
     total, begin = 0, 0
     for c in cuts:

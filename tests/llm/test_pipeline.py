@@ -42,3 +42,24 @@ def test_run(spark, tables):
     tokens = {r["doc_id"]: r["doc_tokens"] for r in pieces}
     assert tokens[20] == len(t.encode(PROSE).ids) + 1 and sum(r["length"] for r in pieces) == sum(tokens.values())
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def through(spark, docs, sf_dir):
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs.columns, stage(spark, docs, sf_dir)
+        assert name == "packing" or docs.columns == before
+        kept.append([tuple(r) for r in docs.collect()])
+    return kept
+
+
+def test_odd_rows_and_empty_table(spark, tables, odd, none):
+    """Nulls, empty texts, repeated rows, a long text, extra columns of clashing names; then no rows at all."""
+    sf_dir, _ = tables
+    quality, lines, near, clean, pieces = through(spark, odd, sf_dir)
+    ids = lambda rows: sorted((-1 if r[0] is None else r[0]) for r in rows)
+    assert ids(quality) == [-1, 4, 4, 4, 5]  # without words, or with too few: rejected
+    assert ids(lines) == [-1, 4, 5]  # the copies of the first text lose every line; one has a line of its own
+    assert ids(near) == ids(clean) == [-1, 4, 5] and {r[0] for r in pieces} == {None, 4, 5}
+    assert next(r for r in clean if r[0] is None)[2:4] == (None, None)  # other columns keep their values
+    assert all(rows == [] for rows in through(spark, none, sf_dir))
