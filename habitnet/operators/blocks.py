@@ -25,7 +25,7 @@ from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from habitnet.session import cut_lineage
+from habitnet.session import cut_lineage, cut_round
 
 # Functions of this module run in Python workers: shipped by value, as in ``knn``.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -113,7 +113,7 @@ def advanced(messages: DataFrame, steps: Iterable[tuple[DataFrame, Round]], part
     conf.set(key, "false")
     try:
         out = rounds(messages, steps, parts)
-        return cut_lineage(out if roles is None else out.where(F.col("role").isin(*roles)))
+        return cut_round(out if roles is None else out.where(F.col("role").isin(*roles)))
     finally:
         conf.set(key, before)
 
@@ -128,7 +128,7 @@ def dealt(static: DataFrame, parts: int) -> DataFrame:
 def indexed(ids: DataFrame, key: str, blocks: int) -> DataFrame:
     """``(key, block, nth)``: distinct ids dealt to blocks by hash and counted in each (a block's ids are one window)."""
     own = ids.select(key).where(F.col(key).isNotNull()).distinct().withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    return cut_lineage(own.withColumn("nth", F.row_number().over(Window.partitionBy("block").orderBy(key)) - 1))
+    return cut_round(own.withColumn("nth", F.row_number().over(Window.partitionBy("block").orderBy(key)) - 1))
 
 
 def grid(n_rows: int, n_left: int, n_right: int, tile_rows: int = TILE_ROWS) -> tuple[int, int]:

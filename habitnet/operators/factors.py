@@ -23,7 +23,7 @@ from habitnet.functions.vectors import dot_cols, log_loss, norm_cols, sigmoid
 from habitnet.operators import blocks as bl
 from habitnet.operators import factor_blocks as fb
 from habitnet.operators.components import consecutive_index
-from habitnet.session import cut_lineage, partition_count
+from habitnet.session import cut_lineage, cut_round, partition_count
 
 
 def fnames(d: int, p: str = "f") -> list[str]:
@@ -276,7 +276,7 @@ def train_lmf(pos: DataFrame, d: int = 5, rate: float = 1e-4, max_steps: int = 8
     begin, state = kept[winner]
     if best > begin:
         state = advanced(state, begin, best - begin)
-    out = [cut_lineage(bl.unpacked(state, index, key, place, fnames(d), restarts, winner)) for index, key, place, _ in sides]
+    out = [cut_round(bl.unpacked(state, index, key, place, fnames(d), restarts, winner)) for index, key, place, _ in sides]
     for cached in (tiles, near):
         cached.unpersist()
     return LmfResult(out[0], out[1], history, winner, loss)

@@ -66,6 +66,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_round(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` for a small frame that a loop carries from round to round.
+
+    A checkpoint keeps the optimiser's size estimate, which for joins is a
+    product: over rounds its digits multiply until the driver's memory ends.
+    What is cached has its measured size instead, and the checkpoint keeps that.
+    """
+    held = df.persist()
+    held.count()
+    out = cut_lineage(held)
+    held.unpersist()
+    return out
+
+
 ROWS_PER_PARTITION = 200_000
 
 
