@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import sys
+import time
 import types
 import uuid
 from collections.abc import Callable, Iterator
@@ -103,5 +104,7 @@ def free_shuffles(spark: SparkSession) -> None:
     that stand for it, and an idle driver may not collect for half an hour. A
     job of several stored steps would keep the files of all of them until then.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python lets go of its handles first, a moment later the driver of what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
