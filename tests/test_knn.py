@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -148,3 +149,29 @@ def test_cosine_ties_do_not_follow_the_block_size(spark):
     vectors = spark.createDataFrame(rows, "id long, vec array<double>")
     results = [{tuple(r) for r in knn.cosine_topk(vectors, 7, block_size=b).select("src", "rank", "dst").collect()} for b in (7, 20, 64, 4096)]
     assert len(results[0]) == 7 * len(rows) and all(r == results[0] for r in results)
+
+
+def test_common_apps_are_not_listed(spark, monkeypatch):
+    """Where lists would be sent hundreds of times per pair, users meet in cells; both kinds of cells count rightly."""
+    monkeypatch.setattr(knn, "LISTED_PER_PAIR", 3)
+    rng = random.Random(11)
+    monkeypatch.setattr(knn, "_listed_scores", lambda *a: 1 / 0)
+    for n_apps, used in ((12, 6), (400, 12)):  # a product; counted
+        rows = [(u, rng.randrange(n_apps)) for u in range(150) for _ in range(used)]
+        df = spark.createDataFrame(rows, "user bigint, app bigint")
+        for fill in (True, False):
+            got = {(r.src, r.dst, r.rank) for r in knn.jaccard_topk(df, 4, fill, block_size=40).collect()}
+            assert got == _brute_jaccard(rows, 4, fill)
+
+
+def test_a_cell_sends_few_rows_of_each_user():
+    """A row block meets many column blocks' worth of users at once: it sends k rows per user, whatever the columns."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 5))
+    cell = pd.DataFrame({"id": np.r_[:300, :20_000], "vec": [*x[:300], *x], "_row": np.r_[:300, :20_000], "_side": np.repeat([0, 1], (300, 20_000))})
+    got = knn._cosine_cell(10, True)(cell)
+    assert len(got) == 3000
+    s = knn._cosines(x[:300], x)
+    s[np.arange(300), np.arange(300)] = -np.inf
+    r, c = knn._topk_rows(s, np.isfinite(s), 10)
+    assert got["src"].tolist() == r.tolist() and got["dst"].tolist() == c.tolist() and got["score"].tolist() == s[r, c].tolist()
