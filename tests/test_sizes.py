@@ -1,6 +1,9 @@
 """Sizes of what is sent or held at once, from numbers of rows."""
 
+import math
+
 from habitnet.operators import blocks as bl
+from habitnet.operators import exposure_blocks as eb
 from habitnet.session import cut_compact
 from habitnet.sources import tables as tb
 
@@ -13,6 +16,14 @@ def test_blocks_of_a_large_model_are_few():
     assert sent < samples * 2 and max(users / left, apps / right) * width <= bl.BLOCK_NUMBERS
 
 
+def test_messages_of_places_and_user_blocks_are_alike():
+    """Neither a row place nor a user block meets all tiles: what one of them sends grows with sqrt(rows x users) only."""
+    for rows, users in ((100_000, 1500), (6_000_000, 90_000), (36_000_000, 540_000)):
+        places, blocks = eb.row_and_user_blocks(rows, users, 3 * rows, 3, bl.TILE_ROWS)
+        assert places * blocks >= 3 * rows / bl.TILE_ROWS
+        assert max(rows / places * blocks, users / blocks * places) <= 2 * math.sqrt(rows * users)
+
+
 def test_compact_copy_keeps_rows_and_schema(spark):
     df = spark.createDataFrame([(1, "a", 0.5), (None, None, None)], "user long, app string, r double")
     copy = cut_compact(df)
