@@ -8,6 +8,17 @@ from habitnet.session import cut_compact
 from habitnet.sources import tables as tb
 
 
+def test_order_lines_partitions_follow_the_lines(spark, tmp_path, monkeypatch):
+    lines = spark.range(60).selectExpr("id DIV 3 AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "1D AS l_quantity", "'O' AS l_linestatus",
+                                       "'N' AS l_returnflag", "1 AS l_linenumber")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(20).selectExpr("id AS o_orderkey", "id % 4 AS o_custkey", "DATE'1997-01-01' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(tb, "partition_count", lambda spark, rows: math.ceil(rows / 5))
+    found = tb.order_lines(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 12
+    assert found.count() == 60
+
+
 def test_blocks_of_a_large_model_are_few():
     """A round sends every block to its whole row or column of tiles."""
     users, apps, samples, width = 900_000, 1_200_000, 144_000_000, 10
