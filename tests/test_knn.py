@@ -175,3 +175,31 @@ def test_a_cell_sends_few_rows_of_each_user():
     s[np.arange(300), np.arange(300)] = -np.inf
     r, c = knn._topk_rows(s, np.isfinite(s), 10)
     assert got["src"].tolist() == r.tolist() and got["dst"].tolist() == c.tolist() and got["score"].tolist() == s[r, c].tolist()
+
+
+def test_bits_of_any_number_of_apps():
+    """Counts beyond a byte, sets of all sizes, equal scores, users that are not among the columns: as counted overlaps."""
+    rng = np.random.default_rng(7)
+    for n_apps in (3, 64, 150, 700):
+        there = rng.random((500, n_apps)) < rng.choice([0.02, 0.3, 0.9], 500)[:, None]
+        there[np.arange(500), rng.integers(0, n_apps, 500)] = True  # every user has an app
+        there[100:130] = there[0]  # many equal ones
+        own = rng.permutation(500)[:90]
+        (ia, ca), (ib, cb) = np.nonzero(there[own]), np.nonzero(there)
+        sizes, itself = (there[own].sum(axis=1), there.sum(axis=1)), np.where(own % 3 == 0, -1, own)
+        bits = knn._bit_words(ia, ca, 90, n_apps), knn._bit_words(ib, cb, 500, n_apps)
+        got = knn._bits_best(*bits, sizes, n_apps, 7, itself)
+        want = knn._counted_best(ca, np.concatenate([[0], np.cumsum(sizes[0])]), cb, ib, sizes, 7, itself)
+        assert all(g.tolist() == w.tolist() for g, w in zip(got, want))
+
+
+def test_near_cosines_in_single_precision_lose_no_neighbour():
+    """Scores that single precision can't tell apart: the exact ones decide."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=8) + rng.normal(size=(3000, 8)) * 1e-5
+    cell = pd.DataFrame({"id": np.r_[:40, :3000], "vec": [*x[:40], *x], "_row": np.r_[:40, :3000], "_side": np.repeat([0, 1], (40, 3000))})
+    got = knn._cosine_cell(6, True)(cell)
+    s = knn._cosines(x[:40], x)
+    s[np.arange(40), np.arange(40)] = -np.inf
+    r, c = knn._topk_rows(s, np.isfinite(s), 6)
+    assert got["src"].tolist() == r.tolist() and got["dst"].tolist() == c.tolist()
