@@ -82,3 +82,23 @@ def test_day_bitmaps_over_many_days(spark):
     want_links = {(u, a, t, l, int((l, a, t) in on)) for u, a, t, _, _ in want for s, l in graph if s == u and l in there}
     got = [tuple(r) for r in links.collect()]
     assert len(got) == len(want_links) and set(got) == want_links
+    nested = ex.exposure_rows(make(split + split[:50], "user int, app string, day date"), state, make(graph, "src int, dst int"), cal).collect()
+    assert all([x.l for x in r.ni] == sorted(x.l for x in r.ni) for r in nested)
+    assert {(r.i, r.j, r.t, r.m0, r.m1) for r in nested} == want and len(nested) == len(want)
+    assert sorted((r.i, r.j, r.t, x.l, x.ml0) for r in nested for x in r.ni) == sorted(want_links)
+
+
+def test_links_are_dealt_before_days_are_rows(spark, monkeypatch):
+    """The maps are a few bytes, their days many rows: as many tasks make them as the rows need, and no shuffle moves them."""
+    monkeypatch.setattr(ex, "LINKS_PER_PARTITION", 500)
+    state = spark.range(60).selectExpr("id AS user", "explode(array('A', 'B')) AS app").selectExpr(
+        "*", "explode(sequence(date'2020-01-01', date'2020-01-20')) AS day")
+    graph = spark.range(60).selectExpr("id AS src", "explode(sequence(0, 9)) AS step").selectExpr("src", "(src + step * 6 + 1) % 60 AS dst")
+    _, links = ex.exposure_long(state, state, graph, ex.calendar(state.select("day")))
+    n = links.count()
+    assert n == 60 * 2 * 19 * 10
+    assert len([c for c in links.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if c]) > 20
+    counted = links.groupBy("i", "j", "t").count()
+    counted.collect()
+    plan = counted._jdf.queryExecution().executedPlan().toString().split("Generate")[0]  # what lies above the days
+    assert "Exchange" not in plan.replace("BroadcastExchange", "").replace("ReusedExchange", "")
