@@ -186,3 +186,22 @@ def test_hub_terms_are_many_tiles(spark):
     sizes = [len(x.a) // 4 for x in found.tiles.select("a").collect()]
     found.free()
     assert sum(sizes) == 799 and max(sizes) < 200
+
+
+def test_terms_do_not_move_links(spark):
+    """Links lie by user and app as ``exposure_long`` leaves them: the terms' weights need no other shuffle of them."""
+    from habitnet.operators import exposure as ex
+
+    state = spark.range(30).selectExpr("id AS user", "'A' AS app", "explode(sequence(date'2020-01-01', date'2020-01-06')) AS day")
+    graph = spark.range(30).selectExpr("id AS src", "explode(array((id + 1) % 30, (id + 7) % 30, (id * 3 + 2) % 30)) AS dst")
+    rows, links = ex.exposure_long(state, state, graph, ex.calendar(state.select("day")))
+    terms = md.exposure_terms(rows, links)
+    nbs = {}
+    for r in links.collect():
+        nbs.setdefault((r.i, r.j, r.t), []).append(r)
+    want = [(*key, r.l, r.ml0 / len(found)) for key, found in nbs.items() for r in found if r.ml0] + [(r.i, r.j, r.t, r.i, 1.0) for r in rows.collect()]
+    assert sorted(map(tuple, terms.collect())) == sorted(want)
+    counted = md.exposure_terms(rows.limit(0), links)
+    counted.collect()
+    plan = counted._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+    assert "Window" in plan and "Exchange" not in plan.replace("BroadcastExchange", "")
