@@ -132,6 +132,20 @@ def short_items(raw: bytes, short: dict) -> set[tuple]:
     return out
 
 
+def _crowded(at: np.ndarray, many: int, width: int) -> np.ndarray:
+    """Which of the ascending places lie with ``many`` in a stretch of ``width``.
+
+    What keeps enough q-grams of a segment keeps them at so many places of a band. Others can't be part of a match.
+    """
+    if many <= 1:
+        return np.ones(len(at), bool)
+    starts = np.flatnonzero(at[many - 1 :] - at[: max(len(at) - many + 1, 0)] < width)
+    edge = np.zeros(len(at) + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + many, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def candidates(raw: bytes, block: dict) -> Iterator[tuple[int, int]]:
     """``(segment row, first diagonal of a band)`` of every band of ``raw`` with enough shared q-grams."""
     grams = _grams(raw)
@@ -141,6 +155,8 @@ def candidates(raw: bytes, block: dict) -> Iterator[tuple[int, int]]:
     key = np.minimum(np.searchsorted(block["keys"], grams[at]), len(block["keys"]) - 1)
     exact = block["keys"][key] == grams[at]
     at, key = at[exact], key[exact]
+    close = _crowded(at, int(block["needed"].min()), SEGMENT + BAND + edit_budget(SEGMENT))
+    at, key = at[close], key[close]
     times = block["count"][key]
     hit = np.repeat(block["first"][key], times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
     owner = block["owner"][hit]

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 from habitnet.llm import decontaminate as d
 from tests.llm.conftest import PROSE
@@ -100,3 +101,18 @@ def test_short_items_are_found_as_whole_words(spark, docs, monkeypatch):
     monkeypatch.setattr(d, "BYTES_AT_ONCE", 5)
     assert found() == want
     assert {r["doc_id"] for r in d.clean(docs(rows), bench).collect()} == {2, 4, 5}
+
+
+def test_isolated_grams_are_not_expanded():
+    """Places that share a q-gram by chance go before they meet all segments that hold it; a stretch with enough stays whole."""
+    rng = np.random.default_rng(5)
+    for many, width in ((1, 85), (9, 85), (17, 85), (17, 20), (500, 85)):
+        at = np.flatnonzero(rng.random(3000) < np.repeat(rng.choice([0.02, 0.2, 0.6], 30), 100))
+        want = [any(s <= i < s + many for s in range(len(at) - many + 1) if at[s + many - 1] - at[s] < width) for i in range(len(at))]
+        assert d._crowded(at, many, width).tolist() == want
+    assert d._crowded(np.zeros(0, np.int64), 17, 85).tolist() == []
+    item = bytes(rng.integers(97, 123, 200).astype(np.uint8))
+    block = d.index(pd.DataFrame({"item_id": [1], "text": [item.decode()]}))
+    edited = item[20:52] + b"x" + item[53:84]
+    assert {n for n, _ in d.candidates(b"." * 300 + edited + b"." * 300, block)} >= {3}  # bytes 24 to 88
+    assert not list(d.candidates(b"................".join(item[p : p + 9] for p in range(0, 180, 9)), block))
