@@ -283,6 +283,14 @@ def code_lengths(grams: DataFrame) -> DataFrame:
     return map_batches(grouped, _lengths(grams.sparkSession.sparkContext.broadcast(state)), "gram long, value double")
 
 
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of the wanted keys. Asked in order, the search stays where the last one ended; else each is a walk through all keys."""
+    order = np.argsort(wanted)
+    out = np.empty(len(wanted), values.dtype)
+    out[order] = values[np.searchsorted(keys, wanted[order])]
+    return out
+
+
 def _score_chunk(shared):
     """Scores of a chunk's documents from its dictionary; grams come from ``shared`` if it isn't None."""
 
@@ -300,7 +308,7 @@ def _score_chunk(shared):
         scores: list[np.ndarray] = []
         for block in _blocks(texts):
             gram, begins = byte_grams(block)
-            scores.append(np.add.reduceat(values[np.searchsorted(keys, gram)], begins))
+            scores.append(np.add.reduceat(_looked_up(keys, values, gram), begins))
         n_tokens, n_known, base = [], [], []
         for s in texts:
             found = [*s.split(), b""]

@@ -82,3 +82,14 @@ def test_odd_rows(odd, none):
     assert len(got) == odd.count()
     assert len({r["score"] for r in got if r["doc_id"] in (1, 2, 3)}) == 1 and all(r["n_tokens"] == 1 for r in got if r["doc_id"] in (1, 2, 3))
     assert byte_lm.score(none).count() == 0
+
+
+def test_grams_are_looked_up_in_order(monkeypatch):
+    """The values come back in the grams' own order; the search gets them sorted."""
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 40, 5000))
+    values, at = np.arange(len(keys)) / 7, np.random.default_rng(3).integers(0, len(keys), 20_000)
+    asked, search = [], np.searchsorted
+    monkeypatch.setattr(byte_lm.np, "searchsorted", lambda k, x: asked.append(x) or search(k, x))
+    assert byte_lm._looked_up(keys, values, keys[at]).tolist() == values[at].tolist()
+    assert len(asked) == 1 and (np.diff(asked[0]) >= 0).all()
+    assert byte_lm._looked_up(keys, values, keys[:0]).tolist() == []
