@@ -89,3 +89,22 @@ def test_nested_components_equal_those_of_each_bound(spark):
         own = edges.where(f"w >= {bound}").dropna()
         assert got[bound] == {r.node: r.component for r in cc.connected_components(own).collect()}
     assert 99 not in got
+
+
+def test_rounds_of_a_dense_graph_see_two_edges_a_node(spark, monkeypatch):
+    rng, seen, round_of = random.Random(5), [], cc._large_star
+    nodes = [f"n{i:02}" for i in range(40)]
+    edges = [(a, b) for part in (nodes[:30], nodes[30:]) for a in part for b in part if a < b and rng.random() < 0.8]
+    monkeypatch.setattr(cc, "_large_star", lambda e: (seen.append(e.count()), round_of(e))[1])
+    assert _components(spark, edges) == _brute(edges)
+    assert len(edges) > 300 and max(seen) <= 80
+
+
+def test_components_that_two_edges_a_node_leave_apart(spark):
+    """Each node's least and greatest neighbours are in its own half; the halves meet in between."""
+    low, high = [f"a{i}" for i in range(10)], [f"z{i}" for i in range(10)]
+    mid = [f"m{i}{side}" for i in range(6) for side in "xy"]
+    edges = [(a, b) for side, ends in (("x", 0), ("y", 5)) for m in mid if m.endswith(side) for a, b in [(m, o) for o in low[ends : ends + 5] + high[ends : ends + 5]]]
+    edges += [("m0x", "m0y"), ("m3x", "m4y")]
+    assert _components(spark, edges) == _brute(edges)
+    assert cc.connected_components(spark.createDataFrame(edges, "src string, dst string")).select("component").distinct().count() == 1
