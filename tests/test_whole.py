@@ -1,5 +1,6 @@
 """Training where the samples lie, and queries that were cut before: their whole jobs."""
 
+import datetime as dt
 import inspect
 
 import numpy as np
@@ -8,6 +9,8 @@ import pytest
 import __spark_entry__ as se
 from habitnet.operators import factor_whole as fw
 from habitnet.operators import factors as fa
+from habitnet.operators import model as md
+from habitnet.operators.exposure import holdout_days
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -70,3 +73,46 @@ def test_whole_restarts_need_no_rounds(spark, monkeypatch):
     """Before, every step of the smallest model was four shuffles."""
     monkeypatch.setattr(fa.bl, "rounds", lambda *_: pytest.fail("messages between places"))
     assert fa.train_lmf(spark.createDataFrame(PAIRS, "user bigint, app bigint"), d=2, max_steps=40, restarts=2).users.count() == 10
+
+
+def test_exposure_model_cv_runs_all_folds_and_epochs(spark, monkeypatch):
+    got = arguments(monkeypatch, md, "cross_validate", se.queries()["exposure_model_cv"], spark)
+    assert (got["d"], got["max_epochs"]) == (7, 21)
+    assert got["folds_days"].select("fold").distinct().count() == 10
+
+
+def _exposure(spark):
+    """Rows with a hub, equal rows, and rows without a user or a day."""
+    days = [dt.date(1969, 12, 29) + dt.timedelta(days=k) for k in range(7)]
+    rows = [(u, a, t, 1, (u * 3 + k + len(a)) % 2) for u in range(6) for a in ("A", "BB", "C") for k, t in enumerate(days) if (u + k) % 4]
+    links = [(u, a, t, v, (u + v) % 3 and 1) for u, a, t, _, _ in rows for v in ((u + 1) % 6, 0, 77) if v != u]
+    rows += [rows[0], rows[0], (None, "A", days[2], 1, 1), (2, "A", None, 1, 1), (2, None, days[2], 1, 0)]
+    return (
+        spark.createDataFrame(rows, "i bigint, j string, t date, m0 int, m1 int"),
+        spark.createDataFrame(links, "i bigint, j string, t date, l bigint, ml0 int"),
+    )
+
+
+@pytest.mark.parametrize("solver, stop_ratio", [("newton", 1e9), ("gd", 1e9), ("newton", 1.0001)])
+def test_models_in_a_task_equal_models_on_tiles(spark, solver, stop_ratio):
+    rows, links = _exposure(spark)
+    folds = holdout_days(rows.selectExpr("t AS day").where("t IS NOT NULL"), 3, 0.6, 1)
+    found = [
+        md.cross_validate_ranks(rows, links, folds, [3, 1], 6, 7, 0.01, solver, 0.3, stop_ratio=stop_ratio, whole_terms=n)
+        for n in (0, md.ew.WHOLE_TERMS)
+    ]
+    (a, log), (b, other) = found
+    assert len(log) == len(other) and len({x["epoch"] for x in log}) > 1
+    key = lambda x: (x["rank"], x["fold"], x["epoch"])
+    for x, y in zip(sorted(log, key=key), sorted(other, key=key)):
+        assert key(x) == key(y) and all(abs(x[n] - y[n]) < 1e-10 for n in ("train_rmse", "valid_rmse"))
+    a, b = (sorted(map(tuple, x.collect())) for x in (a, b))
+    assert len(a) == 6 and np.allclose(a, b, rtol=0, atol=1e-10)
+
+
+def test_whole_models_need_no_rounds(spark, monkeypatch):
+    """Before, every epoch of the smallest model was six shuffles."""
+    monkeypatch.setattr(md.bl, "rounds", lambda *_: pytest.fail("messages between places"))
+    rows, links = _exposure(spark)
+    scores, _ = md.cross_validate(rows, links, holdout_days(rows.selectExpr("t AS day"), 2, 0.6, 1), d=2, max_epochs=5)
+    assert scores.count() == 2
