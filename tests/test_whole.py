@@ -116,3 +116,12 @@ def test_whole_models_need_no_rounds(spark, monkeypatch):
     rows, links = _exposure(spark)
     scores, _ = md.cross_validate(rows, links, holdout_days(rows.selectExpr("t AS day"), 2, 0.6, 1), d=2, max_epochs=5)
     assert scores.count() == 2
+
+
+def test_files_of_candidates_are_freed_once_joined(spark, monkeypatch):
+    """They stayed on disk while samples were ranked, stored, spread and joined."""
+    freed = []
+    monkeypatch.setattr(fa, "free_shuffles", freed.append)
+    samples = fa.prepare_samples(fa.training_samples(spark.createDataFrame(PAIRS, "user bigint, app bigint"), 3))
+    samples.unpersist()
+    assert len(freed) == 2
